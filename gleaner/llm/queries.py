@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gleaner.llm import decontam, mixing, quality, shard, simhash, tokens
+from gleaner.llm import decontam, langid, mixing, quality, shard, simhash, suffix, tokens, urlrules, warc
 from gleaner.llm.sql import SQL
 
 QUERIES: dict[str, tuple] = {}
@@ -22,6 +22,26 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@_query("op1_url_rules")
+def op1(spark, sf_dir):
+    return urlrules.url_report(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+
+
+@_query("op2_warc_archives")
+def op2(spark, sf_dir):
+    return warc.archive_report(_read(spark, sf_dir, "pages"))
+
+
+@_query("op3_language_id")
+def op3(spark, sf_dir):
+    return langid.language_report(_read(spark, sf_dir, "documents"))
+
+
+@_query("op4_suffix_dedup")
+def op4(spark, sf_dir):
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 @_query("op5_source_mixing")
 def op5(spark, sf_dir):
     return mixing.taken_words(_read(spark, sf_dir, "documents")).drop("source")
