@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,8 +50,16 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that very long texts don't pile up in a Python worker."""
+    """Arrow batches of at most ``rows`` rows, so that very long texts don't pile up in a Python worker.
+
+    Also lets Python workers find this package where the driver found it, beside what was
+    shipped with the application.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def let(value: Column, body) -> Column:
@@ -59,7 +69,9 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for null."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
+    flat = F.coalesce(text, F.lit(""))
+    for blank in SPACES[1:]:
+        flat = F.replace(flat, F.lit(blank), F.lit(" "))
     return F.array_remove(F.split(flat, " "), "")
 
 

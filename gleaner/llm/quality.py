@@ -15,21 +15,25 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-def word_chars(text: Column) -> Column:
+def word_chars(words: Column) -> Column:
     """Code points in words."""
-    return F.length(F.translate(F.coalesce(text, F.lit("")), SPACES, "")).cast("long")
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def symbols(text: Column) -> Column:
     """Characters of ``[#*$%&|<>]``."""
     t = F.coalesce(text, F.lit(""))
-    return (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")
+    return (F.length(t) - F.length(F.regexp_replace(t, f"[{SYMBOLS}]", ""))).cast("long")
+
+
+def lines_of(text: Column) -> Column:
+    """Lines that have a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
 
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    return let(lines_of(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
@@ -57,37 +61,38 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) < width, F.lit(0).cast("long")).otherwise(let(hashes, windows))
 
 
+#: What rules look at, by name: from text and words to a count.
+FACTS = {
+    "n_words": lambda text, words: F.size(words).cast("long"),
+    "word_chars": lambda text, words: word_chars(words),
+    "n_symbols": lambda text, words: symbols(text),
+    "n_lines": lambda text, words: F.size(lines_of(text)).cast("long"),
+    "n_dup_lines": lambda text, words: duplicate_lines(text),
+    "n_repeat_words": lambda text, words: repeated_words(words),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: from the columns text and words to a boolean that is never null."""
+    """``rejects``: from facts by name to a boolean that is never null. The facts come as columns
+    already computed, or as expressions that are only evaluated if a row gets to the rule."""
 
     name: str
     rejects: object
 
 
-def few_words(text, words):
-    return F.size(words) < 20
-
-
-def repetitive(text, words):
-    return 100 * repeated_words(words) > 30 * F.size(words)
-
-
-def symbol_heavy(text, words):
-    return 10 * symbols(text) > 3 * F.size(words)
-
-
-def odd_word_length(text, words):
-    return (word_chars(text) < 2 * F.size(words)) | (word_chars(text) > 15 * F.size(words))
-
-
-def line_repeats(text, words):
-    lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, SPACES, "") != ""))
-    return 10 * duplicate_lines(text) > 5 * F.greatest(lines, F.lit(1))
+#: What op7 applies; the first two are the base rules.
+RULES = (
+    Rule("few_words", lambda f: f["n_words"] < 20),
+    Rule("repetitive", lambda f: 100 * f["n_repeat_words"] > 30 * f["n_words"]),
+    Rule("symbol_heavy", lambda f: 10 * f["n_symbols"] > 3 * f["n_words"]),
+    Rule("odd_word_length", lambda f: let(f["word_chars"], lambda c: (c < 2 * f["n_words"]) | (c > 15 * f["n_words"]))),
+    Rule("line_repeats", lambda f: 10 * f["n_dup_lines"] > 5 * F.greatest(f["n_lines"], F.lit(1))),
+)
 
 
-#: What op7 applies; the first two are the base rules.
-RULES = (Rule("few_words", few_words), Rule("repetitive", repetitive), Rule("symbol_heavy", symbol_heavy), Rule("odd_word_length", odd_word_length), Rule("line_repeats", line_repeats))
+def lazy_facts(text: Column, words: Column) -> dict[str, Column]:
+    return {name: fact(text, words) for name, fact in FACTS.items()}
 
 
 def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = 2000, text: str = "text") -> list[Rule]:
@@ -104,17 +109,17 @@ def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = 2000, text: str
     scored = []
     for place, rule in enumerate(rules):
         began = time.perf_counter()
-        hit = rows.agg(F.count_if(rule.rejects(F.col("text"), F.col("words"))).alias("n")).first()["n"]
+        hit = rows.agg(F.count_if(rule.rejects(lazy_facts(F.col("text"), F.col("words")))).alias("n")).first()["n"]
         scored.append((-(hit or 0.5) / max(time.perf_counter() - began, 1e-3), place, rule))
     discard(sample)
     return [rule for _, _, rule in sorted(scored, key=lambda x: x[:2])]
 
 
-def cascade(text: Column, words: Column, rules) -> Column:
+def cascade(facts: dict[str, Column], rules) -> Column:
     """The name of the first rule that rejects a row, or null. CASE stops at the first that holds."""
     out = F.when(F.lit(False), F.lit(""))
     for rule in rules:
-        out = out.when(rule.rejects(text, words), F.lit(rule.name))
+        out = out.when(rule.rejects(facts), F.lit(rule.name))
     return out
 
 
@@ -126,21 +131,17 @@ def judge(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> DataFrame:
     """
     order = order_rules(docs, rules, sample_rows)
     rows = docs.withColumn("_words", words_of(F.col("text")))
-    return rows.withColumn("rejected_by", cascade(F.col("text"), F.col("_words"), order)).drop("_words")
+    return rows.withColumn("rejected_by", cascade(lazy_facts(F.col("text"), F.col("_words")), order)).drop("_words")
 
 
 def quality_report(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> DataFrame:
-    """The counts behind the base rules for every document, ``base_failed`` and the cascade's ``kept``."""
+    """The counts behind the base rules for every document, ``base_failed`` and the cascade's ``kept``.
+
+    As all counts are returned, the rules here read them instead of the text.
+    """
     order = order_rules(docs, rules, sample_rows)
     rows = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"))
-    rows = rows.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        word_chars(F.col("text")).alias("word_chars"),
-        symbols(F.col("text")).alias("n_symbols"),
-        duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        cascade(F.col("text"), F.col("words"), [r for r in order if r.name not in ("few_words", "repetitive")]).alias("rejected_by"),
-    )
+    rows = rows.select("doc_id", *[c.alias(name) for name, c in lazy_facts(F.col("text"), F.col("words")).items()])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = rows.withColumn("rejected_by", cascade({name: F.col(name) for name in FACTS}, order))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
