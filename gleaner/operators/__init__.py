@@ -1 +1 @@
-
+"""Relational operators over listings, corpora and predictions."""

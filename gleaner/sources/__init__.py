@@ -1 +1 @@
-
+"""Readers, the source registry, and sinks."""

@@ -1 +1 @@
-
+"""Incremental ingestion of listings with Structured Streaming."""
