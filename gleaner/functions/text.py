@@ -22,7 +22,7 @@ def html_to_text(html: Column) -> Column:
     body = F.regexp_replace(body, r"<[^>]*>", "")
     for entity, char in ENTITIES.items():
         body = F.replace(body, F.lit(entity), F.lit(char))
-    lines = F.transform(F.split(body, "\n"), F.trim)
+    lines = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 

@@ -109,7 +109,7 @@ _HTML_SQL = r"""
     b AS (SELECT page_id, regexp_replace(t, '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|footer|header|nav|title|head|body|html)(\s[^>]*)?/?>', chr(10), 'g') AS t FROM a),
     c AS (SELECT page_id, regexp_replace(t, '<[^>]*>', '', 'g') AS t FROM b),
     d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM c)
-    SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM d
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS body FROM d
 """
 
 
