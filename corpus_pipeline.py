@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleaner.llm import decontam, mixing, quality, shard, simhash
 from gleaner.llm.common import fresh_path
@@ -11,7 +10,7 @@ from gleaner.llm.common import fresh_path
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.judge(docs).filter(F.col("rejected_by").isNull()).drop("rejected_by")
+    return quality.keep(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

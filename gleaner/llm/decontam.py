@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,12 +55,13 @@ class Scanner:
 _SCANNERS: dict = {}
 
 
-def _scanner(broadcast, width: int) -> Scanner:
-    key = (broadcast.id, width) if hasattr(broadcast, "id") else id(broadcast)
-    if key not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[key] = [Scanner(x, width) for x in broadcast.value]
-    return _SCANNERS[key]
+def _scanner(key: str, broadcast, width: int) -> list[Scanner]:
+    """The scanners of a broadcast list of items, built once in a worker; ``key`` names the broadcast."""
+    if (key, width) not in _SCANNERS:
+        if len(_SCANNERS) >= 8:
+            _SCANNERS.clear()
+        _SCANNERS[key, width] = [Scanner(x, width) for x in broadcast.value]
+    return _SCANNERS[key, width]
 
 
 def scan_text(text: str | None, scanners: list[Scanner]) -> tuple[int, list, set, np.ndarray]:
@@ -98,9 +101,9 @@ def benchmark_shards(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> list
 
 
 def _passes(spark, benchmark: DataFrame, limit: int):
-    """A broadcast an automaton; each holds ``limit`` bytes of text or little more."""
+    """(name, broadcast) for each automaton; each holds ``limit`` bytes of text or little more."""
     for part in benchmark_shards(benchmark, limit):
-        yield spark.sparkContext.broadcast([[(r["key"], r["text"]) for r in part.collect()]])
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast([[(r["key"], r["text"]) for r in part.collect()]])
 
 
 SCHEMA = "doc_id long, row_id long, n_words long, spans array<struct<first_word:long,end_word:long,from_byte:long,to_byte:long>>, items array<string>"
@@ -123,7 +126,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, li
     for part in passes:
 
         def scan(batches, part=part):
-            scanners = _scanner(part, width)
+            scanners = _scanner(*part, width)
             for batch in batches:
                 n_words, spans, items = [], [], []
                 for text in batch.column(1).to_pylist():
@@ -188,7 +191,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
             counts: dict[int, int] = {}
             for part in parts:
                 for i, text in enumerate(batch.column(place).to_pylist()):
-                    n, merged, _, _ = scan_text(text, _scanner(part, width))
+                    n, merged, _, _ = scan_text(text, _scanner(*part, width))
                     if merged:
                         counts[i] = n
                         spans.setdefault(i, []).extend(merged)

@@ -11,6 +11,8 @@ from gleaner.llm.common import small_batches
 
 #: Bounds of the training sample: documents and characters of a language, and languages (the most frequent).
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 64, 40_000, 64
+#: Shorter samples count as this long when phrases are weighted by the logarithm of the sample's length.
+LEAST_CHARS = 4096
 #: Codes for letters; rarer ones share one.
 ALPHABET = 96
 #: Characters after which a parse starts anew, so that long texts are parsed in parallel.
@@ -56,7 +58,7 @@ class CrossParser:
     """
 
     def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)
+        self.langs = sorted(lang for lang, text in samples.items() if any(map(str.isalpha, text)))
         seen: dict[str, int] = {}
         for text in samples.values():
             for ch in text.lower():
@@ -80,7 +82,7 @@ class CrossParser:
                 if out:
                     step[s, list(out)] = np.fromiter(out.values(), np.uint32, len(out)) * np.uint32(self.width)
             self.tables.append(step.ravel())
-            self.scale.append(np.log2(max(len(codes), 2)))
+            self.scale.append(np.log2(max(len(codes), LEAST_CHARS)))
 
     def _code(self, ch: str) -> int:
         return self.code.get(ch.lower()[:1], 1) if ch.isalpha() else 0

@@ -121,8 +121,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words are kept once. Rows that share a doc_id share what they were taken.
     """
-    taken = taken_words(docs, **options).groupBy("doc_id").agg(F.sum("size").alias("_n"), F.sum("taken").alias("_t"))
-    copies = F.when(F.col("_n") == 0, F.lit(1)).otherwise(F.floor(F.col("_t") / F.col("_n") + 0.5)).cast("int")
-    taken = taken.select(F.col("doc_id").alias("_id"), copies.alias("_copies")).filter("_copies > 0")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = taken_words(docs, **options).groupBy("doc_id").agg(F.sum("size").alias("n"), F.sum("taken").alias("t"))
+    copies = F.when(F.col("n") == 0, F.lit(1)).otherwise(F.floor(F.col("t") / F.col("n") + 0.5)).cast("int")
+    taken = taken.select(F.col("doc_id").alias("__mix_id"), copies.alias("__mix_copies")).filter("__mix_copies > 0")
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__mix_id")))
+    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).drop("__mix_id", "__mix_copies", "__mix_copy")

@@ -123,15 +123,23 @@ def cascade(facts: dict[str, Column], rules) -> Column:
     return out
 
 
+def verdict(text: Column, order) -> Column:
+    """The rule that rejects a text, or null; its words are split once."""
+    return let(words_of(text), lambda words: cascade(lazy_facts(text, words), order))
+
+
 def judge(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> DataFrame:
     """``docs`` with ``rejected_by``: null for documents that pass every rule.
 
     Null and empty texts have no words and fail few_words. Works row by row: ties, repeated
-    rows, empty tables and extra columns need no care.
+    rows, empty tables and extra columns need no care; a column rejected_by is replaced.
     """
-    order = order_rules(docs, rules, sample_rows)
-    rows = docs.withColumn("_words", words_of(F.col("text")))
-    return rows.withColumn("rejected_by", cascade(lazy_facts(F.col("text"), F.col("_words")), order)).drop("_words")
+    return docs.withColumn("rejected_by", verdict(F.col("text"), order_rules(docs, rules, sample_rows)))
+
+
+def keep(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> DataFrame:
+    """``docs`` that pass every rule, all columns as they are."""
+    return docs.filter(verdict(F.col("text"), order_rules(docs, rules, sample_rows)).isNull())
 
 
 def quality_report(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> DataFrame:
