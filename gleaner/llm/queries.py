@@ -24,7 +24,7 @@ def _read(spark, sf_dir, table):
 
 @_query("op1_url_rules")
 def op1(spark, sf_dir):
-    return urlrules.url_report(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+    return urlrules.url_report(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")).drop("mined_rule")
 
 
 @_query("op2_warc_archives")

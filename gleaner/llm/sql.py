@@ -29,3 +29,79 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR 10 * n_dup_lines > 5 * greatest(lines, 1)) AS kept
 FROM b
 """
+
+SQL["op1_url_rules"] = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, row_number() OVER () AS k FROM pages),
+a AS (SELECT *, regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1) AS h, regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+b AS (SELECT *, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM a),
+r(rule, own, rest, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+l AS (SELECT k, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+      FROM b JOIN r ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, rest) GROUP BY k),
+t AS (SELECT *, list_sort(list_distinct(list_concat(list_concat(
+        list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+        list_transform(list_filter(string_split(replace(host, '.', '-'), '-'), lambda x: x <> ''), lambda x: 'w:' || x)),
+        list_transform(list_filter(string_split(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '/'),
+                       lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'p:' || x)))) AS tok FROM b),
+m AS (SELECT k, page_id, tok, unnest(range(1, CAST(pow(2, len(tok)) AS BIGINT))) AS mask FROM t),
+s AS (SELECT k, page_id, array_to_string(list_filter(tok, lambda x, i: (mask >> (i - 1)) & 1 = 1), ' ') AS items FROM m),
+g AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id),
+n AS (SELECT count(*) AS n FROM t JOIN g ON page_id = doc_id WHERE len(tok) > 0),
+f AS (SELECT items, count(*) AS c, count(*) FILTER (WHERE bad) AS b FROM s JOIN g ON page_id = doc_id GROUP BY items),
+x AS (SELECT items FROM f, n WHERE b >= ceil(greatest(0.005, 25.0 / n) * n) AND b >= 0.6 * c),
+y AS (SELECT DISTINCT k FROM s JOIN x USING (items))
+SELECT page_id, host, path, l.rule, coalesce(l.verdict, CASE WHEN y.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM b LEFT JOIN l USING (k) LEFT JOIN y USING (k)
+"""
+
+SQL["op2_warc_archives"] = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+SQL["op4_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+s AS (SELECT *, CASE WHEN p > lag(p) OVER o + 100 OR lag(p) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s),
+v AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM v),
+c AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept, max(b) AS tail FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
+SQL["op8_decontamination"] = r"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS a FROM documents),
+q AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS b FROM benchmark),
+z AS (SELECT item, b, least(13, len(b)) AS m, unnest(range(1, greatest(len(b) - 12, 1) + 1)) AS i FROM q WHERE len(b) > 0),
+g AS (SELECT DISTINCT item, m, array_to_string(list_slice(b, i, i + m - 1), ' ') AS s FROM z),
+e AS (SELECT k, a, m, unnest(range(1, len(a) - m + 2)) AS i FROM w, (SELECT DISTINCT m FROM g) WHERE len(a) >= m),
+h AS (SELECT k, i, e.m, item FROM (SELECT k, i, m, array_to_string(list_slice(a, i, i + m - 1), ' ') AS s FROM e) e JOIN g ON e.m = g.m AND e.s = g.s),
+c AS (SELECT k, count(DISTINCT x) AS n FROM (SELECT k, unnest(range(i, i + m)) AS x FROM h) GROUP BY k),
+j AS (SELECT k, count(DISTINCT item) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(j.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(j.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(a) AS contaminated
+FROM w LEFT JOIN c USING (k) LEFT JOIN j USING (k)
+"""
+
+SQL["op6_byte_sharding"] = r"""
+WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(md5(text), '') AS key,
+        list_transform(range(0, strlen(coalesce(text, ''))), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS a
+      FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+c AS (SELECT doc_id, CAST(size AS BIGINT) AS size, key,
+        CASE WHEN len(a) = 0 THEN 0 ELSE xor(list_reduce(a, lambda c, x: xor(c >> 8, tab[CAST(xor(c, x) & 255 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) END AS crc FROM b, t),
+s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, CAST((SELECT sum(size) FROM c) AS DOUBLE) AS total FROM c),
+p AS (SELECT *, least(15, floor((start + size / 2.0) * 16 / total)) AS cut FROM s),
+g AS (SELECT key, CASE WHEN min(cut) < max(cut) AND sum(size) <= 0.05 * max(total) / 16 THEN least(15, floor((min(start) + sum(size) / 2.0) * 16 / max(total))) END AS whole FROM p GROUP BY key),
+f AS (SELECT doc_id, size, crc, key, CAST(coalesce(whole, cut) AS INTEGER) AS shard FROM p JOIN g USING (key))
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM f
+"""
