@@ -129,9 +129,12 @@ def pivot_coordinates(fps: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1) if len(fps) else np.zeros((0, PIVOTS), np.int16)
 
 
-def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows (sorted by key) and the roots in their key that links within ``radius`` lead them to.
 
+    With ``sure``, pairs beyond that many bits but within the radius don't link; they come as
+    two more arrays, if links don't connect them when they are met.
+
     Row i meets row i + step of the same key, for rising steps, unless links already connect
     the two. A pair whose pivot coordinates differ by over ``radius`` anywhere is discarded;
     for the others the distance is taken. A key whose rows are all connected is done with.
@@ -150,6 +153,7 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarr
         return i
 
     step, joined = 1, False
+    doubtful: list[tuple[np.ndarray, np.ndarray]] = []
     while len(left):
         left = left[left + step < n]
         left = left[keys[left] == keys[left + step]]
@@ -161,7 +165,10 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarr
             for k in range(0, PIVOTS, 6):
                 near = (np.abs(coords[a, k : k + 6] - coords[b, k : k + 6]) <= radius).all(axis=1)
                 a, b = a[near], b[near]
-            near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= radius
+            bits = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+            near = bits <= (radius if sure is None else sure)
+            if sure is not None and (doubt := ~near & (bits <= radius)).any():
+                doubtful.append((a[doubt], b[doubt]))
             for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
                 i, j = find(i), find(j)
                 if i != j:
@@ -172,8 +179,12 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarr
             open_group = np.minimum.reduceat(parent, head) != np.maximum.reduceat(parent, head)
             left, joined = left[open_group[group[left]]], False
         step += 1
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
     moved = np.flatnonzero(parent != np.arange(n))
-    return moved, parent[moved]
+    x, y = (np.concatenate(z) for z in zip(*doubtful, strict=True)) if doubtful else (left[:0], left[:0])
+    apart = parent[x] != parent[y]
+    return moved, parent[moved], x[apart], y[apart]
 
 
 def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
@@ -181,7 +192,7 @@ def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
         kept_k, kept_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def link(k, f):
-            a, b = near_pairs(k, f[:, None], radius)
+            a, b, _, _ = near_pairs(k, f[:, None], radius)
             return pa.RecordBatch.from_arrays([pa.array(f[a].view(np.int64)), pa.array(f[b].view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -273,8 +284,11 @@ def wide_prints(docs: DataFrame, width: int = FILTER_SHINGLE, words: int = WORDS
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
 
 
-def _wide_links(nodes: DataFrame, radius: int, words: int, band: int) -> DataFrame:
-    """(a, b): nodes whose wide fingerprints share a band and are within the radius, up to connection."""
+def _wide_links(nodes: DataFrame, radius: int, sure: int, words: int, band: int) -> DataFrame:
+    """(a, b, sure): nodes whose wide fingerprints share a band and are within the radius.
+
+    Links within ``sure`` bits come up to connection, the doubtful ones in full.
+    """
 
     def spread(batches):
         for batch in batches:
@@ -290,8 +304,9 @@ def _wide_links(nodes: DataFrame, radius: int, words: int, band: int) -> DataFra
         kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, words), np.uint64))
 
         def link(k, v, f):
-            a, b = near_pairs(k, f, radius)
-            return pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], ["a", "b"])
+            a, b, c, d = near_pairs(k, f, radius, sure)
+            flag = np.concatenate([np.ones(len(a), bool), np.zeros(len(c), bool)])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([v[a], v[c]])), pa.array(np.concatenate([v[b], v[d]])), pa.array(flag)], ["a", "b", "sure"])
 
         for batch in batches:
             got = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]).reshape(-1, words))
@@ -305,23 +320,62 @@ def _wide_links(nodes: DataFrame, radius: int, words: int, band: int) -> DataFra
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.mapInArrow(spread, "key long, node long, fp binary")
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, sure boolean")
+
+
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of (node, text), sorted, as binary."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
+    return rows.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, shingles binary")
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = FILTER_SHINGLE, words: int = WORDS, band: int = BAND) -> DataFrame:
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b), those whose shingle sets have at least the Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(both >= similarity * (len(u) + len(v) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = FILTER_SHINGLE, words: int = WORDS, band: int = BAND, doubt: float = 2.5) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near copies.
 
-    Fingerprints of 512 bits tell similar texts from others far better than 64; two are linked
-    if they agree on one of their 32 bands and differ in no more bits than texts of the wanted
-    similarity do. Equal fingerprints are one node. Of texts as similar as 0.9, 998 in 1000
-    pairs share a band; at 0.8 it is 9 in 10. Texts without words are copies of each other.
+    Fingerprints of 512 bits tell similar texts from others far better than 64. Two that agree
+    on one of their 32 bands are linked if they differ in so few bits that the similarity is
+    sure, and not if in so many that it can't be; between, within ``doubt`` deviations of what
+    texts of the wanted similarity have, the shingle sets themselves are compared. Equal
+    fingerprints are one node. Of texts as similar as 0.9, 998 in 1000 pairs share a band; at
+    0.8 it is 9 in 10. Texts without words are copies of each other.
     """
+    spark = docs.sparkSession
     prints = materialize(wide_prints(docs, width, words), "wide-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp")), "wide-nodes")
-    small_batches(docs.sparkSession, 5000)
-    links = materialize(_wide_links(nodes.select("node", "fp"), radius_for(similarity, 64 * words), words, band), "wide-links")
-    small_batches(docs.sparkSession, 500)
-    roots = components(links)
+    bits = 64 * words
+    small_batches(spark, 5000)
+    links = materialize(_wide_links(nodes.select("node", "fp"), radius_for(similarity, bits, doubt), radius_for(similarity, bits, -doubt), words, band), "wide-links")
+    small_batches(spark, 500)
+    found = links.filter("sure").select("a", "b")
+    pairs = links.filter("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if pairs.limit(1).count():
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
+        texts = docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(asked, F.col("_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["node"])
+        sets = materialize(shingle_sets(texts, width), "wide-sets")
+        found = found.unionAll(_similar(pairs, sets, similarity))
+    roots = components(found)
     placed = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("least").alias("_keep")).select("_keep").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi").dropDuplicates(["doc_id"])
