@@ -11,7 +11,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK = 4096
 CHUNK = 4096
-BITS = 48
+BITS = 40
 
 
 def source_targets(slim: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -39,26 +39,28 @@ def source_targets(slim: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPE
 
 
 def radical_inverse(j: Column, bits: int = BITS) -> Column:
-    """The van der Corput point of ``j`` in base 2: its bits mirrored behind the point."""
-    return F.conv(F.reverse(F.lpad(F.bin(j), bits, "0")), 2, 10).cast("double") / float(1 << bits)
+    """The van der Corput point of ``j`` in base 2, times 2^bits: its bits mirrored."""
+    return F.conv(F.reverse(F.lpad(F.bin(j), bits, "0")), 2, 10).cast("long")
 
 
 def slots(spark, sources: DataFrame, n_slots: int, total: float, n_sources: int) -> DataFrame:
     """slot, sid and the slot's rank within its source.
 
     Slot j's point falls into the span that its source's target covers of the whole. Spans and
-    points meet on the cells of a grid, so neither side is broadcast or compared with all rows.
+    points are whole numbers of 2^-BITS and meet on the cells of a grid, so neither side is
+    broadcast or compared with all rows.
     Ranks add up counts of chunks of slots, so a source with most slots is no single window.
     """
-    cells = 4 * n_sources + 16
-    run = sources.select("sid", "target", "source")
-    run = prefix_sums(ordered(run, [F.col("sid")], "mix-spans"), {"_lo": F.col("target")})
-    spans = run.select("sid", (F.col("_lo") / total).alias("lo"), ((F.col("_lo") + F.col("target")) / total).alias("hi")).filter("hi > lo")
+    whole = 1 << BITS
+    cell_of = lambda x: F.floor(x / F.lit(whole / (4 * n_sources + 16)))
+    run = sources.select("sid", F.round(F.col("target") / F.lit(total) * F.lit(float(whole))).cast("long").alias("ticks"))
+    run = prefix_sums(ordered(run, [F.col("sid")], "mix-spans"), {"lo": F.col("ticks")})
+    spans = run.select("sid", "lo", (F.col("lo") + F.col("ticks")).alias("hi")).filter("hi > lo")
     last = spans.agg(F.max("sid").alias("m")).first()["m"]
-    spans = spans.withColumn("hi", F.when(F.col("sid") == F.lit(last), F.lit(2.0)).otherwise(F.col("hi")))
-    spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.least(F.col("hi"), F.lit(1.0)) * cells))))
+    spans = spans.withColumn("hi", F.when(F.col("sid") == F.lit(last), F.greatest("hi", F.lit(whole))).otherwise(F.col("hi")))
+    spans = spans.withColumn("cell", F.explode(F.sequence(cell_of(F.col("lo")), cell_of(F.col("hi")))))
     points = spark.range(n_slots).select(F.col("id").alias("slot"), radical_inverse(F.col("id")).alias("u"))
-    points = points.withColumn("cell", F.floor(F.col("u") * cells))
+    points = points.withColumn("cell", cell_of(F.col("u")))
     got = points.join(spans, "cell").filter("u >= lo and u < hi").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     got = materialize(got, "mix-slots")
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block:
     x = sources.agg(F.sum("source_size").alias("t"), F.sum("target").alias("g"), F.count("*").alias("n")).first()
     total, n_sources = x["t"] or 0, x["n"]
     length = int(min(block, max(1, total // max(50_000, 200 * n_sources))))
-    keyed = slim.withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(seed)))
+    keyed = slim.withColumn("_h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))))
     order = ordered(keyed, [F.col("source").asc_nulls_last(), F.col("_h"), F.col("doc_id"), F.col("size")], "mix-order")
     runs = prefix_sums(order, {"_start": F.col("size"), "doc_key": F.lit(1).cast("long")})
     before = prefix_sums(ordered(sources, [F.col("sid")], "mix-source-order"), {"_source_start": F.col("source_size")})

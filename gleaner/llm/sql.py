@@ -105,3 +105,25 @@ f AS (SELECT doc_id, size, crc, key, CAST(coalesce(whole, cut) AS INTEGER) AS sh
 SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM f
 """
+
+SQL["op5_source_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM s),
+t AS (SELECT CAST(sum(source_size) AS BIGINT) AS t, count(*) AS n FROM w),
+o AS (SELECT *, coalesce(sum(cap) OVER r, 0) AS c0, coalesce(sum(weight) OVER r, 0) AS w0, sum(weight) OVER () AS w1 FROM w WINDOW r AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT ((SELECT t FROM t) - c0) / (w1 - w0) AS level, cap / weight AS r, row_number() OVER (ORDER BY cap / weight, sid) AS i FROM o),
+e AS (SELECT arg_min(level, i) AS level FROM v WHERE level <= r),
+g AS (SELECT source, sid, source_size, least(weight * level, cap) AS target FROM w, e),
+k AS (SELECT sum(target) AS total, greatest(1, least(4096, t // greatest(50000, 200 * n))) AS length FROM g, t GROUP BY t, n),
+x AS (SELECT sid, CAST(round(target / total * 1099511627776.0) AS BIGINT) AS ticks FROM g, k),
+y AS (SELECT sid, ticks, coalesce(sum(ticks) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, max(sid) FILTER (WHERE ticks > 0) OVER () AS last FROM x),
+z AS (SELECT sid, lo, CASE WHEN sid = last THEN greatest(lo + ticks, 1099511627776) ELSE lo + ticks END AS hi FROM y WHERE ticks > 0),
+p AS (SELECT list_sum(list_transform(range(0, 40), lambda b: ((j >> b) & 1) << (39 - b))) AS u FROM (SELECT unnest(range(0, CAST(greatest(1, round(total / length)) AS BIGINT))) AS j FROM k)),
+c AS (SELECT sid, count(*) AS slots FROM z JOIN p ON u >= lo AND u < hi GROUP BY sid),
+q AS (SELECT doc_id, size, source_size, target, sid, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':13'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(list_sum(list_transform([0, 1, 2], lambda r:
+         greatest(0, least(size, coalesce(slots, 0) * length - off - r * source_size)))) AS BIGINT) AS taken
+FROM q JOIN k ON true LEFT JOIN c USING (sid)
+"""
