@@ -81,3 +81,13 @@ def replace_if_changed(rows: DataFrame, n_changed: int, path: str, staging: str)
 def write_splits(path: str, **frames: DataFrame) -> None:
     for name, frame in frames.items():
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def append_predictions(predictions: DataFrame, path: str, run: str) -> None:
+    """The log of a classification run, kept apart from other runs."""
+    predictions.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+
+
+def append_unmapped(misses: DataFrame, path: str) -> None:
+    """Raw categories that the map lacked; repeats over time are kept, as they count."""
+    misses.write.mode("append").json(path)
