@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import cut_at, skip_flag, title_of, training_description
 from gleaner.operators.dedupe import first_n, first_wins
 from gleaner.operators.filters import has_text, not_skipped
+from gleaner.operators.numbering import numbered
 
 
 def ingest(events: DataFrame, corpus: DataFrame, markers: tuple[str, ...], boilerplate: str) -> DataFrame:
@@ -44,15 +45,14 @@ def shuffled(key: Column, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
 
-def with_min_class(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` with the size of the smallest class, a number that is computed first; 0 without rows."""
-    return rows.withColumn("min_n", F.lit(min_class(rows, label).first()["min_n"] or 0).cast("long"))
+def smallest(rows: DataFrame, label: str) -> int:
+    """The size of the smallest class; 0 without rows."""
+    return min_class(rows, label).first()["min_n"] or 0
 
 
 def test_split(rows: DataFrame, label: str, share: float, *order: Column) -> DataFrame:
     """As many rows of each class: ``share`` of the smallest class, rounded down."""
-    sized = with_min_class(rows, label)
-    return first_n(sized, label, F.floor(F.lit(share) * F.col("min_n")), *order).drop("min_n")
+    return first_n(rows, label, int(share * smallest(rows, label)), *order)
 
 
 def train_pool(rows: DataFrame, test: DataFrame, key: str = "description") -> DataFrame:
@@ -61,23 +61,22 @@ def train_pool(rows: DataFrame, test: DataFrame, key: str = "description") -> Da
 
 def balanced(rows: DataFrame, label: str, *order: Column) -> DataFrame:
     """As many rows of each class as the smallest has, the first of each."""
-    return first_n(with_min_class(rows, label), label, F.col("min_n"), *order).drop("min_n")
+    return first_n(rows, label, smallest(rows, label), *order)
 
 
 def kfold(rows: DataFrame, label: str, k: int, *order: Column) -> DataFrame:
     """Stratified folds: rows of a class take turns. k is lowered to the smallest class; below 2 there are none."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1
-    sized = with_min_class(rows, label).withColumn("_k", F.least(F.lit(k).cast("long"), F.col("min_n"))).where("_k >= 2")
-    return sized.withColumn("fold", F.pmod(place, F.col("_k")).cast("int")).drop("_k", "min_n")
+    folds = min(k, smallest(rows, label))
+    if folds < 2:
+        return rows.withColumn("fold", F.lit(0)).where("false")
+    return numbered(rows, [label], list(order), "_place").withColumn("fold", F.pmod("_place", F.lit(folds)).cast("int")).drop("_place")
 
 
 def undersample(rows: DataFrame, positive: Column, *order: Column) -> DataFrame:
     """All positives, and negatives from the second on, one fewer than there are positives."""
-    marked = rows.withColumn("_pos", positive)
-    n = marked.where("_pos").count()
-    place = F.row_number().over(Window.partitionBy("_pos").orderBy(*order))
-    out = marked.withColumn("_place", place)
-    return out.where(F.col("_pos") | F.col("_place").between(2, n)).drop("_pos", "_place")
+    n = rows.where(positive).count()
+    negatives = numbered(rows.where(~positive), [], list(order), "_place")
+    return rows.where(positive).unionByName(negatives.where(F.col("_place").between(1, n - 1)).drop("_place"))
 
 
 def hash_split(key: Column, parts: list[tuple[str, float]], seed: int = 42) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.numbering import numbered
+
 
 def prefer_nonempty(rows: DataFrame, keys: list[str], order: str, value: Column) -> DataFrame:
     """A row per key: the last whose ``value`` isn't empty, else the first; with its first place as ``first_seq``.
@@ -26,23 +28,12 @@ def first_wins(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:
     return rows.withColumns(named).groupBy(*named).agg(F.min_by(whole, F.col(order)).alias("r")).select("r.*")
 
 
-def first_n(rows: DataFrame, key: str, n: int | Column, *order: Column) -> DataFrame:
-    """The first ``n`` rows of each key; Spark trims each task's rows before they are sent."""
+def first_n(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of each key; as ``n`` is a number, Spark trims each task's rows before they are sent."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    return rows.withColumn("_place", place).where(F.col("_place") <= int(n)).drop("_place")
 
 
 def chunked(rows: DataFrame, size: int, *order: Column) -> DataFrame:
-    """Chunk numbers for batches of ``size`` rows, per partition of the key range.
-
-    Row numbers come from partition counts and the place within a partition, so no task sees
-    all rows. The rows should be stable, as a table is.
-    """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    place = F.monotonically_increasing_id()
-    ranged = ranged.withColumns({"_p": F.shiftright(place, 33), "_i": place.bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = ranged.groupBy("_p").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("_p").alias("_q"), before.alias("_before"))  # a row a partition
-    out = ranged.join(F.broadcast(starts), F.col("_p") == F.col("_q"))
-    return out.withColumn("chunk", F.floor((F.col("_before") + F.col("_i")) / size)).drop("_p", "_i", "_q", "_before")
+    """Chunk numbers for batches of ``size`` rows in the given order."""
+    return numbered(rows, [], list(order), "_number").withColumn("chunk", F.floor(F.col("_number") / size)).drop("_number")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import event_id
 from gleaner.operators.category import OTHER
 from gleaner.operators.dedupe import prefer_nonempty
+from gleaner.operators.numbering import numbered
 
 
 def feed_order(first_date: Column, name: Column, seq: Column) -> list[Column]:
@@ -28,9 +29,8 @@ def facet(rows: DataFrame, column: str, last: str | None = None) -> DataFrame:
         values = values.unionAll(rows.sparkSession.createDataFrame([(last, 1)], "value string, _z int"))
     else:
         values = values.withColumn("_z", F.lit(0))
-    from pyspark.sql import Window
-
-    return values.select(F.row_number().over(Window.orderBy("_z", "value")).alias("ord"), "value")  # a row a distinct value
+    got = numbered(values, [], [F.col("_z"), F.col("value")], "ord")
+    return got.select((F.col("ord") + 1).alias("ord"), "value")
 
 
 def event_types(rows: DataFrame, column: str = "eventType") -> DataFrame:

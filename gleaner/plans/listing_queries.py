@@ -251,7 +251,7 @@ def festival_order(spark, sf):
     """Names in order, with their place: a facet over a small dimension, joined back."""
     nation = table(spark, sf, "nation")
     places = publish.facet(nation, "n_name")
-    return nation.join(places, F.col("n_name") == F.col("value")).select("n_nationkey", F.col("ord").alias("place"))
+    return nation.join(places, F.col("n_name") == F.col("value")).select("n_nationkey", F.col("ord").cast("int").alias("place"))
 
 
 @query("stream_hourly_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
