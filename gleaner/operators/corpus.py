@@ -81,7 +81,8 @@ def undersample(rows: DataFrame, positive: Column, *order: Column) -> DataFrame:
 
 def hash_split(key: Column, parts: list[tuple[str, float]], seed: int = 42) -> Column:
     """A part's name by hash of the key, in the given shares: 80/20 and again 80/20 as 64/16/20."""
-    at = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) / 10_000.0
+    code = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8)
+    at = F.pmod(F.conv(code, 16, 10).cast("long"), F.lit(10_000)) / 10_000.0
     edge, out = 0.0, F.when(F.lit(False), F.lit(""))
     for name, share in parts[:-1]:
         edge += share

@@ -18,7 +18,7 @@ def summary_by_frequency(rows: DataFrame, key: str, text: str, k: int = 5) -> Da
     Of equal scores the earlier sentence comes first.
     """
     sentences = F.filter(F.split(F.col(text), r"[.!?\n]+"), lambda s: F.trim(s) != "")
-    rows = rows.select(key, F.transform(sentences, F.trim).alias("s"), tokens(F.col(text)).alias("w"))
+    rows = rows.select(key, F.transform(sentences, lambda s: F.trim(s)).alias("s"), tokens(F.col(text)).alias("w"))
     words = rows.select(key, F.explode("w").alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
     split = rows.select(key, F.posexplode("s").alias("pos", "sentence"))
     scored = split.select(key, "pos", "sentence", F.explode(tokens(F.col("sentence"))).alias("word")).join(words, [key, "word"]).groupBy(key, "pos").agg(F.avg("n").alias("score"), F.first("sentence").alias("sentence"))

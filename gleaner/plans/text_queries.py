@@ -160,7 +160,18 @@ def tfidf_scores(spark, sf):
     return ml.tfidf(table(spark, sf, "benchmark"), "item_id", "text").select("item_id", "word", F.round("weight", 6).alias("weight"))
 
 
-@query("summary_topk")
+@query(
+    "summary_topk",
+    r"""
+    WITH s AS (SELECT doc_id, text, list_transform(list_filter(regexp_split_to_array(text, '[.!?\n]+'), lambda x: trim(x) <> ''), lambda x: trim(x)) AS a FROM documents),
+    e AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) AS pos FROM s),
+    w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda x: x <> '')) AS word FROM documents) GROUP BY ALL),
+    t AS (SELECT doc_id, pos, sentence, unnest(list_filter(regexp_split_to_array(lower(sentence), '[^a-z0-9'']+'), lambda x: x <> '')) AS word FROM e),
+    r AS (SELECT doc_id, pos, any_value(sentence) AS sentence, avg(n) AS score FROM t JOIN w USING (doc_id, word) GROUP BY doc_id, pos),
+    k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) <= 5)
+    SELECT doc_id, string_agg(sentence, chr(10) ORDER BY pos) AS summary FROM k GROUP BY doc_id
+    """,
+)
 def summary_topk(spark, sf):
     return summary.summary_by_frequency(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -232,7 +243,11 @@ def undersample_negatives(spark, sf):
     return corpus.undersample(table(spark, sf, "labels").select("doc_id", "toxic"), F.col("toxic") == 1, F.col("doc_id"))
 
 
-@query("hash_split")
+@query(
+    "hash_split",
+    """SELECT doc_id, CASE WHEN k / 10000.0 < 0.64 THEN 'train' WHEN k / 10000.0 < 0.8 THEN 'validation' ELSE 'test' END AS part
+    FROM (SELECT doc_id, CAST('0x' || substr(md5(doc_id || ':42'), 1, 8) AS BIGINT) % 10000 AS k FROM documents)""",
+)
 def hash_split(spark, sf):
     part = corpus.hash_split(F.col("doc_id"), [("train", 0.64), ("validation", 0.16), ("test", 0.2)])
     return table(spark, sf, "documents").select("doc_id", part.alias("part"))
