@@ -2,55 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\f\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        own = tempfile.mkdtemp(prefix="gleaner-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/gleaner/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    The lineage ends at files that every executor can read, so a lost executor costs no
-    recomputation of what came before.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._gleaner_path = path
-    return out
+from gleaner.operators.numbering import discard, fresh_path, materialize, ordered, prefix_sums, shared_dir
 
+__all__ = ["SPACES", "discard", "fresh_path", "let", "materialize", "ordered", "prefix_sums", "shared_dir", "small_batches", "words_of"]
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_gleaner_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+SPACES = " \t\n\x0b\f\r"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -77,36 +39,3 @@ def words_of(text: Column) -> Column:
     for blank in SPACES[1:]:
         flat = F.replace(flat, F.lit(blank), F.lit(" "))
     return F.array_remove(F.split(flat, " "), "")
-
-
-def ordered(df: DataFrame, order: list[Column], tag: str, parts: int | None = None) -> DataFrame:
-    """``df`` range-partitioned and sorted by ``order``, with ``_pid`` and ``_idx``, on disk.
-
-    ``_pid`` rises with the order, ``_idx`` is the place within the partition. The rows are
-    written once, so that totals and offsets taken from them agree whatever is recomputed.
-    """
-    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    place = F.monotonically_increasing_id()
-    out = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    out = out.withColumns({"_pid": F.shiftright(place, 33).cast("int"), "_idx": place.bitwiseAND(F.lit((1 << 33) - 1))})
-    return materialize(out, tag)
-
-
-def prefix_sums(rows: DataFrame, values: dict[str, Column], block: int = 4096) -> DataFrame:
-    """Adds exclusive global running sums of ``values`` to the result of ``ordered``.
-
-    The sums run inside blocks of consecutive rows, over the blocks of a partition, and over
-    the partitions; each window holds a block, a partition's block totals or one row a partition.
-    """
-    at = F.floor(F.col("_idx") / block)
-    rows = rows.withColumn("_blk", at)
-    run = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    totals = rows.groupBy("_pid", "_blk").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in values.items()])
-    parts = totals.groupBy("_pid").agg(*[F.sum(f"_t_{k}").alias(f"_p_{k}") for k in values])
-    parts = parts.select("_pid", *[F.coalesce(F.sum(f"_p_{k}").over(run([], "_pid")), zero).alias(f"_q_{k}") for k in values])
-    blocks = totals.select("_pid", "_blk", *[F.coalesce(F.sum(f"_t_{k}").over(run(["_pid"], "_blk")), zero).alias(f"_b_{k}") for k in values])
-    blocks = blocks.join(parts, "_pid").select("_pid", "_blk", *[(F.col(f"_b_{k}") + F.col(f"_q_{k}")).alias(f"_o_{k}") for k in values])
-    inner = rows.withColumns({f"_r_{k}": F.coalesce(F.sum(v).over(run(["_pid", "_blk"], "_idx")), zero) for k, v in values.items()})
-    out = inner.join(blocks, ["_pid", "_blk"])
-    return out.withColumns({k: F.col(f"_r_{k}") + F.col(f"_o_{k}") for k in values}).drop("_blk", *[f"_r_{k}" for k in values], *[f"_o_{k}" for k in values])
