@@ -40,7 +40,7 @@ l AS (SELECT k, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rul
       FROM b JOIN r ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, rest) GROUP BY k),
 t AS (SELECT *, list_sort(list_distinct(list_concat(list_concat(
         list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
-        list_transform(list_filter(string_split(replace(host, '.', '-'), '-'), lambda x: x <> ''), lambda x: 'w:' || x)),
+        list_transform(list_filter(flatten(list_transform(list_filter(string_split(host, '.'), lambda x: contains(x, '-')), lambda x: string_split(x, '-'))), lambda x: x <> ''), lambda x: 'w:' || x)),
         list_transform(list_filter(string_split(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '/'),
                        lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'p:' || x)))) AS tok FROM b),
 m AS (SELECT k, page_id, tok, unnest(range(1, CAST(pow(2, len(tok)) AS BIGINT))) AS mask FROM t),

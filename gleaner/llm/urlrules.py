@@ -44,9 +44,9 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels as h:…, letter runs of the host's labels, path segments without digits as p:…."""
+    """Distinct tokens: host labels as h:…, the words of labels with hyphens as w:…, path segments without digits as p:…."""
     labels = F.array_remove(F.split(host, r"\."), "")
-    parts = F.array_remove(F.split(F.translate(host, ".", "-"), "-"), "")
+    parts = F.array_remove(F.flatten(F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, "-"))), "")
     segments = F.filter(F.split(F.translate(path, UPPER, LOWER), "/"), lambda s: (s != "") & ~s.rlike("[0-9]"))
     mark = lambda kind, a: F.transform(a, lambda x: F.concat(F.lit(kind), x))
     return F.array_distinct(F.concat(mark("h:", labels), mark("w:", parts), mark("p:", segments)))
