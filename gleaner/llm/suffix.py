@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ LENGTH = 100
 KGRAM = 32
 #: Bytes hashed at once, bytes whose segments a task gathers before it sends them, bytes sorted at once.
 PIECE, GATHER, SORT = 1 << 20, 32 << 20, 2 << 20
+#: Different segments of one minimizer from which on they are split, and the windows of a part.
+CROWD, PART = 1024, 4
 _PLACE_BITS = 24
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -50,14 +53,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = KGRAM):
-    """(start, windows, minimizer hash, content hash) of the segments of documents laid end to end.
+    """(start, windows, minimizer's place in the segment, its hash, content hash) of the segments of documents laid end to end.
 
     ``starts`` and ``ends`` are the documents' bounds in ``data``, of at most PIECE + length bytes.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     power, inverse = _powers(PIECE + 4 * length)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
@@ -75,13 +78,13 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     np.add.at(room, ends[whole] - length + 1, -1)
     valid = np.flatnonzero(np.cumsum(room)[: len(least)] > 0)
     if not len(valid):
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     place = (least[valid] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (valid[1:] != valid[:-1] + 1)]))
     count = np.diff(np.concatenate([first, [len(valid)]]))
     a, m = valid[first], place[first]
     content = (total[a + count - 1 + length] - total[a]) * inverse[a]
-    return a, count, grams[m], _mix(content ^ ((m - a) * 1000 + count).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return a, count, m - a, grams[m], _mix(content ^ ((m - a) * 1000 + count).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def merge_runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -186,13 +189,13 @@ def _dump(e: dict) -> bytes:
     base = int(e["rid"].min())
     small = int(e["rid"].max()) - base < 1 << 32 and int(e["pos"].max()) < 1 << 32
     kinds = ("<u4", "<u4") if small else ("<i8", "<i8")
-    return np.array([len(e["rid"]), base, small], "<i8").tobytes() + b"".join([e["mh"].tobytes(), e["sh"].tobytes(), (e["rid"] - base).astype(kinds[0]).tobytes(), e["pos"].astype(kinds[1]).tobytes(), e["n"].astype("u1").tobytes()])
+    return np.array([len(e["rid"]), base, small], "<i8").tobytes() + b"".join([e["mh"].tobytes(), e["sh"].tobytes(), (e["rid"] - base).astype(kinds[0]).tobytes(), e["pos"].astype(kinds[1]).tobytes(), e["n"].astype("u1").tobytes(), e["off"].astype("u1").tobytes()])
 
 
 def _load(blob) -> dict:
     n, base, small = np.frombuffer(blob, "<i8", 3).tolist()
     at, out = 24, {}
-    for name, kind in (("mh", "<u8"), ("sh", "<u8"), ("rid", "<u4" if small else "<i8"), ("pos", "<u4" if small else "<i8"), ("n", "u1")):
+    for name, kind in (("mh", "<u8"), ("sh", "<u8"), ("rid", "<u4" if small else "<i8"), ("pos", "<u4" if small else "<i8"), ("n", "u1"), ("off", "u1")):
         out[name] = np.frombuffer(blob, kind, n, at)
         at += out[name].nbytes
     return out | {"rid": out["rid"].astype(np.int64) + base, "pos": out["pos"].astype(np.int64)}
@@ -203,7 +206,7 @@ def _take(e: dict, at) -> dict:
 
 
 def _join(parts: list[dict]) -> dict:
-    return {k: np.concatenate([p[k] for p in parts]) for k in ("mh", "sh", "rid", "pos", "n")}
+    return {k: np.concatenate([p[k] for p in parts]) for k in ("mh", "sh", "rid", "pos", "n", "off")}
 
 
 def _first_of_equals(e: dict) -> tuple[dict, dict]:
@@ -228,10 +231,10 @@ def text_segments(rid: list, texts: list, length: int):
         if pieces:
             sizes = np.array([len(p[2]) for p in pieces])
             ends = np.cumsum(sizes)
-            a, n, mh, sh = segments(np.concatenate([p[2] for p in pieces]), ends - sizes, ends, length)
+            a, n, off, mh, sh = segments(np.concatenate([p[2] for p in pieces]), ends - sizes, ends, length)
             which = np.searchsorted(ends, a, side="right")
             base = np.array([p[1] for p in pieces]) - (ends - sizes)
-            out.append({"mh": mh, "sh": sh, "rid": np.array([p[0] for p in pieces], np.int64)[which], "pos": a + base[which], "n": n})
+            out.append({"mh": mh, "sh": sh, "rid": np.array([p[0] for p in pieces], np.int64)[which], "pos": a + base[which], "n": n, "off": off})
         pieces, size = [], 0
 
     for r, text in zip(rid, texts, strict=True):
@@ -281,16 +284,20 @@ def _filed(rows: DataFrame, n: int, length: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, kind int, blob binary")
 
 
-_PARTS = "rid long, start long, stop long, mh long"
+_PARTS = "rid long, start long, stop long, mh long, off int"
 
 
-def _parts(doc, start, stop, mh=None) -> pa.RecordBatch:
+def _parts(doc, start, stop, mh=None, off=None) -> pa.RecordBatch:
     key = pa.nulls(len(doc), pa.int64()) if mh is None else pa.array(mh.view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(stop), key], ["rid", "start", "stop", "mh"])
+    place = pa.nulls(len(doc), pa.int32()) if off is None else pa.array(off.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(stop), key, place], ["rid", "start", "stop", "mh", "off"])
 
 
-def _sifted(filed: DataFrame, length: int) -> DataFrame:
-    """(rid, start, stop, mh): repeats of equal segments (mh null), and segments to be sorted with others."""
+def _sifted(filed: DataFrame, length: int, crowd: int) -> DataFrame:
+    """(rid, start, stop, mh, off): repeats of equal segments (mh null), and segments to be sorted with others.
+
+    ``off`` is the minimizer's place in the segment if over ``crowd`` segments share it, else -1.
+    """
 
     def run(batches):
         held = []
@@ -306,32 +313,62 @@ def _sifted(filed: DataFrame, length: int) -> DataFrame:
         first, again = _first_of_equals(_join(held))
         held.clear()
         yield _parts(*_covered(again, length))
-        mh = first["mh"]
-        near = np.zeros(len(mh), bool)
-        near[1:] = mh[1:] == mh[:-1]
-        near[:-1] |= near[1:].copy()
-        first = _take(first, near)
-        yield _parts(first["rid"], first["pos"], first["pos"] + first["n"].astype(np.int64) - 1 + length, first["mh"])
+        if not len(first["mh"]):
+            return
+        head = np.flatnonzero(np.concatenate([[True], first["mh"][1:] != first["mh"][:-1]]))
+        size = np.diff(np.concatenate([head, [len(first["mh"])]]))
+        size = np.repeat(size, size)
+        first, size = _take(first, size > 1), size[size > 1]
+        yield _parts(first["rid"], first["pos"], first["pos"] + first["n"].astype(np.int64) - 1 + length, first["mh"], np.where(size > crowd, first["off"].astype(np.int64), -1))
 
     return filed.mapInArrow(run, _PARTS)
 
 
-def _fetched(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(bucket, mh, rid, start, bytes) of the segments to be sorted."""
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "mh")).alias("want"))  # those of one document
+def _split(data: bytes, off: int, length: int):
+    """(first window, key, bytes) of the parts of a segment whose minimizer is at ``off``.
+
+    The windows of a part have the minimizer at PART neighbouring places, so they share all
+    but PART - 1 bytes; these make the key. Equal windows have it at the same place, so they
+    get into parts with the same key. Different parts with one key differ in PART - 1 bytes at
+    either end only, which bounds how many there are however many documents hold them.
+    """
+    n = len(data) - length + 1
+    for q in range(max(off - n + 1, 0) // PART, off // PART + 1):
+        lo, hi = max(off - PART * q - PART + 1, 0), min(off - PART * q, n - 1)
+        shared = data[off - PART * q : off - PART * q + length - PART + 1]
+        yield lo, int.from_bytes(hashlib.blake2b(shared + bytes([q]), digest_size=8).digest(), "little", signed=True), data[lo : hi + length]
+
+
+def _fetched(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(mh, rid, start, stop, data) of the segments to be sorted; data is null for known repeats.
+
+    Segments of crowded minimizers come in parts under finer keys. Of equal parts in a batch
+    the first is sorted, the others are repeats.
+    """
+    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "mh", "off")).alias("want"))  # those of one document
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            out, seen = [], {}
             for rid, text, want in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+                raw = text.encode("utf-8", "surrogatepass")
                 for w in want:
-                    for col, value in zip(out, ((w["mh"] & (1 << 63) - 1) % n, w["mh"], rid, w["start"], data[w["start"] : w["stop"]]), strict=True):
-                        col.append(value)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "mh", "rid", "start", "data"])
-
-    return rows.join(lists, "rid").select("rid", "text", "want").mapInArrow(run, "bucket int, mh long, rid long, start long, data binary")
+                    data = raw[w["start"] : w["stop"]]
+                    if w["off"] < 0:
+                        out.append((w["mh"], rid, w["start"], w["stop"], data))
+                        continue
+                    for lo, key, part in _split(data, w["off"], length):
+                        here = (rid, w["start"] + lo)
+                        if (old := seen.get((key, part))) is not None:
+                            here, old = max(here, old), min(here, old)
+                            out.append((key, *here, here[1] + len(part), None))
+                            here = old
+                        seen[key, part] = here
+            out += [(key, *here, here[1] + len(part), part) for (key, part), here in seen.items()]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["mh", "rid", "start", "stop", "data"])
+
+    return rows.join(lists, "rid").select("rid", "text", "want").mapInArrow(run, "mh long, rid long, start long, stop long, data binary")
 
 
 def _sorted_repeats(fetched: DataFrame, n: int, length: int) -> DataFrame:
@@ -348,7 +385,11 @@ def _sorted_repeats(fetched: DataFrame, n: int, length: int) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+            gone = batch.filter(pc.is_null(batch.column(4)))
+            if gone.num_rows:
+                yield _parts(*(gone.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)))
+            batch = batch.filter(pc.is_valid(batch.column(4)))
+            for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
                 if size >= SORT and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
@@ -370,15 +411,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return materialize(placed.select("rid", "doc_id", "text"), "suffix-docs")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(rid, start, stop): byte ranges of ``rows`` (rid, text) to be removed; they may overlap."""
     spark = rows.sparkSession
     small_batches(spark, 500)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     filed = _filed(rows.select("rid", "text"), n, length)
-    parts = materialize(_sifted(filed.repartitionById(n, F.col("bucket")), length), "suffix-parts")
+    parts = materialize(_sifted(filed.repartitionById(n, F.col("bucket")), length, crowd), "suffix-parts")
     small_batches(spark, 4096)
-    found = materialize(_sorted_repeats(_fetched(rows, parts.filter("mh is not null"), n), n, length), "suffix-found")
+    found = materialize(_sorted_repeats(_fetched(rows, parts.filter("mh is not null"), length), n, length), "suffix-found")
     return parts.filter("mh is null").unionAll(found).select("rid", "start", "stop")
 
 
@@ -387,7 +428,7 @@ def _spans_of(want) -> np.ndarray:
     return np.stack(merge_runs(np.zeros(len(a), np.int64), a[:, 0], a[:, 1])[1:], axis=1) if len(a) else a
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the kept bytes.
 
     Null texts are empty. Documents that share a doc_id, or have none, are documents of their
@@ -395,7 +436,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeat. An empty table gives no rows.
     """
     rows = _numbered(docs)
-    spans = repeated_spans(rows, length).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("want"))  # those of one document
+    spans = repeated_spans(rows, length, crowd).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("want"))  # those of one document
     small_batches(docs.sparkSession, 500)
 
     def run(batches):

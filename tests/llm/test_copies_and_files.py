@@ -123,7 +123,8 @@ def test_suffix_array_against_sorting():
             assert suffix.suffix_array(x, 10**6).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
 
 
-def test_repeats(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [1024, 1])
+def test_repeats(spark, crowd):
     rng = np.random.default_rng(8)
     base = "".join(rng.choice(list("abcdefgh é"), 2500))
     rows = []
@@ -133,9 +134,10 @@ def test_repeats(spark, monkeypatch):
         for _ in range(int(rng.integers(0, 3))):
             part[int(rng.integers(0, len(part)))] = "Z"
         rows.append((i, "".join(part) + "".join(rng.choice(list("xyzw"), int(rng.integers(0, 150))))))
+    rows += [(50 + i, f"{i:03d} left context number {i * 7919 % 9973}. " + base[300:480] + f" right context {i * 31 % 101}") for i in range(30)]
     rows += [(100, "a" * 700), (101, "ab" * 300), (102, "a" * 99), (103, ""), (104, None), (105, "b" + "a" * 400), (106, base), (107, base)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
-    got = Counter(tuple(r) for r in suffix.remove_repeats(docs).collect())
+    got = Counter(tuple(r) for r in suffix.remove_repeats(docs, crowd=crowd).collect())
     assert got == brute_repeats(rows)
     assert sum(k[2] for k in got) > 5000
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
