@@ -192,3 +192,17 @@ def test_lexrank():
     got = summary.lexrank(text, 5).split("\n")
     assert len(got) == 5 and "Unrelated zebra quux." not in got
     assert summary.lexrank(None) == ""
+
+
+def test_numbers_within_a_key_that_holds_most_rows(spark):
+    from gleaner.operators.numbering import numbered, ordered, prefix_sums
+
+    data = [(i, None if i % 50 == 0 else "hot" if i % 3 else "cold") for i in range(500)]
+    df = spark.createDataFrame(data, "seq long, k string").repartition(7)
+    got = {(r["k"], r["seq"]): r["number"] for r in numbered(df, ["k"], [F.col("seq")]).collect()}
+    for key in (None, "hot", "cold"):
+        own = sorted(s for s, k in data if k == key)
+        assert [got[key, s] for s in own] == list(range(len(own)))
+    assert numbered(df.limit(0), ["k"], [F.col("seq")]).count() == 0
+    sums = prefix_sums(ordered(df, [F.col("seq")], "t"), {"before": F.col("seq")}, block=16)
+    assert all(r["before"] == r["seq"] * (r["seq"] - 1) // 2 for r in sums.collect())
