@@ -129,11 +129,11 @@ def pivot_coordinates(fps: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1) if len(fps) else np.zeros((0, PIVOTS), np.int16)
 
 
-def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (sorted by key) and the roots in their key that links within ``radius`` lead them to.
 
-    With ``sure``, pairs beyond that many bits but within the radius don't link; they come as
-    two more arrays, if links don't connect them when they are met.
+    With ``sure``, pairs beyond that many bits but within the radius don't link; the rows of
+    such pairs come as a third array, unless links connect a pair before it is met.
 
     Row i meets row i + step of the same key, for rising steps, unless links already connect
     the two. A pair whose pivot coordinates differ by over ``radius`` anywhere is discarded;
@@ -153,7 +153,7 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None
         return i
 
     step, joined = 1, False
-    doubtful: list[tuple[np.ndarray, np.ndarray]] = []
+    doubtful = np.zeros(n, bool)
     while len(left):
         left = left[left + step < n]
         left = left[keys[left] == keys[left + step]]
@@ -167,8 +167,9 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None
                 a, b = a[near], b[near]
             bits = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
             near = bits <= (radius if sure is None else sure)
-            if sure is not None and (doubt := ~near & (bits <= radius)).any():
-                doubtful.append((a[doubt], b[doubt]))
+            if sure is not None:
+                doubt = ~near & (bits <= radius)
+                doubtful[a[doubt]] = doubtful[b[doubt]] = True
             for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
                 i, j = find(i), find(j)
                 if i != j:
@@ -182,9 +183,55 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None
     while (parent[parent] != parent).any():
         parent = parent[parent]
     moved = np.flatnonzero(parent != np.arange(n))
-    x, y = (np.concatenate(z) for z in zip(*doubtful, strict=True)) if doubtful else (left[:0], left[:0])
-    apart = parent[x] != parent[y]
-    return moved, parent[moved], x[apart], y[apart]
+    return moved, parent[moved], np.flatnonzero(doubtful)
+
+
+def doubtful_pairs(keys: np.ndarray, fps: np.ndarray, roots: np.ndarray, sure: int, radius: int, band: int, quota: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Row pairs of one key and of different roots that differ in over ``sure`` bits but within the radius.
+
+    Of each pair of roots the ``quota`` closest; also says whether there were more. A pair
+    that agrees on several bands comes with the first of them only.
+    """
+    n = len(fps)
+    pieces = fps.view(np.uint16 if band == 16 else np.uint32)
+    held: list[tuple] = []
+    more, waiting = False, 0
+
+    def prune():
+        nonlocal held, more, waiting
+        lo, hi, bits, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((b, a, bits, hi, lo))
+        lo, hi, bits, a, b = (x[order] for x in (lo, hi, bits, a, b))
+        head = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        nth = np.arange(len(lo)) - np.repeat(head, np.diff(np.concatenate([head, [len(lo)]])))
+        kept = nth < quota
+        more |= not kept.all()
+        held = [tuple(x[kept] for x in (lo, hi, bits, a, b))]
+        waiting = 0
+
+    left, step = np.arange(max(n - 1, 0)), 1
+    while len(left):
+        left = left[left + step < n]
+        left = left[keys[left] == keys[left + step]]
+        for at in range(0, len(left), 1 << 17):
+            a = left[at : at + (1 << 17)]
+            b = a + step
+            apart = roots[a] != roots[b]
+            a, b = a[apart], b[apart]
+            bits = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+            near = (bits <= radius) & (bits > sure)
+            a, b, bits = a[near], b[near], bits[near]
+            first = (pieces[a] == pieces[b]).argmax(axis=1) == keys[a] >> band
+            a, b, bits = a[first], b[first], bits[first]
+            held.append((np.minimum(roots[a], roots[b]), np.maximum(roots[a], roots[b]), bits, a, b))
+            waiting += len(a)
+            if waiting > 1 << 19:
+                prune()
+        step += 1
+    if not held:
+        return left, left, False
+    prune()
+    return held[0][3], held[0][4], more
 
 
 def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
@@ -192,7 +239,7 @@ def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
         kept_k, kept_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def link(k, f):
-            a, b, _, _ = near_pairs(k, f[:, None], radius)
+            a, b, _ = near_pairs(k, f[:, None], radius)
             return pa.RecordBatch.from_arrays([pa.array(f[a].view(np.int64)), pa.array(f[b].view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -284,43 +331,59 @@ def wide_prints(docs: DataFrame, width: int = FILTER_SHINGLE, words: int = WORDS
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
 
 
-def _wide_links(nodes: DataFrame, radius: int, sure: int, words: int, band: int) -> DataFrame:
-    """(a, b, sure): nodes whose wide fingerprints share a band and are within the radius.
-
-    Links within ``sure`` bits come up to connection, the doubtful ones in full.
-    """
+def _by_band(nodes: DataFrame, words: int, band: int, solve, schema: str) -> DataFrame:
+    """``solve(keys, nodes, roots, fps)`` over the rows of each band's keys; ``nodes`` has node, root, fp."""
 
     def spread(batches):
         for batch in batches:
-            fps = np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]).reshape(-1, words)
+            fps = np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]).reshape(-1, words)
             pieces = fps.view(np.uint16 if band == 16 else np.uint32)
             n, m = pieces.shape
             # within a band all distances to its references follow from its bits, and the bits from them
             keys = (np.arange(m, dtype=np.int64)[None, :] << band) | pieces
             at = pa.array(np.repeat(np.arange(n), m))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(at), batch.column(1).take(at)], ["key", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(batch.column(i).take(at) for i in range(3))], ["key", "node", "root", "fp"])
 
     def run(batches):
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, words), np.uint64))
-
-        def link(k, v, f):
-            a, b, c, d = near_pairs(k, f, radius, sure)
-            flag = np.concatenate([np.ones(len(a), bool), np.zeros(len(c), bool)])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([v[a], v[c]])), pa.array(np.concatenate([v[b], v[d]])), pa.array(flag)], ["a", "b", "sure"])
-
+        kept = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros((0, words), np.uint64))
         for batch in batches:
-            got = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]).reshape(-1, words))
-            k, v, f = (np.concatenate(x) for x in zip(kept, got, strict=True))
-            end = int(np.searchsorted(k, k[-1])) if len(k) else 0
+            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            got.append(np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]).reshape(-1, words))
+            rows = [np.concatenate(x) for x in zip(kept, got, strict=True)]
+            end = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last key may go on
             if end:
-                yield link(k[:end], v[:end], f[:end])
-            kept = (k[end:], v[end:], f[end:])
+                yield solve(*(x[:end] for x in rows))
+            kept = tuple(x[end:] for x in rows)
         if len(kept[0]):
-            yield link(*kept)
+            yield solve(*kept)
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.mapInArrow(spread, "key long, node long, fp binary")
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, sure boolean")
+    rows = nodes.select("node", "root", "fp").mapInArrow(spread, "key long, node long, root long, fp binary")
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def _wide_links(nodes: DataFrame, radius: int, sure: int, words: int, band: int) -> DataFrame:
+    """(a, b): links of at most ``sure`` bits, up to connection; and (a, null) for nodes with a doubtful partner."""
+
+    def solve(keys, node, _, fps):
+        a, b, doubt = near_pairs(keys, fps, radius, sure)
+        doubt = np.unique(node[doubt])
+        other = pa.concat_arrays([pa.array(node[b]), pa.nulls(len(doubt), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[a], doubt])), other], ["a", "b"])
+
+    return _by_band(nodes, words, band, solve, "a long, b long")
+
+
+def _wide_doubts(nodes: DataFrame, radius: int, sure: int, words: int, band: int, quota: int) -> DataFrame:
+    """(a, b): the ``quota`` closest doubtful pairs of each two roots that meet in a key; nulls if there are more."""
+
+    def solve(keys, node, root, fps):
+        a, b, more = doubtful_pairs(keys, np.ascontiguousarray(fps), root, sure, radius, band, quota)
+        x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        mark = pa.nulls(int(more), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), mark]), pa.concat_arrays([pa.array(y), mark])], ["a", "b"])
+
+    return _by_band(nodes, words, band, solve, "a long, b long")
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -357,8 +420,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width:
     Fingerprints of 512 bits tell similar texts from others far better than 64. Two that agree
     on one of their 32 bands are linked if they differ in so few bits that the similarity is
     sure, and not if in so many that it can't be; between, within ``doubt`` deviations of what
-    texts of the wanted similarity have, the shingle sets themselves are compared. Equal
-    fingerprints are one node. Of texts as similar as 0.9, 998 in 1000 pairs share a band; at
+    texts of the wanted similarity have, the shingle sets themselves are compared. As only
+    groups count, that is done for the closest pair of every two groups first, then for the 8
+    closest and at last for all of those that are still apart; so a large group is joined by
+    few comparisons. Equal fingerprints are one node. Of texts as similar as 0.9, 998 in 1000 pairs share a band; at
     0.8 it is 9 in 10. Texts without words are copies of each other.
     """
     spark = docs.sparkSession
@@ -366,16 +431,30 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width:
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp")), "wide-nodes")
     bits = 64 * words
     small_batches(spark, 5000)
-    links = materialize(_wide_links(nodes.select("node", "fp"), radius_for(similarity, bits, doubt), radius_for(similarity, bits, -doubt), words, band), "wide-links")
-    small_batches(spark, 500)
-    found = links.filter("sure").select("a", "b")
-    pairs = links.filter("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if pairs.limit(1).count():
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
-        texts = docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(asked, F.col("_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["node"])
-        sets = materialize(shingle_sets(texts, width), "wide-sets")
-        found = found.unionAll(_similar(pairs, sets, similarity))
+    sure, radius = radius_for(similarity, bits, -doubt), radius_for(similarity, bits, doubt)
+    links = materialize(_wide_links(nodes.withColumn("root", F.col("node")), radius, sure, words, band), "wide-links")
+    found = links.filter("b is not null")
     roots = components(found)
+    open_nodes = materialize(links.filter("b is null").select(F.col("a").alias("node")).distinct().join(nodes, "node"), "wide-open")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(open_nodes.select("node", "least"), F.col("_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    small_batches(spark, 500)
+    sets = materialize(shingle_sets(texts, width), "wide-sets")
+    done, quota = None, 1
+    while True:
+        small_batches(spark, 5000)
+        at = open_nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
+        met = materialize(_wide_doubts(at, radius, sure, words, band, quota), "wide-doubts")
+        pairs = met.filter("a is not null").distinct()
+        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+        small_batches(spark, 500)
+        good = materialize(_similar(pairs, sets, similarity), "wide-similar")
+        if good.limit(1).count():
+            found = found.unionAll(good)
+            roots = components(found)
+        if not met.filter("a is null").limit(1).count():
+            break
+        seen = met.filter("a is not null").distinct()
+        done, quota = seen if done is None else done.unionAll(seen).distinct(), 8 if quota == 1 else 1 << 62
     placed = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("least").alias("_keep")).select("_keep").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi").dropDuplicates(["doc_id"])
