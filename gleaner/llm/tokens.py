@@ -15,7 +15,9 @@ bits a number, and every 256th one's bit position, so that a single number is fo
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -31,9 +33,9 @@ MAGIC = b"EFTK"
 SAMPLE = 256
 HEAD = struct.Struct("<4sHH6q")
 #: Ids in a file, after which the next document starts a new one.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 #: Distinct white-space chunks whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 800_000
 
 
 @dataclass
@@ -122,43 +124,87 @@ class TokenFile:
         return [None] * self.nulls + (self.keys.decode() + self.least).tolist()
 
 
+class _Known(dict):
+    """What ``learn`` gives for each key, computed when it first comes."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key):
+        got = self[key] = self.learn(key)
+        return got
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that byte-level models use for each byte: its own, or the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class ChunkEncoder:
     """Ids of texts, from the ids of their chunks between blanks.
 
     Right for tokenizers that never join or look across a blank, line feed, tab or carriage
-    return; the tests compare with the tokenizer on whole texts. Chunks are looked up in a
-    cache of bounded size; the tokenizer only sees new ones.
+    return; the tests compare with the tokenizer on whole texts. A chunk's ids are computed
+    once and remembered, within a bound. Where the file describes NFC, lower case, a pattern
+    and byte-level BPE, chunks of plain Latin letters and signs are cut by that pattern and
+    their pieces go straight to the BPE model; all other chunks take the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cut, *level = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        plain = steps == ["NFC", "Replace", "Lowercase"] and cut.get("behavior") == "Removed" and cut.get("invert")
+        plain = plain and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in level] == [("ByteLevel", False, False)]
+        self.cut = regex.compile(cut["pattern"]["Regex"]).findall if plain else None
+        self.latin = re.compile("[!-~\xa1-\xac\xae-\xff]+").fullmatch
+        self.chars = _byte_chars()
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.forget()
 
     def forget(self):
-        self.place, self.flat, self.starts, self.sizes = {"": 0}, np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.chunks, self.pieces = _Known(self._chunk), _Known(self._piece)
+
+    def _dump(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
-    def encode(self, texts: list) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.place) > self.limit:
+    def _piece(self, piece: str) -> bytes:
+        chars = piece if piece.isascii() else "".join(self.chars[b] for b in piece.encode())
+        return self._dump([t.id for t in self.tokenizer.model.tokenize(chars)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        if self.cut and self.latin(chunk) and "<|" not in chunk:
+            found = self.cut(chunk.lower())
+            return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+        return self._dump(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if len(self.chunks) > self.limit or len(self.pieces) > self.limit:
             self.forget()
-        new = list({w for words in split for w in words if w not in self.place})
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.place.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.int64, int(sizes.sum()))])
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]))])
-        return out
+        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, words)), self.kind)
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def _encoder(path: str) -> ChunkEncoder:
+    """One encoder a worker, whose memory of chunks serves all its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS) -> None:
@@ -173,25 +219,25 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches):
         from pyspark import TaskContext
 
-        encoder, part, seq = ChunkEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        width = 2 if encoder.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
-        keys, arrays, total = [], [], 0
+        encoder, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        width = 2 if encoder.kind == "<u2" and end_id < 65536 else 4
+        end = np.array([end_id], f"<u{width}").tobytes()
+        keys, lengths, data, total = [], [], [], 0
 
         def flush():
-            lengths = np.fromiter(map(len, arrays), np.int64, len(arrays))
-            blob = dump_file(part, seq, keys, lengths, np.concatenate(arrays), width)
-            return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
+            ids = np.frombuffer(b"".join(data), f"<u{width}")
+            return pa.RecordBatch.from_arrays([pa.array([dump_file(part, seq, keys, np.array(lengths, np.int64), ids, width)], pa.binary())], ["blob"])
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 100):
-                for key, ids in zip(batch.column(0).slice(i, 100).to_pylist(), encoder.encode(texts[i : i + 100]), strict=True):
-                    keys.append(key)
-                    arrays.append(np.append(ids, end_id).astype(f"<u{width}"))
-                    total += len(ids) + 1
-                    if total >= file_ids:
-                        yield flush()
-                        seq, keys, arrays, total = seq + 1, [], [], 0
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids = encoder.encode(text.as_py())
+                keys.append(key.as_py())
+                data += [ids.astype(f"<u{width}", copy=False).tobytes(), end]
+                lengths.append(len(ids) + 1)
+                total += len(ids) + 1
+                if total >= file_ids:
+                    yield flush()
+                    seq, keys, lengths, data, total = seq + 1, [], [], [], 0
         if keys:
             yield flush()
 
