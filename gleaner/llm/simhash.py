@@ -48,8 +48,13 @@ def fingerprint_many(texts: list, width: int = SHINGLE, words: int = 1) -> np.nd
 
     The first word is over the hashes themselves, further ones over hashes of them.
     """
-    ones = np.zeros((len(texts), 64 * words), np.int64)
-    total = np.zeros(len(texts), np.int64)
+    return fingerprint_hashes((shingle_hashes(t, width) for t in texts), len(texts), words)
+
+
+def fingerprint_hashes(each, n: int, words: int = 1) -> np.ndarray:
+    """The fingerprints of ``n`` arrays of hashes."""
+    ones = np.zeros((n, 64 * words), np.int64)
+    total = np.zeros(n, np.int64)
     held: list[tuple[int, np.ndarray]] = []
     waiting = 0
 
@@ -63,8 +68,7 @@ def fingerprint_many(texts: list, width: int = SHINGLE, words: int = 1) -> np.nd
                 np.add.at(ones[:, 64 * w : 64 * w + 64], [i for i, _ in held], np.add.reduceat(bits, at, axis=0, dtype=np.int32))
         held, waiting = [], 0
 
-    for i, text in enumerate(texts):
-        hashes = shingle_hashes(text, width)
+    for i, hashes in enumerate(each):
         total[i] = len(hashes)
         for at in range(0, len(hashes), PIECE):
             held.append((i, hashes[at : at + PIECE]))
@@ -320,15 +324,26 @@ def radius_for(similarity: float, bits: int, spread: float = 1.0) -> int:
 
 
 def wide_prints(docs: DataFrame, width: int = FILTER_SHINGLE, words: int = WORDS) -> DataFrame:
-    """doc_id and a fingerprint of ``words`` 64-bit words as binary."""
+    """doc_id, node and fp: a hash of the text's set of shingles, and the set's fingerprint of ``words`` 64-bit words as binary."""
     small_batches(docs.sparkSession, 500)
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
-            fp = fingerprint_many(batch.column(1).to_pylist(), width, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in fp], pa.binary())], ["doc_id", "fp"])
+            nodes = []
+
+            def sets(texts, nodes=nodes):
+                for text in texts:
+                    hashes = np.unique(shingle_hashes(text, width))
+                    nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                    yield hashes
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
+            fp = fingerprint_hashes(sets(batch.column(1).to_pylist()), batch.num_rows, words)
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array([r.tobytes() for r in fp], pa.binary())], ["doc_id", "node", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, fp binary")
 
 
 def _by_band(nodes: DataFrame, words: int, band: int, solve, schema: str) -> DataFrame:
@@ -359,7 +374,7 @@ def _by_band(nodes: DataFrame, words: int, band: int, solve, schema: str) -> Dat
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.select("node", "root", "fp").mapInArrow(spread, "key long, node long, root long, fp binary")
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
 
 
 def _wide_links(nodes: DataFrame, radius: int, sure: int, words: int, band: int) -> DataFrame:
@@ -417,33 +432,47 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = FILTER_SHINGLE, words: int = WORDS, band: int = BAND, doubt: float = 2.5) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near copies.
 
-    Fingerprints of 512 bits tell similar texts from others far better than 64. Two that agree
-    on one of their 32 bands are linked if they differ in so few bits that the similarity is
-    sure, and not if in so many that it can't be; between, within ``doubt`` deviations of what
-    texts of the wanted similarity have, the shingle sets themselves are compared. As only
-    groups count, that is done for the closest pair of every two groups first, then for the 8
-    closest and at last for all of those that are still apart; so a large group is joined by
-    few comparisons. Equal fingerprints are one node. Of texts as similar as 0.9, 998 in 1000 pairs share a band; at
-    0.8 it is 9 in 10. Texts without words are copies of each other.
+    Texts of equal shingle sets are one node; a repeated shingle counts once in sets and
+    fingerprints. No two nodes count as similar before their sets have been compared.
+    Fingerprints of 512 bits only propose pairs: two that agree on one of their 32 bands and
+    differ in so few bits that similarity is all but sure are presumed linked, and each node is
+    compared with the root of its presumed group, then with its own partners. What that leaves
+    apart, and pairs within ``doubt`` deviations of what texts of the wanted similarity have,
+    are compared for the closest pair of every two groups first, then for the 8 closest and at
+    last for all of those that are still apart; so a large group is joined by few comparisons.
+    Of texts as similar as 0.9, 998 in 1000 pairs share a band; at 0.8 it is 9 in 10. Texts
+    without words are copies of each other.
     """
     spark = docs.sparkSession
     prints = materialize(wide_prints(docs, width, words), "wide-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp")), "wide-nodes")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "wide-nodes")
     bits = 64 * words
     small_batches(spark, 5000)
     sure, radius = radius_for(similarity, bits, -doubt), radius_for(similarity, bits, doubt)
     links = materialize(_wide_links(nodes.withColumn("root", F.col("node")), radius, sure, words, band), "wide-links")
-    found = links.filter("b is not null")
-    roots = components(found)
-    open_nodes = materialize(links.filter("b is null").select(F.col("a").alias("node")).distinct().join(nodes, "node"), "wide-open")
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(open_nodes.select("node", "least"), F.col("_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    presumed = links.filter("b is not null").distinct()
+    groups = components(presumed)
+    wanted = links.filter("b is null").select(F.col("a").alias("node")).unionAll(groups.select("node")).distinct()
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(nodes.join(wanted, "node").select("node", "least"), F.col("_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
     small_batches(spark, 500)
     sets = materialize(shingle_sets(texts, width), "wide-sets")
+    with_root = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = materialize(_similar(with_root, sets, similarity), "wide-verified")
+    failed = materialize(with_root.join(found, "a", "left_anti"), "wide-failed")
+    doubted = links.filter("b is null").select(F.col("a").alias("node"))
+    if failed.limit(1).count():
+        own = presumed.join(failed.select("a"), "a", "left_semi").join(with_root, ["a", "b"], "left_anti")
+        found = materialize(found.unionAll(_similar(own, sets, similarity)), "wide-verified")
+        # pairs of a group that was presumed one weren't marked as doubtful
+        split = groups.join(failed.select(F.col("b").alias("root")).distinct(), "root", "left_semi")
+        doubted = doubted.unionAll(split.select("node"))
+    open_nodes = materialize(doubted.distinct().join(nodes, "node"), "wide-open")
+    roots = components(found)
     done, quota = None, 1
     while True:
         small_batches(spark, 5000)
         at = open_nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
-        met = materialize(_wide_doubts(at, radius, sure, words, band, quota), "wide-doubts")
+        met = materialize(_wide_doubts(at, radius, -1, words, band, quota), "wide-doubts")
         pairs = met.filter("a is not null").distinct()
         pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
         small_batches(spark, 500)
