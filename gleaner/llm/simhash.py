@@ -324,7 +324,11 @@ def radius_for(similarity: float, bits: int, spread: float = 1.0) -> int:
 
 
 def wide_prints(docs: DataFrame, width: int = FILTER_SHINGLE, words: int = WORDS) -> DataFrame:
-    """doc_id, node and fp: a hash of the text's set of shingles, and the set's fingerprint of ``words`` 64-bit words as binary."""
+    """row, place, node and fp of ``docs`` (row, doc_id, text).
+
+    node is a hash of the text's set of shingles, fp the set's fingerprint of ``words`` 64-bit
+    words as binary; place orders rows by doc_id, null last, then by text and row.
+    """
     small_batches(docs.sparkSession, 500)
 
     def run(batches):
@@ -339,11 +343,13 @@ def wide_prints(docs: DataFrame, width: int = FILTER_SHINGLE, words: int = WORDS
                     nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                     yield hashes
 
-            fp = fingerprint_hashes(sets(batch.column(1).to_pylist()), batch.num_rows, words)
+            fp = fingerprint_hashes(sets(batch.column(2).to_pylist()), batch.num_rows, words)
             node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array([r.tobytes() for r in fp], pa.binary())], ["doc_id", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), node, pa.array([r.tobytes() for r in fp], pa.binary())], ["row", "doc_id", "hash", "node", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, fp binary")
+    rows = docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
+    out = rows.mapInArrow(run, "row long, doc_id long, hash long, node long, fp binary")
+    return out.select("row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "row").alias("place"), "node", "fp")
 
 
 def _by_band(nodes: DataFrame, words: int, band: int, solve, schema: str) -> DataFrame:
@@ -432,6 +438,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = FILTER_SHINGLE, words: int = WORDS, band: int = BAND, doubt: float = 2.5) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near copies.
 
+    Groups are of rows: different texts that share a doc_id or have none are documents of their
+    own. A null doc_id comes after all others; of rows with the same one, the text's hash decides.
+
     Texts of equal shingle sets are one node; a repeated shingle counts once in sets and
     fingerprints. No two nodes count as similar before their sets have been compared.
     Fingerprints of 512 bits only propose pairs: two that agree on one of their 32 bands and
@@ -444,8 +453,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width:
     without words are copies of each other.
     """
     spark = docs.sparkSession
-    prints = materialize(wide_prints(docs, width, words), "wide-prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "wide-nodes")
+    rows = materialize(docs.withColumn("__near_row", F.monotonically_increasing_id()), "wide-rows")
+    texts = rows.select(F.col("__near_row").alias("row"), "doc_id", "text")
+    prints = wide_prints(texts, width, words)
+    nodes = materialize(prints.groupBy("node").agg(F.min("place").alias("least"), F.min("fp").alias("fp")), "wide-nodes")
     bits = 64 * words
     small_batches(spark, 5000)
     sure, radius = radius_for(similarity, bits, -doubt), radius_for(similarity, bits, doubt)
@@ -453,7 +464,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width:
     presumed = links.filter("b is not null").distinct()
     groups = components(presumed)
     wanted = links.filter("b is null").select(F.col("a").alias("node")).unionAll(groups.select("node")).distinct()
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(nodes.join(wanted, "node").select("node", "least"), F.col("_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    texts = texts.join(nodes.join(wanted, "node").select("node", F.col("least.row").alias("row")), "row")
     small_batches(spark, 500)
     sets = materialize(shingle_sets(texts, width), "wide-sets")
     with_root = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -485,5 +496,5 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width:
         seen = met.filter("a is not null").distinct()
         done, quota = seen if done is None else done.unionAll(seen).distinct(), 8 if quota == 1 else 1 << 62
     placed = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("least").alias("_keep")).select("_keep").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = placed.groupBy("root").agg(F.min("least").alias("_keep")).select(F.col("_keep.row").alias("__near_row"))
+    return rows.join(kept, "__near_row", "left_semi").select(*docs.columns)

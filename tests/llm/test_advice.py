@@ -26,3 +26,11 @@ def test_presumed_links_are_compared_and_the_rest_of_their_group_too(spark, monk
     texts = [" ".join([*common, *w]) for w in own] + [" ".join([*common, *own[1][:-1], "end"])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs, words=1).collect()) == [0, 1, 2]
+
+
+def test_rows_without_or_with_the_same_doc_id_are_documents_of_their_own(spark):
+    rng = random.Random(7)
+    a, b, c, d, e = (" ".join(_words(rng, 30)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (3, c), (3, d), (3, d), (None, d), (2, e), (1, e)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, a), (0, b), (3, c), (3, d), (1, e)])
