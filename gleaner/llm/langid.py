@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import small_batches
 
-#: Bounds of the training sample: documents and characters of a language, and languages (the most frequent).
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 64, 40_000, 64
+#: Bounds of the training sample: documents and characters of a language.
+SAMPLE_DOCS, SAMPLE_CHARS = 64, 40_000
 #: Shorter samples count as this long when phrases are weighted by the logarithm of the sample's length.
 LEAST_CHARS = 4096
-#: Codes for letters; rarer ones share one.
-ALPHABET = 96
+#: Bytes of full transition tables; languages beyond them have their transitions sorted by state and letter.
+TABLE_BYTES = 256 << 20
 #: Characters after which a parse starts anew, so that long texts are parsed in parallel.
 BLOCK = 256
 
@@ -49,6 +49,47 @@ def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
     return go
 
 
+class Full:
+    """Transitions as a table of all states and all letters of the sample."""
+
+    def __init__(self, go: list[dict[int, int]], local: np.ndarray, width: int):
+        # an entry is the next state times the width; the top bit marks that a phrase ended
+        self.local = local
+        step = np.zeros((len(go), width), np.uint32)
+        root = np.zeros(width, np.uint32)
+        for c, t in go[0].items():
+            root[c] = t * width
+        step[:] = root | np.uint32(1 << 31)
+        for s, out in enumerate(go):
+            if out:
+                step[s, list(out)] = np.fromiter(out.values(), np.uint32, len(out)) * np.uint32(width)
+        self.table = step.ravel()
+
+    def step(self, states: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and 1 where a phrase ended."""
+        to = self.table[states + self.local[codes]]
+        return to & np.uint32(0x7FFFFFFF), to >> 31
+
+
+class Sorted:
+    """Transitions sorted by state and letter; their number is at most three times the sample's length."""
+
+    def __init__(self, go: list[dict[int, int]], local: np.ndarray, width: int):
+        self.local, self.width = local, width
+        pairs = sorted((s * width + c, t) for s, out in enumerate(go) for c, t in out.items())
+        self.keys = np.array([k for k, _ in pairs], np.int64)
+        self.to = np.array([t for _, t in pairs], np.uint32)
+        self.root = np.zeros(width, np.uint32)
+        self.root[list(go[0])] = list(go[0].values())
+
+    def step(self, states: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.local[codes]
+        want = states.astype(np.int64) * self.width + at
+        i = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        hit = self.keys[i] == want
+        return np.where(hit, self.to[i], self.root[at]), (~hit).astype(np.uint32)
+
+
 class CrossParser:
     """Phrase counts of texts against a sample text of each language.
 
@@ -64,24 +105,20 @@ class CrossParser:
             for ch in text.lower():
                 if ch.isalpha():
                     seen[ch] = seen.get(ch, 0) + 1
-        common = sorted(seen, key=lambda ch: (-seen[ch], ch))[: ALPHABET - 2]
-        self.code = {ch: i + 2 for i, ch in enumerate(common)}
-        self.table = np.fromiter((self._code(chr(c)) for c in range(65536)), np.uint8, 65536)
-        self.width = len(common) + 2
+        self.code = {ch: i + 2 for i, ch in enumerate(sorted(seen))}
+        self.table = np.fromiter((self._code(chr(c)) for c in range(65536)), np.uint32, 65536)
         self.tables, self.scale = [], []
+        left = TABLE_BYTES
         for lang in self.langs:
             codes, _ = self.codes([samples[lang]])
-            go = suffix_automaton(codes)
-            # an entry is the next state times the width; the top bit marks that a phrase ended
-            step = np.zeros((len(go), self.width), np.uint32)
-            root = np.zeros(self.width, np.uint32)
-            for c, t in go[0].items():
-                root[c] = t * self.width
-            step[:] = root | np.uint32(1 << 31)
-            for s, out in enumerate(go):
-                if out:
-                    step[s, list(out)] = np.fromiter(out.values(), np.uint32, len(out)) * np.uint32(self.width)
-            self.tables.append(step.ravel())
+            own, at = np.unique(codes, return_inverse=True)  # letters that the sample lacks share its last code
+            local = np.full(len(self.code) + 2, len(own), np.uint32)
+            local[own] = np.arange(len(own))
+            go = suffix_automaton(at)
+            size = 4 * len(go) * (len(own) + 1)
+            full = size <= left
+            left -= size if full else 0
+            self.tables.append((Full if full else Sorted)(go, local, len(own) + 1))
             self.scale.append(np.log2(max(len(codes), LEAST_CHARS)))
 
     def _code(self, ch: str) -> int:
@@ -95,7 +132,7 @@ class CrossParser:
         out = self.table[np.minimum(flat, 65535)]
         if len(far := np.flatnonzero(flat > 65535)):
             kinds, which = np.unique(flat[far], return_inverse=True)
-            out[far] = np.fromiter((self._code(chr(c)) for c in kinds.tolist()), np.uint8, len(kinds))[which]
+            out[far] = np.fromiter((self._code(chr(c)) for c in kinds.tolist()), np.uint32, len(kinds))[which]
         if len(out):
             keep = (out > 0) | np.concatenate([[True], (out[:-1] > 0) | (owner[1:] != owner[:-1])])
             out, owner = out[keep], owner[keep]
@@ -119,11 +156,10 @@ class CrossParser:
             m = alive[j]
             if not m:
                 break
-            c = codes[start[:m] + j].astype(np.uint32)
+            c = codes[start[:m] + j]
             for k, table in enumerate(self.tables):
-                to = table[states[k, :m] + c]
-                counts[k, :m] += to >> 31
-                states[k, :m] = to & np.uint32(0x7FFFFFFF)
+                states[k, :m], ended = table.step(states[k, :m], c)
+                counts[k, :m] += ended
         total = np.zeros((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
             total[:, k] = np.bincount(owner, counts[k], minlength=len(texts))
@@ -143,23 +179,18 @@ class CrossParser:
         return out
 
 
-def learn(labelled: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> dict[str, str]:
-    """A sample text of each language, from rows (doc_id, text, lang) with a language.
+def learn(labelled: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """A sample text of every language, from rows (doc_id, text, lang) with a language.
 
     The rows are the ``docs_per_lang`` with the smallest hash of the doc_id in each language;
     texts are joined up to ``chars`` characters. Only ids and languages are sorted for this.
     """
     slim = labelled.filter("lang is not null and text is not null").withColumn("_h", F.xxhash64("doc_id"))
-    known = [r["lang"] for r in slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
     ranked = slim.select("lang", "_h").withColumn("_k", place).filter(F.col("_k") <= docs_per_lang)
-    bounds = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("_h").alias("h")).collect() if r["lang"] in set(known)}
-    if not bounds:
-        return {}
-    within: Column = F.lit(False)
-    for lang, h in bounds.items():
-        within = within | ((F.col("lang") == lang) & (F.col("_h") <= h))
-    rows = slim.filter(within).select("lang", "_h", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "_h"]).collect()
+    bounds = ranked.groupBy("lang").agg(F.max("_h").alias("_top"))
+    within = slim.join(F.broadcast(bounds), "lang").filter("_h <= _top")  # a row a language
+    rows = within.select("lang", "_h", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "_h"]).collect()
     out: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["_h"])):
         out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[: chars + 1]

@@ -2,7 +2,7 @@
 
 import random
 
-from gleaner.llm import simhash
+from gleaner.llm import langid, simhash
 
 
 def _words(rng, n):
@@ -34,3 +34,20 @@ def test_rows_without_or_with_the_same_doc_id_are_documents_of_their_own(spark):
     rows = [(None, a), (None, b), (None, b), (3, c), (3, d), (3, d), (None, d), (2, e), (1, e)]
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, a), (0, b), (3, c), (3, d), (1, e)])
+
+
+def test_languages_of_many_scripts_are_told_apart(monkeypatch):
+    rng = random.Random(9)
+    starts = {"el": 0x3B1, "ru": 0x430, "hy": 0x561, "ka": 0x10D0, "zh": 0x4E00, "ja": 0x5200, "ko": 0xAC00, "xx": 0x20000}
+    write = lambda first, n: " ".join("".join(chr(first + int(24 * rng.random() ** 2)) for _ in range(5)) for _ in range(n))
+    samples = {lang: write(first, 400) for lang, first in starts.items()} | {"en": write(0x61, 4000)}
+    texts = {lang: write(first, 10) for lang, first in starts.items()}
+    parser = langid.CrossParser(samples)
+    assert [p[0] for p in parser.predict(list(texts.values()))] == list(texts)
+    monkeypatch.setattr(langid, "TABLE_BYTES", 0)
+    assert (langid.CrossParser(samples).phrases(list(texts.values()))[0] == parser.phrases(list(texts.values()))[0]).all()
+
+
+def test_every_language_that_occurs_is_learnt(spark):
+    rows = [(i, f"text {i}", f"l{i % 70:02}") for i in range(140)]
+    assert len(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 70
