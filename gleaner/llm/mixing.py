@@ -12,6 +12,8 @@ MAX_REPEATS = 3
 BLOCK = 4096
 CHUNK = 4096
 BITS = 40
+#: Blocks that a source's target must fill to be taken in whole blocks; smaller ones are taken to the word.
+LEAST_BLOCKS = 64
 
 
 def source_targets(slim: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -75,7 +77,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block:
     Every source's documents are put in an order shuffled by hash, repeated up to
     ``max_repeats`` times, and cut into blocks of equal words; the source's k-th slot of the
     schedule takes its k-th block. ``block`` shrinks on small inputs so that there are at
-    least 50,000 blocks and 200 for a source on average.
+    least 50,000 blocks and 200 for a source on average. A source whose target is under
+    ``LEAST_BLOCKS`` blocks would get several too few or too many of them, or none: it is
+    taken to exactly its rounded target, its last block in part, and its blocks are added to
+    slots at even distances, so it can't vanish.
 
     documents: doc_key, doc_id, source, size, source_size, target. pieces: slot, doc_key,
     epoch, from_word, to_word. Null texts and texts without words have size 0 and no pieces;
@@ -99,15 +104,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block:
     if not total:
         none = placed.select(F.lit(0).cast("long").alias("slot"), "doc_key", F.lit(0).alias("epoch"), F.col("size").alias("from_word"), F.col("size").alias("to_word")).limit(0)
         return placed.drop("sid", "off"), none
-    plan = slots(spark, sources, max(1, round(x["g"] / length)), float(x["g"]), n_sources)
+    n_slots = max(1, round(x["g"] / length))
+    plan = slots(spark, sources, n_slots, float(x["g"]), n_sources)
     epochs = placed.filter("size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(max_repeats)])))
     epochs = epochs.withColumn("_at", F.col("off") + F.col("epoch") * F.col("source_size")).filter(F.col("_at") < F.col("target") * 1.05 + 64 * length)
     first, final = F.floor(F.col("_at") / length), F.floor((F.col("_at") + F.col("size") - 1) / length)
     cut = epochs.withColumn("rank", F.explode(F.sequence(first, final)))
     lo = F.greatest(F.col("_at"), F.col("rank") * length) - F.col("_at")
     hi = F.least(F.col("_at") + F.col("size"), (F.col("rank") + 1) * length) - F.col("_at")
-    pieces = cut.select("sid", "rank", "doc_key", "epoch", lo.alias("from_word"), hi.alias("to_word"))
-    return placed.drop("sid", "off"), pieces.join(plan, ["sid", "rank"]).select("slot", "doc_key", "epoch", "from_word", "to_word")
+    small = F.lit(length > 1) & (F.col("target") < LEAST_BLOCKS * length)
+    want = F.round("target").cast("long")
+    even = F.floor((F.col("rank") + 0.5) * F.lit(n_slots) / F.ceil(want / length)).cast("long")
+    few = cut.filter(small).select(even.alias("slot"), "doc_key", "epoch", lo.alias("from_word"), F.least(hi, want - F.col("_at")).alias("to_word")).filter("to_word > from_word")
+    pieces = cut.filter(~small).select("sid", "rank", "doc_key", "epoch", lo.alias("from_word"), hi.alias("to_word"))
+    return placed.drop("sid", "off"), pieces.join(plan, ["sid", "rank"]).select("slot", "doc_key", "epoch", "from_word", "to_word").unionAll(few)
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import random
 
-from gleaner.llm import langid, simhash
+import pytest
+from gleaner.llm import langid, mixing, simhash
 
 
 def _words(rng, n):
@@ -36,6 +37,15 @@ def test_rows_without_or_with_the_same_doc_id_are_documents_of_their_own(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, a), (0, b), (3, c), (3, d), (1, e)])
 
 
+def test_small_sources_are_taken_to_the_word(spark):
+    """With blocks of some 60 words a source of 20 is a third of one."""
+    rows = [(i, "w " * 1000, "big" if i % 2 else "large") for i in range(3000)] + [(10_000 + i, "v " * 20, f"s{i:02}") for i in range(40)]
+    got = mixing.taken_words(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    small = [r for r in got if r["source"].startswith("s")]
+    assert len(small) == 40 and all(r["target"] == 60 and r["taken"] == 60 for r in small)
+    assert sum(r["taken"] for r in got) == pytest.approx(sum({r["source"]: r["target"] for r in got}.values()), rel=0.01)
+
+
 def test_languages_of_many_scripts_are_told_apart(monkeypatch):
     rng = random.Random(9)
     starts = {"el": 0x3B1, "ru": 0x430, "hy": 0x561, "ka": 0x10D0, "zh": 0x4E00, "ja": 0x5200, "ko": 0xAC00, "xx": 0x20000}
