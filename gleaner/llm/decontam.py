@@ -31,15 +31,17 @@ def item_windows(text: str | None, width: int = WINDOW) -> list[bytes]:
 
 
 class Scanner:
-    """The automaton over the windows of some items, given as (id string, text)."""
+    """The automaton over the windows of some items, given as (id string or None, text)."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], width: int = WINDOW):
         import ahocorasick
 
         of: dict[bytes, set[str]] = {}
         for key, text in items:
             for window in item_windows(text, width):
-                of.setdefault(window, set()).add(key)
+                keys = of.setdefault(window, set())
+                if key is not None:
+                    keys.add(key)
         self.windows = list(of.items())
         self.automaton = ahocorasick.Automaton()
         for i, (window, _) in enumerate(self.windows):
@@ -96,7 +98,7 @@ def benchmark_shards(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> list
     """The benchmark as one frame, or as several of about ``limit`` bytes each."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = -(-size // limit) or 1
-    items = benchmark.select(F.col("item_id").cast("string").alias("key"), "text").filter("text is not null and key is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("key"), "text").filter("text is not null")
     return [items.filter(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
 
 
@@ -161,8 +163,9 @@ def hit_words(spans):
 def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """Per document the words hit, the items found and the verdict.
 
-    Null texts have no words and are clean; items without words match nothing; repeated rows
-    and items count as they stand; an empty benchmark leaves all clean.
+    Null texts have no words and are clean; items without words match nothing; words of
+    items without an id are hit like any other, but such items aren't among those found;
+    repeated rows and items count as they stand; an empty benchmark leaves all clean.
     """
     rows = find_passages(docs, benchmark, width, limit).withColumn("n_hit", hit_words(F.col("spans")))
     return rows.select(

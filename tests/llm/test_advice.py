@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from gleaner.llm import langid, mixing, simhash
+from gleaner.llm import decontam, langid, mixing, simhash
 
 
 def _words(rng, n):
@@ -46,6 +46,15 @@ def test_small_sources_are_taken_to_the_word(spark):
     assert sum(r["taken"] for r in got) == pytest.approx(sum({r["source"]: r["target"] for r in got}.values()), rel=0.01)
 
 
+def test_items_without_an_id_are_found(spark):
+    passage = " ".join(_words(random.Random(8), 20))
+    docs = spark.createDataFrame([(1, passage), (2, "clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage)], "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination_report(docs, items).collect()}
+    assert got[1]["n_hit"] == 20 and got[1]["n_items"] == 0 and got[1]["contaminated"] and not got[2]["contaminated"]
+    assert [r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()] == [2]
+
+
 def test_languages_of_many_scripts_are_told_apart(monkeypatch):
     rng = random.Random(9)
     starts = {"el": 0x3B1, "ru": 0x430, "hy": 0x561, "ka": 0x10D0, "zh": 0x4E00, "ja": 0x5200, "ko": 0xAC00, "xx": 0x20000}
