@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.numbering import discard, fresh_path, materialize, ordered, prefix_sums, shared_dir
 
-__all__ = ["SPACES", "discard", "fresh_path", "let", "materialize", "ordered", "prefix_sums", "shared_dir", "small_batches", "words_of"]
+__all__ = ["SPACES", "discard", "fresh_path", "let", "materialize", "ordered", "prefix_sums", "python_batches", "shared_dir", "words_of"]
 
 SPACES = " \t\n\x0b\f\r"
+#: Bytes that Python workers get at once, the same for all operators.
+BATCH_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that very long texts don't pile up in a Python worker.
+def python_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, or one row, so that long texts don't pile up in a Python worker.
 
     Also lets Python workers find this package where the driver found it, beside what was
     shipped with the application.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, small_batches
+from gleaner.llm.common import materialize, python_batches
 
 WINDOW = 13
 #: Bytes of benchmark text in an automaton; larger benchmarks are scanned for in several.
@@ -119,7 +119,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, li
     the spans of a document are gathered by the number that its row then gets.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    python_batches(spark)
     outs = []
     passes = list(_passes(spark, benchmark, limit))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("row_id"))
@@ -184,7 +184,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     With a benchmark of several automata they are loaded one after another for each batch.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    python_batches(spark)
     parts = list(_passes(spark, benchmark, limit))
     place = docs.columns.index("text")
 

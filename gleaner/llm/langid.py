@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small_batches
+from gleaner.llm.common import python_batches
 
 #: Bounds of the training sample: documents and characters of a language.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 40_000
@@ -211,7 +211,7 @@ def _parser(broadcast) -> CrossParser:
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """doc_id, lang_pred and score of every whole text; ``und`` and 0 without a letter."""
-    small_batches(docs.sparkSession, 500)
+    python_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import random
+import re
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import discard, materialize, small_batches
+from gleaner.llm import setjoin
+from gleaner.llm.common import discard, materialize, python_batches
 from gleaner.llm.components import components
 
 RADIUS = 2
@@ -21,40 +23,43 @@ SEED = 42
 BLOCK_PIVOTS, PIVOTS = 12, 24
 #: Fingerprints that share a key up to which they are compared pair by pair in one task.
 BUCKET = 4096
-#: Shingles whose bits are unpacked at once.
-PIECE = 1 << 17
+#: Bytes of text hashed at once, shingles whose bits are unpacked at once.
+PIECE, BATCH = 1 << 20, 1 << 17
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """XXH64 (seed 42) of every shingle; of the whole sequence if it is shorter; none without words."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])[: len(words) - width + 1].tolist()
-    stops = (ends[width - 1 :] - 1).tolist()
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
-
+def shingle_hashes(text: str | None, width: int = SHINGLE):
+    """Arrays of the XXH64 (seed 42) of every shingle; of the whole sequence if it is shorter; none without words.
 
-def fingerprint_many(texts: list, width: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """The fingerprint of each text, a row of ``words`` 64-bit words: a bit is 1 if set in over half of its hashes.
-
-    The first word is over the hashes themselves, further ones over hashes of them.
+    Long texts come in pieces of about PIECE bytes, each with the last words of the one before.
     """
-    return fingerprint_hashes((shingle_hashes(t, width) for t in texts), len(texts), words)
-
+    import xxhash
 
-def fingerprint_hashes(each, n: int, words: int = 1) -> np.ndarray:
-    """The fingerprints of ``n`` arrays of hashes."""
-    ones = np.zeros((n, 64 * words), np.int64)
-    total = np.zeros(n, np.int64)
+    raw, digest = (text or "").encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest
+    carried, seen, at = [], 0, 0
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + PIECE)
+        end = cut.start() if cut else len(raw)
+        words = carried + raw[at:end].translate(_LOWER).split()
+        seen, at = seen + len(words) - len(carried), end
+        if len(words) < width:
+            carried = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate([[0], ends[:-1]])[: len(words) - width + 1].tolist()
+        stops = (ends[width - 1 :] - 1).tolist()
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+        carried = words[len(words) - width + 1 :]
+    if 0 < seen < width:
+        yield np.array([digest(b" ".join(carried), SEED)], np.uint64)
+
+
+def fingerprint_many(texts: list, width: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text: a bit is 1 if set in over half of its shingles' hashes."""
+    ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     held: list[tuple[int, np.ndarray]] = []
     waiting = 0
 
@@ -63,37 +68,28 @@ def fingerprint_hashes(each, n: int, words: int = 1) -> np.ndarray:
         if held:
             sizes = np.array([len(h) for _, h in held])
             hashes, at = np.concatenate([h for _, h in held]), np.cumsum(sizes) - sizes
-            for w in range(words):
-                bits = np.unpackbits(_rehash(hashes, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                np.add.at(ones[:, 64 * w : 64 * w + 64], [i for i, _ in held], np.add.reduceat(bits, at, axis=0, dtype=np.int32))
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            np.add.at(ones, [i for i, _ in held], np.add.reduceat(bits, at, axis=0, dtype=np.int32))
         held, waiting = [], 0
 
-    for i, hashes in enumerate(each):
-        total[i] = len(hashes)
-        for at in range(0, len(hashes), PIECE):
-            held.append((i, hashes[at : at + PIECE]))
-            waiting += len(held[-1][1])
-            if waiting >= PIECE:
+    for i, text in enumerate(texts):
+        for hashes in shingle_hashes(text, width):
+            total[i] += len(hashes)
+            held.append((i, hashes))
+            waiting += len(hashes)
+            if waiting >= BATCH:
                 flush()
     flush()
-    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64)
-
-
-def _rehash(h: np.ndarray, k: int) -> np.ndarray:
-    if not k:
-        return h
-    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long. Null texts and texts without words have 0."""
-    small_batches(docs.sparkSession, 500)
+    python_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fp = fingerprint_many(batch.column(1).to_pylist(), width).ravel().view(np.int64)
+            fp = fingerprint_many(batch.column(1).to_pylist(), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
@@ -127,18 +123,13 @@ def table_keys(fp: Column, radius: int) -> list[Column]:
 
 
 def pivot_coordinates(fps: np.ndarray) -> np.ndarray:
-    """Hamming distances of each fingerprint, a row of words, to the references."""
-    words = fps.shape[1]
-    refs = np.array(references(PIVOTS * words, 7), np.uint64).reshape(PIVOTS, words)
-    return np.stack([np.bitwise_count(fps ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1) if len(fps) else np.zeros((0, PIVOTS), np.int16)
+    """Hamming distances of each fingerprint to the references."""
+    return np.bitwise_count(fps[:, None] ^ np.array(references(PIVOTS, 7), np.uint64)[None, :]).astype(np.int16)
 
 
-def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (sorted by key) and the roots in their key that links within ``radius`` lead them to.
 
-    With ``sure``, pairs beyond that many bits but within the radius don't link; the rows of
-    such pairs come as a third array, unless links connect a pair before it is met.
-
     Row i meets row i + step of the same key, for rising steps, unless links already connect
     the two. A pair whose pivot coordinates differ by over ``radius`` anywhere is discarded;
     for the others the distance is taken. A key whose rows are all connected is done with.
@@ -147,8 +138,8 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None
     parent = np.arange(n)
     coords = pivot_coordinates(fps)
     left = np.arange(max(n - 1, 0))
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if n else left
-    group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1 if n else left
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if n else np.zeros(0, bool)
+    head, group = np.flatnonzero(new), np.cumsum(new) - 1
 
     def find(i):
         while parent[i] != i:
@@ -156,11 +147,11 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None
             i = parent[i]
         return i
 
-    step, joined = 1, False
-    doubtful = np.zeros(n, bool)
+    step = 1
     while len(left):
         left = left[left + step < n]
         left = left[keys[left] == keys[left + step]]
+        joined = False
         for at in range(0, len(left), 1 << 17):
             a = left[at : at + (1 << 17)]
             b = a + step
@@ -169,11 +160,7 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None
             for k in range(0, PIVOTS, 6):
                 near = (np.abs(coords[a, k : k + 6] - coords[b, k : k + 6]) <= radius).all(axis=1)
                 a, b = a[near], b[near]
-            bits = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
-            near = bits <= (radius if sure is None else sure)
-            if sure is not None:
-                doubt = ~near & (bits <= radius)
-                doubtful[a[doubt]] = doubtful[b[doubt]] = True
+            near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
             for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
                 i, j = find(i), find(j)
                 if i != j:
@@ -182,60 +169,10 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, sure: int | None
             while (parent[parent] != parent).any():
                 parent = parent[parent]
             open_group = np.minimum.reduceat(parent, head) != np.maximum.reduceat(parent, head)
-            left, joined = left[open_group[group[left]]], False
+            left = left[open_group[group[left]]]
         step += 1
-    while (parent[parent] != parent).any():
-        parent = parent[parent]
     moved = np.flatnonzero(parent != np.arange(n))
-    return moved, parent[moved], np.flatnonzero(doubtful)
-
-
-def doubtful_pairs(keys: np.ndarray, fps: np.ndarray, roots: np.ndarray, sure: int, radius: int, band: int, quota: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Row pairs of one key and of different roots that differ in over ``sure`` bits but within the radius.
-
-    Of each pair of roots the ``quota`` closest; also says whether there were more. A pair
-    that agrees on several bands comes with the first of them only.
-    """
-    n = len(fps)
-    pieces = fps.view(np.uint16 if band == 16 else np.uint32)
-    held: list[tuple] = []
-    more, waiting = False, 0
-
-    def prune():
-        nonlocal held, more, waiting
-        lo, hi, bits, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((b, a, bits, hi, lo))
-        lo, hi, bits, a, b = (x[order] for x in (lo, hi, bits, a, b))
-        head = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        nth = np.arange(len(lo)) - np.repeat(head, np.diff(np.concatenate([head, [len(lo)]])))
-        kept = nth < quota
-        more |= not kept.all()
-        held = [tuple(x[kept] for x in (lo, hi, bits, a, b))]
-        waiting = 0
-
-    left, step = np.arange(max(n - 1, 0)), 1
-    while len(left):
-        left = left[left + step < n]
-        left = left[keys[left] == keys[left + step]]
-        for at in range(0, len(left), 1 << 17):
-            a = left[at : at + (1 << 17)]
-            b = a + step
-            apart = roots[a] != roots[b]
-            a, b = a[apart], b[apart]
-            bits = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
-            near = (bits <= radius) & (bits > sure)
-            a, b, bits = a[near], b[near], bits[near]
-            first = (pieces[a] == pieces[b]).argmax(axis=1) == keys[a] >> band
-            a, b, bits = a[first], b[first], bits[first]
-            held.append((np.minimum(roots[a], roots[b]), np.maximum(roots[a], roots[b]), bits, a, b))
-            waiting += len(a)
-            if waiting > 1 << 19:
-                prune()
-        step += 1
-    if not held:
-        return left, left, False
-    prune()
-    return held[0][3], held[0][4], more
+    return moved, parent[moved]
 
 
 def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
@@ -243,7 +180,7 @@ def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
         kept_k, kept_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def link(k, f):
-            a, b, _ = near_pairs(k, f[:, None], radius)
+            a, b = near_pairs(k, f, radius)
             return pa.RecordBatch.from_arrays([pa.array(f[a].view(np.int64)), pa.array(f[b].view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -313,188 +250,32 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the near-duplicate filter: words of a shingle, similarity, 64-bit words of its fingerprints, bits of a band.
-FILTER_SHINGLE, SIMILARITY, WORDS, BAND = 5, 0.8, 8, 16
-
-
-def radius_for(similarity: float, bits: int, spread: float = 1.0) -> int:
-    """Differing bits to expect of texts whose shingle sets of equal size have a Jaccard ``similarity``, and ``spread`` deviations more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + spread * math.sqrt(bits * p * (1 - p)))
-
-
-def wide_prints(docs: DataFrame, width: int = FILTER_SHINGLE, words: int = WORDS) -> DataFrame:
-    """row, place, node and fp of ``docs`` (row, doc_id, text).
-
-    node is a hash of the text's set of shingles, fp the set's fingerprint of ``words`` 64-bit
-    words as binary; place orders rows by doc_id, null last, then by text and row.
-    """
-    small_batches(docs.sparkSession, 500)
-
-    def run(batches):
-        import xxhash
-
-        for batch in batches:
-            nodes = []
-
-            def sets(texts, nodes=nodes):
-                for text in texts:
-                    hashes = np.unique(shingle_hashes(text, width))
-                    nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                    yield hashes
-
-            fp = fingerprint_hashes(sets(batch.column(2).to_pylist()), batch.num_rows, words)
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), node, pa.array([r.tobytes() for r in fp], pa.binary())], ["row", "doc_id", "hash", "node", "fp"])
-
-    rows = docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
-    out = rows.mapInArrow(run, "row long, doc_id long, hash long, node long, fp binary")
-    return out.select("row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "row").alias("place"), "node", "fp")
-
-
-def _by_band(nodes: DataFrame, words: int, band: int, solve, schema: str) -> DataFrame:
-    """``solve(keys, nodes, roots, fps)`` over the rows of each band's keys; ``nodes`` has node, root, fp."""
-
-    def spread(batches):
-        for batch in batches:
-            fps = np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]).reshape(-1, words)
-            pieces = fps.view(np.uint16 if band == 16 else np.uint32)
-            n, m = pieces.shape
-            # within a band all distances to its references follow from its bits, and the bits from them
-            keys = (np.arange(m, dtype=np.int64)[None, :] << band) | pieces
-            at = pa.array(np.repeat(np.arange(n), m))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(batch.column(i).take(at) for i in range(3))], ["key", "node", "root", "fp"])
-
-    def run(batches):
-        kept = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros((0, words), np.uint64))
-        for batch in batches:
-            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            got.append(np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]).reshape(-1, words))
-            rows = [np.concatenate(x) for x in zip(kept, got, strict=True)]
-            end = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last key may go on
-            if end:
-                yield solve(*(x[:end] for x in rows))
-            kept = tuple(x[end:] for x in rows)
-        if len(kept[0]):
-            yield solve(*kept)
-
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("node", "root", "fp").mapInArrow(spread, "key long, node long, root long, fp binary")
-    return rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
-
-
-def _wide_links(nodes: DataFrame, radius: int, sure: int, words: int, band: int) -> DataFrame:
-    """(a, b): links of at most ``sure`` bits, up to connection; and (a, null) for nodes with a doubtful partner."""
-
-    def solve(keys, node, _, fps):
-        a, b, doubt = near_pairs(keys, fps, radius, sure)
-        doubt = np.unique(node[doubt])
-        other = pa.concat_arrays([pa.array(node[b]), pa.nulls(len(doubt), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[a], doubt])), other], ["a", "b"])
-
-    return _by_band(nodes, words, band, solve, "a long, b long")
-
-
-def _wide_doubts(nodes: DataFrame, radius: int, sure: int, words: int, band: int, quota: int) -> DataFrame:
-    """(a, b): the ``quota`` closest doubtful pairs of each two roots that meet in a key; nulls if there are more."""
+#: Of the near-duplicate filter: words of a shingle, similarity.
+FILTER_SHINGLE, SIMILARITY = 5, 0.8
 
-    def solve(keys, node, root, fps):
-        a, b, more = doubtful_pairs(keys, np.ascontiguousarray(fps), root, sure, radius, band, quota)
-        x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-        mark = pa.nulls(int(more), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), mark]), pa.concat_arrays([pa.array(y), mark])], ["a", "b"])
 
-    return _by_band(nodes, words, band, solve, "a long, b long")
-
-
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the distinct shingle hashes of (node, text), sorted, as binary."""
-
-    def run(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    return rows.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, shingles binary")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those whose shingle sets have at least the Jaccard similarity."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(both >= similarity * (len(u) + len(v) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = FILTER_SHINGLE, words: int = WORDS, band: int = BAND, doubt: float = 2.5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = FILTER_SHINGLE, crowd: int = setjoin.CROWD) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near copies.
 
+    Near copies are texts whose sets of ``width``-word shingles have a Jaccard similarity of at
+    least ``similarity``; groups are what chains of them connect. All such pairs are found (see
+    setjoin): bits of a majority can't prove a similarity of 0.8, so the fingerprints here have
+    a bit of parity for each class of shingles, to which distance tables and exact checks apply.
+
     Groups are of rows: different texts that share a doc_id or have none are documents of their
     own. A null doc_id comes after all others; of rows with the same one, the text's hash decides.
-
-    Texts of equal shingle sets are one node; a repeated shingle counts once in sets and
-    fingerprints. No two nodes count as similar before their sets have been compared.
-    Fingerprints of 512 bits only propose pairs: two that agree on one of their 32 bands and
-    differ in so few bits that similarity is all but sure are presumed linked, and each node is
-    compared with the root of its presumed group, then with its own partners. What that leaves
-    apart, and pairs within ``doubt`` deviations of what texts of the wanted similarity have,
-    are compared for the closest pair of every two groups first, then for the 8 closest and at
-    last for all of those that are still apart; so a large group is joined by few comparisons.
-    Of texts as similar as 0.9, 998 in 1000 pairs share a band; at 0.8 it is 9 in 10. Texts
-    without words are copies of each other.
+    Texts of equal shingle sets are one node; a repeated shingle counts once. Texts without
+    words are copies of each other. An empty table gives no rows; other columns don't matter.
     """
-    spark = docs.sparkSession
-    rows = materialize(docs.withColumn("__near_row", F.monotonically_increasing_id()), "wide-rows")
+    t = Fraction(str(similarity))
+    rows = materialize(docs.withColumn("__near_row", F.monotonically_increasing_id()), "near-rows")
     texts = rows.select(F.col("__near_row").alias("row"), "doc_id", "text")
-    prints = wide_prints(texts, width, words)
-    nodes = materialize(prints.groupBy("node").agg(F.min("place").alias("least"), F.min("fp").alias("fp")), "wide-nodes")
-    bits = 64 * words
-    small_batches(spark, 5000)
-    sure, radius = radius_for(similarity, bits, -doubt), radius_for(similarity, bits, doubt)
-    links = materialize(_wide_links(nodes.withColumn("root", F.col("node")), radius, sure, words, band), "wide-links")
-    presumed = links.filter("b is not null").distinct()
-    groups = components(presumed)
-    wanted = links.filter("b is null").select(F.col("a").alias("node")).unionAll(groups.select("node")).distinct()
-    texts = texts.join(nodes.join(wanted, "node").select("node", F.col("least.row").alias("row")), "row")
-    small_batches(spark, 500)
-    sets = materialize(shingle_sets(texts, width), "wide-sets")
-    with_root = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = materialize(_similar(with_root, sets, similarity), "wide-verified")
-    failed = materialize(with_root.join(found, "a", "left_anti"), "wide-failed")
-    doubted = links.filter("b is null").select(F.col("a").alias("node"))
-    if failed.limit(1).count():
-        own = presumed.join(failed.select("a"), "a", "left_semi").join(with_root, ["a", "b"], "left_anti")
-        found = materialize(found.unionAll(_similar(own, sets, similarity)), "wide-verified")
-        # pairs of a group that was presumed one weren't marked as doubtful
-        split = groups.join(failed.select(F.col("b").alias("root")).distinct(), "root", "left_semi")
-        doubted = doubted.unionAll(split.select("node"))
-    open_nodes = materialize(doubted.distinct().join(nodes, "node"), "wide-open")
-    roots = components(found)
-    done, quota = None, 1
-    while True:
-        small_batches(spark, 5000)
-        at = open_nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
-        met = materialize(_wide_doubts(at, radius, -1, words, band, quota), "wide-doubts")
-        pairs = met.filter("a is not null").distinct()
-        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        small_batches(spark, 500)
-        good = materialize(_similar(pairs, sets, similarity), "wide-similar")
-        if good.limit(1).count():
-            found = found.unionAll(good)
-            roots = components(found)
-        if not met.filter("a is null").limit(1).count():
-            break
-        seen = met.filter("a is not null").distinct()
-        done, quota = seen if done is None else done.unionAll(seen).distinct(), 8 if quota == 1 else 1 << 62
-    placed = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    facts = materialize(setjoin.described(texts, width, t), "near-facts")
+    nodes = facts.groupBy("node").agg(F.min("place").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"))
+    nodes = materialize(nodes, "near-nodes")
+    discard(facts)
+    named = texts.join(nodes.select("node", F.col("least.row").alias("row")), "row").select("node", "text")
+    roots = setjoin.similar_groups(nodes.select("node", "n", "fp", "prefix"), named, width, similarity, crowd)
+    placed = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("least").alias("_keep")).select(F.col("_keep.row").alias("__near_row"))
     return rows.join(kept, "__near_row", "left_semi").select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, ordered, prefix_sums, small_batches
+from gleaner.llm.common import materialize, ordered, prefix_sums, python_batches
 
 LENGTH = 100
 KGRAM = 32
@@ -414,11 +414,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(rid, start, stop): byte ranges of ``rows`` (rid, text) to be removed; they may overlap."""
     spark = rows.sparkSession
-    small_batches(spark, 500)
+    python_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     filed = _filed(rows.select("rid", "text"), n, length)
     parts = materialize(_sifted(filed.repartitionById(n, F.col("bucket")), length, crowd), "suffix-parts")
-    small_batches(spark, 4096)
+    python_batches(spark)
     found = materialize(_sorted_repeats(_fetched(rows, parts.filter("mh is not null"), length), n, length), "suffix-found")
     return parts.filter("mh is null").unionAll(found).select("rid", "start", "stop")
 
@@ -437,7 +437,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     """
     rows = _numbered(docs)
     spans = repeated_spans(rows, length, crowd).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("want"))  # those of one document
-    small_batches(docs.sparkSession, 500)
+    python_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import fresh_path, materialize, small_batches
+from gleaner.llm.common import fresh_path, materialize, python_batches
 
 MAGIC = b"EFTK"
 SAMPLE = 256
@@ -213,7 +213,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     Only Spark's own writer touches the target: a file is one value, written as it is.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    python_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def encode(batches):
@@ -261,9 +261,9 @@ def read_token_files(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*full, pa.array(f.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    small_batches(spark, 1)
+    python_batches(spark)
     rows = materialize(raw.mapInArrow(decode, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
-    small_batches(spark, 500)
+    python_batches(spark)
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
     parts = files.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(before("part")), F.lit(0)).alias("_part_at"))

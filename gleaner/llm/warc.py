@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import fresh_path, materialize, small_batches
+from gleaner.llm.common import fresh_path, materialize, python_batches
 
 #: Uncompressed bytes in an archive file, after which the next record starts a new one.
 ARCHIVE_BYTES = 8 << 20
@@ -214,7 +214,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_by
     A file is one value of Spark's text writer, whose closing line is an empty gzip member.
     """
     spark = pages.sparkSession
-    small_batches(spark, 256)
+    python_batches(spark)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     heads = materialize(_heads(pages), "warc-heads")
     first = F.struct("page_id", "record_id", "uri", "date")
@@ -266,10 +266,10 @@ def read_archives(spark, path: str) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers"])
 
-    small_batches(spark, 1)
+    python_batches(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     out = materialize(raw.mapInArrow(run, "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers string"), "warc-rows")
-    small_batches(spark, 256)
+    python_batches(spark)
     return out
 
 

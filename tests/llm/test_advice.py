@@ -19,16 +19,6 @@ def test_texts_that_share_a_repeated_phrase_only_are_no_near_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(12))
 
 
-def test_presumed_links_are_compared_and_the_rest_of_their_group_too(spark, monkeypatch):
-    """With every distance taken as sure, texts that share a band are presumed copies."""
-    monkeypatch.setattr(simhash, "radius_for", lambda *_: 64)
-    rng = random.Random(6)
-    common, own = _words(rng, 60), [_words(rng, 40) for _ in range(3)]
-    texts = [" ".join([*common, *w]) for w in own] + [" ".join([*common, *own[1][:-1], "end"])]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs, words=1).collect()) == [0, 1, 2]
-
-
 def test_rows_without_or_with_the_same_doc_id_are_documents_of_their_own(spark):
     rng = random.Random(7)
     a, b, c, d, e = (" ".join(_words(rng, 30)) for _ in range(5))
