@@ -18,15 +18,16 @@ all, then, between groups that are still apart, the closest pairs of each set an
 
 from __future__ import annotations
 
-import re
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import discard, materialize, python_batches
+from gleaner.llm.common import discard, materialize
 from gleaner.llm.components import components
 
 BITS = 1024
@@ -34,53 +35,87 @@ BITS = 1024
 CROWD, CROWDS = 256, 1 << 20
 #: Rows of a list from which on pivots are used, and how many.
 LONG, PIVOTS = 64, 8
-#: Bytes of text split into words at once, pairs compared at once.
-PIECE, PAIRS = 1 << 20, 1 << 16
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 20
+#: Pairs compared at once, bits of the map of nodes whose sets are wanted.
+PAIRS, MAP_BITS = 1 << 16, 1 << 23
+#: Bytes of words hashed at once.
+PIECE = 1 << 20
 
-_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], np.uint64)
 
 
-class _Words(dict):
-    def __missing__(self, word):
-        import xxhash
+_SOLID = np.array([b != 0x20 and not 9 <= b <= 0x0D for b in range(256)])
 
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
 
+@lru_cache(1)
+def _powers(n: int) -> np.ndarray:
+    p = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
-_WORDS = _Words()
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word, A-Z lower-cased; long texts are split piece by piece."""
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    out, at = [], 0
-    while at < len(raw):
-        cut = _BLANK.search(raw, at + PIECE)
-        end = cut.start() if cut else len(raw)
-        words = raw[at:end].translate(_LOWER).split()
-        out.append(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of all texts, A-Z lower-cased, and the number of words of each.
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The distinct hashes of all runs of ``width`` words, rising; of the whole text if it is shorter."""
-    words = word_hashes(text)
-    n = min(width, len(words))
-    if not n:
-        return words
-    h = np.full(len(words) - n + 1, n, np.uint64)
-    for k in range(n):
-        h += words[k : len(words) - n + 1 + k] * _ODD[k]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(h ^ (h >> np.uint64(29)))
+    A word's hash is its bytes times powers of a number, summed up and mixed.
+    """
+    low = pc.ascii_lower(pc.fill_null(texts, ""))
+    _, offsets, raw = low.buffers()
+    cuts = np.frombuffer(offsets, np.int32, len(low) + 1, 4 * low.offset).astype(np.int64)
+    data = np.frombuffer(raw, np.uint8)[: cuts[-1]] if raw else np.zeros(0, np.uint8)
+    solid = _SOLID[data]
+    follows = np.zeros(len(data) + 1, bool)
+    follows[1:] = solid
+    follows[cuts] = False
+    starts = np.flatnonzero(solid & ~follows[:-1])
+    leads = np.zeros(len(data) + 1, bool)
+    leads[:-1] = solid
+    leads[cuts] = False
+    ends = np.flatnonzero(solid & ~leads[1:]) + 1
+    lengths = ends - starts
+    power = _powers(1 << max(10, int(lengths.max(initial=1)).bit_length()))
+    total, out, i = np.cumsum(lengths), np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + PIECE)))
+        size = lengths[i:j]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        out[i:j] = np.add.reduceat((data[np.repeat(starts[i:j], size) + place] + np.uint64(1)) * power[place], first)
+        i = j
+    return _mixed(out + lengths.astype(np.uint64)), np.diff(np.searchsorted(starts, cuts))
+
+
+def _sorted(h: np.ndarray) -> np.ndarray:
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h
+
+
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """For each text the distinct hashes of all runs of ``width`` words, rising; of the whole text if it is shorter."""
+    words, sizes = word_hashes(texts)
+    ends = np.cumsum(sizes)
+    runs = np.full(max(len(words) - width + 1, 0), width, np.uint64)
+    for k in range(width):
+        runs += words[k : k + len(runs)] * _ODD[k]
+    out = []
+    for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        if n >= width:
+            h = runs[end - n : end - width + 1]
+        else:
+            h = np.array([np.uint64(n) + (words[end - n : end] * _ODD[:n]).sum(dtype=np.uint64)], np.uint64)[: min(n, 1)]
+        out.append(_sorted(_mixed(h)))
+    return out
+
+
+def names_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64)
 
 
 def prefix_length(n: int, t: Fraction) -> int:
@@ -103,122 +138,113 @@ def _longs(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64), _WORD)
 
 
-def described(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """row, place, node, n, fp and prefix of ``docs`` (row, doc_id, text).
+def _pieces(batch: pa.RecordBatch):
+    for at in range(0, batch.num_rows, 256):
+        yield batch.slice(at, 256)
+
 
-    node is a hash of the set, prefix its smallest elements; place orders rows by doc_id, null
-    last, then by the text's hash and row.
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """place, node, n and fp of ``docs`` (row, doc_id, text).
+
+    node is a hash of the set, n its size; place orders rows by doc_id, null last, then by the
+    text's hash and row.
     """
-    python_batches(docs.sparkSession)
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [shingle_set(x, width) for x in part.column(2).to_pylist()]
-                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64)
-                first = [s[: prefix_length(len(s), t)].tobytes() for s in sets]
+            for part in _pieces(batch):
+                sets = shingle_sets(part.column(2), width)
                 fp = [x.tobytes() for x in set_fingerprints(sets)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(3), _longs(nodes), pa.array([len(s) for s in sets], _WORD), pa.array(fp, pa.binary()), pa.array(first, pa.binary())],
-                    ["row", "doc_id", "hash", "node", "n", "fp", "prefix"],
-                )
+                facts = [_longs(names_of(sets)), pa.array([len(s) for s in sets], _WORD), pa.array(fp, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *facts], ["row", "doc_id", "hash", "node", "n", "fp"])
 
     rows = docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
-    out = rows.mapInArrow(run, "row long, doc_id long, hash long, node long, n long, fp binary, prefix binary")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "row").alias("place")
-    return out.select("row", place, "node", "n", "fp", "prefix")
-
-
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the whole sets of (node, text), as binary."""
-    python_batches(rows.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    return rows.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, shingles binary")
+    out = rows.mapInArrow(run, "row long, doc_id long, hash long, node long, n long, fp binary")
+    return out.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "row").alias("place"), "node", "n", "fp")
 
 
-def _postings(nodes: DataFrame) -> DataFrame:
-    """(token, node) from (node, prefix)."""
+def _hits(late: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
-                owner = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
-                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), part.column(0).take(pa.array(owner))], ["token", "node"])
 
-    return nodes.select("node", "prefix").mapInArrow(run, "token long, node long")
+def postings(texts: DataFrame, width: int, t: Fraction, late: np.ndarray, before: np.ndarray | None = None) -> DataFrame:
+    """Distinct (token, node) for the prefixes of the texts' sets, in the order by hash but ``late`` elements last.
 
-
-def _late(sets: DataFrame, common, t: Fraction) -> DataFrame:
-    """(node, prefix) of (node, shingles), with the elements in the sorted array ``common`` put last."""
+    With ``before``, an earlier state of ``late``, only of sets whose prefix has changed since.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((late, before))  # 8 bytes for each of few times CROWDS at most
 
     def run(batches):
-        late = common.value
+        late, before = shared.value
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                hit = late[at] == s
-                out.append(np.concatenate([s[~hit], s[hit]])[: prefix_length(len(s), t)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "prefix"])
-
-    return sets.mapInArrow(run, "node long, prefix binary")
-
-
-def prefixes(nodes: DataFrame, texts: DataFrame, width: int, t: Fraction, crowd: int, rounds: int = 4) -> DataFrame:
-    """(node, prefix) in an order that puts shingles last which over ``crowd`` sets begin with.
-
-    Any order gives a complete search; a few rounds find the shingles that come to the fore
-    when others go. ``crowd`` rises with the number of shingles, so at most CROWDS are found a round.
+            for part in _pieces(batch):
+                sets = shingle_sets(part.column(0), width)
+                nodes, tokens = names_of(sets), []
+                for s in sets:
+                    n, hit = prefix_length(len(s), t), _hits(late, s)
+                    if before is not None:
+                        old = _hits(before, s)
+                        if not hit[np.concatenate([np.flatnonzero(~old), np.flatnonzero(old)])[:n]].any():
+                            n = 0
+                    tokens.append(np.concatenate([s[~hit][:n], s[hit][: max(n - len(s) + int(hit.sum()), 0)]]) if hit.any() else s[:n])
+                owner = np.repeat(nodes, [len(x) for x in tokens])
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), _longs(owner)], ["token", "node"])
+
+    rows = texts.select(F.col("text").cast("string")).mapInArrow(run, "token long, node long")
+    return rows.repartition("token").dropDuplicates(["token", "node"])
+
+
+def common_tokens(texts: DataFrame, width: int, t: Fraction, crowd: int, total: int, rounds: int = 4) -> np.ndarray:
+    """Shingles that over ``crowd`` sets begin with, to be put last; found in a few rounds, as others come to the fore.
+
+    Any order gives a complete search, this one keeps lists short. ``crowd`` rises with the
+    ``total`` of prefix elements, so that a round finds at most CROWDS.
     """
-    spark = nodes.sparkSession
-    total = nodes.agg(F.sum(F.octet_length("prefix")).alias("b")).first()["b"] or 0
-    crowd = max(crowd, -(-total // (8 * CROWDS)))
-    late, sets, done = np.zeros(0, np.uint64), None, nodes.select("node", "prefix")
+    crowd, late, before = max(crowd, -(-total // CROWDS)), np.zeros(0, np.uint64), None
     for _ in range(rounds):
-        counts = _postings(done if sets is None else moved).groupBy("token").count().filter(F.col("count") > crowd)
+        counts = postings(texts, width, t, late, before).groupBy("token").count().filter(F.col("count") > crowd)
         found = counts.select("token").toArrow().column(0).to_numpy().view(np.uint64)  # at most CROWDS
-        fresh = np.setdiff1d(found, late)
-        if not len(fresh):
+        before, late = late, np.union1d(late, found)
+        if len(late) == len(before):
             break
-        late = np.union1d(late, fresh)
-        common = spark.sparkContext.broadcast(late)
-        if sets is None:
-            sets = materialize(shingle_sets(texts.join(_touched(nodes, common), "node"), width), "near-common")
-        moved = materialize(_late(sets, common, t), "near-prefix")
-    return done if sets is None else done.join(moved.select("node"), "node", "left_anti").unionAll(moved)
+    return late
+
+
+def shared_lists(pairs: DataFrame) -> DataFrame:
+    """(list, node): the sets that have a prefix shingle in common; a list's name is a hash of its members."""
+    same = Window.partitionBy("token")  # buffered rows spill
+    rows = pairs.withColumns({"m": F.count("*").over(same), "list": F.bit_xor(F.xxhash64("node")).over(same)})
+    return rows.filter("m > 1").select("list", "node").distinct()
+
 
+def sets_of(texts: DataFrame, live: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the whole sets, as binary, of the nodes in ``live`` (node), from (row, text).
 
-def _touched(nodes: DataFrame, common) -> DataFrame:
-    """(node) of those whose prefix has an element of the sorted array ``common``."""
+    A bitmap of hashed nodes, of MAP_BITS whatever their number, spares most other texts the
+    way through the shuffle; the join decides.
+    """
+    slot = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
+    words = live.select(slot.alias("s")).select(F.shiftright("s", 5).alias("w"), F.expr("shiftleft(1L, cast(s & 31 as int))").alias("b"))
+    marks = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most MAP_BITS / 32 rows
+    bits = np.zeros(MAP_BITS // 32, np.uint32)
+    bits[marks.column(0).to_numpy()] = marks.column(1).to_numpy().astype(np.uint32)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        late = common.value
         for batch in batches:
-            hit = []
-            for x in batch.column(1):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                hit.append(bool((late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s).any()))
-            yield batch.select([0]).filter(pa.array(hit, pa.bool_()))
-
-    return nodes.select("node", "prefix").mapInArrow(run, "node long")
+            for part in _pieces(batch):
+                sets = shingle_sets(part.column(0), width)
+                nodes = names_of(sets)
+                yield pa.RecordBatch.from_arrays([_longs(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
+    def marked(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            yield batch.select([1, 2]).filter(pa.array(shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1))
 
-def shared_lists(firsts: DataFrame) -> DataFrame:
-    """(list, node): the sets that have a prefix shingle in common; a list's name is a hash of its members."""
-    same = Window.partitionBy("token")  # buffered rows spill
-    rows = _postings(firsts).withColumns({"m": F.count("*").over(same), "list": F.bit_xor(F.xxhash64("node")).over(same)})
-    return rows.filter("m > 1").select("list", "node").distinct()
+    sets = texts.select(F.col("text").cast("string")).mapInArrow(run, "node long, shingles binary")
+    near = sets.select(slot.alias("slot"), "node", "shingles").mapInArrow(marked, "node long, shingles binary")
+    return near.join(live, "node", "left_semi").dropDuplicates(["node"])
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -384,16 +410,16 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, crowd: int = CROWD) -> DataFrame:
     """(node, root) of the sets that a chain of similar ones connects with another.
 
-    ``nodes`` has node, n, fp and prefix of every different set, ``texts`` (node, text) a text
-    of each.
+    ``nodes`` has node, n and fp of every different set, ``texts`` the column text.
     """
     t = Fraction(str(similarity))
-    python_batches(nodes.sparkSession)
-    lists = materialize(shared_lists(prefixes(nodes, texts, width, t, crowd)), "near-lists")
+    total = nodes.agg(F.sum(F.col("n") * float(1 - t) + 1).alias("p")).first()["p"] or 0
+    late = common_tokens(texts, width, t, crowd, int(total))
+    lists = materialize(shared_lists(postings(texts, width, t, late)), "near-lists")
     facts = nodes.select("node", "n", "fp")
     links = materialize(_first_links(lists.join(facts, "node"), t), "near-links")
     live = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(shingle_sets(texts.join(live, "node"), width), "near-sets")
+    sets = materialize(sets_of(texts, live, width), "near-sets")
     found = materialize(similar_pairs(links, sets, t), "near-found")
     roots = components(found)
     met = materialize(lists.join(live, "node").join(facts, "node"), "near-met")

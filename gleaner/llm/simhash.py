@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 import re
-from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -267,15 +266,11 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width:
     Texts of equal shingle sets are one node; a repeated shingle counts once. Texts without
     words are copies of each other. An empty table gives no rows; other columns don't matter.
     """
-    t = Fraction(str(similarity))
+    python_batches(docs.sparkSession)
     rows = materialize(docs.withColumn("__near_row", F.monotonically_increasing_id()), "near-rows")
-    texts = rows.select(F.col("__near_row").alias("row"), "doc_id", "text")
-    facts = materialize(setjoin.described(texts, width, t), "near-facts")
-    nodes = facts.groupBy("node").agg(F.min("place").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"))
-    nodes = materialize(nodes, "near-nodes")
-    discard(facts)
-    named = texts.join(nodes.select("node", F.col("least.row").alias("row")), "row").select("node", "text")
-    roots = setjoin.similar_groups(nodes.select("node", "n", "fp", "prefix"), named, width, similarity, crowd)
+    facts = setjoin.described(rows.select(F.col("__near_row").alias("row"), "doc_id", "text"), width)
+    nodes = materialize(facts.groupBy("node").agg(F.min("place").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp")), "near-nodes")
+    roots = setjoin.similar_groups(nodes.select("node", "n", "fp"), rows.select("text"), width, similarity, crowd)
     placed = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("least").alias("_keep")).select(F.col("_keep.row").alias("__near_row"))
     return rows.join(kept, "__near_row", "left_semi").select(*docs.columns)

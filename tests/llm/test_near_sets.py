@@ -71,13 +71,17 @@ def test_fingerprints_never_discard_what_is_similar():
                 assert len(np.intersect1d(a[: setjoin.prefix_length(len(a), T)], b[: setjoin.prefix_length(len(b), T)]))
 
 
-def test_long_texts_are_hashed_piece_by_piece(monkeypatch):
+def test_shingles_and_pieces(monkeypatch):
+    import pyarrow as pa
+
     rng = random.Random(5)
     text = " \n".join(words(rng, 3000))
-    whole, prints = setjoin.shingle_set(text, 5), simhash.fingerprint_many([text, "one two", "a b c", "", None])
-    monkeypatch.setattr(setjoin, "PIECE", 100)
+    texts = [text, None, "", " \t\x0b\f\r\n", "One  two\x1fthree four FIVE", " one two\x1fthree\nfour five ", "a b", text.upper() + " ", "b a", "\u00a0 \u2003x"]
+    sets = setjoin.shingle_sets(pa.array(texts, pa.string()), 5)
+    assert [len(s) for s in sets] == [2996, 0, 0, 0, 1, 1, 1, 2996, 1, 1]
+    assert (sets[0] == sets[7]).all() and (sets[6] != sets[8]).all()
+    prints = simhash.fingerprint_many([text, "one two", "a b c", "", None])
     monkeypatch.setattr(simhash, "PIECE", 10)
-    assert len(whole) == 2996 and (setjoin.shingle_set(text, 5) == whole).all()
     assert (simhash.fingerprint_many([text, "one two", "a b c", "", None]) == prints).all()
 
 
