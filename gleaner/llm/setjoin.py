@@ -6,11 +6,13 @@ meet in the lists of these shingles only. The order is by hash, but shingles tha
 sets begin with come last, so that a passage shared by many texts doesn't make them meet.
 Lists of the same sets are one list.
 
-Fingerprints. A set's fingerprint has a bit for each of 1,024 classes of shingles: whether it
+Fingerprints. A set's fingerprint has a bit for each of some classes of shingles: whether it
 holds an odd number of them. Two fingerprints differ in at most as many bits as the sets have
 different shingles, which is at most (1 - t) / (1 + t) of both sizes together for a similarity
 of t: the discarded pairs are none of the wanted. In long lists a table of distances to some
 fingerprints of the list (pivots) discards most pairs by a coordinate's difference first.
+Larger sets have longer fingerprints: tiers of sizes overlap so far that every two sets of
+similar size have one in common.
 
 Verification. What is left is compared shingle by shingle: first as many pairs as would connect
 all, then, between groups that are still apart, the closest pairs of each set and at last all.
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import discard, materialize
 from gleaner.llm.components import components
 
-BITS = 1024
+#: Bits of fingerprints of the first tier, the largest sets in it, and how much both grow from tier to tier.
+BITS, LARGEST, GROWTH = 1024, 1536, 4
 #: Sets that begin with a shingle from which on it is put last, and the most of such shingles that are broadcast.
 CROWD, CROWDS = 256, 1 << 20
 #: Rows of a list from which on pivots are used, and how many.
@@ -123,12 +126,19 @@ def prefix_length(n: int, t: Fraction) -> int:
     return n - -(-t.numerator * n // t.denominator) + 1 if n else 0
 
 
-def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows of BITS / 64 words: the parity of the number of elements in each class of hashes."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = (np.concatenate(sets) & np.uint64(BITS - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
-    odd = (np.bincount(owner * BITS + at, minlength=len(sets) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
-    return np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
+def tiers_of(n: int, t: Fraction) -> list[int]:
+    """The tiers that sets of size n are in: of two sets as similar as t the larger one's lowest is one of the other's."""
+    low = 0
+    while n > LARGEST * GROWTH**low:
+        low += 1
+    above = n * t.denominator > t.numerator * LARGEST * GROWTH**low
+    return [low, low + 1] if above else [low]
+
+
+def set_fingerprint(s: np.ndarray, bits: int) -> np.ndarray:
+    """bits / 64 words: the parity of the number of elements in each class of hashes."""
+    odd = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
 _WORD = pa.int64()
@@ -143,18 +153,18 @@ def _pieces(batch: pa.RecordBatch):
         yield batch.slice(at, 256)
 
 
-def described(docs: DataFrame, width: int) -> DataFrame:
+def described(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
     """place, node, n and fp of ``docs`` (row, doc_id, text).
 
-    node is a hash of the set, n its size; place orders rows by doc_id, null last, then by the
-    text's hash and row.
+    node is a hash of the set, n its size, fp the fingerprint in its highest tier; place orders
+    rows by doc_id, null last, then by the text's hash and row.
     """
 
     def run(batches):
         for batch in batches:
             for part in _pieces(batch):
                 sets = shingle_sets(part.column(2), width)
-                fp = [x.tobytes() for x in set_fingerprints(sets)]
+                fp = [set_fingerprint(s, BITS * GROWTH ** tiers_of(len(s), t)[-1]).tobytes() for s in sets]
                 facts = [_longs(names_of(sets)), pa.array([len(s) for s in sets], _WORD), pa.array(fp, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *facts], ["row", "doc_id", "hash", "node", "n", "fp"])
 
@@ -339,26 +349,50 @@ def open_pairs(lists: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarr
     return np.concatenate(firsts), np.concatenate(seconds), more
 
 
-def _whole_lists(batches, columns: int):
-    """Arrays of the columns, cut so that no list goes on in the next ones."""
-    held: list[list[np.ndarray]] = []
+def tiered(nodes: DataFrame, t: Fraction) -> DataFrame:
+    """(node, n, tier, fp) for each tier of (node, n, fp); a shorter fingerprint is the longer one folded."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for node, n, fp in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                low, *high = tiers_of(n, t)
+                if high:
+                    out.append((node, n, high[0], fp))
+                    fp = np.bitwise_xor.reduce(np.frombuffer(fp, np.uint64).reshape(GROWTH, -1)).tobytes()
+                out.append((node, n, low, fp))
+            kinds = (_WORD, _WORD, _WORD, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["node", "n", "tier", "fp"])
+
+    return nodes.select("node", "n", "fp").mapInArrow(run, "node long, n long, tier long, fp binary")
+
+
+def _whole_lists(batches):
+    """Arrays of the columns, from batches sorted by tier and list, cut so that neither goes on in the next ones."""
+    held: list[list] = []
 
     def joined():
-        return [np.concatenate(x) for x in zip(*held, strict=True)]
+        words = BITS * GROWTH ** int(held[0][0][0]) // 64
+        rows = [np.concatenate(x) for x in zip(*(h[1:-1] for h in held), strict=True)]
+        return [*rows, np.frombuffer(b"".join(x.as_buffer() for h in held for x in h[-1]), np.uint64).reshape(-1, words)]
 
     for batch in batches:
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        rows.append(np.frombuffer(b"".join(x.as_buffer() for x in batch.column(columns)), np.uint64).reshape(-1, BITS // 64))
-        if not len(rows[0]):
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
+        if not batch.num_rows:
             continue
-        end = int(np.searchsorted(rows[0], rows[0][-1]))  # the last list may go on
-        if held and (end or rows[0][0] != held[-1][0][-1]):
-            held.append([x[:end] for x in rows])
+        new = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
+        change = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), batch.num_rows]
+        last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+        if held and (held[-1][0][-1], held[-1][1][-1]) != (rows[0][0], rows[1][0]):
             yield joined()
             held = []
-        elif end:
-            yield [x[:end] for x in rows]
-        held.append([x[end:] for x in rows])
+        for a, b in zip(change[:-1], change[1:], strict=True):
+            for c, d in ((a, min(b, last)), (max(a, last), b)):  # the last list may go on
+                if c < d:
+                    held.append([*(x[c:d] for x in rows), batch.column(batch.num_columns - 1).slice(c, d - c)])
+                    if d <= last:
+                        yield joined()
+                        held = []
     if held:
         yield joined()
 
@@ -369,25 +403,27 @@ def _pairs_of(a: np.ndarray, b: np.ndarray, more: bool = False) -> pa.RecordBatc
 
 
 def _first_links(rows: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b) from (list, node, n, fp): presumed links, enough to connect all that may be similar in a list."""
+    """(a, b) from (list, node, n, tier, fp): presumed links, enough to connect all that may be similar in a list."""
 
     def run(batches):
-        for lists, node, n, fps in _whole_lists(batches, 3):
+        for lists, node, n, fps in _whole_lists(batches):
             a, b = candidate_links(lists, n, fps, t)
             yield _pairs_of(node[a], node[b])
 
-    return rows.select("list", "node", "n", "fp").repartition("list").sortWithinPartitions("list", "node").mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.select("tier", "list", "node", "n", "fp").repartition("tier", "list").sortWithinPartitions("tier", "list", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _further_pairs(rows: DataFrame, t: Fraction, quota: int) -> DataFrame:
-    """(a, b) from (list, node, n, root, fp): pairs of groups that are apart; a row of nulls says there are more."""
+    """(a, b) from (list, node, n, tier, fp, root): pairs of groups that are apart; a row of nulls says there are more."""
 
     def run(batches):
-        for lists, node, n, root, fps in _whole_lists(batches, 4):
+        for lists, node, n, root, fps in _whole_lists(batches):
             a, b, more = open_pairs(lists, root, n, fps, t, quota)
             yield _pairs_of(node[a], node[b], more)
 
-    return rows.select("list", "node", "n", "root", "fp").repartition("list").sortWithinPartitions("list", "node").mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.select("tier", "list", "node", "n", "root", "fp").repartition("tier", "list").sortWithinPartitions("tier", "list", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -416,14 +452,15 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, similarity: f
     total = nodes.agg(F.sum(F.col("n") * float(1 - t) + 1).alias("p")).first()["p"] or 0
     late = common_tokens(texts, width, t, crowd, int(total))
     lists = materialize(shared_lists(postings(texts, width, t, late)), "near-lists")
-    facts = nodes.select("node", "n", "fp")
+    facts = materialize(tiered(nodes, t), "near-tiers")
     links = materialize(_first_links(lists.join(facts, "node"), t), "near-links")
     live = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(sets_of(texts, live, width), "near-sets")
     found = materialize(similar_pairs(links, sets, t), "near-found")
     roots = components(found)
     met = materialize(lists.join(live, "node").join(facts, "node"), "near-met")
-    discard(lists)
+    for x in (lists, facts):
+        discard(x)
     done, quota = links, 1
     while True:
         at = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

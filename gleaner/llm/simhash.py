@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -268,7 +269,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width:
     """
     python_batches(docs.sparkSession)
     rows = materialize(docs.withColumn("__near_row", F.monotonically_increasing_id()), "near-rows")
-    facts = setjoin.described(rows.select(F.col("__near_row").alias("row"), "doc_id", "text"), width)
+    facts = setjoin.described(rows.select(F.col("__near_row").alias("row"), "doc_id", "text"), width, Fraction(str(similarity)))
     nodes = materialize(facts.groupBy("node").agg(F.min("place").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp")), "near-nodes")
     roots = setjoin.similar_groups(nodes.select("node", "n", "fp"), rows.select("text"), width, similarity, crowd)
     placed = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))

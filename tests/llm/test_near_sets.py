@@ -65,9 +65,12 @@ def test_fingerprints_never_discard_what_is_similar():
             common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
             a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 2), dtype=np.uint64)])) for _ in range(2))
             both = len(np.intersect1d(a, b))
-            f = setjoin.set_fingerprints([a, b])
             if both * 5 >= 4 * (len(a) + len(b) - both):
-                assert setjoin.distances(f[:1], f[1:])[0] <= setjoin._limit(np.array([len(a)]), np.array([len(b)]), T)[0]
+                (tier, *_) = set(setjoin.tiers_of(len(a), T)) & set(setjoin.tiers_of(len(b), T))
+                f = [setjoin.set_fingerprint(s, 1024 * 4**tier) for s in (a, b)]
+                assert setjoin.distances(*f) <= setjoin._limit(len(a), len(b), T)
+                whole = setjoin.set_fingerprint(a, 1024 * 4 ** (tier + 1))
+                assert (np.bitwise_xor.reduce(whole.reshape(4, -1)) == f[0]).all()
                 assert len(np.intersect1d(a[: setjoin.prefix_length(len(a), T)], b[: setjoin.prefix_length(len(b), T)]))
 
 
@@ -85,13 +88,23 @@ def test_shingles_and_pieces(monkeypatch):
     assert (simhash.fingerprint_many([text, "one two", "a b c", "", None]) == prints).all()
 
 
+def test_tiers_overlap():
+    for n in range(1, 40_000):
+        least = -(-4 * n // 5)
+        assert setjoin.tiers_of(n, T)[0] in setjoin.tiers_of(least, T)
+
+
 def test_lists_go_on_over_batches():
     import pyarrow as pa
 
-    lists = np.array([1, 1, 2, 2, 2, 2, 2, 3, 5, 5])
-    fps = [np.full(setjoin.BITS // 64, i, np.uint64).tobytes() for i in range(10)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(lists[a:b]), pa.array(fps[a:b], pa.binary())], ["list", "fp"]) for a, b in [(0, 1), (1, 3), (3, 5), (5, 5), (5, 8), (8, 9), (9, 10)]]
-    got = list(setjoin._whole_lists(batches, 1))
-    assert np.concatenate([g[0] for g in got]).tolist() == lists.tolist()
-    assert np.concatenate([g[1][:, 0] for g in got]).tolist() == list(range(10))
-    assert all(set(a[0]).isdisjoint(b[0]) for a, b in zip(got, got[1:], strict=False))
+    tiers = np.array([0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1])
+    lists = np.array([1, 1, 2, 2, 2, 2, 2, 3, 5, 5, 5, 6])
+    fps = [np.full(16 * 4**k, i, np.uint64).tobytes() for i, k in enumerate(tiers)]
+    for seed in range(50):
+        cuts = sorted(random.Random(seed).choices(range(13), k=seed % 6))
+        batches = [pa.RecordBatch.from_arrays([pa.array(tiers[a:b]), pa.array(lists[a:b]), pa.array(fps[a:b], pa.binary())], ["tier", "list", "fp"]) for a, b in zip([0, *cuts], [*cuts, 12], strict=True)]
+        got = list(setjoin._whole_lists(batches))
+        assert [x for g in got for x in g[0]] == lists.tolist()
+        assert [int(x) for g in got for x in g[1][:, 0]] == list(range(12))
+        keys = [{(g[1].shape[1], x) for x in g[0]} for g in got]
+        assert sum(map(len, keys)) == len(set().union(*keys)) == 6
