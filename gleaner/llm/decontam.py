@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, python_batches
+from gleaner.llm.common import discard, materialize, python_batches
 
 WINDOW = 13
-#: Bytes of benchmark text in an automaton; larger benchmarks are scanned for in several.
-AUTOMATON_BYTES = 16 << 20
+#: Bytes of benchmark text in an automaton, which takes about 150 times as many; larger benchmarks take several passes.
+AUTOMATON_BYTES = 1 << 20
 
 _UPPER = bytes(range(0x41, 0x5B))
 #: ASCII letters lower-cased; every other ASCII byte but digits a blank. Offsets stay as they are.
@@ -24,130 +25,159 @@ def fold(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
-def item_windows(text: str | None, width: int = WINDOW) -> list[bytes]:
-    """All runs of ``width`` words of an item; the whole item if it has fewer; none without words."""
-    words = fold(text).split()
-    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
-
-
 class Scanner:
-    """The automaton over the windows of some items, given as (id string or None, text)."""
+    """The automaton for the windows of some items, given as (id string or None, text).
+
+    Of items of at least ``width`` words it holds every (width + 1) / 2 words in turn: each
+    window has such a block whole. Where one occurs, the text's windows around it are looked
+    up. Shorter items are patterns themselves.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], width: int = WINDOW):
         import ahocorasick
 
-        of: dict[bytes, set[str]] = {}
+        self.width, self.block = width, (width + 1) // 2
+        self.of: dict[bytes, set[str]] = {}
+        patterns: dict[bytes, list] = {}
         for key, text in items:
-            for window in item_windows(text, width):
-                keys = of.setdefault(window, set())
+            words = fold(text).split()
+            n = min(width, len(words))
+            for i in range(len(words) - n + 1 if words else 0):
+                keys = self.of.setdefault(b" ".join(words[i : i + n]), set())
                 if key is not None:
                     keys.add(key)
-        self.windows = list(of.items())
+            if 0 < n < width:
+                patterns.setdefault(b" ".join(words), [n, False, False])[1] = True
+            elif n:
+                for i in range(0, len(words) - self.block + 1, self.block):
+                    patterns.setdefault(b" ".join(words[i : i + self.block]), [self.block, False, False])[2] = True
         self.automaton = ahocorasick.Automaton()
-        for i, (window, _) in enumerate(self.windows):
-            self.automaton.add_word(f" {window.decode('latin-1')} ", i)
-        if self.windows:
+        for pattern, what in patterns.items():
+            self.automaton.add_word(f" {pattern.decode('latin-1')} ", tuple(what))
+        if patterns:
             self.automaton.make_automaton()
 
-    def scan(self, hay: str) -> list[tuple[int, int]]:
-        """(index of a window, offset of its last blank) of every occurrence in blank-joined words."""
-        return [(i, at) for at, i in self.automaton.iter(hay)] if self.windows else []
+    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
+        """Merged [first, end) word spans that are hit, and the ids of the items."""
+        if not words or not self.of:
+            return [], set()
+        hay = f" {b' '.join(words).decode('latin-1')} "
+        hits = list(self.automaton.iter(hay))
+        if not hits:
+            return [], set()
+        blanks = np.flatnonzero(np.frombuffer(hay.encode("latin-1"), np.uint8) == 32)
+        found, starts = set(), set()
+        for end, (n, short, block) in zip(np.searchsorted(blanks, [at for at, _ in hits]).tolist(), (x for _, x in hits), strict=True):
+            if short:
+                found.add((end - n, end))
+            if block:
+                starts.update(range(max(0, end - self.width), min(end - n, len(words) - self.width) + 1))
+        spans, items = [], set()
+        for a, b in (*found, *((i, i + self.width) for i in starts)):
+            if (keys := self.of.get(b" ".join(words[a:b]))) is not None:
+                spans.append((a, b))
+                items |= keys
+        return merged(spans), items
+
+
+def merged(spans: list) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 _SCANNERS: dict = {}
 
 
-def _scanner(key: str, broadcast, width: int) -> list[Scanner]:
-    """The scanners of a broadcast list of items, built once in a worker; ``key`` names the broadcast."""
-    if (key, width) not in _SCANNERS:
-        if len(_SCANNERS) >= 8:
-            _SCANNERS.clear()
-        _SCANNERS[key, width] = [Scanner(x, width) for x in broadcast.value]
-    return _SCANNERS[key, width]
-
-
-def scan_text(text: str | None, scanners: list[Scanner]) -> tuple[int, list, set, np.ndarray]:
-    """(words, merged word spans that are hit, ids of the items, byte offsets of the words; empty without a hit)."""
-    raw = fold(text)
-    words = raw.split()
-    if not words:
-        return 0, [], set(), np.zeros(0, np.int64)
-    hay = f" {b' '.join(words).decode('latin-1')} "
-    found = [(s, *hit) for s in scanners for hit in s.scan(hay)]
-    if not found:
-        return len(words), [], set(), np.zeros(0, np.int64)
-    blanks = np.flatnonzero(np.frombuffer(hay.encode("latin-1"), np.uint8) == 32)
-    items: set[str] = set()
-    spans = []
-    for s, i, at in found:
-        window, keys = s.windows[i]
-        last = int(np.searchsorted(blanks, at))
-        spans.append((last - window.count(b" ") - 1, last))
-        items |= keys
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    blank = np.frombuffer(b" " + raw, np.uint8) == 32
-    return len(words), merged, items, np.flatnonzero(blank[:-1] & ~blank[1:])
+def _scanner(key: str, broadcast, width: int) -> Scanner:
+    """The scanner of a broadcast list of items, built once in a worker; ``key`` names the broadcast."""
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = Scanner(broadcast.value, width)
+    return _SCANNERS[key]
 
 
-def benchmark_shards(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> list[DataFrame]:
-    """The benchmark as one frame, or as several of about ``limit`` bytes each."""
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = -(-size // limit) or 1
-    items = benchmark.select(F.col("item_id").cast("string").alias("key"), "text").filter("text is not null")
-    return [items.filter(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _passes(spark, benchmark: DataFrame, limit: int):
-    """(name, broadcast) for each automaton; each holds ``limit`` bytes of text or little more."""
-    for part in benchmark_shards(benchmark, limit):
-        yield uuid.uuid4().hex, spark.sparkContext.broadcast([[(r["key"], r["text"]) for r in part.collect()]])
+def benchmark_parts(benchmark: DataFrame, width: int = WINDOW, limit: int = AUTOMATON_BYTES) -> list[DataFrame]:
+    """The benchmark as (key, text) frames of about ``limit`` bytes or fewer.
+
+    Items with very many words come in runs of them that overlap by a word less than a window,
+    so each window is in one.
+    """
+    words = F.regexp_extract_all("text", F.lit(f"({_WORD})"), 1)
+    items = benchmark.select(F.col("item_id").cast("string").alias("key"), words.alias("w")).filter(F.size("w") > 0)
+    size = max(1, limit // 64)
+    at = F.sequence(F.lit(0), F.greatest(F.floor((F.size("w") - width) / size), F.lit(0)).cast("int"))
+    runs = items.select("key", "w", F.explode(at).alias("r")).select("key", F.array_join(F.slice("w", F.col("r") * size + 1, F.lit(size + width - 1)), " ").alias("text"))
+    total = runs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = -(-total // limit) or 1
+    return [runs.filter(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [runs]
 
 
+def _broadcast(part: DataFrame):
+    """(name, broadcast) of the items of one part, whose text is bounded."""
+    return uuid.uuid4().hex, part.sparkSession.sparkContext.broadcast([(r["key"], r["text"]) for r in part.collect()])
+
+
+_SPAN = pa.list_(pa.struct([(k, pa.int64()) for k in ("first_word", "end_word", "from_byte", "to_byte")]))
 SCHEMA = "doc_id long, row_id long, n_words long, spans array<struct<first_word:long,end_word:long,from_byte:long,to_byte:long>>, items array<string>"
 
 
+def _found(rows: DataFrame, part: DataFrame, width: int, only_hits: bool) -> DataFrame:
+    """SCHEMA from (doc_id, text, row_id): one pass with the automaton of one part."""
+    shared = _broadcast(part)
+
+    def scan(batches):
+        scanner = _scanner(*shared, width)
+        for batch in batches:
+            out = []
+            for key, text, row in zip(*(batch.column(i) for i in range(3)), strict=True):
+                raw = fold(text.as_py())
+                words = raw.split()
+                spans, items = scanner.scan(words)
+                if spans or not only_hits:
+                    out.append((key.as_py(), row.as_py(), len(words), _placed(raw, spans), sorted(items)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), _SPAN, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["doc_id", "row_id", "n_words", "spans", "items"])
+
+    return rows.mapInArrow(scan, SCHEMA)
+
+
+def _placed(raw: bytes, spans: list) -> list[dict]:
+    """Spans with the byte offsets of their words in the folded text, which are those in the original."""
+    if not spans:
+        return []
+    solid = np.frombuffer(b" " + raw + b" ", np.uint8) != 32
+    first, end = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(solid[:-1] & ~solid[1:])
+    return [{"first_word": a, "end_word": b, "from_byte": int(first[a]), "to_byte": int(end[b - 1])} for a, b in spans]
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """doc_id, n_words, the spans of words that occur in a benchmark window, and the items.
 
     Spans are merged and carry word numbers and UTF-8 byte offsets in the original text. A
-    benchmark above ``limit`` bytes is split; each part is a further pass over the texts, and
-    the spans of a document are gathered by the number that its row then gets.
+    benchmark of over ``limit`` bytes is split: each part is a further pass
+    over the texts, done before the next part is read, and the spans of a document are gathered
+    by the number that its row then gets.
     """
-    spark = docs.sparkSession
-    python_batches(spark)
-    outs = []
-    passes = list(_passes(spark, benchmark, limit))
+    python_batches(docs.sparkSession)
+    parts = benchmark_parts(benchmark, width, limit)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("row_id"))
-    if len(passes) > 1:
-        rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "decontam-rows")
-    for part in passes:
-
-        def scan(batches, part=part):
-            scanners = _scanner(*part, width)
-            for batch in batches:
-                n_words, spans, items = [], [], []
-                for text in batch.column(1).to_pylist():
-                    n, merged, keys, at = scan_text(text, scanners)
-                    raw = fold(text) if merged else b""
-                    ends = [next((i for i in range(at[b - 1], len(raw)) if raw[i] == 32), len(raw)) for _, b in merged]
-                    n_words.append(n)
-                    spans.append([{"first_word": a, "end_word": b, "from_byte": int(at[a]), "to_byte": int(e)} for (a, b), e in zip(merged, ends, strict=True)])
-                    items.append(sorted(keys))
-                kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("first_word", "end_word", "from_byte", "to_byte")]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row_id", "n_words", "spans", "items"])
-
-        outs.append(rows.mapInArrow(scan, SCHEMA))
-    if len(outs) == 1:
-        return outs[0].drop("row_id")
-    rows = outs[0]
-    for x in outs[1:]:
-        rows = rows.unionAll(x)
-    return rows.groupBy("row_id").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("row_id")
+    if len(parts) == 1:
+        return _found(rows, parts[0], width, False).drop("row_id")
+    rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "decontam-rows")
+    found = materialize(_found(rows, parts[0], width, False), "decontam-found")
+    for part in parts[1:]:
+        found = found.unionAll(materialize(_found(rows, part, width, True), "decontam-found"))
+    discard(rows)
+    gathered = found.groupBy("row_id").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return gathered.drop("row_id")  # the lists are of one document
 
 
 def hit_words(spans):
@@ -181,29 +211,28 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WIN
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """``docs`` without contaminated documents, all columns as they are.
 
-    With a benchmark of several automata they are loaded one after another for each batch.
+    With a benchmark of several automata, each is a pass that gives the numbers of rows that
+    are hit; the verdict is on what all passes found.
     """
-    spark = docs.sparkSession
-    python_batches(spark)
-    parts = list(_passes(spark, benchmark, limit))
-    place = docs.columns.index("text")
+    python_batches(docs.sparkSession)
+    parts = benchmark_parts(benchmark, width, limit)
+    if len(parts) > 1:
+        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
+        slim = rows.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string"), F.col("__row").alias("row_id"))
+        found = [materialize(_found(slim, part, width, True), "decontam-found") for part in parts]
+        found = reduce(DataFrame.unionAll, found).groupBy("row_id").agg(F.any_value("n_words").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"))
+        dirty = found.filter(20 * hit_words(F.col("spans")) >= F.col("n")).select(F.col("row_id").alias("__row"))
+        return rows.join(dirty, "__row", "left_anti").select(*docs.columns)
+    shared, place = _broadcast(parts[0]), docs.columns.index("text")
 
     def clean(batches):
+        scanner = _scanner(*shared, width)
         for batch in batches:
-            spans: dict[int, list] = {}
-            counts: dict[int, int] = {}
-            for part in parts:
-                for i, text in enumerate(batch.column(place).to_pylist()):
-                    n, merged, _, _ = scan_text(text, _scanner(*part, width))
-                    if merged:
-                        counts[i] = n
-                        spans.setdefault(i, []).extend(merged)
-            keep = np.ones(batch.num_rows, bool)
-            for i, found in spans.items():
-                hit, to = 0, 0
-                for a, b in sorted(found):
-                    hit, to = hit + max(0, b - max(a, to)), max(to, b)
-                keep[i] = 20 * hit < counts[i]
-            yield batch.filter(pa.array(keep))
+            keep = []
+            for text in batch.column(place):
+                words = fold(text.as_py()).split()
+                hit = sum(b - a for a, b in scanner.scan(words)[0])
+                keep.append(not hit or 20 * hit < len(words))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

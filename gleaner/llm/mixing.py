@@ -71,7 +71,7 @@ def slots(spark, sources: DataFrame, n_slots: int, total: float, n_sources: int)
     return got.withColumn("_in", inside).join(counts, ["sid", "chunk"]).select("slot", "sid", (F.col("_base") + F.col("_in")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK, seed: int = 13) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK, seed: int = 13, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces): the sizes and targets, and the words of documents that each slot holds.
 
     Every source's documents are put in an order shuffled by hash, repeated up to
@@ -85,10 +85,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block:
     documents: doc_key, doc_id, source, size, source_size, target. pieces: slot, doc_key,
     epoch, from_word, to_word. Null texts and texts without words have size 0 and no pieces;
     a null source is a source of its own; repeated rows are documents of their own; an empty
-    table gives no rows. The same rows give the same mix.
+    table gives no rows. The same rows give the same mix. ``row`` names a column of ``docs``
+    that documents shall have as __row.
     """
     spark = docs.sparkSession
-    slim = materialize(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size")), "mix-sizes")
+    own = F.col(row).cast("long") if row else F.lit(None).cast("long")
+    slim = materialize(docs.select(own.alias("__row"), "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size")), "mix-sizes")
     sources = materialize(source_targets(slim, weights, max_repeats), "mix-targets")
     x = sources.agg(F.sum("source_size").alias("t"), F.sum("target").alias("g"), F.count("*").alias("n")).first()
     total, n_sources = x["t"] or 0, x["n"]
@@ -99,8 +101,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block:
     before = prefix_sums(ordered(sources, [F.col("sid")], "mix-source-order"), {"_source_start": F.col("source_size")})
     before = before.select(F.col("source").alias("_s"), "sid", "source_size", "target", "_source_start")
     runs = runs.join(before, F.col("source").eqNullSafe(F.col("_s")))
-    placed = materialize(runs.select("doc_key", "doc_id", "source", "sid", "size", "source_size", "target", (F.col("_start") - F.col("_source_start")).alias("off")), "mix-places")
-    discard(slim)
+    placed = materialize(runs.select("__row", "doc_key", "doc_id", "source", "sid", "size", "source_size", "target", (F.col("_start") - F.col("_source_start")).alias("off")), "mix-places")
+    for done in (slim, order):
+        discard(done)
     if not total:
         none = placed.select(F.lit(0).cast("long").alias("slot"), "doc_key", F.lit(0).alias("epoch"), F.col("size").alias("from_word"), F.col("size").alias("to_word")).limit(0)
         return placed.drop("sid", "off"), none
@@ -120,21 +123,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block:
     return placed.drop("sid", "off"), pieces.join(plan, ["sid", "rank"]).select("slot", "doc_key", "epoch", "from_word", "to_word").unionAll(few)
 
 
-def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken: the words of each document in the mix."""
+def _taken(docs: DataFrame, **options) -> DataFrame:
     placed, pieces = mix(docs, **options)
     sums = pieces.groupBy("doc_key").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"))
-    out = placed.join(sums, "doc_key", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(sums, "doc_key", "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long"))
+
+
+def taken_words(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target and taken: the words of each document in the mix."""
+    return _taken(docs, **options).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as many times as its words were taken, rounded.
 
-    Documents without words are kept once. Rows that share a doc_id share what they were taken.
+    Documents without words are kept once. Rows are told apart by a number that they get here,
+    so those that share a doc_id or have none are documents of their own; columns whose names
+    begin with __mix are the only ones that ``docs`` may not have.
     """
-    taken = taken_words(docs, **options).groupBy("doc_id").agg(F.sum("size").alias("n"), F.sum("taken").alias("t"))
-    copies = F.when(F.col("n") == 0, F.lit(1)).otherwise(F.floor(F.col("t") / F.col("n") + 0.5)).cast("int")
-    taken = taken.select(F.col("doc_id").alias("__mix_id"), copies.alias("__mix_copies")).filter("__mix_copies > 0")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__mix_id")))
-    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).drop("__mix_id", "__mix_copies", "__mix_copy")
+    rows = materialize(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-rows")
+    taken = _taken(rows, row="__mix_row", **options)
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    taken = taken.select(F.col("__row").alias("__mix_row"), copies.alias("__mix_copies")).filter("__mix_copies > 0")
+    out = rows.join(taken, "__mix_row").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    return out.select(*docs.columns)

@@ -55,12 +55,12 @@ FROM b LEFT JOIN l USING (k) LEFT JOIN y USING (k)
 """
 
 SQL["op2_warc_archives"] = r"""
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
-d AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+WITH p AS (SELECT page_id, row_number() OVER () AS k, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, k, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest FROM p),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+f AS (SELECT *, min(page_id) OVER g AS first, row_number() OVER (g ORDER BY page_id NULLS LAST, k) AS place FROM d WINDOW g AS (PARTITION BY payload_digest, payload_bytes))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first END AS refers_to FROM f
 """
 
 SQL["op4_suffix_dedup"] = r"""

@@ -21,6 +21,7 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,14 +61,6 @@ class EliasFano:
         low = ((v[:, None] >> np.arange(bits, dtype=np.int64)) & 1).astype(np.uint8).ravel() if bits else np.zeros(0, np.uint8)
         return cls(n, bits, np.packbits(low, bitorder="little"), np.packbits(unary, bitorder="little"), at[::SAMPLE].astype("<u4"))
 
-    def decode(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        out = (ones - np.arange(self.n)) << self.low_bits
-        if self.low_bits:
-            low = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-            out += low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return out
-
     def select(self, i: int) -> int:
         """The i-th number: from the nearest sampled bit on, count ones; then add the low bits."""
         if not 0 <= i < self.n:
@@ -82,10 +75,23 @@ class EliasFano:
         for _ in range(left):
             word &= word - 1
         high = byte * 8 + (word & -word).bit_length() - 1 - i
-        first, low = i * self.low_bits, 0
-        for k in range(self.low_bits):
-            low |= (int(self.low[(first + k) // 8]) >> ((first + k) % 8) & 1) << k
-        return high << self.low_bits | low
+        return high << self.low_bits | self._low(i)
+
+    def __iter__(self):
+        """All numbers, one after the other."""
+        i = 0
+        for at in range(len(self.high)):
+            byte = int(self.high[at])
+            while byte:
+                bit = byte & -byte
+                yield (8 * at + bit.bit_length() - 1 - i) << self.low_bits | self._low(i)
+                byte, i = byte ^ bit, i + 1
+
+    def _low(self, i: int) -> int:
+        """The low bits of the i-th number."""
+        first = i * self.low_bits
+        held = int.from_bytes(self.low[first >> 3 : (first + self.low_bits + 7) >> 3].tobytes(), "little")
+        return held >> (first & 7) & (1 << self.low_bits) - 1
 
     def dump(self) -> bytes:
         return struct.pack("<5q", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
@@ -120,8 +126,11 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
-    def doc_ids(self) -> list:
-        return [None] * self.nulls + (self.keys.decode() + self.least).tolist()
+    def doc_ids(self):
+        """The documents' ids, one after the other."""
+        yield from repeat(None, self.nulls)
+        for key in self.keys:
+            yield key + self.least
 
 
 class _Known(dict):
@@ -241,7 +250,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if keys:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    order = [F.col("doc_id"), F.xxhash64("text")]  # rows of one id may be many; of equal rows it doesn't matter which is first
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     files = rows.mapInArrow(encode, "blob binary")
     files.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
@@ -253,12 +264,15 @@ def read_token_files(spark, path: str) -> DataFrame:
         for batch in batches:
             for blob in batch.column(0):
                 f = TokenFile(blob.as_buffer())
-                ends = f.ends.decode()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(f.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                k = len(ends)
-                full = [pa.array(np.full(k, x, np.int64)) for x in (f.partition, f.sequence)]
-                yield pa.RecordBatch.from_arrays([*full, pa.array(f.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
+                out, at = [], 0
+                for i, key in enumerate(f.doc_ids()):
+                    end = f.ends.select(i)
+                    out.append((f.partition, f.sequence, key, at, end - at, zlib.crc32(f.ids[at:end].astype("<u4").tobytes())))
+                    at = end
+                    if len(out) == 8192 or i + 1 == f.documents:
+                        cols = [pa.array([x[k] for x in out], pa.int64()) for k in range(6)]
+                        yield pa.RecordBatch.from_arrays(cols, ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
+                        out = []
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     python_batches(spark)
@@ -274,8 +288,8 @@ def read_token_files(spark, path: str) -> DataFrame:
 def token_report(docs: DataFrame, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the corpus as token files in the shared folder and describe it as read back.
 
-    Null and empty texts are the end id alone; a null doc_id sorts first; repeated rows are
-    written each; an empty table gives no file and no rows.
+    Null and empty texts are the end id alone; a null doc_id sorts first, rows that
+    share an id go by a hash of their texts; repeated rows are written each; an empty table gives no file and no rows.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "token-files")

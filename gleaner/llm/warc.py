@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import fresh_path, materialize, python_batches
+from gleaner.llm.common import discard, fresh_path, materialize, python_batches
 
 #: Uncompressed bytes in an archive file, after which the next record starts a new one.
 ARCHIVE_BYTES = 8 << 20
@@ -179,15 +179,15 @@ def page_arc(page_id, url, html, version: int) -> bytes:
     return arc_record(version, {"url": url or "about:blank", "ip": "0.0.0.0", "date": NO_DATE, "type": "text/html", "result": "200", "checksum": "-", "location": "-", "offset": "0", "filename": "pages.arc"}, head.encode() + body)
 
 
-def _converted(batch) -> Iterator[WarcRecord]:
-    """A batch of (page_id, url, html) laid out as ARC files of both versions, and converted."""
-    rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-    for start in range(0, len(rows), 64):
+def _converted(batch) -> Iterator[tuple[int, WarcRecord]]:
+    """(row, record) of a batch of (row, page_id, url, html) laid out as ARC files of both versions, and converted."""
+    for start in range(0, batch.num_rows, 64):
+        part = batch.slice(start, 64)
+        numbers, *columns = (part.column(i).to_pylist() for i in range(4))
         version = 1 + start // 64 % 2
-        arc = arc_head(version, "pages.arc") + b"".join(page_arc(*row, version) for row in rows[start : start + 64])
-        for record in read_arc(arc):
-            if (made := arc_to_warc(record)).headers["WARC-Type"] != "warcinfo":
-                yield made
+        arc = arc_head(version, "pages.arc") + b"".join(page_arc(*row, version) for row in zip(*columns, strict=True))
+        made = (arc_to_warc(record) for record in read_arc(arc))
+        yield from zip(numbers, (r for r in made if r.headers["WARC-Type"] != "warcinfo"), strict=True)
 
 
 def _page_id(record: WarcRecord):
@@ -198,30 +198,31 @@ def _heads(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             got = list(_converted(batch))
-            cols = [[_page_id(r) for r in got], [r.digest for r in got], [len(r.payload) for r in got]]
-            cols += [[r.headers[k] for r in got] for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date")]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), *[pa.array(c, pa.string()) for c in cols[3:]]], ["page_id", "digest", "size", "record_id", "uri", "date"])
+            cols = [[n for n, _ in got], [_page_id(r) for _, r in got], [r.digest for _, r in got], [len(r.payload) for _, r in got]]
+            cols += [[r.headers[k] for _, r in got] for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date")]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "page_id", "digest", "size", "record_id", "uri", "date"])
 
-    return pages.mapInArrow(run, "page_id long, digest string, size long, record_id string, uri string, date string")
+    return pages.mapInArrow(run, "row long, page_id long, digest string, size long, record_id string, uri string, date string")
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """A WARC record per row of pages (page_id, url, html), in files of gzip members.
 
-    Of records with equal payloads of at least ``min_payload`` bytes, that with the smallest
-    page_id (null is smaller than all) stays a response. Payloads are compared by SHA-1 and
-    length; only those, ids and addresses are grouped, and pages meet their group's first by id.
-    A file is one value of Spark's text writer, whose closing line is an empty gzip member.
+    Of records with equal payloads of at least ``min_payload`` bytes one is a response: that
+    with the smallest page_id, null last, and of several the first row. Payloads are compared by
+    SHA-1 and length; only those, ids and addresses are grouped, and a page meets its group's
+    first by a number of its own. A file is one value of Spark's text writer, whose closing line
+    is an empty gzip member.
     """
-    spark = pages.sparkSession
-    python_batches(spark)
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    python_batches(pages.sparkSession)
+    pages = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    pages = materialize(pages, "warc-pages")  # so that numbers stay as they are
     heads = materialize(_heads(pages), "warc-heads")
-    first = F.struct("page_id", "record_id", "uri", "date")
+    first = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row", "record_id", "uri", "date")
     groups = heads.filter(F.col("size") >= min_payload).groupBy(F.col("digest").alias("_d"), F.col("size").alias("_s")).agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = heads.join(groups, (heads["digest"] == F.col("_d")) & (heads["size"] == F.col("_s"))).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
-    again = materialize(again.select(F.col("page_id").alias("_p"), F.col("digest").alias("_digest"), F.struct("first.record_id", "first.uri", "first.date").alias("first")).dropDuplicates(["_p", "_digest"]), "warc-again")
-    refs = again.groupBy("_p").agg(F.map_from_entries(F.collect_list(F.struct("_digest", "first"))).alias("refs"))  # one digest a page_id, but for ids that repeat
+    again = heads.join(groups, (heads["digest"] == F.col("_d")) & (heads["size"] == F.col("_s"))).filter(F.col("row") != F.col("first.row"))
+    refs = again.select(F.col("row").alias("_row"), F.struct("first.record_id", "first.uri", "first.date").alias("ref"))
 
     def archive(batches):
         held, size, seq = [], 0, 0
@@ -230,8 +231,8 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_by
             return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["blob"])
 
         for batch in batches:
-            for record, refs in zip(_converted(batch), batch.column(3).to_pylist(), strict=True):
-                if ref := dict(refs or ()).get(record.digest):
+            for (_, record), ref in zip(_converted(batch), batch.column(4), strict=True):
+                if ref := ref.as_py():
                     record = as_revisit(record, ref["record_id"], ref["uri"], ref["date"])
                 if not held:
                     held.append(gzip.compress(arc_to_warc(next(read_arc(arc_head(1, f"pages-{seq}.warc")))).dump(), 1, mtime=0))
@@ -244,9 +245,11 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_by
         if held:
             yield flush()
 
-    rows = pages.join(refs, pages["page_id"].eqNullSafe(refs["_p"]), "left").select("page_id", "url", "html", "refs")
+    rows = pages.join(refs, pages["row"] == refs["_row"], "left").select("row", "page_id", "url", "html", "ref")
     files = rows.mapInArrow(archive, "blob binary").select(F.col("blob").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", gzip.compress(b"", mtime=0).decode("latin-1")).text(path)
+    for done in (pages, heads):
+        discard(done)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -276,9 +279,9 @@ def read_archives(spark, path: str) -> DataFrame:
 def archive_report(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """Write ``pages`` as WARC archives in the shared folder and describe them as read back.
 
-    Null html is an empty payload and null url about:blank. Rows that repeat a page_id are
-    records of their own, all responses if that id is the smallest of their group. An empty
-    table gives no archive and no rows.
+    Null html is an empty payload and null url about:blank. Rows that repeat a page_id, or have
+    none, are records of their own; one of a group of equal payloads is the response. A revisit
+    of a response without a page_id refers to null. An empty table gives no archive and no rows.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "archives")
