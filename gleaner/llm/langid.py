@@ -14,9 +14,9 @@ SAMPLE_DOCS, SAMPLE_CHARS = 64, 40_000
 #: Shorter samples count as this long when phrases are weighted by the logarithm of the sample's length.
 LEAST_CHARS = 4096
 #: Bytes of full transition tables; languages beyond them have their transitions sorted by state and letter.
-TABLE_BYTES = 256 << 20
-#: Characters after which a parse starts anew, so that long texts are parsed in parallel.
-BLOCK = 256
+TABLE_BYTES = 128 << 20
+#: Characters of the blocks of a text that are parsed side by side, and those before a block from which its start is guessed.
+BLOCK, LEAD = 512, 64
 
 
 def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
@@ -49,21 +49,27 @@ def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
     return go
 
 
+def transitions(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(state times width plus letter, next state) in order, and the number of states, of the automaton of ``codes``."""
+    go = suffix_automaton(codes)
+    size = sum(map(len, go))
+    keys = np.fromiter((s * width + c for s, out in enumerate(go) for c in out), np.int64, size)
+    to = np.fromiter((t for out in go for t in out.values()), np.uint32, size)
+    order = np.argsort(keys)
+    return keys[order], to[order], len(go)
+
+
 class Full:
     """Transitions as a table of all states and all letters of the sample."""
 
-    def __init__(self, go: list[dict[int, int]], local: np.ndarray, width: int):
+    def __init__(self, keys: np.ndarray, to: np.ndarray, states: int, local: np.ndarray, width: int):
         # an entry is the next state times the width; the top bit marks that a phrase ended
         self.local = local
-        step = np.zeros((len(go), width), np.uint32)
         root = np.zeros(width, np.uint32)
-        for c, t in go[0].items():
-            root[c] = t * width
-        step[:] = root | np.uint32(1 << 31)
-        for s, out in enumerate(go):
-            if out:
-                step[s, list(out)] = np.fromiter(out.values(), np.uint32, len(out)) * np.uint32(width)
-        self.table = step.ravel()
+        first = keys < width
+        root[keys[first]] = to[first] * np.uint32(width)
+        self.table = np.tile(root | np.uint32(1 << 31), states)
+        self.table[keys] = to * np.uint32(width)
 
     def step(self, states: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and 1 where a phrase ended."""
@@ -74,13 +80,10 @@ class Full:
 class Sorted:
     """Transitions sorted by state and letter; their number is at most three times the sample's length."""
 
-    def __init__(self, go: list[dict[int, int]], local: np.ndarray, width: int):
-        self.local, self.width = local, width
-        pairs = sorted((s * width + c, t) for s, out in enumerate(go) for c, t in out.items())
-        self.keys = np.array([k for k, _ in pairs], np.int64)
-        self.to = np.array([t for _, t in pairs], np.uint32)
+    def __init__(self, keys: np.ndarray, to: np.ndarray, states: int, local: np.ndarray, width: int):
+        self.keys, self.to, self.local, self.width = keys, to, local, width
         self.root = np.zeros(width, np.uint32)
-        self.root[list(go[0])] = list(go[0].values())
+        self.root[keys[keys < width]] = to[keys < width]
 
     def step(self, states: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.local[codes]
@@ -90,6 +93,19 @@ class Sorted:
         return np.where(hit, self.to[i], self.root[at]), (~hit).astype(np.uint32)
 
 
+def _parse(table, codes: np.ndarray, start: np.ndarray, length: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states in which pieces of ``codes`` end that start in ``states``, and the phrases that end in them."""
+    order = np.argsort(-length, kind="stable")
+    start, states, counts = start[order], states[order], np.zeros(len(order), np.int64)
+    alive = np.searchsorted(-length[order], -np.arange(int(length.max(initial=0))), side="left")
+    for j, m in enumerate(alive.tolist()):
+        states[:m], ended = table.step(states[:m], codes[start[:m] + j])
+        counts[:m] += ended
+    out = np.empty_like(states), np.empty_like(counts)
+    out[0][order], out[1][order] = states, counts
+    return out
+
+
 class CrossParser:
     """Phrase counts of texts against a sample text of each language.
 
@@ -107,19 +123,31 @@ class CrossParser:
                     seen[ch] = seen.get(ch, 0) + 1
         self.code = {ch: i + 2 for i, ch in enumerate(sorted(seen))}
         self.table = np.fromiter((self._code(chr(c)) for c in range(65536)), np.uint32, 65536)
-        self.tables, self.scale = [], []
-        left = TABLE_BYTES
+        self.built, self.scale = [], []
         for lang in self.langs:
             codes, _ = self.codes([samples[lang]])
             own, at = np.unique(codes, return_inverse=True)  # letters that the sample lacks share its last code
             local = np.full(len(self.code) + 2, len(own), np.uint32)
             local[own] = np.arange(len(own))
-            go = suffix_automaton(at)
-            size = 4 * len(go) * (len(own) + 1)
+            self.built.append((*transitions(at, len(own) + 1), local, len(own) + 1))
+            self.scale.append(np.log2(max(len(codes), LEAST_CHARS)))
+        self._open()
+
+    def _open(self):
+        self.tables, left = [], TABLE_BYTES
+        for built in self.built:
+            size = 4 * built[2] * built[4]
             full = size <= left
             left -= size if full else 0
-            self.tables.append((Full if full else Sorted)(go, local, len(own) + 1))
-            self.scale.append(np.log2(max(len(codes), LEAST_CHARS)))
+            self.tables.append((Full if full else Sorted)(*built))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    def __setstate__(self, state):
+        """Automata are built once and sent as sorted transitions; each worker fills its tables from them."""
+        self.__dict__.update(state)
+        self._open()
 
     def _code(self, ch: str) -> int:
         return self.code.get(ch.lower()[:1], 1) if ch.isalpha() else 0
@@ -139,7 +167,13 @@ class CrossParser:
         return out, np.bincount(owner, minlength=len(points))
 
     def phrases(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text against each language, and whether it has a letter."""
+        """Phrases of each text against each language, and whether it has a letter.
+
+        A text's blocks are parsed side by side, each from the state that a parse of the few
+        characters before it ends in. Parses that start at different places soon fall into
+        step; a block whose guess isn't the state in which the block before it did end is
+        parsed again from that one. So the counts are those of one parse of the whole text.
+        """
         codes, sizes = self.codes(texts)
         ends = np.cumsum(sizes)
         n_blocks = -(-sizes // BLOCK)
@@ -147,22 +181,17 @@ class CrossParser:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
         start = (ends - sizes)[owner] + nth * BLOCK
         length = np.minimum(BLOCK, ends[owner] - start)
-        by_length = np.argsort(-length, kind="stable")
-        start, length, owner = start[by_length], length[by_length], owner[by_length]
-        alive = np.searchsorted(-length, -np.arange(BLOCK), side="left")
-        counts = np.ones((len(self.langs), len(owner)), np.int64)
-        states = np.zeros((len(self.langs), len(owner)), np.uint32)
-        for j in range(BLOCK):
-            m = alive[j]
-            if not m:
-                break
-            c = codes[start[:m] + j]
-            for k, table in enumerate(self.tables):
-                states[k, :m], ended = table.step(states[k, :m], c)
-                counts[k, :m] += ended
+        later = np.flatnonzero(nth > 0)
         total = np.zeros((len(texts), len(self.langs)))
-        for k in range(len(self.langs)):
-            total[:, k] = np.bincount(owner, counts[k], minlength=len(texts))
+        for k, table in enumerate(self.tables):
+            begin, end, counts = np.zeros(len(owner), np.uint32), np.zeros(len(owner), np.uint32), np.zeros(len(owner), np.int64)
+            begin[later], _ = _parse(table, codes, start[later] - LEAD, np.full(len(later), LEAD), begin[later])
+            wrong = np.arange(len(owner))
+            while len(wrong):
+                end[wrong], counts[wrong] = _parse(table, codes, start[wrong], length[wrong], begin[wrong])
+                wrong = later[begin[later] != end[later - 1]]
+                begin[wrong] = end[wrong - 1]
+            total[:, k] = np.bincount(owner, counts, minlength=len(texts)) + (sizes > 0)
         letters = np.bincount(np.repeat(np.arange(len(texts)), sizes), codes > 0, minlength=len(texts)) > 0
         return total, letters
 
@@ -197,25 +226,13 @@ def learn(labelled: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SA
     return out
 
 
-_PARSERS: dict = {}
-
-
-def _parser(broadcast) -> CrossParser:
-    samples = broadcast.value
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(samples)
-    return _PARSERS[key]
-
-
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """doc_id, lang_pred and score of every whole text; ``und`` and 0 without a letter."""
     python_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    shared = docs.sparkSession.sparkContext.broadcast(CrossParser(samples))  # bounded with the samples
 
     def run(batches):
-        parser = _parser(shared)
+        parser = shared.value
         for batch in batches:
             got = parser.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])

@@ -5,12 +5,15 @@ DataFrame and SQL functions throughout.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import discard, materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The item that marks a labelled url as unwanted.
 BAD = "\x00bad"
@@ -18,6 +21,8 @@ BAD = "\x00bad"
 SUPPORT, CONFIDENCE = 0.005, 0.6
 #: Unwanted urls that must back a rule, however few labels there are.
 LEAST = 25
+#: Tokens of a rule at most, and of a basket up to which FP-growth enumerates its subsets.
+MOST, LONGEST = 3, 12
 #: Rules in a literal index; more are joined.
 LITERAL_RULES = 2000
 
@@ -66,49 +71,97 @@ def listed_verdict(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def mine_rules(urls: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
-    """(tokens, confidence, support): token combinations whose urls are mostly unwanted.
+def mine_rules(urls: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+    """(tokens, confidence, support, hook): combinations of up to MOST tokens whose urls are mostly unwanted.
+
+    ``urls`` (url_id, url), ``labels`` (url_id, bad). FP-growth runs on all labelled urls, each a
+    basket of its tokens and, if bad, a mark; rules that conclude the mark stay if they are above
+    the two thresholds and ``least`` unwanted urls back them. A rule that contains another one's
+    tokens with no more confidence goes. hook is the rule's token that fewest labelled urls have.
 
-    ``urls`` (url_id, url), ``labels`` (url_id, bad). FP-growth runs on all labelled urls, each
-    a basket of its tokens and, if bad, a mark; rules that conclude the mark stay if they are above the
-    two thresholds and ``least`` unwanted urls back them. A rule that contains another one's tokens with no more confidence goes.
-    There are at most 1/support times as many frequent sets as tokens a url can have subsets,
-    whatever the number of urls.
+    Baskets are made short first, which changes no rule: tokens that too few unwanted urls have
+    go, and of tokens that the same urls have one stands for all. If one is still longer than
+    ``longest``, whose subsets FP-growth would enumerate, sets of one, two and three tokens are
+    counted level by level instead, with the same rules as a result. They are written once.
     """
     judged = labels.groupBy("url_id").agg(F.max(F.coalesce(F.col("bad"), F.lit(False))).alias("bad"))
-    rows = urls.join(judged, "url_id").select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("t"), "bad")
-    baskets = rows.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")).filter(F.size("items") > 0)
-    n = max(1, baskets.count())
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
-    return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    rows = urls.join(judged, "url_id").select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("t"), "bad").filter(F.size("t") > 0)
+    rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "url-baskets")
+    n = max(1, rows.count())
+    backing = math.ceil(min(1.0, max(support, least / n)) * n)
+    single = rows.select("id", "bad", F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"), F.bit_xor(F.xxhash64("id")).alias("same"))
+    single = single.filter(F.col("b") >= backing)
+    kinds = single.groupBy("n", "same").agg(F.min("token").alias("kind"))
+    members = materialize(single.join(kinds, ["n", "same"]).select("token", "kind", "n"), "url-tokens")
+    short = rows.select("id", "bad", F.explode("t").alias("token")).join(members, "token").groupBy("id", "bad").agg(F.array_sort(F.collect_set("kind")).alias("t"))  # those of one url
+    short = materialize(short, "url-short")
+    if (short.agg(F.max(F.size("t")).alias("m")).first()["m"] or 0) <= longest:
+        found = _by_growth(short, n, backing, confidence)
+    else:
+        found = _by_level(short, n, backing, confidence)
+    found = materialize(found.filter(F.size("tokens") <= MOST), "url-found")
+    rules = _spelt(_pruned(found), members)
+    for done in (rows, short):
+        discard(done)
+    return materialize(rules, "url-rules")
+
+
+def _by_growth(baskets: DataFrame, n: int, backing: int, confidence: float) -> DataFrame:
+    items = baskets.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"))
+    held = max(1, items.count())
+    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, backing / held), minConfidence=confidence).fit(items).associationRules
+    rules = rules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * held / n).alias("support"))
+
+
+def _by_level(baskets: DataFrame, n: int, backing: int, confidence: float) -> DataFrame:
+    """The rules that FP-growth gives, from counts of sets; a set is only counted if its first part has the backing."""
+    sets = baskets.select("bad", "t", F.explode("t").alias("x")).select("bad", "t", F.array("x").alias("tokens"))
+    out = None
+    for size in range(1, MOST + 1):
+        counts = sets.groupBy("tokens").agg(F.count("*").alias("m"), F.count_if("bad").alias("b")).filter(F.col("b") >= backing)
+        counts = materialize(counts, "url-level")
+        rules = counts.filter(F.col("b") >= confidence * F.col("m")).select("tokens", (F.col("b") / F.col("m")).alias("confidence"), (F.col("b") / n).alias("support"))
+        out = rules if out is None else out.unionAll(rules)
+        if size < MOST:
+            grown = sets.join(counts.select("tokens"), "tokens", "left_semi")
+            after = F.filter("t", lambda x: x > F.element_at("tokens", -1))
+            sets = grown.select("bad", "t", "tokens", F.explode(after).alias("x")).select("bad", "t", F.concat("tokens", F.array("x")).alias("tokens"))
+    return out
 
 
-def prune(rules: list) -> list:
+def _pruned(rules: DataFrame) -> DataFrame:
     """Without rules that add tokens to another rule and aren't more confident."""
-    kept: list = []
-    for r in sorted(rules, key=lambda r: (len(r["tokens"]), -r["confidence"], r["tokens"])):
-        if not any(set(k["tokens"]) <= set(r["tokens"]) and k["confidence"] >= r["confidence"] for k in kept):
-            kept.append(r)
-    return kept
+    drop_one = F.transform("tokens", lambda x: F.array_remove("tokens", x))
+    parts = F.array_distinct(F.concat(drop_one, F.flatten(F.transform(drop_one, lambda a: F.transform(a, lambda x: F.array(x))))))
+    inner = rules.select("tokens", "confidence", F.explode(F.filter(parts, lambda a: F.size(a) > 0)).alias("part")).filter(F.size("part") < F.size("tokens"))
+    less = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"))
+    beaten = inner.join(less, "part").filter(F.col("c") >= F.col("confidence")).select("tokens").distinct()
+    return rules.join(beaten, "tokens", "left_anti")
+
+
+def _spelt(rules: DataFrame, members: DataFrame) -> DataFrame:
+    """Rules with each token in turn for the one that stands for it, and their hooks."""
+    out = rules.withColumns({"got": F.array().cast("array<string>"), "uses": F.array().cast("array<struct<n:bigint,token:string>>")})
+    for k in range(MOST):
+        here = members.select(F.col("kind").alias("_kind"), F.col("token").alias("_token"), F.col("n").alias("_n"))
+        with_token = out.filter(F.size("tokens") > k).withColumn("_kind", F.get("tokens", F.lit(k))).join(here, "_kind")
+        with_token = with_token.withColumn("got", F.array_append("got", F.col("_token"))).withColumn("uses", F.array_append("uses", F.struct(F.col("_n").alias("n"), F.col("_token").alias("token"))))
+        out = out.filter(F.size("tokens") <= k).unionAll(with_token.select(*out.columns))
+    return out.select(F.array_sort("got").alias("tokens"), "confidence", "support", F.array_min("uses")["token"].alias("hook"))
 
 
 def mined_match(tokens: Column, rules: list) -> Column:
     """The tokens of the most confident mined rule that fits, blank-joined, or null.
 
-    The rules are an inverted index: each hangs on one of its tokens, the one that fewest
-    rules hang on, so a url only meets rules of which it has that token.
+    The rules are an inverted index: each hangs on its hook, so a url only meets rules of which
+    it has that token.
     """
-    rules = prune(rules)
     if not rules:
         return F.lit(None).cast("string")
-    uses: dict[str, int] = {}
-    for r in rules:
-        for t in r["tokens"]:
-            uses[t] = uses.get(t, 0) + 1
     index: dict[str, list] = {}
     for r in rules:
-        index.setdefault(min(r["tokens"], key=lambda t: (uses[t], t)), []).append(r)
+        index.setdefault(r["hook"], []).append(r)
     entry = lambda r: F.struct(F.lit(float(r["confidence"])).alias("c"), F.lit(float(r["support"])).alias("s"), F.array(*[F.lit(t) for t in r["tokens"]]).alias("t"))
     table = F.create_map(*[x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*[entry(r) for r in rs]))])
     none = F.array().cast("array<struct<c:double,s:double,t:array<string>>>")
@@ -125,9 +178,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list | None, listed=LISTED)
     allowed. Each row is judged on its own: repeated rows and empty tables need no care.
     """
     if isinstance(rules, DataFrame):
-        if rules.limit(LITERAL_RULES + 1).count() > LITERAL_RULES:
+        few = rules.limit(LITERAL_RULES + 1).collect()
+        if len(few) > LITERAL_RULES:
             return _judge_by_join(pages, rules, listed)
-        rules = rules.collect()  # at most LITERAL_RULES rows
+        rules = few
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("_listed", listed_verdict(F.col("host"), F.col("path"), listed))
     rows = rows.withColumn("mined_rule", mined_match(tokens_of(F.col("host"), F.col("path")), rules or []))
@@ -139,11 +193,11 @@ def _verdict() -> Column:
 
 
 def _judge_by_join(pages: DataFrame, rules: DataFrame, listed) -> DataFrame:
-    """For many rules: distinct token sets meet an index table of rules by one token of each."""
+    """For many rules: distinct token sets meet an index table of rules by their hooks, the rarest tokens."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("_t", F.array_sort(tokens_of(F.col("host"), F.col("path"))))
     sets = rows.select("_t").distinct().withColumn("_k", F.explode("_t"))
-    hung = rules.withColumn("_k", F.element_at("tokens", -1)).withColumnRenamed("tokens", "_r")
+    hung = rules.withColumnRenamed("hook", "_k").withColumnRenamed("tokens", "_r")
     fits = sets.join(hung, "_k").filter(F.size(F.array_except("_r", "_t")) == 0)
     best = fits.groupBy("_t").agg(F.max(F.struct("confidence", "support", "_r")).alias("b")).select("_t", F.array_join("b._r", " ").alias("mined_rule"))
     rows = rows.join(best, "_t", "left").withColumn("_listed", listed_verdict(F.col("host"), F.col("path"), listed))

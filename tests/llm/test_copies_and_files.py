@@ -273,18 +273,21 @@ def brute_rules(baskets, support, confidence):
     n = len(baskets)
     sets, bad = Counter(), Counter()
     for items, is_bad in baskets:
-        for k in range(1, len(items) + 1):
+        for k in range(1, min(3, len(items)) + 1):
             for c in combinations(sorted(items), k):
                 sets[c] += 1
                 bad[c] += is_bad
-    return {c: (bad[c] / m, bad[c] / n) for c, m in sets.items() if bad[c] / n >= support and bad[c] / m >= confidence}
+    rules = {c: (bad[c] / m, bad[c] / n) for c, m in sets.items() if bad[c] / n >= support and bad[c] / m >= confidence}
+    less = lambda c: (p for k in range(1, len(c)) for p in combinations(c, k))
+    return {c: x for c, x in rules.items() if not any(p in rules and rules[p][0] >= x[0] for p in less(c))}
 
 
-def test_mined_rules(spark):
+@pytest.mark.parametrize("longest", [12, 0])
+def test_mined_rules(spark, longest):
     urls = [(i, f"http://{'spam' if i % 3 == 0 else 'good'}.site{i % 2}.org/{'ads' if i % 6 == 0 else 'news'}/{i}") for i in range(120)]
     labels = [(i, i % 6 == 0 or i % 17 == 0) for i in range(110)] + [(5, None), (999, True)]
     pages = spark.createDataFrame(urls, "url_id long, url string")
-    rules = urlrules.mine_rules(pages, spark.createDataFrame(labels, "url_id long, bad boolean"), 0.05, 0.6, least=1).collect()
+    rules = urlrules.mine_rules(pages, spark.createDataFrame(labels, "url_id long, bad boolean"), 0.05, 0.6, least=1, longest=longest).collect()
     tokens_of = {r["url_id"]: r["t"] for r in pages.select("url_id", urlrules.tokens_of(urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url"))).alias("t")).collect()}
     want = brute_rules([(tokens_of[i], bad) for i, bad in labels[:110]], 0.05, 0.6)
     assert {tuple(r["tokens"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in rules} == {k: (round(a, 9), round(b, 9)) for k, (a, b) in want.items()}
@@ -293,3 +296,19 @@ def test_mined_rules(spark):
     for got in (urlrules.judge_urls(todo, rules), urlrules._judge_by_join(todo, spark.createDataFrame(rules), urlrules.LISTED)):
         verdict = {r["page_id"]: r["verdict"] for r in got.collect()}
         assert verdict == {i: "block" if fits(t) else "allow" for i, t in tokens_of.items()} and "block" in verdict.values()
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_urls_of_many_segments(spark, missing):
+    """Thirty segments that all unwanted urls share, or all but one of them."""
+    import time
+
+    began, segments = time.perf_counter(), [f"s{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(30)]
+    url = lambda i: "/".join(s for k, s in enumerate(segments) if not missing or k != i % 30)
+    rows = [(i, f"http://a.org/{url(i)}" if i < 120 else f"http://a.org/{segments[i % 30]}/x") for i in range(300)]
+    pages, labels = spark.createDataFrame(rows, "url_id long, url string"), spark.createDataFrame([(i, i < 120) for i in range(300)], "url_id long, bad boolean")
+    rules = urlrules.mine_rules(pages, labels)
+    got = urlrules.judge_urls(pages.withColumnRenamed("url_id", "page_id").unionAll(spark.createDataFrame([(900, f"http://b.org/{segments[3]}"), (901, "http://b.org/x")], "page_id long, url string")), rules)
+    verdict = {r["page_id"]: r["verdict"] for r in got.collect()}
+    assert all(verdict[i] == "block" for i in range(120)) and verdict[901] == "allow"
+    assert time.perf_counter() - began < 30

@@ -1,6 +1,7 @@
 """Quality rules, sharding, mixing, decontamination and language ID against brute force, with odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -208,11 +209,21 @@ def test_phrase_counts_against_brute_force():
             i += 1
         return n
 
-    for text in ("abra", "abba xyz", "zzz", "cad q abr", "a"):
+    rng = random.Random(2)
+    long = ["".join(rng.choices("abcdrxyz ", k=4000)).replace("  ", " ").strip(), "abra" * 1000, "zyx" * 700 + "abba" * 400, "y" * 1500]
+    for text in ("abra", "abba xyz", "zzz", "cad q abr", "a", *(" ".join(x.split()) for x in long)):
         counts, ok = parser.phrases([text])
         assert ok[0] and counts[0].tolist() == [brute(text, sample["a"]), brute(text, sample["b"])]
 
 
+def test_parsers_travel():
+    import pickle
+
+    parser = langid.CrossParser({"a": "abracadabra abba", "b": "xyz zyx yy"})
+    again = pickle.loads(pickle.dumps(parser))
+    assert (again.phrases(["abba xyz q"])[0] == parser.phrases(["abba xyz q"])[0]).all()
+
+
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
 def test_sql_twins(spark, sf_dir, name):
     assert compare(spark, duck(sf_dir), *QUERIES[name], sf_dir) is None
