@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master!r}")
         own = tempfile.mkdtemp(prefix="gleaner-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = f"file://{own}"
@@ -49,15 +53,16 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def ordered(df: DataFrame, order: list[Column], tag: str, parts: int | None = None) -> DataFrame:
+def ordered(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
     """``df`` range-partitioned and sorted by ``order``, with ``_pid`` and ``_idx``, on disk.
 
+    How many partitions there are is left to adaptive execution, which joins small neighbours.
+
     ``_pid`` rises with the order, ``_idx`` is the place within the partition. The rows are
     written once, so that totals and offsets taken from them agree whatever is recomputed.
     """
-    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = F.monotonically_increasing_id()
-    out = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order)
     out = out.withColumns({"_pid": F.shiftright(place, 33).cast("int"), "_idx": place.bitwiseAND(F.lit((1 << 33) - 1))})
     return materialize(out, tag)
 
