@@ -93,16 +93,18 @@ class Sorted:
         return np.where(hit, self.to[i], self.root[at]), (~hit).astype(np.uint32)
 
 
-def _parse(table, codes: np.ndarray, start: np.ndarray, length: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The states in which pieces of ``codes`` end that start in ``states``, and the phrases that end in them."""
+def _parse(tables: list, codes: np.ndarray, start: np.ndarray, length: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states in which pieces of ``codes`` end that start in ``states``, and the phrases that end in them, by table."""
     order = np.argsort(-length, kind="stable")
-    start, states, counts = start[order], states[order], np.zeros(len(order), np.int64)
+    start, states, counts = start[order], states[:, order], np.zeros(states.shape, np.uint32)
     alive = np.searchsorted(-length[order], -np.arange(int(length.max(initial=0))), side="left")
     for j, m in enumerate(alive.tolist()):
-        states[:m], ended = table.step(states[:m], codes[start[:m] + j])
-        counts[:m] += ended
-    out = np.empty_like(states), np.empty_like(counts)
-    out[0][order], out[1][order] = states, counts
+        c = codes[start[:m] + j]
+        for k, table in enumerate(tables):
+            states[k, :m], ended = table.step(states[k, :m], c)
+            counts[k, :m] += ended
+    out = np.empty_like(states), np.empty(states.shape, np.int64)
+    out[0][:, order], out[1][:, order] = states, counts
     return out
 
 
@@ -182,16 +184,16 @@ class CrossParser:
         start = (ends - sizes)[owner] + nth * BLOCK
         length = np.minimum(BLOCK, ends[owner] - start)
         later = np.flatnonzero(nth > 0)
+        begin = np.zeros((len(self.langs), len(owner)), np.uint32)
+        begin[:, later], _ = _parse(self.tables, codes, start[later] - LEAD, np.full(len(later), LEAD), begin[:, later])
+        end, counts = _parse(self.tables, codes, start, length, begin)
         total = np.zeros((len(texts), len(self.langs)))
         for k, table in enumerate(self.tables):
-            begin, end, counts = np.zeros(len(owner), np.uint32), np.zeros(len(owner), np.uint32), np.zeros(len(owner), np.int64)
-            begin[later], _ = _parse(table, codes, start[later] - LEAD, np.full(len(later), LEAD), begin[later])
-            wrong = np.arange(len(owner))
-            while len(wrong):
-                end[wrong], counts[wrong] = _parse(table, codes, start[wrong], length[wrong], begin[wrong])
-                wrong = later[begin[later] != end[later - 1]]
-                begin[wrong] = end[wrong - 1]
-            total[:, k] = np.bincount(owner, counts, minlength=len(texts)) + (sizes > 0)
+            while len(wrong := later[begin[k, later] != end[k, later - 1]]):
+                begin[k, wrong] = end[k, wrong - 1]
+                again = _parse([table], codes, start[wrong], length[wrong], begin[None, k, wrong])
+                end[k, wrong], counts[k, wrong] = again[0][0], again[1][0]
+            total[:, k] = np.bincount(owner, counts[k], minlength=len(texts)) + (sizes > 0)
         letters = np.bincount(np.repeat(np.arange(len(texts)), sizes), codes > 0, minlength=len(texts)) > 0
         return total, letters
 

@@ -193,8 +193,7 @@ def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
         if len(kept_k):
             yield link(kept_k, kept_f)
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+    return rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
 def _hot_links(rows: DataFrame, radius: int) -> DataFrame:
@@ -246,6 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = materialize(placed.join(ids, "root").select("fp", "component_id"), "simhash-components")
+    discard(nodes)
     out = rows.join(placed, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import discard, fresh_path, materialize, python_batches
 
 #: Uncompressed bytes in an archive file, after which the next record starts a new one.
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 16 << 20
 #: The date of pages that come without one.
 NO_DATE = "20000101000000"
 #: Field names of the two versions of ARC, fixed by the format.
@@ -194,16 +194,17 @@ def _page_id(record: WarcRecord):
     return int(record.http[PAGE_FIELD]) if record.http.get(PAGE_FIELD) else None
 
 
-def _heads(pages: DataFrame) -> DataFrame:
+def _with_heads(pages: DataFrame) -> DataFrame:
+    """(row, page_id, url, html) with digest, size, record_id, uri and date of the record."""
+
     def run(batches):
         for batch in batches:
-            got = list(_converted(batch))
-            cols = [[n for n, _ in got], [_page_id(r) for _, r in got], [r.digest for _, r in got], [len(r.payload) for _, r in got]]
-            cols += [[r.headers[k] for _, r in got] for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date")]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "page_id", "digest", "size", "record_id", "uri", "date"])
+            got = [r for _, r in _converted(batch)]
+            cols = [[r.digest for r in got], [len(r.payload) for r in got]] + [[r.headers[k] for r in got] for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date")]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*batch.schema.names, "digest", "size", "record_id", "uri", "date"])
 
-    return pages.mapInArrow(run, "row long, page_id long, digest string, size long, record_id string, uri string, date string")
+    return pages.mapInArrow(run, "row long, page_id long, url string, html string, digest string, size long, record_id string, uri string, date string")
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -217,8 +218,8 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_by
     """
     python_batches(pages.sparkSession)
     pages = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    pages = materialize(pages, "warc-pages")  # so that numbers stay as they are
-    heads = materialize(_heads(pages), "warc-heads")
+    pages = materialize(_with_heads(pages), "warc-pages")  # so that numbers stay as they are
+    heads = pages.select("row", "page_id", "digest", "size", "record_id", "uri", "date")
     first = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row", "record_id", "uri", "date")
     groups = heads.filter(F.col("size") >= min_payload).groupBy(F.col("digest").alias("_d"), F.col("size").alias("_s")).agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = heads.join(groups, (heads["digest"] == F.col("_d")) & (heads["size"] == F.col("_s"))).filter(F.col("row") != F.col("first.row"))
@@ -248,8 +249,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_by
     rows = pages.join(refs, pages["row"] == refs["_row"], "left").select("row", "page_id", "url", "html", "ref")
     files = rows.mapInArrow(archive, "blob binary").select(F.col("blob").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", gzip.compress(b"", mtime=0).decode("latin-1")).text(path)
-    for done in (pages, heads):
-        discard(done)
+    discard(pages)
 
 
 def read_archives(spark, path: str) -> DataFrame:
