@@ -30,10 +30,11 @@ def bump_year(ts: Column, asof: Column) -> Column:
 
 
 def date_range(start: Column, end: Column, asof: Column) -> Column:
-    """Every day from start to end; a start in the past moves to ``asof`` at start's hour."""
-    moved = F.date_trunc("DAY", asof) + F.make_dt_interval(F.lit(0), F.hour(start), F.minute(asof), F.second(asof))
-    begin = F.when(start < asof, moved).otherwise(start)
-    return F.when(begin <= end, F.sequence(begin, end, F.expr("INTERVAL 1 DAY"))).otherwise(F.array().cast("array<timestamp>"))
+    """Every day from start to end, both at start's hour; a start in the past moves to ``asof`` at that hour."""
+    at_hour = lambda t: F.date_trunc("DAY", t) + F.make_dt_interval(F.lit(0), F.hour(start), F.minute(t), F.second(t))
+    begin = F.when(start < asof, at_hour(asof)).otherwise(start)
+    last = at_hour(end)
+    return F.when(begin <= last, F.sequence(begin, last, F.expr("INTERVAL 1 DAY"))).otherwise(F.array().cast("array<timestamp>"))
 
 
 def future_dates(dates: Column, asof: Column) -> Column:
@@ -118,3 +119,24 @@ def search_until(asof: Column, days: int) -> Column:
 def in_season(tags: Column, year: Column, word: str = "events") -> Column:
     """Whether a tag such as events2025 names ``year`` or later; other tags don't count."""
     return F.exists(tags, lambda t: F.coalesce(F.replace(t, F.lit(word), F.lit("")).try_cast("int") >= year, F.lit(False)))
+
+
+def same_slot(days: Column, slot: Column) -> Column:
+    """Every day at one time of day, given as ``7:05pm``; at 01:01 without one."""
+    clock = F.coalesce(clock_24(slot), F.lit("01:01"))
+    return F.transform(days, lambda d: F.to_timestamp(F.concat(F.date_format(d, "yyyy-MM-dd "), clock), "yyyy-MM-dd HH:mm"))
+
+
+def day_and_time(text: Column, year: Column) -> Column:
+    """The date of a text that has both a day with its month and a time; null if either is missing."""
+    day, clock = F.regexp_extract(text, r"(\d{1,2}\s+[A-Z][a-z]{2,})", 1), clock_24(text)
+    read = parse_any(F.when(day != "", F.regexp_replace(day, r"\s+", " ")), ["d MMM", "d MMMM"], year)
+    return F.to_timestamp(F.concat(F.date_format(read, "yyyy-MM-dd "), clock), "yyyy-MM-dd HH:mm")
+
+
+def by_shape(text: Column, year: Column, asof: Column) -> Column:
+    """Dates of "2 Mar – 4 Apr", "2 – 4 Mar" or "2 Mar", told apart by how many words there are."""
+    words = F.split(F.trim(text), r"\s+")
+    day = lambda a, b: parse_any(F.concat(F.get(words, a), F.lit(" "), F.get(words, b)), ["d MMM", "d MMMM"], year)
+    span = lambda a, b: date_range(a, b, asof)
+    return F.when(F.size(words) == 5, span(day(0, 1), day(3, 4))).when(F.size(words) == 4, span(day(0, 3), day(2, 3))).otherwise(F.array_compact(F.array(day(0, 1))))

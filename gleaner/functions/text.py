@@ -42,9 +42,12 @@ def title_of(description: Column) -> Column:
     return F.substring_index(description, ",", 1)
 
 
-def skip_flag(description: Column, boilerplate: str, least: int = 110) -> Column:
-    """Too short, or holding a boilerplate, or too short without what the boilerplate matches as a pattern."""
-    return (F.length(description) < least) | F.contains(description, F.lit(boilerplate)) | (F.length(F.regexp_replace(description, boilerplate, "")) < least)
+def skip_flag(description: Column, *boilerplates: str, least: int = 110) -> Column:
+    """Too short, or holding one of the boilerplates, or too short without what one matches as a pattern."""
+    out = F.length(description) < least
+    for b in boilerplates:
+        out = out | F.contains(description, F.lit(b)) | (F.length(F.regexp_replace(description, b, "")) < least)
+    return out
 
 
 def confidence_text(p: Column) -> Column:
@@ -123,27 +126,75 @@ def image_expiry(image_url: Column) -> Column:
     return F.when(code != "", F.timestamp_seconds(F.conv(code, 16, 10).cast("long")))
 
 
-def value_after(text: Column, label: str) -> Column:
-    """The line after the first line that starts with a label; null if there is none."""
+def value_after(text: Column, label: str, last: bool = False) -> Column:
+    """The first line after a line that contains a label, or the ``last``, that doesn't contain it itself; null if there is none."""
     lines = F.split(text, "\n")
-    at = F.array_position(F.transform(lines, lambda x: F.startswith(x, F.lit(label))), True)
-    return F.when(at > 0, F.get(lines, at.cast("int")))
+    has = lambda x: F.contains(x, F.lit(label))
+    at = F.array_position(F.transform(lines, has), True).cast("int")
+    after = F.filter(F.slice(lines, at + 1, F.size(lines)), lambda x: ~has(x))
+    return F.when(at > 0, F.try_element_at(after, F.lit(-1 if last else 1)))
+
+
+def gig_time(text: Column, start: str = "GIG STARTS", doors: str | None = "Doors open") -> Column:
+    """The start time in a side bar of labels and values; else what follows the doors' label; else 1:01AM."""
+    tries = [value_after(text, start)] + ([value_after(text, doors, last=True)] if doors else [])
+    return F.coalesce(*tries, F.lit("1:01AM"))
+
+
+#: Status lines of cards that can't be visited, and tag lines that say nothing.
+SOLD_TAGS = ("Sold Out", "Sales Ended", "Unavailable", "Sales ended")
+CARD_TAGS = ("Sales end soon", "Selling quickly", "Nearly full", "Just added", "Not Yet On Sale")
+
+
+def card_lines(card: Column, least: int = 3) -> Column:
+    """A card's lines without a tag in front; null if it is sold out or has fewer than ``least``."""
+    lines = F.split(card, "\n")
+    first = F.get(lines, 0)
+    lines = F.when(first.isin(*CARD_TAGS), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    return F.when(~first.isin(*SOLD_TAGS) & (F.size(lines) >= least), lines)
+
+
+def texts_within(html: Column, least: int = 1) -> Column:
+    """The texts of an element tree in the order of its leaves, those of at least ``least`` characters."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
+    leaves = F.transform(F.split(bare, r"<[^>]*>"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.filter(leaves, lambda x: F.length(x) >= least)
+
+
+def element_text(html: Column, tag: str, css_class: str | None = None) -> Column:
+    """The inner markup of the first element of a tag (and a class) that has no element of that tag inside; empty if there is none."""
+    named = rf"""[^>]*class=["'][^"']*\b{css_class}\b[^"']*["'][^>]*""" if css_class else r"(?:\s[^>]*)?"
+    return F.regexp_extract(html, rf"(?is)<{tag}{named}>((?:(?!</?{tag}[\s>]).)*+)</{tag}>", 1)
+
+
+def attribute(html: Column, tag: str, name: str) -> Column:
+    """An attribute of the first element of a tag that has it; empty if none has."""
+    return F.regexp_extract(html, rf"""(?is)<{tag}\s[^>]*\b{name}=["']([^"']*)["']""", 1)
+
+
+#: What is removed from addresses, as patterns, ``city`` and ``country`` filled in.
+ADDRESS_CLEANUPS = (
+    r" - Mana",
+    r"(\d+\s*st|\d+\s*th)\s*[fF]{1}loor",
+    r"(\d+\s*st|\d+\s*th)\s*[Ll]{1}evel",
+    r"#?[Ll](?:evel)?\s?(\d+)|\s*#(\d+)",
+    r", {city} \d{{4}}",
+    r", {country}",
+)
 
 
 def address_variants(address: Column, city: str, country: str) -> Column:
-    """Ways to look an address up, best first: as is, without its first part, with city and country, without its last two parts.
+    """Ways to look an address up, best first.
 
-    Floors, levels, units, postcodes and the country are removed first. Without a number, each
-    variant of an address in parts is followed by itself as number 1.
+    The cleaned address; what follows its first part, alone and with the place; the address with
+    the place; what precedes its last two parts. An address of several parts without a digit is
+    also tried as number 1, each variant right after itself. Empty variants are left out.
     """
-    for pattern in (r"\d+\s*(?:st|th)\s*[fF]loor", r"\d+\s*(?:st|th)\s*[lL]evel", r"#?[Ll](?:evel)?\s?\d+|\s*#\d+", rf", {city} \d{{4}}", f", {country}"):
-        address = F.regexp_replace(address, pattern, "")
-    parts = F.split(address, ",")
-    joined = lambda a: F.trim(F.array_join(a, ","))
-    some = lambda c: F.when(c != "", c)
-    tail = some(joined(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))))
-    last = some(joined(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0)))))
-    place = F.lit(f", {city}, {country}")
-    variants = F.array_compact(F.array(address, tail, F.concat(tail, place), F.concat(address, place), last))
-    numbered = F.flatten(F.transform(variants, lambda v: F.array(v, F.concat(F.lit("1 "), v))))
-    return F.when((F.size(parts) > 1) & ~address.rlike(r"\d"), numbered).otherwise(variants)
+    for pattern in ADDRESS_CLEANUPS:
+        address = F.regexp_replace(address, pattern.replace("{city}", city).replace("{country}", country).replace("{{4}}", "{4}"), "")
+    parts, place = F.split(address, ","), f", {city}, {country}"
+    cut = lambda first, n: F.nullif(F.trim(F.array_join(F.slice(parts, first, F.greatest(n, F.lit(0))), ",")), F.lit(""))
+    rest = cut(2, F.size(parts) - 1)
+    tries = F.array_compact(F.array(address, rest, F.concat(rest, F.lit(place)), F.concat(address, F.lit(place)), cut(1, F.size(parts) - 2)))
+    unnumbered = (F.size(parts) > 1) & ~address.rlike("[0-9]")
+    return F.when(unnumbered, F.flatten(F.transform(tries, lambda v: F.array(v, F.concat(F.lit("1 "), v))))).otherwise(tries)

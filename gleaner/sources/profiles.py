@@ -12,17 +12,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates, text
-from gleaner.operators.filters import is_closed, mentions
+from gleaner.operators.filters import is_closed, mentions, not_past
 from gleaner.sources import schemas
 from gleaner.sources.readers import reader
 
 DAY_FORMATS = ["d MMM yyyy h:mma", "d MMMM yyyy h:mma", "d MMM yyyy", "d MMMM yyyy", "d MMM h:mma", "d MMMM h:mma", "d MMM", "d MMMM", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd-HH:mm", "yyyy-MM-dd"]
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where a page has what, as (tag, class). ``header`` is a block of lines of which the third is
+    the date and the fifth the venue; ``times`` takes dates from time elements."""
+
+    name: tuple[str, str | None] = ("h1", None)
+    venue: tuple[str, str | None] = ("div", "venue")
+    dates: tuple[str, str | None] = ("div", "dates")
+    category: tuple[str, str | None] = ("span", "category")
+    description: tuple[str, str | None] = ("article", None)
+    card: tuple[str, str | None] = ("div", "card")
+    info: tuple[str, str | None] = ("div", "info")
+    slot: tuple[str, str | None] = ("div", "slot")
+    header: tuple[str, str | None] | None = None
+    times: bool = False
+
+
+GIG_PAGE = Layout(name=("h1", "display_title_1"), header=("div", "col-md-9"), info=("div", "gig-guide-side-bar"), description=("div", "description"))
+
+
 @dataclass(frozen=True)
 class Profile:
-    """``dates``: "list" (a date a text), "span" (texts name a range), "relative" (Today, weekdays) or
-    "pair" (start and end). ``constant`` values replace what the pages lack."""
+    """``dates``: "list" (a date a text), "span" (texts name a range), "relative" (Today, weekdays),
+    "pair" (start and end), "range" (one or two dates; two are a daily range), "gig" (day and month,
+    the time from the side bar), "both" (day, month and time or nothing), "slot" (days at the page's
+    one time), "shape" (ranges told apart by their words) or "sessions" (starts to the minute).
+    ``constant`` values replace what the pages lack. ``card``: sold-out and short cards are
+    dropped. ``drops_past``: a listing whose last date is past is dropped, not banned. ``doors``:
+    the doors' time stands in for a start time. ``no_time``: times aren't readable. ``venue_label``:
+    the venue is the line after this one."""
 
     name: str
     shape: str = "url_category"
@@ -35,33 +61,40 @@ class Profile:
     add_city: bool = False
     keeps_history: bool = True
     zone_tag: str | None = None
+    card: bool = False
+    drops_past: bool = False
+    doors: str | None = None
+    no_time: bool = False
+    venue_label: str | None = None
+    clean_title: bool = False
+    layout: Layout = Layout()
 
 
 PROFILES = {
     p.name: p
     for p in (
-        Profile("Event Brite", excluded=("online",)),
-        Profile("Facebook", dates="relative"),
-        Profile("Event Finder", dates="span"),
+        Profile("Event Brite", excluded=("online",), card=True),
+        Profile("Facebook", dates="relative", drops_past=True),
+        Profile("Event Finder", dates="range", layout=Layout(times=True)),
         Profile("All Events In", shape="category_url", match_title=True, zone_tag="gmt"),
         Profile("Humanitix", shape="url_category_multiple"),
-        Profile("Ticketek", required_city=True),
+        Profile("Ticketek", required_city=True, no_time=True),
         Profile("Ticket Master", match_title=True),
-        Profile("Under The Radar", shape="url", category="Music & Concerts"),
-        Profile("Rogue & Vagabond", shape="url", category="Music & Concerts", venue="Rogue & Vagabond"),
-        Profile("San Fran", shape="url", category="Music & Concerts", venue="San Fran"),
+        Profile("Under The Radar", shape="url", category="Music & Concerts", dates="gig", doors="Doors open", layout=GIG_PAGE),
+        Profile("Rogue & Vagabond", shape="url", category="Music & Concerts", venue="Rogue & Vagabond", dates="gig", layout=GIG_PAGE),
+        Profile("San Fran", shape="url", category="Music & Concerts", venue="San Fran", clean_title=True),
         Profile("Valhalla", shape="url_image", category="Music & Concerts", venue="Valhalla", dates="pair"),
-        Profile("High School", venue="High School"),
-        Profile("City Guide", dates="span", add_city=True),
-        Profile("Burger Festival", category="Food & Drink", keeps_history=False),
-        Profile("Roxy", category="Film & Media", venue="Roxy Cinema"),
+        Profile("High School", venue="High School", dates="both"),
+        Profile("City Guide", dates="span", add_city=True, venue_label="Where"),
+        Profile("Burger Festival", category="Food & Drink", keeps_history=False, dates="sessions"),
+        Profile("Roxy", category="Film & Media", venue="Roxy Cinema", dates="slot"),
         Profile("Heritage Festival", category="Community & Culture", dates="span"),
-        Profile("Fringe", category="Arts & Theatre", dates="span"),
+        Profile("Fringe", category="Arts & Theatre", dates="shape"),
     )
 }
 
 
-def parsed_dates(texts: Column, rule: str, asof: Column, zone_tag: str | None = None) -> Column:
+def parsed_dates(texts: Column, rule: str, asof: Column, zone_tag: str | None = None, info: Column | None = None, slot: Column | None = None, doors: str | None = None) -> Column:
     """An array of timestamps; texts that no format fits give nothing."""
     year = F.year(asof)
     clean = lambda t: F.trim(F.regexp_replace(text.drop_ordinals(t), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", ""))
@@ -74,6 +107,19 @@ def parsed_dates(texts: Column, rule: str, asof: Column, zone_tag: str | None =
         found = F.when(F.size(F.array_compact(found)) > 0, found).otherwise(F.transform(texts, one))
     elif rule == "pair":
         found = dates.start_and_end(one(F.get(texts, 0)), one(F.get(texts, 1)))
+    elif rule == "range":
+        found = F.when(F.size(texts) > 1, dates.date_range(one(F.get(texts, 0)), one(F.get(texts, 1)), asof)).otherwise(F.transform(texts, one))
+    elif rule == "gig":
+        words = F.split(F.substring_index(F.get(texts, 0), ",", 1), " ")
+        found = F.array(dates.parse_any(F.concat_ws(" ", F.get(words, 1), F.get(words, 2), text.gig_time(info, doors=doors)), ["d MMM h:mma", "d MMMM h:mma"], year))
+    elif rule == "both":
+        found = F.transform(texts, lambda t: dates.day_and_time(t, year))
+    elif rule == "slot":
+        found = dates.same_slot(F.array_compact(F.transform(texts, one)), slot)
+    elif rule == "shape":
+        found = F.flatten(F.transform(texts, lambda t: dates.by_shape(t, year, asof)))
+    elif rule == "sessions":
+        found = F.transform(texts, lambda t: F.date_trunc("MINUTE", one(t)))
     else:
         found = F.transform(texts, one)
     if zone_tag:
@@ -82,21 +128,57 @@ def parsed_dates(texts: Column, rule: str, asof: Column, zone_tag: str | None =
     return F.array_distinct(F.array_compact(found))
 
 
+def listings_from_pages(pages: DataFrame, profile: Profile) -> DataFrame:
+    """RAW_LISTING rows of a source from its rendered pages (page_id, url, html)."""
+    page = profile.layout
+    part = lambda where: F.when(text.element_text(F.col("html"), *where) != "", text.html_to_text(text.element_text(F.col("html"), *where)))
+    lines = lambda where: F.coalesce(F.split(part(where), "\n"), F.array().cast("array<string>"))
+    when, venue = lines(page.dates), part(page.venue)
+    if page.times:
+        when = F.regexp_extract_all("html", F.lit(r"""(?i)<time\s[^>]*datetime=["']([^"']*)["']"""), 1)
+    if page.header:
+        when, venue = F.array_compact(F.array(F.get(lines(page.header), 2))), F.get(lines(page.header), 4)
+    image = text.attribute(F.col("html"), "img", "src")
+    style = text.css_url(text.attribute(F.col("html"), "[a-z]+", "style"))
+    return pages.select(
+        F.col("page_id").cast("long").alias("seq"), F.lit(profile.name).alias("source"), "url", part(page.category).alias("category"), part(page.name).alias("name"),
+        F.coalesce(F.nullif(image, F.lit("")), F.nullif(style, F.lit(""))).alias("image"), venue.alias("venue"), when.alias("date_texts"), part(page.description).alias("description"),
+        F.lit(None).cast(schemas.COORDINATES).alias("coordinates"), part(page.card).alias("card"), part(page.info).alias("info"), part(page.slot).alias("slot"),
+    )
+
+
 def to_events(raw: DataFrame, profile: Profile, asof: Column, city: str) -> tuple[DataFrame, DataFrame]:
-    """(events, urls to ban) of a source's raw listings. Listings without a readable date are banned."""
+    """(events, urls to ban) of a source's raw listings.
+
+    Listings without a readable date, with an excluded word or elsewhere are banned; closed ones,
+    by their status line, and those that a source drops are left out and may come again.
+    """
     rows = raw.where(F.col("source") == profile.name)
-    venue = F.lit(profile.venue) if profile.venue else F.col("venue")
+    if profile.card:
+        rows = rows.where(F.col("card").isNull() | text.card_lines(F.col("card")).isNotNull())
+    if profile.dates != "gig":
+        rows = rows.where(~F.coalesce(is_closed(F.col("info")), F.lit(False)))
+    venue = text.value_after(F.col("info"), profile.venue_label) if profile.venue_label else F.col("venue")
+    venue = F.lit(profile.venue) if profile.venue else F.coalesce(venue, F.col("venue"))
     venue = text.with_city(venue, city) if profile.add_city else venue
     rows = rows.withColumns({"venue": venue, "category": F.lit(profile.category) if profile.category else F.coalesce("category", F.lit("Other"))})
-    out = F.coalesce(is_closed(F.coalesce("description", F.lit(""))), F.lit(False))
+    if profile.clean_title:
+        rows = rows.withColumn("name", text.clean_name(F.col("name")))
+    out = F.lit(False)
     if profile.excluded:
         out = out | F.coalesce(mentions(F.concat_ws(" ", "venue", "description"), *profile.excluded), F.lit(False))
     if profile.required_city:
         out = out | ~F.coalesce(mentions(F.col("venue"), city), F.lit(False))
-    rows = rows.withColumn("dates", parsed_dates(F.col("date_texts"), profile.dates, asof, profile.zone_tag)).withColumn("_out", out | (F.size("dates") == 0))
+    found = parsed_dates(F.col("date_texts"), profile.dates, asof, profile.zone_tag, F.col("info"), F.col("slot"), profile.doors)
+    if profile.no_time:
+        found = F.transform(found, lambda d: F.date_trunc("DAY", d) + F.make_dt_interval(F.lit(0), F.lit(1), F.lit(1)))
+    rows = rows.withColumn("dates", F.sort_array(found))
+    if profile.drops_past:
+        rows = rows.where(not_past(F.col("dates"), asof))
+    rows = rows.withColumn("_out", out | (F.size("dates") == 0))
     events = rows.where(~F.col("_out")).select(
         "seq", text.event_id(F.col("name"), F.col("venue"), F.col("source")).alias("id"), "name", F.col("image").alias("imageUrl"), "venue", "coordinates",
-        F.sort_array("dates").alias("dates"), "url", "source", F.col("category").alias("eventType"), F.col("description").alias("long_description"), text.html_to_text(F.col("description")).alias("description"),
+        "dates", "url", "source", F.col("category").alias("eventType"), F.col("description").alias("long_description"), text.html_to_text(F.col("description")).alias("description"),
     )
     return events, rows.where("_out").select("source", "url")
 

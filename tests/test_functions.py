@@ -69,6 +69,14 @@ def test_places(spark):
     assert one(spark, text.canonical_url(F.lit("nothing"), r"events/\d+")) is None
     assert one(spark, text.image_expiry(F.lit("https://x/i.jpg?oe=65A00000&z"))).timestamp() == 0x65A00000
     assert one(spark, text.value_after(F.lit("Doors\n7pm\nStart\n8pm"), "Start")) == "8pm"
+    assert one(spark, text.value_after(F.lit("a\nThe GIG STARTS at\nGIG STARTS\n8pm\n9pm"), "GIG STARTS")) == "8pm"
+    assert one(spark, text.gig_time(F.lit("Doors open\n6pm\nx\n7pm"))) == "7pm"
+    assert one(spark, text.gig_time(F.lit("Doors open\n6pm"), doors=None)) == "1:01AM"
+    assert one(spark, text.card_lines(F.lit("Sold Out\na\nb\nc"))) is None and one(spark, text.card_lines(F.lit("Just added\na\nb"))) is None
+    assert one(spark, text.card_lines(F.lit("Just added\na\nb\nc"))) == ["a", "b", "c"]
+    assert one(spark, text.texts_within(F.lit("<div>a <b>bold  word</b><script>x</script>c</div>"), 2)) == ["bold word"]
+    assert one(spark, text.element_text(F.lit('<div class="x venue y"><p>Hall</p></div>' + "z" * 20000), "div", "venue")) == "<p>Hall</p>"
+    assert one(spark, text.element_text(F.lit("<h1>" + "long " * 5000 + "</h1>"), "h1")) == "long " * 5000
 
 
 def test_address_variants(spark):
@@ -87,7 +95,7 @@ def test_display_and_year(spark):
 
 def test_range_is_clamped_to_now_with_the_starts_hour(spark):
     got = one(spark, F.transform(dates.date_range(ts("2024-01-01 09:00:00"), ts("2024-01-19 09:00:00"), asof()), dates.stamp))
-    assert got == ["2024-01-17-09:30", "2024-01-18-09:30"]
+    assert got == ["2024-01-17-09:30", "2024-01-18-09:30"]  # the end keeps its own minute
     got = one(spark, F.transform(dates.date_range(ts("2024-01-18 09:00:00"), ts("2024-01-19 09:00:00"), asof()), dates.stamp))
     assert got == ["2024-01-18-09:00", "2024-01-19-09:00"]
 

@@ -56,7 +56,7 @@ def raw(spark):
         (5, "Facebook", "u5", None, "Party", None, "Bar", ["Tomorrow at 7:30"], None, None),
         (6, "City Guide", "u6", "Art", "Show", None, "Gallery", ["20 – 22 January 2024"], "x", None),
     ]
-    return spark.createDataFrame(data, schemas.RAW_LISTING)
+    return spark.createDataFrame([(*r, None, None, None) for r in data], schemas.RAW_LISTING)
 
 
 def test_profiles(spark):
