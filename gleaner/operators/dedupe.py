@@ -36,3 +36,9 @@ def first_n(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
 def chunked(rows: DataFrame, size: int, *order: Column) -> DataFrame:
     """Chunk numbers for batches of ``size`` rows in the given order."""
     return numbered(rows, [], list(order), "_number").withColumn("chunk", F.floor(F.col("_number") / size)).drop("_number")
+
+
+def crawl_plan(rows: DataFrame, category: str, limit: int, *order: Column) -> DataFrame:
+    """The first ``limit`` links of each category with their ``place``, in the order of a crawl: by category, then place."""
+    got = numbered(rows, [category], list(order), "_place").where(F.col("_place") < limit)
+    return got.withColumn("place", (F.col("_place") + 1).cast("long")).drop("_place").orderBy(category, "place")
