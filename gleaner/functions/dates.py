@@ -96,12 +96,12 @@ def zone_tag_shift(ts: Column, text: Column, tag: str, hours: int = 10) -> Colum
 
 
 def span_dates(text: Column, dash: str = " – ") -> Column:
-    """(start, end) of "d – d Month Year", "d Month – d Month Year" or a single date; nulls if unreadable."""
+    """(start, end) of "d – d Month Year", "d Month – d Month Year", "d Month Year – d Month Year" or a single date; nulls if unreadable."""
     parts = F.split(text, dash)
     last = F.element_at(parts, -1)
     tail = F.regexp_extract(last, r"^\d{1,2}\s+(.*)$", 1)
     year = F.regexp_extract(last, r"(\d{4})$", 1)
-    first = F.when(F.size(parts) == 1, last).when(F.length(F.get(parts, 0)) > 2, F.concat(F.get(parts, 0), F.lit(" "), year)).otherwise(F.concat(F.get(parts, 0), F.lit(" "), tail))
+    first = F.when(F.size(parts) == 1, last).when(F.get(parts, 0).rlike(r"\d{4}$"), F.get(parts, 0)).when(F.length(F.get(parts, 0)) > 2, F.concat(F.get(parts, 0), F.lit(" "), year)).otherwise(F.concat(F.get(parts, 0), F.lit(" "), tail))
     read = lambda c: F.coalesce(F.try_to_timestamp(c, F.lit("d MMMM yyyy")), F.try_to_timestamp(c, F.lit("d MMM yyyy")))
     return F.struct(read(first).alias("start"), read(last).alias("end"))
 

@@ -11,7 +11,7 @@ from gleaner.operators.filters import has_text, not_skipped
 from gleaner.operators.numbering import numbered
 
 
-def ingest(events: DataFrame, corpus: DataFrame, markers: tuple[str, ...], boilerplate: str) -> DataFrame:
+def ingest(events: DataFrame, corpus: DataFrame, markers: tuple[str, ...], *boilerplates: str) -> DataFrame:
     """``corpus`` (description, label) and the new descriptions of ``events`` (seq, name, long_description, eventType).
 
     Descriptions are cut at the markers; a new one is neither in the corpus nor earlier among
@@ -22,7 +22,12 @@ def ingest(events: DataFrame, corpus: DataFrame, markers: tuple[str, ...], boile
     fresh = first_wins(rows, [F.col("description")], "seq")
     old = corpus.select(cut_at(F.col("description"), *markers).alias("description"), "label", F.lit(None).cast("boolean").alias("new"))
     fresh = fresh.join(old.select("description"), "description", "left_anti").select("description", "label", F.lit(True).alias("new"))
-    return old.unionByName(fresh).withColumn("skip", skip_flag(F.col("description"), boilerplate))
+    return old.unionByName(fresh).withColumn("skip", skip_flag(F.col("description"), *boilerplates)).orderBy("label", "description")
+
+
+def usable(rows: DataFrame, label: str = "label", skip: str = "skip") -> DataFrame:
+    """Rows that have a label and aren't skipped."""
+    return rows.where(F.col(label).isNotNull() & not_skipped(F.col(skip)))
 
 
 def class_counts(rows: DataFrame, label: str = "label", skip: str | None = None) -> DataFrame:

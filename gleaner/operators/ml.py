@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, Normalizer, RegexTokenizer, StringIndexer
@@ -22,16 +23,26 @@ def tokens(text: Column) -> Column:
 
 def vocabulary(rows: DataFrame, text: str, size: int = VOCABULARY) -> DataFrame:
     """(word, n): the most frequent words; of equal counts the first in order."""
-    words = rows.select(F.explode(tokens(F.col(text))).alias("word"))
+    words = rows.select(F.explode(tokens(F.col(text))).alias("word"))  # partial counts meet, not words
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
 
 
 def sequences(rows: DataFrame, text: str, words: list[str], length: int = SEQUENCE) -> DataFrame:
-    """Word numbers from 2 on (1 for unknown words) of the last ``length`` words, zeros at the end."""
-    table = F.create_map(*[x for i, w in enumerate(words) for x in (F.lit(w), F.lit(i + 2))])
-    ids = F.slice(F.transform(tokens(F.col(text)), lambda w: F.coalesce(F.try_element_at(table, w), F.lit(1))), F.lit(-length), F.lit(length))
-    ids = F.when(F.size(tokens(F.col(text))) >= length, ids).otherwise(F.transform(tokens(F.col(text)), lambda w: F.coalesce(F.try_element_at(table, w), F.lit(1))))
-    return rows.withColumn("sequence", F.concat(ids, F.array_repeat(F.lit(0), F.lit(length) - F.size(ids))))
+    """Word numbers from 2 on (1 for unknown words) of the last ``length`` words, zeros at the end.
+
+    Arrow batches, as no built-in looks words up in a table without a scan of it; ``words`` is
+    the vocabulary, of VOCABULARY words or so.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
+
+    @F.pandas_udf("array<int>")
+    def numbers(texts: pd.Series) -> pd.Series:
+        of = shared.value
+        return texts.map(lambda t: [of.get(w, 1) for w in t])
+
+    last = F.when(F.size("_w") > length, F.slice("_w", F.greatest(F.size("_w") - length + 1, F.lit(1)), F.lit(length))).otherwise(F.col("_w"))
+    got = rows.withColumn("_w", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).withColumn("_n", numbers(last))
+    return got.withColumn("sequence", F.concat("_n", F.array_repeat(F.lit(0), F.lit(length) - F.size("_n")))).drop("_w", "_n")
 
 
 def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,19 +38,19 @@ def lexrank(text: str | None, k: int = 5, rounds: int = 30, damping: float = 0.8
     if len(sentences) <= k:
         return "\n".join(sentences)
     bags = [re.findall(r"\w+", s.lower()) for s in sentences]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for b in bags for w in b}))}
-    tf = np.zeros((len(bags), max(1, len(vocabulary))))
-    for i, bag in enumerate(bags):
-        for w in bag:
-            tf[i, vocabulary[w]] += 1
-    m = tf * (np.log((1 + len(bags)) / (1 + (tf > 0).sum(axis=0))) + 1)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    sim = m @ m.T
-    sim /= np.maximum(sim.sum(axis=1, keepdims=True), 1e-12)
-    rank = np.full(len(bags), 1 / len(bags))
+    vocabulary: dict[str, int] = {}
+    pairs = [(i, vocabulary.setdefault(w, len(vocabulary)), n) for i, bag in enumerate(bags) for w, n in Counter(bag).items()]
+    row, word, tf = (np.array(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 3
+    n = len(bags)
+    weight = tf * (np.log((1 + n) / (1 + np.bincount(word, minlength=len(vocabulary))))[word] + 1)
+    weight = weight / np.maximum(np.sqrt(np.bincount(row, weight**2, minlength=n)), 1e-12)[row]
+    # similarities are products of sentences' rows; a step of the walk goes by way of the words
+    through = lambda x: np.bincount(row, weight * np.bincount(word, weight * x[row], minlength=len(vocabulary))[word], minlength=n)
+    total = np.maximum(through(np.ones(n)), 1e-12)
+    rank = np.full(n, 1 / n)
     for _ in range(rounds):
-        rank = (1 - damping) / len(bags) + damping * (sim.T @ rank)
-    best = sorted(sorted(range(len(bags)), key=lambda i: (-rank[i], i))[:k])
+        rank = (1 - damping) / n + damping * through(rank / total)
+    best = sorted(sorted(range(n), key=lambda i: (-round(rank[i], 12), i))[:k])
     return "\n".join(sentences[i] for i in best)
 
 

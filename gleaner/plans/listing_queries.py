@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import dates, text
 from gleaner.operators import category, corpus, evaluate, filters, history, ml, publish, summary
 from gleaner.plans.catalog import query
+from gleaner.plans.text_queries import SUMMARY_SQL
 from gleaner.session import table
 from gleaner.sources.readers import frontier, repaired
 
@@ -17,10 +18,12 @@ def _asof():
     return F.lit(ASOF).cast("timestamp")
 
 
-@query("stored_description", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE trim(split_part(text, ',', 1)) END AS description FROM documents")
+@query("stored_description", f"WITH z AS ({SUMMARY_SQL}) SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN d.text ELSE z.summary END AS description FROM documents d LEFT JOIN z USING (doc_id)")
 def stored_description(spark, sf):
-    cleaned = F.trim(text.title_of(F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", summary.as_description(F.col("doc_id") % 2 == 0, F.col("text"), cleaned).alias("description"))
+    """Listings known before keep their description, new ones get a summary of the cleaned one."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    short = summary.summary_by_frequency(docs.where("doc_id % 2 = 1"), "doc_id", "text")
+    return docs.join(short, "doc_id", "left").select("doc_id", summary.as_description(F.col("doc_id") % 2 == 0, F.col("text"), F.col("summary")).alias("description"))
 
 
 @query(
@@ -29,14 +32,12 @@ def stored_description(spark, sf):
        strftime(date_trunc('day', o_orderdate) + INTERVAL 40 DAY * CAST(o_orderkey % 3 <> 0 AS INTEGER), '%Y-%m-%d-%H:%M') AS last_day FROM orders""",
 )
 def span_dates(spark, sf):
-    """Order dates written as "d Month – d Month Year" or as a single date, and parsed again."""
+    """Order dates written as "d Month – d Month Year", with both years where they differ, or as a single date, and parsed again."""
     last = F.date_add("o_orderdate", 40)
-    two = F.concat(F.date_format("o_orderdate", "d MMMM"), F.lit(" – "), F.date_format(last, "d MMMM yyyy"))
-    one_year = F.year("o_orderdate") == F.year(last)
-    written = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).when(one_year, two).otherwise(F.concat(F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(" – "), F.date_format(last, "d MMMM yyyy")))
-    rows = table(spark, sf, "orders").select("o_orderkey", dates.span_dates(written).alias("s"), dates.span_dates(F.date_format("o_orderdate", "d MMMM yyyy")).alias("f"), one_year.alias("y"), dates.span_dates(F.date_format(last, "d MMMM yyyy")).alias("l"))
-    first = F.coalesce(F.when(F.col("y") | (F.col("o_orderkey") % 3 == 0), F.col("s.start")), F.col("f.start"))
-    return rows.select("o_orderkey", dates.stamp(first).alias("first_day"), dates.stamp(F.col("s.end")).alias("last_day"))
+    first = F.when(F.year("o_orderdate") == F.year(last), F.date_format("o_orderdate", "d MMMM")).otherwise(F.date_format("o_orderdate", "d MMMM yyyy"))
+    written = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).otherwise(F.concat(first, F.lit(" – "), F.date_format(last, "d MMMM yyyy")))
+    rows = table(spark, sf, "orders").select("o_orderkey", dates.span_dates(written).alias("s"))
+    return rows.select("o_orderkey", dates.stamp(F.col("s.start")).alias("first_day"), dates.stamp(F.col("s.end")).alias("last_day"))
 
 
 @query("ordinal_cleanup", "SELECT event_id, event_id || ' of ' || event_type AS cleaned FROM events")
@@ -124,12 +125,17 @@ def training_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.training_description(F.col("source"), F.col("text")).alias("description"))
 
 
-@query("address_variants", "SELECT c_custkey, c_name || '|' || c_name || ', Springfield, Land' AS variants FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'Hall, ' || c_name || '|' || c_name || '|' || c_name || ', Springfield, Land|Hall, ' || c_name || ', Springfield, Land' FROM customer WHERE c_custkey % 2 = 1")
+@query(
+    "address_variants",
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Customer|Customer, Springfield, Land'
+      WHEN 1 THEN 'Hall, Customer|1 Hall, Customer|Customer|1 Customer|Customer, Springfield, Land|1 Customer, Springfield, Land|Hall, Customer, Springfield, Land|1 Hall, Customer, Springfield, Land'
+      ELSE ', ' || c_custkey || ' Main St, Springfield|' || c_custkey || ' Main St, Springfield|' || c_custkey || ' Main St, Springfield, Springfield, Land|, ' || c_custkey || ' Main St, Springfield, Springfield, Land' END AS variants FROM customer""",
+)
 def address_variants(spark, sf):
-    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(", Land"))).otherwise(F.concat(F.lit("Hall, "), "c_name", F.lit(", Springfield 6011, Land")))
-    rows = table(spark, sf, "customer").withColumn("a", F.replace(F.replace(raw, F.lit("#"), F.lit("n")), F.lit("l#"), F.lit("l")))
-    got = text.address_variants(F.col("a"), "Springfield", "Land")
-    return rows.select("c_custkey", F.replace(F.array_join(got, "|"), F.lit("Customern"), F.lit("Customer#")).alias("variants"))
+    """Numbers after #, floors, postcodes and the country go; addresses without a digit are numbered."""
+    key = F.col("c_custkey").cast("string")
+    raw = F.element_at(F.array(F.concat("c_name", F.lit(", Land")), F.concat(F.lit("Hall, "), "c_name", F.lit(", Springfield 6011, Land")), F.concat(key, F.lit("th floor, "), key, F.lit(" Main St, Springfield, Land"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(text.address_variants(raw, "Springfield", "Land"), "|").alias("variants"))
 
 
 @query("closed_listings", "SELECT doc_id FROM documents WHERE contains(lower(text), 'sold out') OR contains(lower(text), 'sales ended') OR contains(lower(text), 'event ended') OR contains(lower(text), 'unavailable') OR contains(lower(text), 'the')")
@@ -149,7 +155,7 @@ def menu_entries(spark, sf):
 
 @query("still_listed", f"SELECT user_id FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '{ASOF}'")
 def still_listed(spark, sf):
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("ts")).alias("dates"))
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.array(F.max("ts")).alias("dates"))  # the last date decides
     return rows.where(filters.not_past(F.col("dates"), _asof())).select("user_id")
 
 
@@ -192,15 +198,15 @@ def zipped_lists(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", total.alias("total"))
 
 
-@query("gathered_rows", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 50 = 0)")
+@query("gathered_rows", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT DISTINCT l_partkey FROM lineitem)")
 def gathered_rows(spark, sf):
-    picks = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("idx"))
+    picks = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("idx"))
     return publish.gather(table(spark, sf, "part").select("p_partkey"), picks, "p_partkey")
 
 
-@query("best_class", "SELECT vec_id, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS cls FROM embeddings")
+@query("best_class", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS cls FROM embeddings")
 def best_class(spark, sf):
-    top = F.get(evaluate.top_two(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")), 1.0), 0)["cls"]
+    top = F.get(evaluate.top_two(F.transform("embedding", lambda x: x.cast("double")), 1.0), 0)["cls"]
     return table(spark, sf, "embeddings").select("vec_id", top.alias("cls"))
 
 
@@ -222,16 +228,19 @@ def label_numbers(spark, sf):
 @query(
     "word_sequences",
     r"""
-    WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda w: w <> '') AS w FROM benchmark),
-    v AS (SELECT list(word ORDER BY n DESC, word) AS words FROM (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM t) GROUP BY word ORDER BY n DESC, word LIMIT 20)),
-    s AS (SELECT item_id, list_transform(w, lambda x: CASE WHEN list_contains(words, x) THEN list_position(words, x) + 1 ELSE 1 END) AS a FROM t, v)
-    SELECT item_id, array_to_string(list_transform(range(1, 31), lambda i: coalesce(a[greatest(len(a) - 30, 0) + i], 0)), ' ') AS sequence FROM s
+    WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda w: w <> '') AS w FROM documents),
+    e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - greatest(len(w) - 1500, 0) AS i FROM t),
+    v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS k FROM (SELECT word, count(*) AS n FROM e GROUP BY word ORDER BY n DESC, word LIMIT 2000)),
+    s AS (SELECT doc_id, list(coalesce(k, 1) ORDER BY i) AS a FROM e LEFT JOIN v USING (word) WHERE i > 0 GROUP BY doc_id)
+    SELECT doc_id, md5(array_to_string(list_concat(coalesce(a, []), list_transform(range(0, 1500 - coalesce(len(a), 0)), lambda x: 0)), ' ')) AS sequence_md5 FROM t LEFT JOIN s USING (doc_id)
     """,
 )
 def word_sequences(spark, sf):
-    rows = table(spark, sf, "benchmark")
-    words = [r["word"] for r in ml.vocabulary(rows, "text", 20).collect()]  # 20 words
-    return ml.sequences(rows, "text", words, 30).select("item_id", F.array_join(F.transform("sequence", lambda x: x.cast("string")), " ").alias("sequence"))
+    """Numbers of the 2,000 most frequent words, the last 1,500 of each text, as a digest."""
+    rows = table(spark, sf, "documents")
+    words = [r["word"] for r in ml.vocabulary(rows, "text").collect()]  # 2,000 words
+    got = ml.sequences(rows, "text", words)
+    return got.select("doc_id", F.md5(F.array_join(F.col("sequence").cast("array<string>"), " ").cast("binary")).alias("sequence_md5"))
 
 
 @query("legacy_categories", "SELECT event_type, CASE WHEN event_type = 'view' THEN 'Festivals' ELSE 'Other' END AS category, count(*) AS n FROM events GROUP BY ALL")
@@ -254,14 +263,25 @@ def festival_order(spark, sf):
     return nation.join(places, F.col("n_name") == F.col("value")).select("n_nationkey", F.col("ord").cast("int").alias("place"))
 
 
-@query("stream_hourly_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+_LATE = "event_id % 10 = 0 AND ts < (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+
+
+@query(
+    "stream_hourly_counts",
+    f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events
+    WHERE NOT ({_LATE}) AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY ALL""",
+)
 def stream_hourly_counts(spark, sf):
-    """The events table read as a stream and counted in event-time windows."""
+    """Events as a stream of two files, in the second of which late ones come: hours that the watermark has passed, without those."""
+    from gleaner.operators.numbering import fresh_path
     from gleaner.streaming.ingest import windowed_counts
 
-    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    name = f"hourly_{abs(hash((sf, id(spark)))) % 10**9}"
-    run = windowed_counts(rows, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    top = events.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("t")).first()["t"]
+    late = (F.col("event_id") % 10 == 0) & (F.col("ts") < F.lit(top))
+    path, out = fresh_path(spark, "stream-in"), fresh_path(spark, "stream-out")
+    for rows in (events.where(~late), events.where(late)):
+        rows.coalesce(1).write.mode("append").parquet(path)
+        run = windowed_counts(spark.readStream.schema(events.schema).parquet(path), "ts", "event_type").writeStream.outputMode("append").format("parquet")
+        run.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")

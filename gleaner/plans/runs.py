@@ -65,6 +65,11 @@ def classify_unlabelled(events: DataFrame, model, names: list[str]) -> DataFrame
     return done.unionByName(got)
 
 
+def relabel_all(events: DataFrame, model, names: list[str]) -> DataFrame:
+    """Every event with the classifier's labels in place of its own."""
+    return classify_unlabelled(events.withColumn("labels", F.array().cast("array<string>")), model, names)
+
+
 def review_run(rows: DataFrame, model, names: list[str], classes=evaluate.ACCEPTED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with accepted labels, predictions, accuracy by class) of a corpus (entry_id, description, label, skip, new)."""
     todo = rows.where(~F.coalesce("skip", F.lit(False)))

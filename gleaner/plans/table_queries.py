@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates, text
 from gleaner.operators import category, corpus, dedupe, evaluate, history, publish
+from gleaner.operators.numbering import numbered
 from gleaner.plans.catalog import query
 from gleaner.session import table
 
@@ -49,18 +50,15 @@ def facet_types(spark, sf):
     "feed_order",
     """
     SELECT event_id, event_type || '-' || user_id || '-' || event_id AS id, strftime(ts, '%a %d %b') AS display, strftime(ts, '%Y-%m-%d-%H:%M') AS stamp,
-           row_number() OVER (ORDER BY date_trunc('minute', ts), event_type, event_id) AS place FROM events ORDER BY ts LIMIT 1000
-    """.replace("ORDER BY ts LIMIT 1000", "QUALIFY place <= 1000"),
+           row_number() OVER (ORDER BY date_trunc('minute', ts), event_type, event_id) AS place FROM events
+    """,
 )
 def feed_order(spark, sf):
-    """The first thousand entries of the feed in its order: a top-k, so no task sorts all rows."""
+    """The whole feed with each entry's place; places come from partition counts, not from one sort."""
     rows = _events(spark, sf).withColumn("_minute", F.date_trunc("minute", "ts"))
-    top = rows.orderBy(*publish.feed_order(F.col("_minute"), F.col("event_type"), F.col("event_id"))).limit(1000)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(*publish.feed_order(F.col("_minute"), F.col("event_type"), F.col("event_id"))))
+    rows = numbered(rows, [], publish.feed_order(F.col("_minute"), F.col("event_type"), F.col("event_id")), "place")
     one = F.array("ts")
-    return top.select("event_id", text.event_id(F.col("event_type"), F.col("user_id"), F.col("event_id")).alias("id"), dates.display_date(one).alias("display"), dates.stamp(F.col("ts")).alias("stamp"), place.cast("long").alias("place"))
+    return rows.select("event_id", text.event_id(F.col("event_type"), F.col("user_id"), F.col("event_id")).alias("id"), dates.display_date(one).alias("display"), dates.stamp(F.col("ts")).alias("stamp"), (F.col("place") + 1).cast("long").alias("place"))
 
 
 _MAP = [("view", "Music & Concerts"), ("click", "Arts & Theatre"), ("purchase", "Markets & Fairs")]
@@ -122,12 +120,15 @@ def display_date_more(spark, sf):
 @query(
     "date_range_explode",
     """
-    SELECT o_orderkey, strftime(unnest(generate_series(o_orderdate, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) + INTERVAL 12 HOUR, INTERVAL 1 DAY)), '%Y-%m-%d-%H:%M') AS stamp FROM orders
+    WITH o AS (SELECT o_orderkey, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS a, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) + INTERVAL 1 HOUR * (o_orderkey % 11) AS b FROM orders)
+    SELECT o_orderkey, strftime(unnest(generate_series(a, date_trunc('day', b) + INTERVAL 1 HOUR * hour(a), INTERVAL 1 DAY)), '%Y-%m-%d-%H:%M') AS stamp FROM o
     """,
 )
 def date_range_explode(spark, sf):
-    end = F.expr("o_orderdate + make_dt_interval(cast(o_orderkey % 5 as int), 12)")
-    rows = table(spark, sf, "orders").select("o_orderkey", F.explode(dates.date_range(F.col("o_orderdate"), end, F.lit("1900-01-01").cast("timestamp"))).alias("d"))
+    """Ranges whose ends are earlier or later in the day than their starts."""
+    start = F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 as int))")
+    end = F.expr("o_orderdate + make_dt_interval(cast(o_orderkey % 5 as int), cast(o_orderkey % 11 as int))")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.explode(dates.date_range(start, end, F.lit("1900-01-01").cast("timestamp"))).alias("d"))
     return rows.select("o_orderkey", dates.stamp(F.col("d")).alias("stamp"))
 
 
@@ -221,12 +222,12 @@ def kfold_assign(spark, sf):
 
 
 def _top(spark, sf):
-    scores = F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double") * 10))
+    scores = F.transform("embedding", lambda x: F.exp(x.cast("double") * 10))
     return table(spark, sf, "embeddings").select("vec_id", "label", evaluate.top_two(scores).alias("top"))
 
 
 _TOP = """
-    e AS (SELECT vec_id, label, unnest(embedding[1:10]) AS x, generate_subscripts(embedding[1:10], 1) - 1 AS cls FROM embeddings),
+    e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS cls FROM embeddings),
     s AS (SELECT vec_id, label, cls, exp(CAST(x AS DOUBLE) * 10) AS score FROM e),
     k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cls) AS rk, max(score) OVER (PARTITION BY vec_id) AS best FROM s),
     t AS (SELECT vec_id, label, cls, rk FROM k WHERE rk <= 2 AND score >= 0.5 * best),

@@ -127,13 +127,14 @@ def url_canonical(spark, sf):
     "line_state_machine",
     """
     WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
-    p AS (SELECT doc_id, a, list_position(list_transform(a, lambda x: starts_with(x, 'The')), true) AS i FROM l)
-    SELECT doc_id, a[i + 1] AS value FROM p WHERE i IS NOT NULL AND i > 0
+    p AS (SELECT doc_id, a, list_position(list_transform(a, lambda x: contains(x, 'the')), true) AS i FROM l)
+    SELECT doc_id, list_filter(a[i + 1:], lambda x: NOT contains(x, 'the'))[1] AS value FROM p WHERE i > 0
     """,
 )
 def line_state_machine(spark, sf):
-    rows = table(spark, sf, "documents").where(F.exists(F.split("text", "\n"), lambda x: x.startswith("The")))
-    return rows.select("doc_id", text.value_after(F.col("text"), "The").alias("value"))
+    """The first line without the label after one that contains it."""
+    rows = table(spark, sf, "documents").where(F.contains("text", F.lit("the")))
+    return rows.select("doc_id", text.value_after(F.col("text"), "the").alias("value"))
 
 
 @query(
@@ -150,19 +151,17 @@ def vocab_topk(spark, sf):
 @query(
     "tfidf_scores",
     r"""
-    WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda w: w <> '')) AS word FROM benchmark),
-    t AS (SELECT item_id, word, count(*) AS tf FROM w GROUP BY ALL), d AS (SELECT word, count(*) AS df FROM t GROUP BY word),
-    x AS (SELECT item_id, word, tf * (ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1.0 + df)) + 1) AS w FROM t JOIN d USING (word))
-    SELECT item_id, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM x
+    WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda w: w <> '')) AS word FROM documents),
+    t AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL), d AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+    x AS (SELECT doc_id, word, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM documents)) / (1.0 + df)) + 1) AS w FROM t JOIN d USING (word))
+    SELECT doc_id, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x
     """,
 )
 def tfidf_scores(spark, sf):
-    return ml.tfidf(table(spark, sf, "benchmark"), "item_id", "text").select("item_id", "word", F.round("weight", 6).alias("weight"))
+    return ml.tfidf(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "word", F.round("weight", 6).alias("weight"))
 
 
-@query(
-    "summary_topk",
-    r"""
+SUMMARY_SQL = r"""
     WITH s AS (SELECT doc_id, text, list_transform(list_filter(regexp_split_to_array(text, '[.!?\n]+'), lambda x: trim(x) <> ''), lambda x: trim(x)) AS a FROM documents),
     e AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) AS pos FROM s),
     w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda x: x <> '')) AS word FROM documents) GROUP BY ALL),
@@ -170,15 +169,17 @@ def tfidf_scores(spark, sf):
     r AS (SELECT doc_id, pos, any_value(sentence) AS sentence, avg(n) AS score FROM t JOIN w USING (doc_id, word) GROUP BY doc_id, pos),
     k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) <= 5)
     SELECT doc_id, string_agg(sentence, chr(10) ORDER BY pos) AS summary FROM k GROUP BY doc_id
-    """,
-)
+    """
+
+
+@query("summary_topk", SUMMARY_SQL)
 def summary_topk(spark, sf):
     return summary.summary_by_frequency(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("summary_lexrank")
 def summary_lexrank(spark, sf):
-    return summary.summarize(table(spark, sf, "benchmark").select("item_id", "text"), "text").select("item_id", "summary")
+    return summary.summarize(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "summary")
 
 
 @query(
@@ -255,23 +256,39 @@ def hash_split(spark, sf):
 
 @query("lr_classifier")
 def lr_classifier(spark, sf):
-    """Train on one part of the labelled documents, predict and evaluate the other."""
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.substring("text", 1, 1 << 30).alias("description"), F.col("lang").alias("label"))
+    """Train one classifier a class, each against the rest, on one part of the documents; predict and evaluate the other."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("description"), F.col("lang").alias("label"))
     rows = rows.withColumn("part", corpus.hash_split(F.col("seq"), [("train", 0.8), ("test", 0.2)]))
-    model = ml.train_classifier(rows.where("part = 'train'"))
+    model = ml.train_classifier(rows.where("part = 'train'"), kind="ovr")
     got = ml.predict(model, rows.where("part = 'test'").drop("part"))
     return evaluate.accuracy_by_class(got, "label", F.col("predicted") == F.col("label"))
 
 
 @query("ga_subset")
 def ga_subset(spark, sf):
-    """Search a training subset of the embeddings table's first classes, as a small pool."""
-    import numpy as np
+    """Search a training subset of the labelled documents by the accuracy that a classifier reaches on it."""
+    from gleaner.operators import search
+
+    pool = _labelled(spark, sf).select("seq", "description", "label")
+    x, y, keys = search.pool_features(pool, "seq", "description", "label")
+    picks, score = search.search(spark, x, y, search.balanced_start(y), population=16, generations=4, fitness=search.logistic_accuracy)
+    return spark.createDataFrame([(int(keys[i]), float(score)) for i in picks], "seq long, fitness double")
+
 
+@query("cross_accuracy")
+def cross_accuracy(spark, sf):
+    """Mean accuracy over stratified folds of the labelled documents, by language."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("seq"), F.col("text").alias("description"), F.col("lang").alias("label"))
+    return spark.createDataFrame([(ml.cross_accuracy(rows, "description", "label", 3),)], "accuracy double")
+
+
+@query("export_best", f"WITH {_TEST} SELECT seq FROM r WHERE seq % 3 = 0 AND seq NOT IN (SELECT seq FROM t) UNION ALL SELECT seq FROM t")
+def export_best(spark, sf):
+    """Picked rows of a pool and the test set together."""
     from gleaner.operators import search
 
-    pool = dedupe.first_n(table(spark, sf, "embeddings"), "label", 40, F.col("vec_id")).orderBy("vec_id").collect()  # 40 a class
-    x, y = np.array([r["embedding"] for r in pool], np.float32), np.array([r["label"] for r in pool])
-    balanced = [int(i) for label in np.unique(y) for i in np.flatnonzero(y == label)[:10]]
-    picks, score = search.search(spark, x, y, balanced, population=12, generations=3)
-    return spark.createDataFrame([(int(pool[i]["vec_id"]), float(score)) for i in picks], "vec_id long, fitness double")
+    rows = _labelled(spark, sf)
+    test = corpus.test_split(rows, "label", 0.4, F.col("seq"))
+    pool = rows.join(test.select("seq"), "seq", "left_anti")
+    picks = [r["seq"] for r in pool.where("seq % 3 = 0").select("seq").collect()]  # stands for what a search picks
+    return search.export_best(pool, test, picks).select("seq")

@@ -66,6 +66,6 @@ class PagesReader(DataSourceReader):
             yield partition.value, i, url, payload
 
 
-def demo_page(page: int) -> list[tuple[str, str]]:
-    """Two rows on each of the first three pages; used by tests and examples."""
-    return [(f"http://example.org/{page}/{i}", f'{{"n": {i}}}') for i in range(2)] if page < 3 else []
+def nothing(page: int) -> list[tuple[str, str]]:
+    """A listing without pages."""
+    return []
