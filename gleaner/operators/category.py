@@ -12,12 +12,6 @@ CANONICAL = (
     "Film & Media", "Food & Drink", "Government & Politics", "Health & Wellness", "Hobbies & Interests", "Kids & Parents",
     "Markets & Fairs", "Music & Concerts", "Religion & Spirituality", "Sports & Fitness", "Other",
 )
-#: Rows up to which a map is broadcast; a larger one is joined as it comes.
-SMALL = 100_000
-
-
-def _small(dim: DataFrame) -> DataFrame:
-    return F.broadcast(dim) if dim.limit(SMALL + 1).count() <= SMALL else dim
 
 
 def map_category(events: DataFrame, mapping: DataFrame, column: str = "category", legacy: bool = False) -> DataFrame:
@@ -26,8 +20,9 @@ def map_category(events: DataFrame, mapping: DataFrame, column: str = "category"
     Canonical names stand for themselves, so mapping twice changes nothing; with ``legacy``
     they don't unless the map says so.
     """
+    # whether the map is broadcast is left to its measured size
     dim = mapping.select(F.col("raw").alias("_raw"), F.col("canonical").alias("_canonical")).dropDuplicates(["_raw"])
-    out = events.join(_small(dim), F.col(column) == F.col("_raw"), "left")
+    out = events.join(dim, F.col(column) == F.col("_raw"), "left")
     own = F.lit(None).cast("string") if legacy else F.when(F.col(column).isin(*CANONICAL), F.col(column))
     return out.withColumn(column, F.coalesce("_canonical", own, F.lit(OTHER))).drop("_raw", "_canonical")
 
@@ -40,5 +35,5 @@ def unmapped(events: DataFrame, mapping: DataFrame, column: str = "category") ->
 def priority_lookup(rows: DataFrame, dim: DataFrame, key: str, out: str = "category") -> DataFrame:
     """The category whose list holds the key: major lists before minor ones, then by place."""
     first = dim.groupBy("id").agg(F.min_by("category", F.struct("tier", "seq")).alias("_found"))
-    got = rows.join(_small(first), F.col(key) == F.col("id"), "left").drop("id")
+    got = rows.join(first, F.col(key) == F.col("id"), "left").drop("id")
     return got.withColumn(out, F.coalesce("_found", F.lit(OTHER))).drop("_found")

@@ -91,7 +91,8 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str =
     """``rows`` with their number from 0 within their key, in the given order; ``keys`` may be empty.
 
     A key may hold any share of the rows: numbers come from partition counts and the place
-    within a partition, less the key's first number.
+    within a partition, less the key's first number. Columns of ``rows`` named _pid, _idx,
+    _before, _first or _first_… would clash.
     """
     placed = ordered(rows, [*(F.col(k) for k in keys), *order], "numbered")
     before = F.coalesce(F.sum("count").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
