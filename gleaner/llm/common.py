@@ -5,16 +5,19 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.numbering import discard, fresh_path, materialize, ordered, prefix_sums, shared_dir
 
-__all__ = ["SPACES", "discard", "fresh_path", "let", "materialize", "ordered", "prefix_sums", "python_batches", "shared_dir", "words_of"]
+__all__ = ["SPACES", "discard", "fresh_path", "let", "marked", "materialize", "ordered", "prefix_sums", "python_batches", "shared_dir", "slot", "slot_map", "words_of"]
 
 SPACES = " \t\n\x0b\f\r"
 #: Bytes that Python workers get at once, the same for all operators.
 BATCH_BYTES = 4 << 20
+#: Bits of a map of values that have a partner.
+MAP_BITS = 1 << 23
 
 
 def python_batches(spark: SparkSession) -> None:
@@ -30,6 +33,27 @@ def python_batches(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def slot(column: str) -> Column:
+    """The bit of a ``slot_map`` that a value has."""
+    return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
+
+
+def slot_map(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of hashed values, of MAP_BITS however many there are.
+
+    It spares rows without a partner the way through a join's shuffle; the join still decides.
+    """
+    words = ids.select(slot(column).alias("s")).select(F.shiftright("s", 5).alias("w"), F.expr("shiftleft(1L, cast(s & 31 as int))").alias("b"))
+    marks = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most MAP_BITS / 32 rows
+    bits = np.zeros(MAP_BITS // 32, np.uint32)
+    bits[marks.column(0).to_numpy()] = marks.column(1).to_numpy().astype(np.uint32)
+    return bits
+
+
+def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for a row."""
     return F.transform(F.array(value), body)[0]

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import discard, materialize
+from gleaner.llm.common import discard, marked, materialize, slot, slot_map
 from gleaner.llm.components import components
 
 #: Bits of fingerprints of the first tier, the largest sets in it, and how much both grow from tier to tier.
@@ -38,8 +38,8 @@ BITS, LARGEST, GROWTH = 1024, 1536, 4
 CROWD, CROWDS = 256, 1 << 20
 #: Rows of a list from which on pivots are used, and how many.
 LONG, PIVOTS = 64, 8
-#: Pairs compared at once, bits of the map of nodes whose sets are wanted.
-PAIRS, MAP_BITS = 1 << 16, 1 << 23
+#: Pairs compared at once.
+PAIRS = 1 << 16
 #: Bytes of words hashed at once.
 PIECE = 1 << 20
 
@@ -230,15 +230,9 @@ def shared_lists(pairs: DataFrame) -> DataFrame:
 def sets_of(texts: DataFrame, live: DataFrame, width: int) -> DataFrame:
     """(node, shingles): the whole sets, as binary, of the nodes in ``live`` (node), from (row, text).
 
-    A bitmap of hashed nodes, of MAP_BITS whatever their number, spares most other texts the
-    way through the shuffle; the join decides.
+    A map of the nodes spares most other sets the way through the shuffle.
     """
-    slot = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
-    words = live.select(slot.alias("s")).select(F.shiftright("s", 5).alias("w"), F.expr("shiftleft(1L, cast(s & 31 as int))").alias("b"))
-    marks = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most MAP_BITS / 32 rows
-    bits = np.zeros(MAP_BITS // 32, np.uint32)
-    bits[marks.column(0).to_numpy()] = marks.column(1).to_numpy().astype(np.uint32)
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    shared = texts.sparkSession.sparkContext.broadcast(slot_map(live, "node"))
 
     def run(batches):
         for batch in batches:
@@ -247,13 +241,12 @@ def sets_of(texts: DataFrame, live: DataFrame, width: int) -> DataFrame:
                 nodes = names_of(sets)
                 yield pa.RecordBatch.from_arrays([_longs(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    def marked(batches):
+    def wanted(batches):
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            yield batch.select([1, 2]).filter(pa.array(shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1))
+            yield batch.select([1, 2]).filter(pa.array(marked(shared.value, batch.column(0).to_numpy())))
 
     sets = texts.select(F.col("text").cast("string")).mapInArrow(run, "node long, shingles binary")
-    near = sets.select(slot.alias("slot"), "node", "shingles").mapInArrow(marked, "node long, shingles binary")
+    near = sets.select(slot("node").alias("slot"), "node", "shingles").mapInArrow(wanted, "node long, shingles binary")
     return near.join(live, "node", "left_semi").dropDuplicates(["node"])
 
 

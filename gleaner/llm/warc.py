@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import discard, fresh_path, materialize, python_batches
+from gleaner.llm.common import discard, fresh_path, marked, materialize, python_batches, slot, slot_map
 
 #: Uncompressed bytes in an archive file, after which the next record starts a new one.
 ARCHIVE_BYTES = 16 << 20
@@ -223,7 +223,16 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_by
     first = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row", "record_id", "uri", "date")
     groups = heads.filter(F.col("size") >= min_payload).groupBy(F.col("digest").alias("_d"), F.col("size").alias("_s")).agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = heads.join(groups, (heads["digest"] == F.col("_d")) & (heads["size"] == F.col("_s"))).filter(F.col("row") != F.col("first.row"))
-    refs = again.select(F.col("row").alias("_row"), F.struct("first.record_id", "first.uri", "first.date").alias("ref"))
+    refs = materialize(again.select("row", F.struct("first.record_id", "first.uri", "first.date").alias("ref")), "warc-refs")
+    shared = pages.sparkSession.sparkContext.broadcast(slot_map(refs, "row"))  # only pages that may have a ref are shuffled
+
+    def sort_out(may: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.select(range(4)).filter(pa.array(marked(shared.value, batch.column(4).to_numpy()) == may))
+
+        rows = pages.select("row", "page_id", "url", "html", slot("row").alias("slot"))
+        return rows.mapInArrow(run, "row long, page_id long, url string, html string")
 
     def archive(batches):
         held, size, seq = [], 0, 0
@@ -246,10 +255,12 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_by
         if held:
             yield flush()
 
-    rows = pages.join(refs, pages["row"] == refs["_row"], "left").select("row", "page_id", "url", "html", "ref")
+    alone = sort_out(False).withColumn("ref", F.lit(None).cast(refs.schema["ref"].dataType))
+    rows = alone.unionAll(sort_out(True).join(refs, "row", "left").select("row", "page_id", "url", "html", "ref"))
     files = rows.mapInArrow(archive, "blob binary").select(F.col("blob").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", gzip.compress(b"", mtime=0).decode("latin-1")).text(path)
-    discard(pages)
+    for done in (pages, refs):
+        discard(done)
 
 
 def read_archives(spark, path: str) -> DataFrame:
