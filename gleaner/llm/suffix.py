@@ -30,6 +30,10 @@ KGRAM = 32
 PIECE, GATHER, SORT = 1 << 20, 32 << 20, 2 << 20
 #: Different segments of one minimizer from which on they are split, and the windows of a part.
 CROWD, PART = 1024, 4
+#: Different segments of one minimizer in a task's gathering from which on they are spread by their content.
+SPREAD = 64
+#: Bytes of different parts that a task holds to tell equal ones.
+FIRSTS = 8 << 20
 _PLACE_BITS = 24
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -249,27 +253,45 @@ def text_segments(rid: list, texts: list, length: int):
     return out
 
 
-def _filed(rows: DataFrame, n: int, length: int) -> DataFrame:
-    """(bucket, kind, blob): entries by minimizer (kind 0), and what a task alone knows to go (kind 1)."""
+#: Kinds of blobs: entries by minimizer, ranges to go, entries spread by content, minimizers that are spread.
+_HELD, _GONE, _LOOSE, _SPREAD = range(4)
+
+
+def _run_sizes(values: np.ndarray) -> np.ndarray:
+    """For each of some sorted values how many are equal to it."""
+    head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    size = np.diff(np.concatenate([head, [len(values)]]))
+    return np.repeat(size, size)
+
+
+def _filed(rows: DataFrame, n: int, length: int, spread: int) -> DataFrame:
+    """(bucket, kind, blob): entries, and what a task alone knows to go.
+
+    Entries go to the bucket of their minimizer. Where a minimizer has over ``spread`` different
+    segments in one gathering, those go to the bucket of their content instead, so that a line
+    which most documents hold fills no bucket; the minimizer's own bucket is told of it.
+    """
 
     def run(batches):
         held, size = [], 0
 
         def send():
             first, again = _first_of_equals(_join(held))
-            blobs, buckets, kinds = [], [], []
+            out = []
             if len(again["rid"]):
                 doc, a, b = _covered(again, length)
-                blobs, buckets, kinds = [np.stack([doc, a, b]).astype("<i8").tobytes()], [int(doc[0] % n)], [1]
-            at = (first["mh"] % np.uint64(n)).astype(np.int64)
-            order = np.lexsort((first["pos"], first["rid"], at))
-            cuts = np.searchsorted(at[order], np.arange(n + 1))
-            for b in range(n):
-                if cuts[b] < cuts[b + 1]:
-                    blobs.append(_dump(_take(first, order[cuts[b] : cuts[b + 1]])))
-                    buckets.append(b)
-                    kinds.append(0)
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+                out.append((int(doc[0] % n), _GONE, np.stack([doc, a, b]).astype("<i8").tobytes()))
+            loose = _run_sizes(first["mh"]) > spread
+            for kind, mine, key in ((_HELD, ~loose, "mh"), (_LOOSE, loose, "sh")):
+                e = _take(first, mine)
+                at = (e[key] % np.uint64(n)).astype(np.int64)
+                order = np.lexsort((e["pos"], e["rid"], at))
+                cuts = np.searchsorted(at[order], np.arange(n + 1))
+                out += [(b, kind, _dump(_take(e, order[cuts[b] : cuts[b + 1]]))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+            known = np.unique(first["mh"][loose])
+            for b in np.unique(known % np.uint64(n)).tolist():
+                out.append((b, _SPREAD, known[known % np.uint64(n) == b].astype("<u8").tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "blob"])
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -296,30 +318,34 @@ def _parts(doc, start, stop, mh=None, off=None) -> pa.RecordBatch:
 def _sifted(filed: DataFrame, length: int, crowd: int) -> DataFrame:
     """(rid, start, stop, mh, off): repeats of equal segments (mh null), and segments to be sorted with others.
 
-    ``off`` is the minimizer's place in the segment if over ``crowd`` segments share it, else -1.
+    ``off`` is the minimizer's place in the segment if over ``crowd`` segments share it or some
+    task has spread its segments, else -1. What is spread always goes on to be sorted.
     """
 
     def run(batches):
-        held = []
+        held, loose, known = [], [], [np.zeros(0, np.uint64)]
         for batch in batches:
             for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if kind:
-                    doc, a, b = np.frombuffer(blob.as_buffer(), "<i8").reshape(3, -1)
-                    yield _parts(doc, a, b)
+                if kind == _GONE:
+                    yield _parts(*np.frombuffer(blob.as_buffer(), "<i8").reshape(3, -1))
+                elif kind == _SPREAD:
+                    known.append(np.frombuffer(blob.as_buffer(), "<u8"))
                 else:
-                    held.append(_load(blob.as_buffer()))
-        if not held:
-            return
-        first, again = _first_of_equals(_join(held))
-        held.clear()
-        yield _parts(*_covered(again, length))
-        if not len(first["mh"]):
-            return
-        head = np.flatnonzero(np.concatenate([[True], first["mh"][1:] != first["mh"][:-1]]))
-        size = np.diff(np.concatenate([head, [len(first["mh"])]]))
-        size = np.repeat(size, size)
-        first, size = _take(first, size > 1), size[size > 1]
-        yield _parts(first["rid"], first["pos"], first["pos"] + first["n"].astype(np.int64) - 1 + length, first["mh"], np.where(size > crowd, first["off"].astype(np.int64), -1))
+                    (held if kind == _HELD else loose).append(_load(blob.as_buffer()))
+        for entries, spread in ((held, False), (loose, True)):
+            if not entries:
+                continue
+            first, again = _first_of_equals(_join(entries))
+            entries.clear()
+            yield _parts(*_covered(again, length))
+            if not len(first["mh"]):
+                continue
+            size = _run_sizes(first["mh"])
+            split = (size > crowd) | spread | np.isin(first["mh"], np.concatenate(known))
+            off = np.where(split, first["off"].astype(np.int64), -1)
+            some = (size > 1) | split
+            first, off = _take(first, some), off[some]
+            yield _parts(first["rid"], first["pos"], first["pos"] + first["n"].astype(np.int64) - 1 + length, first["mh"], off)
 
     return filed.mapInArrow(run, _PARTS)
 
@@ -342,14 +368,23 @@ def _split(data: bytes, off: int, length: int):
 def _fetched(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(mh, rid, start, stop, data) of the segments to be sorted; data is null for known repeats.
 
-    Segments of crowded minimizers come in parts under finer keys. Of equal parts in a batch
-    the first is sorted, the others are repeats.
+    Segments of crowded minimizers come in parts under finer keys. Of equal parts that a task
+    meets before it holds FIRSTS bytes of different ones the first is sorted, the others are repeats.
     """
     lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "mh", "off")).alias("want"))  # those of one document
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches):
+        seen, size = {}, 0
+
+        def packed(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["mh", "rid", "start", "stop", "data"])
+
+        def firsts():
+            return packed([(key, *here, here[1] + len(part), part) for (key, part), here in seen.items()])
+
         for batch in batches:
-            out, seen = [], {}
+            out = []
             for rid, text, want in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in want:
@@ -363,10 +398,14 @@ def _fetched(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                             here, old = max(here, old), min(here, old)
                             out.append((key, *here, here[1] + len(part), None))
                             here = old
+                        else:
+                            size += len(part)
                         seen[key, part] = here
-            out += [(key, *here, here[1] + len(part), part) for (key, part), here in seen.items()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["mh", "rid", "start", "stop", "data"])
+            yield packed(out)
+            if size >= FIRSTS:
+                yield firsts()
+                seen, size = {}, 0
+        yield firsts()
 
     return rows.join(lists, "rid").select("rid", "text", "want").mapInArrow(run, "mh long, rid long, start long, stop long, data binary")
 
@@ -411,12 +450,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return materialize(placed.select("rid", "doc_id", "text"), "suffix-docs")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, spread: int = SPREAD) -> DataFrame:
     """(rid, start, stop): byte ranges of ``rows`` (rid, text) to be removed; they may overlap."""
     spark = rows.sparkSession
     python_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    filed = _filed(rows.select("rid", "text"), n, length)
+    filed = _filed(rows.select("rid", "text"), n, length, spread)
     parts = materialize(_sifted(filed.repartitionById(n, F.col("bucket")), length, crowd), "suffix-parts")
     python_batches(spark)
     found = materialize(_sorted_repeats(_fetched(rows, parts.filter("mh is not null"), length), n, length), "suffix-found")
@@ -428,7 +467,7 @@ def _spans_of(want) -> np.ndarray:
     return np.stack(merge_runs(np.zeros(len(a), np.int64), a[:, 0], a[:, 1])[1:], axis=1) if len(a) else a
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, spread: int = SPREAD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the kept bytes.
 
     Null texts are empty. Documents that share a doc_id, or have none, are documents of their
@@ -436,7 +475,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     repeat. An empty table gives no rows.
     """
     rows = _numbered(docs)
-    spans = repeated_spans(rows, length, crowd).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("want"))  # those of one document
+    spans = repeated_spans(rows, length, crowd, spread).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("want"))  # those of one document
     python_batches(docs.sparkSession)
 
     def run(batches):

@@ -123,8 +123,8 @@ def test_suffix_array_against_sorting():
             assert suffix.suffix_array(x, 10**6).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
 
 
-@pytest.mark.parametrize("crowd", [1024, 1])
-def test_repeats(spark, crowd):
+@pytest.mark.parametrize(("crowd", "spread"), [(1024, 64), (1, 64), (1024, 1)])
+def test_repeats(spark, crowd, spread):
     rng = np.random.default_rng(8)
     base = "".join(rng.choice(list("abcdefgh é"), 2500))
     rows = []
@@ -137,12 +137,27 @@ def test_repeats(spark, crowd):
     rows += [(50 + i, f"{i:03d} left context number {i * 7919 % 9973}. " + base[300:480] + f" right context {i * 31 % 101}") for i in range(30)]
     rows += [(100, "a" * 700), (101, "ab" * 300), (102, "a" * 99), (103, ""), (104, None), (105, "b" + "a" * 400), (106, base), (107, base)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
-    got = Counter(tuple(r) for r in suffix.remove_repeats(docs, crowd=crowd).collect())
+    got = Counter(tuple(r) for r in suffix.remove_repeats(docs, crowd=crowd, spread=spread).collect())
     assert got == brute_repeats(rows)
     assert sum(k[2] for k in got) > 5000
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [64, 2])
+def test_a_line_in_nearly_all_documents(spark, monkeypatch, spread):
+    """One line with ever other text around it, and some of it again whole; spread or not, held back or not."""
+    monkeypatch.setattr(suffix, "FIRSTS", 1 if spread == 2 else 1 << 20)
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    line = word(70)
+    rows = [(i, word(int(rng.integers(20, 90))) + line + word(int(rng.integers(20, 90)))) for i in range(150)]
+    rows += [(200 + i, word(30) + rows[i * 7][1] + word(30)) for i in range(12)] + [(300 + i, word(60) + line + line + word(40)) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in suffix.remove_repeats(docs, spread=spread).collect())
+    assert got == brute_repeats(rows)
+    assert sum(k[2] for k in got) > 1000
+
+
 def test_repeats_with_shared_and_missing_ids(spark):
     text = "".join(chr(97 + i * i % 23) for i in range(300)) + "tail" * 5
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "short")], "doc_id long, text string")
