@@ -127,3 +127,31 @@ SELECT doc_id, size, source_size, target, CAST(list_sum(list_transform([0, 1, 2]
          greatest(0, least(size, coalesce(slots, 0) * length - off - r * source_size)))) AS BIGINT) AS taken
 FROM q JOIN k ON true LEFT JOIN c USING (sid)
 """
+
+_CRC_TABLE = "list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+_CRC = """CASE WHEN len({bytes}) = 0 THEN 0 ELSE xor(list_reduce({bytes}, lambda c, x: xor(c >> 8, tab[CAST(xor(c, x) & 255 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) END"""
+
+SQL["op11_point_in_time"] = rf"""
+WITH t AS (SELECT {_CRC_TABLE} AS tab),
+b AS (SELECT *, row_number() OVER () AS k, list_transform(string_split(coalesce(CAST(sale_id AS VARCHAR), ''), ''), lambda x: CAST(ord(x) AS BIGINT)) AS a
+      FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+s AS (SELECT k, sale_id, client_id, epoch_us(sold_at) AS sold, greatest(epoch_us(sold_at), epoch_us(arrived_at) + 14400000000) AS enter, arrived_at IS NOT NULL AS known,
+        CASE WHEN abs(total) < 9e15 THEN CAST(floor(100 * total + 0.5) AS BIGINT) ELSE 0 END AS cents,
+        epoch_us(sold_at) + {_CRC.format(bytes="a")} % 259200 * 1000000 AS t FROM b, t),
+w AS (SELECT s.*, d, CAST(d AS BIGINT) * 86400000000 AS span FROM s, (VALUES (2), (14)) v(d)),
+l AS (SELECT w.k, d FROM w SEMI JOIN s ON s.client_id = w.client_id AND s.sold > w.t AND s.sold <= w.t + 604800000000),
+c AS (SELECT *, epoch_us(ts) AS u, greatest(epoch_us(ts), epoch_us(arrived_at) + 14400000000) AS enter,
+        CASE WHEN abs(value) < 9e15 THEN CAST(floor(100 * value + 0.5) AS BIGINT) ELSE 0 END AS cents
+      FROM (SELECT DISTINCT click_id, ts, arrived_at, client_id, kind, value, props FROM clicks) WHERE ts IS NOT NULL AND arrived_at IS NOT NULL),
+e AS (SELECT w.k, d, count(*) AS n, count(*) FILTER (WHERE kind = 'purchase') AS p, sum(cents_) AS m, arg_max(click_id, (u, coalesce(click_id, -4611686018427387904))) AS last
+      FROM w JOIN (SELECT client_id, u, enter AS enter_, kind, cents AS cents_, click_id FROM c) c ON c.client_id = w.client_id AND c.enter_ <= w.t AND c.u > w.t - w.span GROUP BY w.k, d),
+f AS (SELECT w.k, d, o.k AS ok, o.sale_id AS oid, o.cents AS m FROM w JOIN s o ON o.client_id = w.client_id AND o.known AND o.enter <= w.t AND o.sold > w.t - w.span),
+g AS (SELECT k, d, count(*) AS n, sum(m) AS m FROM f GROUP BY k, d),
+h AS (SELECT f.k, f.d, count(*) AS n, count(DISTINCT item_id) AS i, sum(CASE WHEN abs(amount) < 9e15 THEN CAST(floor(100 * amount + 0.5) AS BIGINT) ELSE 0 END) AS m
+      FROM f JOIN w ON w.k = f.k AND w.d = f.d JOIN sale_lines x ON x.sale_id = f.oid AND epoch_us(x.shipped_at) <= w.t GROUP BY f.k, f.d)
+SELECT w.sale_id, CAST(w.d AS INTEGER) AS d, CAST(w.t AS BIGINT) AS t_us, l.k IS NOT NULL AS label,
+       CAST(coalesce(e.n, 0) AS BIGINT) AS n_clicks, CAST(coalesce(e.p, 0) AS BIGINT) AS n_purchases, CAST(coalesce(e.m, 0) AS BIGINT) AS click_cents, e.last AS last_click_id,
+       CAST(coalesce(g.n, 0) AS BIGINT) AS n_sales, CAST(coalesce(g.m, 0) AS BIGINT) AS sale_cents,
+       CAST(coalesce(h.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(h.i, 0) AS BIGINT) AS n_items, CAST(coalesce(h.m, 0) AS BIGINT) AS line_cents
+FROM w LEFT JOIN l USING (k, d) LEFT JOIN e USING (k, d) LEFT JOIN g USING (k, d) LEFT JOIN h USING (k, d)
+"""
