@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gleaner.llm import asof, decontam, langid, mixing, quality, shard, simhash, suffix, tokens, urlrules, warc
+from gleaner.llm import asof, decontam, importance, langid, mixing, quality, shard, simhash, suffix, tokens, urlrules, warc
 from gleaner.llm.sql import SQL
 
 QUERIES: dict[str, tuple] = {}
@@ -75,3 +75,8 @@ def op10(spark, sf_dir):
 @_query("op11_point_in_time")
 def op11(spark, sf_dir):
     return asof.feature_table(_read(spark, sf_dir, "sales"), _read(spark, sf_dir, "clicks"), _read(spark, sf_dir, "sale_lines"))
+
+
+@_query("op12_importance")
+def op12(spark, sf_dir):
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))

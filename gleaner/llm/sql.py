@@ -155,3 +155,26 @@ SELECT w.sale_id, CAST(w.d AS INTEGER) AS d, CAST(w.t AS BIGINT) AS t_us, l.k IS
        CAST(coalesce(h.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(h.i, 0) AS BIGINT) AS n_items, CAST(coalesce(h.m, 0) AS BIGINT) AS line_cents
 FROM w LEFT JOIN l USING (k, d) LEFT JOIN e USING (k, d) LEFT JOIN g USING (k, d) LEFT JOIN h USING (k, d)
 """
+
+_FEATURES = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+SQL["op12_importance"] = rf"""
+WITH t AS (SELECT {_CRC_TABLE} AS tab),
+w AS (SELECT row_number() OVER () AS k, doc_id, {_FEATURES} AS a FROM documents),
+v AS (SELECT {_FEATURES} AS a FROM benchmark),
+f AS (SELECT k, x, count(*) AS c FROM (SELECT k, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[CAST(i AS BIGINT)] || ' ' || a[CAST(i + 1 AS BIGINT)]))) AS x FROM w) GROUP BY k, x),
+g AS (SELECT x, count(*) AS c FROM (SELECT unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[CAST(i AS BIGINT)] || ' ' || a[CAST(i + 1 AS BIGINT)]))) AS x FROM v) GROUP BY x),
+y AS (SELECT x, list_transform(range(0, strlen(x)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS a
+      FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION SELECT x FROM g))),
+b AS (SELECT x, CAST({_CRC.format(bytes="a")} % 10000 AS BIGINT) AS b FROM y, t),
+s AS (SELECT b, sum(c) AS s FROM f JOIN b USING (x) GROUP BY b),
+r AS (SELECT b, sum(c) AS t FROM g JOIN b USING (x) GROUP BY b),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS ns, coalesce((SELECT sum(t) FROM r), 0) AS nt),
+q AS (SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(ns + 10000 AS DOUBLE)) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(nt + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+      FROM s FULL JOIN r USING (b), n),
+m AS (SELECT k, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * gain) AS BIGINT) AS g FROM f JOIN b USING (x) JOIN q USING (b) GROUP BY k),
+d AS (SELECT k, doc_id, len(a) AS words, coalesce(m.n, 0) AS n_features, CASE WHEN m.n > 0 THEN (m.g - ((m.g % m.n) + m.n) % m.n) // m.n ELSE 0 END AS weight,
+        CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (k)),
+z AS (SELECT *, CAST(weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS BIGINT) AS score FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id, n_features DESC) AS place, count(*) FILTER (WHERE words >= 20) OVER () AS able FROM z)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM p
+"""
