@@ -1,10 +1,10 @@
-"""op1 to op10 over the driver tables, with SQL twins where SQL can express them."""
+"""op1 to op13 over the driver tables, with SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
 import public_tokenizers
 
-from gleaner.llm import asof, decontam, importance, langid, mixing, quality, shard, simhash, suffix, tokens, urlrules, warc
+from gleaner.llm import asof, decontam, importance, langid, mixing, quality, shard, simhash, suffix, tokens, urlrules, warc, winnow
 from gleaner.llm.sql import SQL
 
 QUERIES: dict[str, tuple] = {}
@@ -80,3 +80,8 @@ def op11(spark, sf_dir):
 @_query("op12_importance")
 def op12(spark, sf_dir):
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_winnowing")
+def op13(spark, sf_dir):
+    return winnow.edit_report(_read(spark, sf_dir, "documents")).drop("n_kept")
