@@ -38,7 +38,7 @@ def full_run(raw: DataFrame, previous: DataFrame, banned: DataFrame, mapping: Da
         events, out = to_events(fresh, profile, asof, city)
         kept, past = history.split_future(events, asof)
         parts += [kept.drop("id"), own.drop("id")]
-        bans += [out, past]
+        bans += [out, past] if profile.bans_undated else [out]
     rows = history.union_all(*parts)
     misses = unmapped(rows, mapping, "eventType")
     rows = map_category(rows, mapping, "eventType")

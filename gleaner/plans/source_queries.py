@@ -27,6 +27,12 @@ def _block(tag: str, css_class: str, text: Column) -> Column:
     return F.concat(F.lit(f'<{tag} class="{css_class}">'), F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit("<br>")), F.lit(f"</{tag}>"))
 
 
+def _el(tag: str, attributes: str, *parts: Column | str) -> Column:
+    """An element; line feeds of its text are line breaks."""
+    text = F.concat(*[F.coalesce(F.lit(x) if isinstance(x, str) else x, F.lit("")) for x in parts])
+    return F.concat(F.lit(f"<{tag} {attributes}>"), F.replace(text, F.lit("\n"), F.lit("<br>")), F.lit(f"</{tag}>"))
+
+
 def _judged(pages: DataFrame, name: str, city: str = "Metro") -> DataFrame:
     """(page_id, outcome, venue, category, stamps) of a source's pages; those that are dropped have no row."""
     asof = F.lit(ASOF).cast("timestamp")
@@ -37,7 +43,7 @@ def _judged(pages: DataFrame, name: str, city: str = "Metro") -> DataFrame:
     stamps = F.array_join(F.transform("dates", lambda d: F.date_format(d, "yyyy-MM-dd-HH:mm")), "|")
     kept = kept.select(F.col("seq").alias("page_id"), F.lit("event").alias("outcome"), "venue", F.col("eventType").alias("category"), stamps.alias("stamps"))
     none = F.lit(None).cast("string")
-    out = banned.unionByName(past).select(F.regexp_extract("url", r"^(\d+) ", 1).cast("long").alias("page_id"), F.lit("banned").alias("outcome"), none.alias("venue"), none.alias("category"), F.lit("").alias("stamps"))
+    out = (banned.unionByName(past) if profile.bans_undated else banned).select(F.regexp_extract("url", r"^(\d+) ", 1).cast("long").alias("page_id"), F.lit("banned").alias("outcome"), none.alias("venue"), none.alias("category"), F.lit("").alias("stamps"))
     return kept.unionByName(out)
 
 
@@ -48,14 +54,14 @@ def _pages(spark, sf: str, *blocks: Column) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.concat_ws(" ", "page_id", "url").alias("url"), html.alias("html"))
 
 
-def _sql(stamps: str, venue: str, category: str = "'Jazz'", banned: str = "false", where: str = "true") -> str:
-    """The twin: ``stamps`` is a list of timestamps, of which those to come count; without any the page is banned."""
+def _sql(stamps: str, venue: str, category: str = "'Jazz'", banned: str = "false", where: str = "true", bans: bool = True) -> str:
+    """The twin: ``stamps`` is a list of timestamps, of which those to come count; without any the page is banned, or left out."""
     return f"""
     WITH p AS (SELECT page_id, {DAY} AS d FROM pages WHERE {where}),
     t AS (SELECT page_id, {venue} AS venue, {category} AS category, {banned} AS out, list_sort(list_distinct(list_filter({stamps}, lambda x: x >= TIMESTAMP '{ASOF}'))) AS a FROM p),
     o AS (SELECT *, out OR coalesce(len(a), 0) = 0 AS gone FROM t)
     SELECT page_id, CASE WHEN gone THEN 'banned' ELSE 'event' END AS outcome, CASE WHEN NOT gone THEN venue END AS venue, CASE WHEN NOT gone THEN category END AS category,
-           CASE WHEN gone THEN '' ELSE array_to_string(list_transform(a, lambda x: strftime(x, '%Y-%m-%d-%H:%M')), '|') END AS stamps FROM o
+           CASE WHEN gone THEN '' ELSE array_to_string(list_transform(a, lambda x: strftime(x, '%Y-%m-%d-%H:%M')), '|') END AS stamps FROM o WHERE {"true" if bans else "out OR NOT gone"}
     """
 
 
@@ -71,12 +77,27 @@ def _at(clock: str, plus: int = 0) -> str:
     return f"(d + {plus} + TIME '{clock}')"
 
 
-@query("source_event_brite", _sql(f"[{_at('19:30')}]", "'Hall'", banned="page_id % 7 = 0", where="page_id % 5 IN (1, 2)"))
+_BRITE = f"CASE page_id % 5 WHEN 2 THEN [{_at('19:30')}, {_at('19:30', 1)}] WHEN 3 THEN [{_at('18:15')}, {_at('18:15', 1)}] WHEN 4 THEN [{_at('01:01')}] ELSE [{_at('19:30')}] END"
+
+
+@query("source_event_brite", _sql(_BRITE, "'Hall'", banned="page_id % 7 = 0 OR page_id % 13 = 0", where="page_id % 11 <> 0"))
 def event_brite(spark, sf):
-    """Sold-out and short cards are dropped, a word in the venue bans."""
-    cards = _one_of(5, "Sold Out\nA\nB\nC", "Nearly full\nA\nB\nC", "A\nB\nC", "Just added\nA\nB", "A\nB")
-    venue = F.when(F.col("page_id") % 7 == 0, "Online stage").otherwise("Hall")
-    return _judged(_pages(spark, sf, _block("div", "card", cards), _jazz(), _hall(venue), _block("div", "dates", F.concat(_day("E d MMM yyyy"), F.lit(" 7:30PM")))), "Event Brite")
+    """Days and clocks in words, two days with one clock, a calendar, the title's date; a venue or a description may ban, ended sales drop."""
+    said = _one_of(
+        5, F.concat(_day("EEEE, MMMM d"), F.lit(" at 7:30 PM - 10:00 PM")), F.concat(_day("EEEE, MMMM d"), F.lit("  •  7:30pm - 10pm")),
+        F.concat(_day("E, MMM d"), F.lit(" - "), _day("E, MMM d", 1), F.lit("  •  7:30pm - 10pm")), "Multiple dates", "See you there",
+    )
+    month = lambda plus: _el("p", 'class="CompactCalendar-module__monthName__x"', _day("MMMM yyyy", plus))
+    day = lambda plus: F.concat(_el("p", 'class="CompactCalendar-module__dateText"', _day("d", plus)), _el("p", 'class="CompactCalendar-module__timeSlotText"', "6:15 PM"))
+    again = F.when((F.col("page_id") % 2 == 0) | (_day("MM") != _day("MM", 1)), month(1)).otherwise("")
+    calendar = _el("div", 'data-testid="calendar-container"', _el("div", 'class="Stack_root__1"', month(0), day(0)), _el("div", 'class="x Stack_root__1"', again, day(1)))
+    pages = _pages(
+        spark, sf, _el("h1", 'class="t" data-testid="event-title"', F.when(F.col("page_id") % 5 == 4, F.concat(F.lit("Gig on "), _day("d MMMM yyyy"))).otherwise("Gig")),
+        _el("a", 'href="#" data-testid="event-venue"', F.when(F.col("page_id") % 7 == 0, "LeadFlake Online").otherwise("Hall")), _el("div", 'class="w"', _el("div", 'data-testid="event-datetime"', _el("span", "", said))),
+        F.when(F.col("page_id") % 5 == 3, calendar).otherwise(""), _el("div", 'class="EventSignalsBar_signals__2"', F.when(F.col("page_id") % 11 == 0, "Sales Ended").otherwise("Going fast")),
+        _el("div", 'data-testid="section-wrapper-overview"', F.when(F.col("page_id") % 13 == 0, "text under copyright").otherwise("Fun")), _jazz(),
+    )
+    return _judged(pages, "Event Brite")
 
 
 @query("source_facebook", _sql(f"CASE page_id % 3 WHEN 0 THEN [TIMESTAMP '2024-01-16 07:30:00'] WHEN 1 THEN [{_at('18:00')}] END", "'Bar'", "'Other'", where=f"page_id % 3 <> 1 OR {DAY} + TIME '18:00' >= TIMESTAMP '{ASOF}'"))
@@ -89,38 +110,56 @@ def facebook(spark, sf):
 _RANGE = f"generate_series(greatest(d + TIME '19:00', TIMESTAMP '{ASOF}'::DATE + TIME '19:00'), d + 3 + TIME '19:00', INTERVAL 1 DAY)"
 
 
-@query("source_event_finder", _sql(f"CASE WHEN page_id % 2 = 0 THEN [{_at('19:00')}] ELSE {_RANGE} END", "'Hall'"))
+@query("source_event_finder", _sql(f"CASE WHEN page_id % 2 = 0 THEN [{_at('09:00')}] ELSE {_RANGE} END", "'Hall'", bans=False))
 def event_finder(spark, sf):
-    """Machine-readable times; two of them are a daily range at the first one's hour."""
-    time = lambda stamp: F.concat(F.lit('<time datetime="'), stamp, F.lit('">x</time>'))
-    second = F.when(F.col("page_id") % 2 == 1, time(F.concat(_day("yyyy-MM-dd", 3), F.lit("T10:00")))).otherwise("")
-    return _judged(_pages(spark, sf, _jazz(), _hall(), time(F.concat(_day("yyyy-MM-dd"), F.lit("T19:00"))), second), "Event Finder")
+    """Machine-readable days with hours; a range of days is daily at its first hour. Times elsewhere on the page don't count."""
+    stamp = _one_of(2, F.concat(_day("yyyy-MM-dd"), F.lit(", 09:00–13:00")), F.concat(_day("yyyy-MM-dd"), F.lit("–"), _day("yyyy-MM-dd", 3), F.lit(", 19:00–21:00")))
+    time = lambda t: F.concat(F.lit('<time datetime="'), t, F.lit('">x</time>'))
+    sessions = _el("table", 'class="sessions-info wide"', "<tr><td>", time(stamp))
+    return _judged(_pages(spark, sf, _el("h1", 'class="value-title"', "Gig"), _jazz(), _el("p", 'class="venue"', "Hall"), time(F.lit("2024-01-30")), sessions), "Event Finder")
 
 
-@query("source_all_events_in", _sql("[d + TIME '19:30' + INTERVAL 10 HOUR * CAST(page_id % 2 = 0 AS INTEGER)]", "'Hall'"))
+_LABELS = f"CASE page_id % 3 WHEN 0 THEN [{_at('19:30')}, {_at('07:30', 2)}] WHEN 1 THEN [{_at('05:30', 1)}] ELSE [{_at('19:30')}] END"
+
+
+@query("source_all_events_in", _sql(_LABELS, "CASE WHEN page_id % 2 = 0 THEN 'Hall' ELSE 'Hall,Main St' END", where="page_id % 7 <> 0", bans=False))
 def all_events_in(spark, sf):
-    """Ordinal suffixes go; a zone tag adds ten hours."""
-    zone = F.when(F.col("page_id") % 2 == 0, "\n(GMT)").otherwise("")
-    return _judged(_pages(spark, sf, _jazz(), _hall(), _block("div", "dates", F.concat(_day("d"), F.lit("th "), _day("MMM yyyy"), F.lit(" 7:30PM"), zone))), "All Events In")
+    """A start and an end, each with its own zone; venue lines are joined unless one holds the other; ended events are left out."""
+    said = _one_of(
+        3, F.concat(_day("EEE, dd MMM, yyyy"), F.lit(" at 07:30 pm - "), _day("EEE, dd MMM, yyyy", 1), F.lit(" at 09:30 pm (NZST)")),
+        F.concat(_day("EEE, MMM dd, yyyy"), F.lit(" • 7:30 PM (NZST)")), F.concat(_day("EEE, dd MMM, yyyy"), F.lit(" at 07:30 pm")),
+    )
+    spots = F.concat(_el("p", 'class="event-location a"', "Hall"), _el("p", 'class="event-location"', _one_of(2, "Hall, 5 Main St", "Main St")))
+    ended = F.when(F.col("page_id") % 7 == 0, _el("span", "", "Event Ended")).otherwise("")
+    return _judged(_pages(spark, sf, _el("h1", 'class="eps-heading-1"', "Gig"), _jazz(), spots, _el("p", 'class="event-time-label"', said), ended), "All Events In")
 
 
-@query("source_humanitix", _sql(f"[{_at('06:15')}]", "'Hall'"))
+@query("source_humanitix", _sql(f"CASE page_id % 3 WHEN 0 THEN [{_at('18:30')}] WHEN 1 THEN [{_at('18:30')}, {_at('22:00', 1)}] ELSE [{_at('06:15')}, {_at('06:15', 2)}] END", "CASE WHEN page_id % 2 = 0 THEN 'Hall' ELSE 'Barn' END"))
 def humanitix(spark, sf):
-    """Day, month and time; the year is the current one."""
-    return _judged(_pages(spark, sf, _jazz(), _hall(), _block("div", "dates", F.concat(_day("d MMM"), F.lit(" 6:15AM")))), "Humanitix")
+    """The first line of a date block, with one or two dates; or a form's entries behind "more dates"."""
+    said = _one_of(3, F.concat(_day("E d MMM yyyy"), F.lit(", 6:30PM\nAdd to calendar 1 Mar")), F.concat(_day("E d MMM"), F.lit(", 6:30PM - "), _day("E d MMM", 1), F.lit(", 10PM 2024")), "Multiple dates")
+    entry = lambda plus: F.concat(F.lit("<li>"), _day("E d MMM", plus), F.lit(", 6:15AM<p>Book</p>"))
+    more = F.when(F.col("page_id") % 3 == 2, F.concat(F.lit("<button>See more dates</button><form><ul>"), entry(0), entry(2), F.lit("</ul></form>"))).otherwise("")
+    spot = _one_of(2, _el("div", 'class="EventLocation"', _el("div", 'class="address"', "Address\nHall  ·  Town")), _el("div", 'class="address"', "Barn"))
+    return _judged(_pages(spark, sf, _el("div", 'class="titlewrapper"', "Gig\nby Us"), _jazz(), spot, _el("div", 'class="datetime"', said), more), "Humanitix")
 
 
-@query("source_ticketek", _sql(f"[{_at('01:01')}]", "'Hall, Metro'", banned="page_id % 3 = 0"))
+@query("source_ticketek", _sql(f"CASE WHEN page_id % 2 = 0 THEN [{_at('01:01')}, {_at('01:01', 1)}] ELSE [{_at('01:01')}] END", "'Hall, Metro'", banned="page_id % 3 = 0", where="page_id % 11 <> 0"))
 def ticketek(spark, sf):
-    """Only the city's venues; times aren't readable there."""
-    return _judged(_pages(spark, sf, _jazz(), _hall(_one_of(3, "Hall, Elsewhere", "Hall, Metro", "Hall, Metro")), _block("div", "dates", _day("d MMM yyyy"))), "Ticketek")
+    """One or two dates; only the city's venues; times aren't readable there; unavailable ones are left out."""
+    said = _one_of(2, F.concat(F.lit("When\n"), _day("E d MMM yyyy"), F.lit(" - "), _day("E d MMM yyyy", 1)), F.concat(F.lit("When\n"), _day("E d MMM yyyy")))
+    alert = F.when(F.col("page_id") % 11 == 0, _el("p", 'class="alert alert-warning"', "This show is unavailable")).otherwise("")
+    venue = F.concat(F.lit("Where\n"), _one_of(3, "Hall, Elsewhere", "Hall, Metro", "Hall, Metro"))
+    return _judged(_pages(spark, sf, _el("h2", 'class="sectionHeading"', "Gig"), _jazz(), _el("div", 'class="selectVenueBlock"', venue), _el("div", 'class="selectDateBlock"', said), alert), "Ticketek")
 
 
-@query("source_ticket_master", _sql(f"[{_at('20:00')}, {_at('20:00', 1)}]", "'Arena'", "'Sport'"))
+@query("source_ticket_master", _sql(f"CASE WHEN page_id % 4 = 3 THEN [] ELSE [{_at('20:00')}, {_at('20:00', 1)}] END", "'Arena'", "'Sport'"))
 def ticket_master(spark, sf):
-    """Several dates a page."""
-    lines = F.concat(_day("E d MMM yyyy"), F.lit(" 8:00PM\n"), _day("E d MMM yyyy", 1), F.lit(" 8:00PM"))
-    return _judged(_pages(spark, sf, _block("span", "category", F.lit("Sport")), _hall("Arena"), _block("div", "dates", lines)), "Ticket Master")
+    """A side panel that runs on: name, dates with times, venue; days without a time don't count."""
+    line = lambda plus: F.concat(_day("E d MMM yyyy", plus), F.when(F.col("page_id") % 4 == 3, "").otherwise(", 8:00 PM"))
+    panel = F.concat(*[_el("div", "", x) for x in ("Event Info", "Gig", "Date", line(0), line(1), "Venue", "Arena", "Please note")])
+    panel = F.when(F.col("page_id") % 2 == 0, _el("section", 'data-testid="panel"', panel)).otherwise(_el("div", 'class="SidePanel__StyledContent-x"', panel))
+    return _judged(_pages(spark, sf, _el("span", 'class="category"', "Sport"), panel), "Ticket Master")
 
 
 def _gig(spark, sf):
@@ -135,67 +174,78 @@ def under_the_radar(spark, sf):
     return _judged(_gig(spark, sf), "Under The Radar")
 
 
-@query("source_rogue", _sql("[d + CASE page_id % 3 WHEN 0 THEN TIME '20:30' ELSE TIME '01:01' END]", "'Rogue & Vagabond'", "'Music & Concerts'"))
+@query("source_rogue", _sql("[d + CASE page_id % 3 WHEN 0 THEN TIME '20:30' ELSE TIME '01:01' END]", "'Rogue & Vagabond'", "'Music & Concerts'", bans=False))
 def rogue(spark, sf):
     return _judged(_gig(spark, sf), "Rogue & Vagabond")
 
 
-@query("source_san_fran", _sql(f"[{_at('20:00')}]", "'San Fran'", "'Music & Concerts'"))
+@query("source_san_fran", _sql(f"[{_at('20:00')}]", "'San Fran'", "'Music & Concerts'", bans=False))
 def san_fran(spark, sf):
     return _judged(_pages(spark, sf, _block("div", "dates", F.concat(_day("yyyy-MM-dd"), F.lit("T20:00:00")))), "San Fran")
 
 
-@query("source_valhalla", _sql(f"CASE WHEN page_id % 2 = 0 THEN [{_at('21:00')}] ELSE [{_at('21:00')}, {_at('05:00', 1)}] END", "'Valhalla'", "'Music & Concerts'"))
+@query("source_valhalla", _sql(f"CASE WHEN page_id % 5 = 0 THEN [{_at('20:00')}] WHEN page_id % 2 = 0 THEN [{_at('21:00')}] ELSE [{_at('21:00')}, {_at('05:00', 1)}] END", "'Valhalla'", "'Music & Concerts'"))
 def valhalla(spark, sf):
-    """A start and an end; both count if they are on different days and over five hours apart."""
-    end = F.concat(_day("yyyy-MM-dd", 1), _one_of(2, "T00:30", "T05:00"))
-    return _judged(_pages(spark, sf, _block("div", "dates", F.concat(_day("yyyy-MM-dd"), F.lit("T21:00\n"), end))), "Valhalla")
+    """A start and an end, both if they are on different days and over five hours apart; or one local start."""
+    day = lambda plus: _el("time", 'class="event-date"', _day("EEEE, MMMM d, yyyy", plus))
+    clock = lambda text: _el("span", 'class="eventitem-meta-time"', text)
+    local = F.when(F.col("page_id") % 5 == 0, _el("span", 'class="event-time-localized-start"', "8:00 PM")).otherwise("")
+    meta = _el("div", 'class="eventitem-column-meta"', _el("h1", 'class="eventitem-title x"', "Gig"), day(0), clock("9:00 PM"), local, day(1), clock(_one_of(2, "12:30 AM", "5:00 AM")))
+    return _judged(_pages(spark, sf, meta), "Valhalla")
 
 
-@query("source_high_school", _sql(f"CASE WHEN page_id % 3 = 0 THEN [{_at('18:30')}] END", "'High School'"))
+@query("source_high_school", _sql(f"CASE page_id % 3 WHEN 0 THEN [{_at('18:30')}] WHEN 1 THEN [{_at('09:05', 2)}] END", "'High School'"))
 def high_school(spark, sf):
-    """A date needs both a day with its month and a time."""
-    return _judged(_pages(spark, sf, _jazz(), _block("div", "dates", _one_of(3, F.concat(_day("E d MMM"), F.lit(", 6:30pm")), _day("d MMM"), "6:30pm"))), "High School")
+    """Entries of a list; a date needs both a day with its month and a time."""
+    entry = lambda *parts: _el("div", 'class="event row"', *parts)
+    lists = _one_of(3, entry(_day("E d MMM"), "\n6:30pm"), F.concat(entry(_day("d MMM")), entry(_day("d MMM", 2), " at 9:05 AM")), entry("6:30pm"))
+    return _judged(_pages(spark, sf, _el("h1", 'class="page-title"', "Class"), _jazz(), _el("div", 'class="event-list"', lists)), "High School")
 
 
 @query("source_city_guide", _sql("[d, d + 1, d + 2]::TIMESTAMP[]", "'Town Hall, Metro'"))
 def city_guide(spark, sf):
-    """Spans of days; the venue follows its label, the city is added."""
+    """Spans of days; date and venue follow their labels, the city is added."""
     span = F.concat(_day("d MMMM"), F.lit(" – "), _day("d MMMM yyyy", 2))
-    return _judged(_pages(spark, sf, _jazz(), _block("div", "info", F.lit("Price\n$5\nWhere\nTown Hall\nWhen\nsoon")), _block("div", "dates", span)), "City Guide")
+    block = _el("section", 'class="image-header__details image-header__details--layout-listing"', "PRICE\n$5\nDATE\n", span, "\nVENUE\nTown Hall")
+    return _judged(_pages(spark, sf, _el("h1", 'class="image-header__title"', "Gig"), _jazz(), block), "City Guide")
 
 
-@query("source_burgers", _sql(f"CASE WHEN page_id % 4 = 0 THEN [{_at('18:30')}] ELSE [{_at('18:30')}, {_at('12:15', 2)}] END", "'Grill, 5 Main St'", "'Food & Drink'"))
+@query("source_burgers", _sql(f"CASE WHEN page_id % 4 = 0 THEN [{_at('18:30')}] ELSE [{_at('18:30')}, {_at('12:15', 2)}] END", "'Grill, 5 Main St'", "'Food & Drink'", bans=False))
 def burger_sessions(spark, sf):
     """Sessions to the minute; those without a time are left out."""
     lines = F.concat(_day("yyyy-MM-dd"), F.lit("T18:30:45\n"), F.when(F.col("page_id") % 4 == 0, "null").otherwise(F.concat(_day("yyyy-MM-dd", 2), F.lit("T12:15:05"))))
     return _judged(_pages(spark, sf, _hall("Grill, 5 Main St"), _block("div", "dates", lines)), "Burger Festival")
 
 
-@query("source_roxy", _sql(f"[{_at('18:15')}, {_at('18:15', 1)}]", "'Roxy Cinema'", "'Film & Media'"))
+@query("source_roxy", _sql(f"[{_at('18:15')}, {_at('18:15', 1)}]", "'Roxy Cinema'", "'Film & Media'", bans=False))
 def roxy(spark, sf):
-    """All days at the page's first time slot."""
-    lines = F.concat(_day("d MMM yyyy"), F.lit("\n"), _day("d MMM yyyy", 1))
-    return _judged(_pages(spark, sf, _block("div", "slot", F.lit("from 6:15pm, 8:45pm")), _block("div", "dates", lines)), "Roxy")
+    """All sessions' days, after a word such as Today, at the page's first time slot."""
+    session = lambda *parts: _el("div", 'class="single-session"', _el("div", 'class="single-session__date"', *parts), _el("div", 'class="slots"', "x"))
+    slots = F.concat(_el("a", 'class="time-slot__time"', "6:15pm"), _el("a", 'class="time-slot__time"', "8:45pm"))
+    return _judged(_pages(spark, sf, _el("h1", 'class="single-movie__title"', "Film"), session("Today | ", _day("d MMM")), session(_day("d MMM", 1)), slots), "Roxy")
 
 
-@query("source_heritage", _sql("CASE WHEN page_id % 2 = 0 THEN [d, d + 1, d + 2, d + 3]::TIMESTAMP[] ELSE [d]::TIMESTAMP[] END", "'Library'", "'Community & Culture'"))
+@query("source_heritage", _sql("CASE WHEN page_id % 2 = 0 THEN [d, d + 1, d + 2, d + 3]::TIMESTAMP[] ELSE [d]::TIMESTAMP[] END", "'Library'", "'Community & Culture'", bans=False))
 def heritage(spark, sf):
     """Whole spans or single days."""
     span = F.when(F.col("page_id") % 2 == 0, F.concat(_day("d MMMM"), F.lit(" – "), _day("d MMMM yyyy", 3))).otherwise(_day("d MMMM yyyy"))
     return _judged(_pages(spark, sf, _hall("Library"), _block("div", "dates", span)), "Heritage Festival")
 
 
-_SHAPES = "CASE WHEN page_id % 3 = 2 THEN [d]::TIMESTAMP[] WHEN page_id % 3 = 0 THEN generate_series(d, d + 2, INTERVAL 1 DAY) WHEN month(d) = month(d + 1) THEN generate_series(d, d + 1, INTERVAL 1 DAY) END"
+def _days(plus: int) -> str:
+    return f"generate_series(greatest(d + TIME '07:00', TIMESTAMP '{ASOF}'::DATE + TIME '07:00'), d + {plus} + TIME '07:00', INTERVAL 1 DAY)"
+
+
+_SHAPES = f"CASE WHEN page_id % 3 = 2 THEN [d + TIME '07:00'] WHEN page_id % 3 = 0 THEN {_days(2)} WHEN month(d) = month(d + 1) THEN {_days(1)} END"
 
 
-@query("source_fringe", _sql(_SHAPES, "'Tent'", "'Arts & Theatre'"))
+@query("source_fringe", _sql(_SHAPES, "'Tent'", "'Arts & Theatre'", bans=False))
 def fringe(spark, sf):
-    """Ranges across months, ranges within one and single days, told apart by their words."""
-    same = F.concat(_day("d"), F.lit(" – "), _day("d MMM", 1))
-    inside = F.when(_day("MM") == _day("MM", 1), same).otherwise("soon")
-    said = _one_of(3, F.concat(_day("d MMM"), F.lit(" – "), _day("d MMM", 2)), inside, _day("d MMM"))
-    return _judged(_pages(spark, sf, _hall("Tent"), _block("div", "dates", said)), "Fringe")
+    """The third entry of a schedule: ranges across months, ranges within one, single days; the last clock of the schedule, without am or pm."""
+    inside = F.when(_day("MM") == _day("MM", 1), F.concat(_day("d"), F.lit("-"), _day("d MMM", 1))).otherwise("soon")
+    said = _one_of(3, F.concat(_day("d MMM"), F.lit("-"), _day("d MMM", 2)), inside, _day("d MMM"))
+    entries = F.concat(*[_el("li", "", x) for x in ("Show", "Tent 5:15", said, "Starts 7:00pm", "All ages")])
+    return _judged(_pages(spark, sf, _el("h2", 'class="title primary-color"', "Show"), _el("div", 'class="addres-pin"', "Tent"), _el("ul", 'class="schedule"', entries)), "Fringe")
 
 
 @query("url_or_title_frontier", "SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND contains(url, '/en/') AND regexp_extract(html, '<title>([^<]*)</title>', 1) NOT IN (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) FROM pages WHERE page_id % 3 = 0)")
@@ -216,6 +266,33 @@ def crawl_order(spark, sf):
     return crawl_plan(rows, "category", 20, F.col("page_id")).select("category", "url", "place")
 
 
+_WRITTEN = [
+    ("E d MMM yyyy", ", 6:30PM", "18:30"), ("EEEE, MMMM d", " at 7:30 PM - 10:00 PM", "19:30"), ("EEE, MMM dd, yyyy", " • 7:30 PM (NZST)", "19:30"),
+    ("yyyy-MM-dd", ", 09:00–13:00", "09:00"), ("d MMMM", "", "01:01"), ("MMMM yyyy d", " 7.15 pm", "19:15"), ("'Starts on' MMMM d", "th, 8am", "08:00"), ("d'th of' MMMM, yyyy", " from 20:05", "20:05"),
+]
+_SHOULD = " ".join(f"WHEN {i} THEN TIME '{clock}'" for i, (_, _, clock) in enumerate(_WRITTEN))
+
+
+@query("free_text_shapes", f"""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 8 AS k, o_orderkey % 3 AS j FROM orders),
+s AS (SELECT o_orderkey, d, CASE WHEN k = 4 AND j = 0 THEN TIME '11:45' ELSE CASE k {_SHOULD} END END AS t, CASE WHEN k IN (1, 4, 6) AND j <> 0 THEN 2024 ELSE year(d) END AS y, j FROM o)
+SELECT o_orderkey, CASE WHEN try_cast(y || strftime(d, '-%m-%d') AS DATE) IS NULL THEN NULL ELSE strftime(CAST(y || strftime(d, '-%m-%d') AS DATE) + t, '%Y-%m-%d-%H:%M') END AS first,
+       CASE WHEN j = 0 THEN strftime(d + 40 + TIME '11:45', '%Y-%m-%d-%H:%M') END AS second FROM s""")
+def free_text_shapes(spark, sf):
+    """Order dates written in eight shapes, with or without year and clock, inside a sentence; a second date, where there is one, tells the first one's year."""
+    from gleaner.functions.date_grammar import free_dates
+
+    day = F.to_date("o_orderdate")
+    first = F.lit("")
+    for i, (pattern, after, _) in enumerate(_WRITTEN):
+        first = F.when(F.col("o_orderkey") % 8 == i, F.concat(F.date_format(day, pattern), F.lit(after))).otherwise(first)
+    second = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("; then "), F.date_format(F.date_add(day, 40), "d MMM yyyy"), F.lit(" 11:45"))).otherwise("")
+    said = F.concat(F.lit("We meet in room 12, "), first, second, F.lit("."))
+    found = free_dates(said, F.lit(ASOF).cast("timestamp"))
+    stamp = lambda d: F.date_format(d, "yyyy-MM-dd-HH:mm")
+    return table(spark, sf, "orders").select("o_orderkey", stamp(F.get(found, 0)).alias("first"), stamp(F.when(F.col("o_orderkey") % 3 == 0, F.element_at(found, -1))).alias("second"))
+
+
 @query("page_texts", r"SELECT page_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 40) AS texts FROM pages")
 def page_texts(spark, sf):
     """Texts of the element tree, leaf by leaf, those of 40 characters or more."""
@@ -223,3 +300,24 @@ def page_texts(spark, sf):
 
     return table(spark, sf, "pages").select("page_id", texts_within(F.col("html"), 40).alias("texts"))
 
+
+
+@query("page_sections", r"""
+WITH p AS (SELECT page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages)
+SELECT page_id, array_to_string(regexp_extract_all(nav, '<a href="([^"]*)"', 1), ' ') AS nav_links, CAST(len(regexp_extract_all(article, '<p>')) AS INTEGER) AS paragraphs,
+       CAST(len(regexp_extract_all(article, '<br>')) AS INTEGER) AS breaks, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset,
+       CAST(len(regexp_extract_all(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'), '<[a-zA-Z]')) AS INTEGER) AS n_elements,
+       replace(trim(regexp_extract(article, '(?s)<h1>([^<]*)</h1>', 1)), '&amp;', '&') AS heading FROM p""")
+def page_sections(spark, sf):
+    """Parts of real pages, with elements that are never ended: links in the navigation, paragraphs of the article, attributes."""
+    from gleaner.functions.elements import Find, attribute_of, elements, find_all, find_first, text_of
+
+    html, tree = F.col("html"), F.col("tree")
+    rows = table(spark, sf, "pages").select("page_id", "html", elements(F.col("html")).alias("tree"))
+    links = F.transform(find_all(html, tree, Find("a", inside=Find("nav"))), lambda e: attribute_of(e, "href"))
+    inside = lambda tag: F.size(find_all(html, tree, Find(tag, inside=Find("article"))))
+    charset = attribute_of(find_first(html, tree, Find("meta")), "charset")
+    return rows.select(
+        "page_id", F.array_join(links, " ").alias("nav_links"), inside("p").alias("paragraphs"), inside("br").alias("breaks"), charset.alias("charset"),
+        F.size(tree).alias("n_elements"), text_of(html, find_first(html, tree, Find("h1", inside=Find("article")))).alias("heading"),
+    )

@@ -50,7 +50,7 @@ def raw(spark):
     data = [
         (0, "Event Brite", "u0", "Jazz", "Gig", None, "Hall", ["20 Jan 2024 7:30PM"], "<p>Fun</p>", None),
         (1, "Event Brite", "u1", "Jazz", "Gig", "img", "Hall", ["20th January 2024"], "Fun", None),
-        (2, "Event Brite", "u2", "Jazz", "Far", None, "Online", ["20 Jan 2024"], "x", None),
+        (2, "Event Brite", "u2", "Jazz", "Far", None, "LeadFlake Hall", ["20 Jan 2024"], "x", None),
         (3, "Event Brite", "u3", None, "Odd", None, "Hall", ["soon"], "x", None),
         (4, "Ticketek", "u4", "Sport", "Match", None, "Stadium, Elsewhere", ["20 Jan 2024"], "x", None),
         (5, "Facebook", "u5", None, "Party", None, "Bar", ["Tomorrow at 7:30"], None, None),
@@ -73,6 +73,14 @@ def test_profiles(spark):
         readers.get_reader("nobody")
 
 
+def test_undated_listings_are_banned_only_where_the_source_bans(spark):
+    data = [(0, "Fringe", "u0", None, "A", None, "Tent", ["soon"], "x", None), (1, "Fringe", "u1", None, "B", None, "Tent", ["1-3 Feb"], "x", None), (2, "Ticketek", "u2", None, "C", None, "Hall, Metro", ["soon"], "x", None)]
+    rows = spark.createDataFrame([(*r, None, None, "7:30") for r in data], schemas.RAW_LISTING)
+    events, banned = profiles.to_events(rows, profiles.PROFILES["Fringe"], asof(), "Metro")
+    assert [r["url"] for r in events.collect()] == ["u1"] and banned.count() == 0
+    assert [r["url"] for r in profiles.to_events(rows, profiles.PROFILES["Ticketek"], asof(), "Metro")[1].collect()] == ["u2"]
+
+
 def test_feed_round_trip(spark, tmp_path):
     from gleaner.operators.publish import dedupe_events
 
