@@ -11,19 +11,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The local folder of each application whose settings name no shared one.
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master!r}")
-        own = tempfile.mkdtemp(prefix="gleaner-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    master, session = spark.conf.get("spark.master", ""), spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master!r}")
+    if session not in _OWN:
+        _OWN[session] = tempfile.mkdtemp(prefix="gleaner-")
+        atexit.register(shutil.rmtree, _OWN[session], ignore_errors=True)
+    return f"file://{_OWN[session]}"
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

@@ -9,7 +9,7 @@ from gleaner.operators import corpus, ml
 from gleaner.operators.numbering import fresh_path
 from gleaner.plans.catalog import query
 from gleaner.session import table
-from gleaner.sources import burgers, cms, readers, schemas, sinks
+from gleaner.sources import burgers, cms, paged, readers, schemas, sinks, versions
 from gleaner.streaming import ingest
 
 ASOF = "2024-01-15 12:00:00"
@@ -103,11 +103,10 @@ def banned_urls(spark, sf):
 def checkpoint_sources(spark, sf):
     """The checkpoint files of active sources, by folder."""
     path = fresh_path(spark, "source-files")
-    for r in table(spark, sf, "region").select("r_regionkey").collect():  # five sources
-        spark.createDataFrame([("[]",)], "value string").coalesce(1).write.text(f"{path}/Source {r[0]}/events.json")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path")
-    folders = files.select(F.replace(F.element_at(F.split("path", "/"), -3), F.lit("%20"), F.lit(" ")).alias("source")).distinct()
-    return folders.where(F.col("source").isin("Source 0", "Source 1", "Source 2"))
+    names = table(spark, sf, "region").select(F.concat(F.lit("Source "), "r_regionkey").alias("source"), F.lit("[]").alias("value"))
+    names.repartition("source").write.partitionBy("source").text(path)
+    named = readers.checkpoint_files(spark, path, ["source=Source 0", "source=Source 1", "source=Source 2"], "part-*")
+    return named.select(F.replace("source", F.lit("source="), F.lit("")).alias("source")).distinct()
 
 
 @query("sink_marker", "SELECT max(n_name) AS source FROM nation")
@@ -147,14 +146,16 @@ def sink_burgers(spark, sf):
 
 @query("sink_corpus", "SELECT source || ', ' || text AS description, source AS label FROM documents WHERE text <> ''")
 def sink_corpus(spark, sf):
-    """A corpus written over the table that it was read from, twice, and read again."""
+    """A corpus that replaces the table it is read from, twice; a wrong one is rolled back."""
     path = fresh_path(spark, "corpus")
     docs = table(spark, sf, "documents").where("text <> ''")
     rows = docs.select(F.concat_ws(", ", "source", "text").alias("description"), F.col("source").alias("label"), F.lit(False).alias("skip"))
-    rows.write.parquet(path)
-    for k in (1, 2):
-        sinks.replace_table(spark.read.parquet(path), path, f"{path}-staging-{k}")
-    return spark.read.parquet(path).select("description", "label")
+    versions.publish_version(rows, path)
+    for _ in range(2):
+        versions.publish_version(versions.read_current(spark, path), path)
+    versions.publish_version(rows.limit(0), path)
+    versions.roll_back(spark, path)
+    return versions.read_current(spark, path).select("description", "label")
 
 
 @query("corpus_read", "SELECT count(*) AS n, count(DISTINCT label) AS labels FROM (SELECT source AS label FROM documents)")
@@ -162,9 +163,10 @@ def corpus_read(spark, sf):
     """A corpus in JSON; a missing one is empty, and a required one names the step that makes it."""
     path = fresh_path(spark, "corpus-json")
     docs = table(spark, sf, "documents").select(F.col("text").alias("description"), F.col("source").alias("label"), F.lit(False).alias("skip"))
-    docs.write.json(path)
+    array = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("description", "label", "skip"))), ","), F.lit("]"))
+    docs.withColumn("_file", F.crc32(F.coalesce("description", F.lit("")).cast("binary")) % 64).groupBy("_file").agg(array.alias("value")).write.partitionBy("_file").text(path)
     assert readers.read_corpus(spark, f"{path}-none").count() == 0
-    rows = spark.read.schema(schemas.TRAINING).json(path)
+    rows = readers.read_corpus(spark, path)
     return rows.agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
 
 
@@ -194,11 +196,11 @@ def sink_labels(spark, sf):
     from gleaner.operators.evaluate import write_back
 
     path, rows = fresh_path(spark, "labels"), table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    rows.write.parquet(path)
+    versions.publish_version(rows, path)
     updates = rows.where("toxic = 1").select("doc_id", F.lit(7).alias("new_value"))
-    sinks.replace_if_changed(write_back(spark.read.parquet(path), updates, "doc_id", "quality"), updates.count(), path, f"{path}-staging")
-    assert not sinks.replace_if_changed(rows, 0, path, f"{path}-staging-2")
-    return spark.read.parquet(path).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    sinks.replace_if_changed(write_back(versions.read_current(spark, path), updates, "doc_id", "quality"), updates.count(), path)
+    assert not sinks.replace_if_changed(rows, 0, path)
+    return versions.read_current(spark, path).select("doc_id", F.col("quality").cast("int").alias("quality"))
 
 
 @query("sink_splits", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS part FROM documents")
@@ -222,16 +224,53 @@ def sink_model(spark, sf):
     return got.agg(F.count("*").alias("n"), F.every(F.col("predicted") == F.col("p")).alias("same"))
 
 
-@query("paged_source", "SELECT n_nationkey // 10 AS page, n_nationkey % 10 AS seq, n_name AS url FROM nation")
+def _saved_pages(spark, rows: DataFrame, path: str) -> None:
+    """Rows (page, url, payload) as a crawler saves them: a folder a page."""
+    rows.repartition("page").sortWithinPartitions("page", "url").write.partitionBy("page").json(path)
+
+
+@query("paged_source", "SELECT CAST(o_orderkey // 100 AS INTEGER) AS page, o_orderstatus AS payload, count(*) AS n FROM orders GROUP BY 1, 2")
 def paged_source(spark, sf):
-    """A listing read page by page, from the column of a page number on; pages beyond the last are empty."""
-    rows = table(spark, sf, "nation").orderBy("n_nationkey").select(F.floor(F.col("n_nationkey") / 10).cast("int").alias("page"), (F.col("n_nationkey") % 10).cast("int").alias("seq"), F.col("n_name").alias("url"))
-    path = fresh_path(spark, "paged")
-    rows.coalesce(1).write.partitionBy("page").json(path)
-    spark.dataSource.register(cms.Pages)
-    got = spark.read.format("listing_pages").option("pages", 6).option("fetch", "gleaner.sources.cms.nothing").load()
-    assert got.count() == 0
-    return spark.read.schema("page int, seq int, url string").json(path).select("page", "seq", "url")
+    """A listing read up to its first empty page, a page a task."""
+    path, key = fresh_path(spark, "paged"), F.col("o_orderkey")
+    _saved_pages(spark, table(spark, sf, "orders").select(F.floor(key / 100).cast("int").alias("page"), key.cast("string").alias("url"), F.col("o_orderstatus").alias("payload")), path)
+    spark.dataSource.register(paged.Pages)
+    got = spark.read.format("listing_pages").option("fetch", "gleaner.sources.paged.saved_page").option("root", path).load()
+    return got.groupBy("page", "payload").agg(F.count("*").alias("n"))
+
+
+@query("paged_stream", "SELECT c_mktsegment AS payload, count(*) AS n, count(DISTINCT c_custkey // 50) AS pages FROM customer GROUP BY 1")
+def paged_stream(spark, sf):
+    """A listing as a stream: a first run reads the pages there are, pages added later come with the next, from the same checkpoint."""
+    path, out, key = fresh_path(spark, "paged-stream"), fresh_path(spark, "paged-rows"), F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(F.floor(key / 50).cast("int").alias("page"), key.cast("string").alias("url"), F.col("c_mktsegment").alias("payload"))
+    half = rows.agg(F.max("page").alias("m")).first()["m"] // 2
+    spark.dataSource.register(paged.Pages)
+    for part in (rows.where(F.col("page") <= half), rows.where(F.col("page") > half)):
+        part.repartition("page").write.mode("append").partitionBy("page").json(path)
+        pages = spark.readStream.format("listing_pages").option("fetch", "gleaner.sources.paged.saved_page").option("root", path).load()
+        run = pages.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(processingTime="1 second").start()
+        run.processAllAvailable()
+        run.stop()
+    return spark.read.parquet(out).groupBy("payload").agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages"))
+
+
+@query("search_then_fetch", """
+SELECT 'all' AS asked, p_brand AS payload, count(*) AS n FROM (SELECT p_partkey, min(p_brand) AS p_brand FROM part GROUP BY 1) GROUP BY 2
+UNION ALL SELECT 'named', p_brand, count(*) FROM (SELECT p_partkey, min(p_brand) AS p_brand FROM part WHERE p_partkey IN (7, 30, 31, 107) GROUP BY 1) GROUP BY 2""")
+def search_then_fetch(spark, sf):
+    """Ids from the pages of a search, then details by chunks of ids; ids that the query names are fetched without a search."""
+    path, key = fresh_path(spark, "details"), F.col("p_partkey")
+    items = table(spark, sf, "part").groupBy("p_partkey").agg(F.min("p_brand").alias("payload"))
+    _saved_pages(spark, items.select(F.floor(key / 100).cast("int").alias("page"), key.cast("string").alias("url"), F.lit("").alias("payload")), path)
+    items.select(key.cast("string").alias("id"), "payload", (key % 100).cast("int").alias("bucket")).repartition("bucket").write.mode("append").partitionBy("bucket").json(path)
+    spark.dataSource.register(paged.Details)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"search": "gleaner.sources.paged.saved_page", "detail": "gleaner.sources.paged.saved_details", "root": path}
+    details = lambda: spark.read.format("listing_details").options(**options).load()
+    found, named = details(), details().where(F.col("id").isin("7", "30", "31", "107"))
+    tell = lambda rows, asked: rows.groupBy("payload").agg(F.count("*").alias("n")).select(F.lit(asked).alias("asked"), "payload", "n")
+    return tell(found, "all").unionAll(tell(named, "named"))
 
 
 @query("programme_events", "SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 1 END AS n_dates FROM nation WHERE n_nationkey % 3 <> 0")

@@ -1,10 +1,9 @@
-"""Festival programmes from a content system's export, and paged APIs as data sources."""
+"""Festival programmes from a content system's export."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gleaner.functions import dates, text
 from gleaner.operators.publish import upsert_by_title
@@ -30,42 +29,3 @@ def festival_events(docs: DataFrame, asof: Column, opens: Column, closes: Column
 def merge_programme(new: DataFrame, old: DataFrame) -> DataFrame:
     """New programme rows; entries known before keep what they had but for image and dates."""
     return upsert_by_title(new, old, "name", ["imageUrl", "dates"])
-
-
-class Pages(DataSource):
-    """``spark.read.format("listing_pages")``: pages of a listing, one partition each.
-
-    Options: ``pages`` (how many), and ``fetch``, the dotted name of a function from a page
-    number to rows (seq, url, payload). An empty page ends the listing; later ones are ignored
-    where they are empty too.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "listing_pages"
-
-    def schema(self) -> str:
-        return "page int, seq int, url string, payload string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return PagesReader(self.options)
-
-
-class PagesReader(DataSourceReader):
-    def __init__(self, options):
-        self.pages, self.fetch = int(options["pages"]), options["fetch"]
-
-    def partitions(self):
-        return [InputPartition(i) for i in range(self.pages)]
-
-    def read(self, partition):
-        import importlib
-
-        module, _, name = self.fetch.rpartition(".")
-        for i, (url, payload) in enumerate(getattr(importlib.import_module(module), name)(partition.value)):
-            yield partition.value, i, url, payload
-
-
-def nothing(page: int) -> list[tuple[str, str]]:
-    """A listing without pages."""
-    return []

@@ -189,7 +189,7 @@ def parsed_dates(texts: Column, profile: Profile, asof: Column, info: Column, sl
     """An array of timestamps; texts without a date give nothing."""
     year, rule = F.year(asof), profile.dates
     clean = lambda t: F.trim(F.regexp_replace(text.drop_ordinals(t), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", ""))
-    one = lambda t: F.coalesce(dates.parse_any(clean(t), DAY_FORMATS, year), F.get(free_dates(t, asof), 0))
+    one = lambda t: dates.parse_any(clean(t), DAY_FORMATS, year)
     if rule in ("free", "daily"):
         if profile.slotted:
             texts = F.transform(texts, lambda t: F.concat_ws(" ", t, slot))
@@ -202,7 +202,7 @@ def parsed_dates(texts: Column, profile: Profile, asof: Column, info: Column, sl
         found = F.flatten(F.transform(ranges, lambda r: F.when(r["start"] < r["end"], dates.date_range(r["start"], r["end"], asof)).otherwise(F.array(r["start"]))))
         found = bound(F.array_compact(found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.transform(texts, one)))
     elif rule == "pair":
-        found = bound(F.transform(texts, one), lambda x: F.when(F.size(x) > 1, dates.start_and_end(F.get(x, 0), F.get(x, 1))).otherwise(x))
+        found = bound(F.transform(texts, lambda t: F.coalesce(one(t), F.get(free_dates(t, asof), 0))), lambda x: F.when(F.size(x) > 1, dates.start_and_end(F.get(x, 0), F.get(x, 1))).otherwise(x))
     elif rule == "gig":
         words = F.split(F.substring_index(F.get(texts, 0), ",", 1), " ")
         found = F.array(dates.parse_any(F.concat_ws(" ", F.get(words, 1), F.get(words, 2), text.gig_time(info, doors=profile.doors)), ["d MMM h:mma", "d MMMM h:mma"], year))

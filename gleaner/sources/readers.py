@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.dates import future_dates, parse_stamp
@@ -14,11 +14,30 @@ from gleaner.sources import schemas
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """The listings of a feed document, with ``seq`` their place in it."""
+    """The listings of a feed document, with ``seq`` their place in it.
+
+    A document in parts is read part by part, each its lines; any other one is a row.
+    """
+    parts = spark.read.option("pathGlobFilter", "part-*-1").text(path, wholetext=True) if is_in_parts(spark, path) else None
+    if parts is not None:
+        lines = F.split(F.regexp_replace("value", r"\n$", ""), r",?\n")
+        rows = parts.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("_part"), lines.alias("_lines"))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.select("_part", F.size("_lines").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a part
+        each = rows.join(starts, "_part").select("_first", F.posexplode("_lines").alias("_at", "_line"))
+        return each.select((F.col("_first") + F.col("_at")).cast("long").alias("seq"), F.from_json("_line", schemas.EVENT).alias("e")).select("seq", "e.*")
     doc = spark.read.schema(schemas.FEED).option("multiLine", True).json(path)
     return doc.select(F.posexplode("events").alias("seq", "e")).select(F.col("seq").cast("long"), "e.*")
 
 
+def is_in_parts(spark: SparkSession, path: str) -> bool:
+    """Whether a document was written by sinks.publish_document, an event a line."""
+    try:
+        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*-9").load(path).select("path").limit(1).count() > 0
+    except AnalysisException:
+        return False
+
+
 def usable_events(events: DataFrame, asof: Column, check_images: bool = True) -> DataFrame:
     """Listings with dates still to come; of a main feed also without images past their expiry."""
     dates = future_dates(F.transform("dates", parse_stamp), asof)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.dates import display_date, stamp
 from gleaner.operators.publish import event_types, facet, feed_order
+from gleaner.sources.documents import JsonDocument
+from gleaner.sources.versions import publish_version
 
 FEED_COLUMNS = ["id", "name", "imageUrl", "venue", "coordinates", "dates", "displayDate", "url", "source", "eventType", "long_description", "description", "labels"]
 
@@ -28,15 +32,16 @@ def publish_feed(events: DataFrame, path: str) -> None:
 
 
 def publish_document(events: DataFrame, path: str) -> None:
-    """The feed as one JSON document. For feeds that fit one row; large ones are published by lines."""
-    rows = feed_rows(events).withColumn("_n", F.monotonically_increasing_id())
-    doc = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("_n", F.struct(*FEED_COLUMNS).alias("e")))).alias("a"))
-    sources = events.groupBy().agg(F.array_sort(F.collect_set("source")).alias("s"), F.array_append(F.array_sort(F.array_remove(F.collect_set("eventType"), "Other")), "Other").alias("t"))
-    filters = sources.first()
-    values = lambda x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
-    doc.select(F.struct(F.transform("a", lambda x: x["e"]).alias("events"), F.struct(values(filters["s"]).alias("sources"), values(filters["t"]).alias("eventTypes")).alias("filters")).alias("d")).select(
-        F.to_json("d").alias("value")
-    ).write.mode("overwrite").text(path)
+    """The feed as one JSON document in ordered parts: their contents one after another are the document.
+
+    Every task writes the events of its range of the order, a line each; nothing holds the feed.
+    """
+    facets = events.agg(F.array_sort(F.collect_set("source")).alias("s"), F.array_sort(F.array_remove(F.collect_set("eventType"), "Other")).alias("t")).first()  # names of sources and types
+    filters = {"sources": facets["s"], "eventTypes": [*facets["t"], "Other"]}
+    lines = feed_rows(events).select(F.to_json(F.struct(*FEED_COLUMNS)).alias("value"))
+    events.sparkSession.dataSource.register(JsonDocument)
+    head, tail = '{"events":[', f'],"filters":{json.dumps(filters, ensure_ascii=False, separators=(",", ":"))}}}'
+    lines.write.format("json_document").option("path", path).option("head", head).option("tail", tail).mode("overwrite").save()
 
 
 def keep_copy(spark: SparkSession, path: str, copy: str) -> None:
@@ -66,15 +71,10 @@ def write_festival_feeds(events: DataFrame, path: str, by: str = "festival") ->
     events.orderBy("name").write.mode("overwrite").partitionBy(by).json(path)
 
 
-def replace_table(rows: DataFrame, path: str, staging: str) -> None:
-    """Overwrite a table that ``rows`` may be read from: by way of ``staging``."""
-    rows.write.mode("overwrite").parquet(staging)
-    rows.sparkSession.read.parquet(staging).write.mode("overwrite").parquet(path)
-
-
-def replace_if_changed(rows: DataFrame, n_changed: int, path: str, staging: str) -> bool:
+def replace_if_changed(rows: DataFrame, n_changed: int, path: str) -> bool:
+    """Publish ``rows`` as the table's next version, if any changed."""
     if n_changed:
-        replace_table(rows, path, staging)
+        publish_version(rows, path)
     return bool(n_changed)
 
 

@@ -88,7 +88,7 @@ def test_feed_round_trip(spark, tmp_path):
     best = dedupe_events(events.drop("id")).drop("first_seq")
     sinks.publish_feed(best, str(tmp_path / "feed"))
     sinks.publish_document(best, str(tmp_path / "doc"))
-    text = "".join(p.read_text() for p in (tmp_path / "doc").glob("part-*"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
     doc = json.loads(text)
     assert [e["imageUrl"] for e in doc["events"]] == ["img"] and doc["filters"] == {"sources": ["Event Brite"], "eventTypes": ["Jazz", "Other"]}
     got = readers.read_feed(spark, str(tmp_path / "doc"))
@@ -97,12 +97,82 @@ def test_feed_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "feed/filters/eventTypes")).count() == 2
 
 
-def test_replace_table(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(3).write.parquet(path)
-    sinks.replace_table(spark.read.parquet(path).where("id > 0"), path, str(tmp_path / "staging"))
-    assert spark.read.parquet(path).count() == 2
-    assert sinks.replace_if_changed(spark.range(9), 0, path, str(tmp_path / "staging")) is False
+def test_document_in_parts(spark, tmp_path):
+    path = str(tmp_path / "doc")
+    rows = spark.range(1000).select(F.col("id").alias("seq"), *[F.lit("x").alias(c) for c in ("id", "imageUrl", "venue", "url", "eventType", "long_description", "description")], F.lit(None).cast(schemas.COORDINATES).alias("coordinates"))
+    rows = rows.withColumns({"name": F.format_string("n%04d", F.col("seq")), "dates": F.array(asof()), "source": F.lit('S "1"')})
+    for n in (10, 1000):
+        sinks.publish_document(rows.where(F.col("seq") < n).repartition(7), path)
+    doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*"))))
+    assert [e["name"] for e in doc["events"]] == [f"n{i:04d}" for i in range(1000)] and doc["filters"] == {"sources": ['S "1"'], "eventTypes": ["x", "Other"]}
+    got = readers.read_feed(spark, path).orderBy("seq").collect()
+    assert [(r["seq"], r["name"]) for r in got] == [(i, f"n{i:04d}") for i in range(1000)]
+    assert {p.name for p in tmp_path.iterdir()} == {"doc"}
+    sinks.publish_document(rows.limit(0), path)
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*"))))["events"] == [] and readers.read_feed(spark, path).count() == 0
+
+
+def test_a_failed_document_leaves_the_old_one(spark, tmp_path):
+    from gleaner.sources.documents import JsonDocument
+
+    path = str(tmp_path / "doc")
+    spark.dataSource.register(JsonDocument)
+    save = lambda df: df.write.format("json_document").options(path=path, head="[", tail="]").mode("overwrite").save()
+    save(spark.range(5).select(F.col("id").cast("string").alias("value")))
+    with pytest.raises(Exception, match="broken"):
+        save(spark.range(50).select(F.when(F.col("id") == 40, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string")).alias("value")))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))) == [0, 1, 2, 3, 4]
+    one = tmp_path / "plain.json"
+    one.write_text(json.dumps({"events": [{"id": "a", "name": "A"}], "filters": {}}))
+    assert [tuple(r) for r in readers.read_feed(spark, str(one)).select("seq", "name").collect()] == [(0, "A")]
+
+
+def test_versions_survive_a_crash_at_any_step(spark, tmp_path, monkeypatch):
+    from gleaner.sources import versions
+
+    root = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        versions.read_current(spark, root)
+    versions.publish_version(spark.range(3), root)
+    assert sinks.replace_if_changed(spark.range(9), 0, root) is False
+    read = lambda: versions.read_current(spark, root).count()
+    broken = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):  # while the version is written
+        versions.publish_version(broken, root)
+    assert read() == 3
+    with monkeypatch.context() as m:  # between version and pointer
+        m.setattr(versions, "point_to", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            versions.publish_version(spark.range(7), root)
+    assert read() == 3
+    (tmp_path / "t" / "pointers" / "_temporary").mkdir()  # a pointer's task that died
+    assert read() == 3
+    assert sinks.replace_if_changed(versions.read_current(spark, root).where("id > 0"), 1, root) and read() == 2
+    assert versions.read_current(spark, root, back=1).count() == 3
+    versions.roll_back(spark, root)
+    assert read() == 3 and len(versions.pointers(spark, root)) == 3
+    name = versions.write_version(spark.range(1), root)
+    monkeypatch.setattr(versions, "pointers", lambda *a: [(2, "x")])  # another writer came first
+    with pytest.raises(Exception, match="(?i)exists"):
+        versions.point_to(spark, root, name)
+
+
+def test_first_empty_page():
+    from gleaner.sources.paged import first_empty
+
+    for n in (0, 1, 2, 3, 7, 8, 9, 1000):
+        asked = []
+        page = lambda k, n=n, asked=asked: asked.append(k) or ([1] if k < n else [])
+        assert first_empty(page) == n and len(asked) <= 2 * max(1, n).bit_length() + 2
+        assert first_empty(page, min(n, 5)) == n
+
+
+def test_ids_are_pushed_down(spark, tmp_path):
+    from gleaner.sources import paged
+
+    reader = paged.DetailsReader({"search": "x.y", "detail": "x.z", "chunk": "2"})
+    left = list(reader.pushFilters([paged.In(("id",), ("a", "b", "c", "a")), paged.EqualTo(("payload",), "p")]))
+    assert [type(f) for f in left] == [paged.EqualTo] and [p.ids for p in reader.partitions()] == [("a", "b"), ("c",)]
 
 
 def test_active_sources(spark):
