@@ -44,11 +44,11 @@ t AS (SELECT *, list_sort(list_distinct(list_concat(list_concat(
         list_transform(list_filter(string_split(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '/'),
                        lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'p:' || x)))) AS tok FROM b),
 m AS (SELECT k, page_id, tok, unnest(range(1, CAST(pow(2, len(tok)) AS BIGINT))) AS mask FROM t),
-s AS (SELECT k, page_id, array_to_string(list_filter(tok, lambda x, i: (mask >> (i - 1)) & 1 = 1), ' ') AS items FROM m WHERE bit_count(mask) <= 3),
+s AS (SELECT k, page_id, array_to_string(list_filter(tok, lambda x, i: (mask >> (i - 1)) & 1 = 1), ' ') AS items FROM m),
 g AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id),
 n AS (SELECT count(*) AS n FROM t JOIN g ON page_id = doc_id WHERE len(tok) > 0),
 f AS (SELECT items, count(*) AS c, count(*) FILTER (WHERE bad) AS b FROM s JOIN g ON page_id = doc_id GROUP BY items),
-x AS (SELECT items FROM f, n WHERE b >= ceil(greatest(0.005, 25.0 / n) * n) AND b >= 0.6 * c),
+x AS (SELECT items FROM f, n WHERE b >= greatest(25, (n + 199) // 200) AND 5 * b >= 3 * c),
 y AS (SELECT DISTINCT k FROM s JOIN x USING (items))
 SELECT page_id, host, path, l.rule, coalesce(l.verdict, CASE WHEN y.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM b LEFT JOIN l USING (k) LEFT JOIN y USING (k)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,8 @@ BAD = "\x00bad"
 SUPPORT, CONFIDENCE = 0.005, 0.6
 #: Unwanted urls that must back a rule, however few labels there are.
 LEAST = 25
-#: Tokens of a rule at most, and of a basket up to which FP-growth enumerates its subsets.
-MOST, LONGEST = 3, 12
+#: Tokens of a basket up to which FP-growth enumerates its subsets.
+LONGEST = 12
 #: Rules in a literal index; more are joined.
 LITERAL_RULES = 2000
 
@@ -72,7 +73,7 @@ def listed_verdict(host: Column, path: Column, rules) -> Column:
 
 
 def mine_rules(urls: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(tokens, confidence, support, hook): combinations of up to MOST tokens whose urls are mostly unwanted.
+    """(tokens, confidence, support, hook): combinations of tokens whose urls are mostly unwanted.
 
     ``urls`` (url_id, url), ``labels`` (url_id, bad). FP-growth runs on all labelled urls, each a
     basket of its tokens and, if bad, a mark; rules that conclude the mark stay if they are above
@@ -81,14 +82,14 @@ def mine_rules(urls: DataFrame, labels: DataFrame, support: float = SUPPORT, con
 
     Baskets are made short first, which changes no rule: tokens that too few unwanted urls have
     go, and of tokens that the same urls have one stands for all. If one is still longer than
-    ``longest``, whose subsets FP-growth would enumerate, sets of one, two and three tokens are
-    counted level by level instead, with the same rules as a result. They are written once.
+    ``longest``, whose subsets FP-growth would enumerate, sets are counted level by level instead,
+    with the same rules as a result. A rule has as many tokens as it takes. Rules are written once.
     """
     judged = labels.groupBy("url_id").agg(F.max(F.coalesce(F.col("bad"), F.lit(False))).alias("bad"))
     rows = urls.join(judged, "url_id").select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("t"), "bad").filter(F.size("t") > 0)
     rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "url-baskets")
     n = max(1, rows.count())
-    backing = math.ceil(min(1.0, max(support, least / n)) * n)
+    backing = max(least, 1, math.ceil(Fraction(str(support)) * n))  # unwanted urls, exactly
     single = rows.select("id", "bad", F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"), F.bit_xor(F.xxhash64("id")).alias("same"))
     single = single.filter(F.col("b") >= backing)
     kinds = single.groupBy("n", "same").agg(F.min("token").alias("kind"))
@@ -99,8 +100,8 @@ def mine_rules(urls: DataFrame, labels: DataFrame, support: float = SUPPORT, con
         found = _by_growth(short, n, backing, confidence)
     else:
         found = _by_level(short, n, backing, confidence)
-    found = materialize(found.filter(F.size("tokens") <= MOST), "url-found")
-    rules = _spelt(_pruned(found), members)
+    found = materialize(found, "url-found")
+    rules = _spelt(materialize(_pruned(found), "url-pruned"), members)
     for done in (rows, short):
         discard(done)
     return materialize(rules, "url-rules")
@@ -108,33 +109,40 @@ def mine_rules(urls: DataFrame, labels: DataFrame, support: float = SUPPORT, con
 
 def _by_growth(baskets: DataFrame, n: int, backing: int, confidence: float) -> DataFrame:
     items = baskets.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"))
-    held = max(1, items.count())
-    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, backing / held), minConfidence=confidence).fit(items).associationRules
+    held = max(1, items.count())  # FP-growth takes a share and rounds it up to a count again: half a url less makes that ``backing``
+    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, (backing - 0.5) / held), minConfidence=confidence).fit(items).associationRules
     rules = rules.filter(F.col("consequent") == F.array(F.lit(BAD)))
     return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * held / n).alias("support"))
 
 
 def _by_level(baskets: DataFrame, n: int, backing: int, confidence: float) -> DataFrame:
-    """The rules that FP-growth gives, from counts of sets; a set is only counted if its first part has the backing."""
-    sets = baskets.select("bad", "t", F.explode("t").alias("x")).select("bad", "t", F.array("x").alias("tokens"))
+    """Rules of which ``_pruned`` leaves the same as of FP-growth's, from counts of sets, a level at a time.
+
+    A set grows by a token that comes after its own, if it has the backing, some of its urls are
+    wanted, and the token isn't on all of its urls: else the larger set has no higher confidence
+    than a part of it, and neither has any set that holds it.
+    """
+    sets = baskets.select("bad", "t", F.explode("t").alias("x")).select("bad", "t", F.array("x").alias("tokens"), F.lit(n + 1).cast("long").alias("held"))
     out = None
-    for size in range(1, MOST + 1):
-        counts = sets.groupBy("tokens").agg(F.count("*").alias("m"), F.count_if("bad").alias("b")).filter(F.col("b") >= backing)
-        counts = materialize(counts, "url-level")
-        rules = counts.filter(F.col("b") >= confidence * F.col("m")).select("tokens", (F.col("b") / F.col("m")).alias("confidence"), (F.col("b") / n).alias("support"))
+    while True:
+        counts = sets.groupBy("tokens").agg(F.count("*").alias("m"), F.count_if("bad").alias("b"), F.first("held").alias("held"))
+        counts = materialize(counts.filter((F.col("b") >= backing) & (F.col("m") < F.col("held"))), "url-level")
+        rules = counts.filter(F.col("b") / F.col("m") >= confidence).select("tokens", (F.col("b") / F.col("m")).alias("confidence"), (F.col("b") / n).alias("support"))
         out = rules if out is None else out.unionAll(rules)
-        if size < MOST:
-            grown = sets.join(counts.select("tokens"), "tokens", "left_semi")
-            after = F.filter("t", lambda x: x > F.element_at("tokens", -1))
-            sets = grown.select("bad", "t", "tokens", F.explode(after).alias("x")).select("bad", "t", F.concat("tokens", F.array("x")).alias("tokens"))
-    return out
+        mixed = counts.filter("b < m")
+        if mixed.isEmpty():
+            return out
+        grown = sets.drop("held").join(mixed.select("tokens", F.col("m").alias("held")), "tokens")
+        after = F.filter("t", lambda x: x > F.element_at("tokens", -1))
+        sets = grown.select("bad", "t", "tokens", "held", F.explode(after).alias("x")).select("bad", "t", F.concat("tokens", F.array("x")).alias("tokens"), "held")
+        sets = materialize(sets, "url-sets")
 
 
 def _pruned(rules: DataFrame) -> DataFrame:
     """Without rules that add tokens to another rule and aren't more confident."""
-    drop_one = F.transform("tokens", lambda x: F.array_remove("tokens", x))
-    parts = F.array_distinct(F.concat(drop_one, F.flatten(F.transform(drop_one, lambda a: F.transform(a, lambda x: F.array(x))))))
-    inner = rules.select("tokens", "confidence", F.explode(F.filter(parts, lambda a: F.size(a) > 0)).alias("part")).filter(F.size("part") < F.size("tokens"))
+    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), F.size("tokens")).cast("long") - 2)
+    parts = F.transform(masks, lambda mask: F.filter("tokens", lambda x, i: F.pmod(F.floor(mask / F.pow(F.lit(2), i)), F.lit(2)) == 1))
+    inner = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode(parts).alias("part"))
     less = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"))
     beaten = inner.join(less, "part").filter(F.col("c") >= F.col("confidence")).select("tokens").distinct()
     return rules.join(beaten, "tokens", "left_anti")
@@ -143,7 +151,7 @@ def _pruned(rules: DataFrame) -> DataFrame:
 def _spelt(rules: DataFrame, members: DataFrame) -> DataFrame:
     """Rules with each token in turn for the one that stands for it, and their hooks."""
     out = rules.withColumns({"got": F.array().cast("array<string>"), "uses": F.array().cast("array<struct<n:bigint,token:string>>")})
-    for k in range(MOST):
+    for k in range(rules.agg(F.max(F.size("tokens")).alias("m")).first()["m"] or 0):
         here = members.select(F.col("kind").alias("_kind"), F.col("token").alias("_token"), F.col("n").alias("_n"))
         with_token = out.filter(F.size("tokens") > k).withColumn("_kind", F.get("tokens", F.lit(k))).join(here, "_kind")
         with_token = with_token.withColumn("got", F.array_append("got", F.col("_token"))).withColumn("uses", F.array_append("uses", F.struct(F.col("_n").alias("n"), F.col("_token").alias("token"))))
