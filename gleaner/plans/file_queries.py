@@ -10,7 +10,7 @@ from gleaner.operators.numbering import fresh_path
 from gleaner.plans.catalog import query
 from gleaner.session import table
 from gleaner.sources import burgers, cms, paged, readers, schemas, sinks, versions
-from gleaner.streaming import ingest
+from gleaner.streaming import ingest, state
 
 ASOF = "2024-01-15 12:00:00"
 
@@ -343,3 +343,25 @@ def seen_stream(spark, sf):
         rows.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
         ingest.append_unseen(ingest.listing_stream(spark, path, "key string, event_id long"), "key", out, f"{out}-state").awaitTermination()
     return spark.read.parquet(out).select("key")
+
+
+_KEYED = "SELECT *, event_type || '-' || user_id % 20 AS key FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL"
+
+
+@query("state_stream", f"""
+WITH e AS ({_KEYED}),
+b AS (SELECT key, min(ts) AS banned FROM e WHERE event_id % 97 = 0 GROUP BY key),
+s AS (SELECT key, ts, event_id, lag(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS before FROM e WHERE event_id % 97 <> 0)
+SELECT key, event_id FROM s LEFT JOIN b USING (key) WHERE (before IS NULL OR ts - before > INTERVAL 12 HOUR) AND (banned IS NULL OR ts < banned)""")
+def state_stream(spark, sf):
+    """New listings by keyed state over four runs with one checkpoint: seen ones are known for twelve hours, bans for good."""
+    path, out = fresh_path(spark, "state-in"), fresh_path(spark, "state-out")
+    rows = table(spark, sf, "events").select(F.concat_ws("-", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), "event_id", "ts").where("key is not null and ts is not null")
+    cuts = rows.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.percentile("t", [0.25, 0.5, 0.75]).alias("c")).first()["c"]
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.unix_micros(F.col("ts").cast("timestamp"))))
+    kind = rows.schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    for k in range(4):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+        new = state.unseen_stream(spark.readStream.schema(kind).parquet(path), "key", "ts", "event_id", F.col("event_id") % 97 == 0, 0.5)
+        state.run_once(new, out, f"{out}-state")
+    return spark.read.parquet(out).select("key", "event_id")
