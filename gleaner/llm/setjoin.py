@@ -1,9 +1,12 @@
 """A complete search for texts whose word shingle sets have a Jaccard similarity of at least t.
 
-Candidates. Put the shingles of a set in an order that all sets share; two sets with a
-similarity of t or more have a common shingle among the first n - ceil(t n) + 1 of each. Sets
-meet in the lists of these shingles only. The order is by hash, but shingles that very many
-sets begin with come last, so that a passage shared by many texts doesn't make them meet.
+Candidates. Put the shingles of a set in an order that all sets share. The first one that two
+sets with a similarity of t or more have in common is among the first n - ceil(t n) + 1 of the
+larger set, and among the first m - ceil(2 t m / (1 + t)) + 1 of the other, which has m. Sets meet in
+the lists of their first shingles only; a set is early in a list whose shingle is among the
+second, fewer ones, and pairs have an early set. The order is by hash, but shingles that very
+many sets begin with come last: a passage that many texts share is then late in all of them, and
+its lists, without an early set, are none, unless so much is shared that the sets are similar.
 Lists of the same sets are one list.
 
 Fingerprints. A set's fingerprint has a bit for each of some classes of shingles: whether it
@@ -36,6 +39,8 @@ from gleaner.llm.components import components
 BITS, LARGEST, GROWTH = 1024, 1536, 4
 #: Sets that begin with a shingle from which on it is put last, and the most of such shingles that are broadcast.
 CROWD, CROWDS = 256, 1 << 20
+#: One of so many texts, by hash, is looked at for shingles to be put last; which ones are changes no result.
+SAMPLED = 16
 #: Rows of a list from which on pivots are used, and how many.
 LONG, PIVOTS = 64, 8
 #: Pairs compared at once.
@@ -126,6 +131,11 @@ def prefix_length(n: int, t: Fraction) -> int:
     return n - -(-t.numerator * n // t.denominator) + 1 if n else 0
 
 
+def early_length(n: int, t: Fraction) -> int:
+    """Elements in which sets of n that are as similar as t to others, at least as large ones, have the first common one."""
+    return n - -(-2 * t.numerator * n // (t.numerator + t.denominator)) + 1 if n else 0
+
+
 def tiers_of(n: int, t: Fraction) -> list[int]:
     """The tiers that sets of size n are in: of two sets as similar as t the larger one's lowest is one of the other's."""
     low = 0
@@ -178,7 +188,7 @@ def _hits(late: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def postings(texts: DataFrame, width: int, t: Fraction, late: np.ndarray, before: np.ndarray | None = None) -> DataFrame:
-    """Distinct (token, node) for the prefixes of the texts' sets, in the order by hash but ``late`` elements last.
+    """Distinct (token, node, early) for the prefixes of the texts' sets, in the order by hash but ``late`` elements last.
 
     With ``before``, an earlier state of ``late``, only of sets whose prefix has changed since.
     """
@@ -189,7 +199,7 @@ def postings(texts: DataFrame, width: int, t: Fraction, late: np.ndarray, before
         for batch in batches:
             for part in _pieces(batch):
                 sets = shingle_sets(part.column(0), width)
-                nodes, tokens = names_of(sets), []
+                nodes, tokens, early = names_of(sets), [], []
                 for s in sets:
                     n, hit = prefix_length(len(s), t), _hits(late, s)
                     if before is not None:
@@ -197,20 +207,41 @@ def postings(texts: DataFrame, width: int, t: Fraction, late: np.ndarray, before
                         if not hit[np.concatenate([np.flatnonzero(~old), np.flatnonzero(old)])[:n]].any():
                             n = 0
                     tokens.append(np.concatenate([s[~hit][:n], s[hit][: max(n - len(s) + int(hit.sum()), 0)]]) if hit.any() else s[:n])
+                    early.append(np.arange(len(tokens[-1])) < early_length(len(s), t))
                 owner = np.repeat(nodes, [len(x) for x in tokens])
-                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), _longs(owner)], ["token", "node"])
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), _longs(owner), pa.array(np.concatenate(early))], ["token", "node", "early"])
 
-    rows = texts.select(F.col("text").cast("string")).mapInArrow(run, "token long, node long")
+    rows = texts.select(F.col("text").cast("string")).mapInArrow(run, "token long, node long, early boolean")
     return rows.repartition("token").dropDuplicates(["token", "node"])
 
 
+def frequent_tokens(texts: DataFrame, width: int, least: int) -> np.ndarray:
+    """Shingles that at least ``least`` different sets hold, of one in SAMPLED of the texts."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _pieces(batch):
+                sets = shingle_sets(part.column(0), width)
+                owner = np.repeat(names_of(sets), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(sets)), _longs(owner)], ["token", "node"])
+
+    some = texts.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    pairs = some.mapInArrow(run, "token long, node long").repartition("token").dropDuplicates(["token", "node"])
+    counts = pairs.groupBy("token").count().filter(F.col("count") >= least)
+    return np.unique(counts.select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def common_tokens(texts: DataFrame, width: int, t: Fraction, crowd: int, total: int, rounds: int = 4) -> np.ndarray:
-    """Shingles that over ``crowd`` sets begin with, to be put last; found in a few rounds, as others come to the fore.
+    """Shingles to be put last: those that about ``crowd`` sets hold, and those that over ``crowd`` sets begin with.
 
-    Any order gives a complete search, this one keeps lists short. ``crowd`` rises with the
-    ``total`` of prefix elements, so that a round finds at most CROWDS.
+    The former come from a sample; the latter are found in a few rounds, as others come to the
+    fore, mostly one that finds none. Any order gives a complete search, this one keeps lists
+    short. ``crowd`` rises with the ``total`` of prefix elements, so that a round, and the sample,
+    find at most CROWDS.
     """
-    crowd, late, before = max(crowd, -(-total // CROWDS)), np.zeros(0, np.uint64), None
+    every = int(total / (1 - t))
+    late = frequent_tokens(texts, width, max(2, -(-max(crowd, -(-every // CROWDS)) // SAMPLED)))
+    crowd, before = max(crowd, -(-total // CROWDS)), None
     for _ in range(rounds):
         counts = postings(texts, width, t, late, before).groupBy("token").count().filter(F.col("count") > crowd)
         found = counts.select("token").toArrow().column(0).to_numpy().view(np.uint64)  # at most CROWDS
@@ -221,10 +252,10 @@ def common_tokens(texts: DataFrame, width: int, t: Fraction, crowd: int, total:
 
 
 def shared_lists(pairs: DataFrame) -> DataFrame:
-    """(list, node): the sets that have a prefix shingle in common; a list's name is a hash of its members."""
+    """(list, node, early): the sets that have a prefix shingle in common, one of them early; a list's name is a hash of its members."""
     same = Window.partitionBy("token")  # buffered rows spill
-    rows = pairs.withColumns({"m": F.count("*").over(same), "list": F.bit_xor(F.xxhash64("node")).over(same)})
-    return rows.filter("m > 1").select("list", "node").distinct()
+    rows = pairs.withColumns({"m": F.count("*").over(same), "e": F.max("early").over(same), "list": F.bit_xor(F.xxhash64("node", "early")).over(same)})
+    return rows.filter("m > 1 and e").select("list", "node", "early").distinct()
 
 
 def sets_of(texts: DataFrame, live: DataFrame, width: int) -> DataFrame:
@@ -259,11 +290,11 @@ def _limit(na: np.ndarray, nb: np.ndarray, t: Fraction) -> np.ndarray:
     return (t.denominator - t.numerator) * (na + nb) // (t.denominator + t.numerator)
 
 
-def candidate_links(lists: np.ndarray, n: np.ndarray, fps: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+def candidate_links(lists: np.ndarray, early: np.ndarray, n: np.ndarray, fps: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one list that may be similar, as many as connect all such rows.
 
-    Rows are sorted by list. Row i meets row i + step of its list, for rising steps, unless
-    pairs found before connect the two.
+    Rows are sorted by list, early ones first. An early row i meets row i + step of its list, for
+    rising steps, unless pairs found before connect the two.
     """
     size = len(lists)
     parent = np.arange(size)
@@ -282,7 +313,7 @@ def candidate_links(lists: np.ndarray, n: np.ndarray, fps: np.ndarray, t: Fracti
     for h, m in zip(head[long >= LONG].tolist(), long[long >= LONG].tolist(), strict=True):
         for k in range(PIVOTS):
             table[h : h + m, k] = distances(fps[h : h + m], fps[h + k * m // PIVOTS])
-    left, step = np.arange(max(size - 1, 0)), 1
+    left, step = np.flatnonzero(early), 1
     group = np.cumsum(new) - 1
     while len(left):
         left = left[left + step < size]
@@ -312,11 +343,11 @@ def candidate_links(lists: np.ndarray, n: np.ndarray, fps: np.ndarray, t: Fracti
     return np.array(firsts, np.int64), np.array(seconds, np.int64)
 
 
-def open_pairs(lists: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarray, t: Fraction, quota: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def open_pairs(lists: np.ndarray, early: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarray, t: Fraction, quota: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of rows of one list and different roots that may be similar, and whether there are more.
 
-    Every row that isn't of its list's largest root gives its ``quota`` closest partners; any
-    two roots of a list include one that isn't the largest.
+    Every early row gives its ``quota`` closest partners: among all rows if it isn't of its list's
+    largest root, else among those that aren't.
     """
     firsts, seconds, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
     cut = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]])) if len(lists) else []
@@ -324,21 +355,23 @@ def open_pairs(lists: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarr
         names, r, counts = np.unique(root[s:e], return_inverse=True, return_counts=True)
         if len(names) < 2:
             continue
-        others = np.flatnonzero(r != counts.argmax())
-        for at in range(0, len(others), max(1, PAIRS // (e - s))):
-            a = others[at : at + max(1, PAIRS // (e - s))]
-            most = _limit(n[s:e][a][:, None], n[s:e][None, :], t)
-            ok = (r[a][:, None] != r[None, :]) & (np.abs(n[s:e][a][:, None] - n[s:e][None, :]) <= most)
-            x, y = np.nonzero(ok)
-            bits = distances(fps[s + a[x]], fps[s + y])
-            near = bits <= most[x, y]
-            x, y, bits = x[near], y[near], bits[near]
-            order = np.lexsort((y, bits, x))
-            x, y = x[order], y[order]
-            nth = np.arange(len(x)) - np.searchsorted(x, x)
-            more |= bool((nth >= quota).any())
-            firsts.append(s + a[x[nth < quota]])
-            seconds.append(s + y[nth < quota])
+        main, begins = r == counts.argmax(), early[s:e]
+        for ours, theirs in ((np.flatnonzero(begins & ~main), np.arange(e - s)), (np.flatnonzero(begins & main), np.flatnonzero(~main))):
+            block = max(1, PAIRS // max(1, len(theirs)))
+            for at in range(0, len(ours), block):
+                a = ours[at : at + block]
+                most = _limit(n[s:e][a][:, None], n[s:e][theirs][None, :], t)
+                ok = (r[a][:, None] != r[theirs][None, :]) & (np.abs(n[s:e][a][:, None] - n[s:e][theirs][None, :]) <= most)
+                x, y = np.nonzero(ok)
+                bits = distances(fps[s + a[x]], fps[s + theirs[y]])
+                near = bits <= most[x, y]
+                x, y, bits = x[near], y[near], bits[near]
+                order = np.lexsort((y, bits, x))
+                x, y = x[order], y[order]
+                nth = np.arange(len(x)) - np.searchsorted(x, x)
+                more |= bool((nth >= quota).any())
+                firsts.append(s + a[x[nth < quota]])
+                seconds.append(s + theirs[y[nth < quota]])
     return np.concatenate(firsts), np.concatenate(seconds), more
 
 
@@ -396,26 +429,26 @@ def _pairs_of(a: np.ndarray, b: np.ndarray, more: bool = False) -> pa.RecordBatc
 
 
 def _first_links(rows: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b) from (list, node, n, tier, fp): presumed links, enough to connect all that may be similar in a list."""
+    """(a, b) from (list, node, early, n, tier, fp): presumed links, enough to connect all that may be similar in a list."""
 
     def run(batches):
-        for lists, node, n, fps in _whole_lists(batches):
-            a, b = candidate_links(lists, n, fps, t)
+        for lists, node, early, n, fps in _whole_lists(batches):
+            a, b = candidate_links(lists, early, n, fps, t)
             yield _pairs_of(node[a], node[b])
 
-    dealt = rows.select("tier", "list", "node", "n", "fp").repartition("tier", "list").sortWithinPartitions("tier", "list", "node")
+    dealt = rows.select("tier", "list", "node", "early", "n", "fp").repartition("tier", "list").sortWithinPartitions("tier", "list", F.desc("early"), "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _further_pairs(rows: DataFrame, t: Fraction, quota: int) -> DataFrame:
-    """(a, b) from (list, node, n, tier, fp, root): pairs of groups that are apart; a row of nulls says there are more."""
+    """(a, b) from (list, node, early, n, tier, fp, root): pairs of groups that are apart; a row of nulls says there are more."""
 
     def run(batches):
-        for lists, node, n, root, fps in _whole_lists(batches):
-            a, b, more = open_pairs(lists, root, n, fps, t, quota)
+        for lists, node, early, n, root, fps in _whole_lists(batches):
+            a, b, more = open_pairs(lists, early, root, n, fps, t, quota)
             yield _pairs_of(node[a], node[b], more)
 
-    dealt = rows.select("tier", "list", "node", "n", "root", "fp").repartition("tier", "list").sortWithinPartitions("tier", "list", "node")
+    dealt = rows.select("tier", "list", "node", "early", "n", "root", "fp").repartition("tier", "list").sortWithinPartitions("tier", "list", F.desc("early"), "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 

@@ -265,7 +265,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width:
     Groups are of rows: different texts that share a doc_id or have none are documents of their
     own. A null doc_id comes after all others; of rows with the same one, the text's hash decides.
     Texts of equal shingle sets are one node; a repeated shingle counts once. Texts without
-    words are copies of each other. An empty table gives no rows; other columns don't matter.
+    words are copies of each other. An empty table gives no rows; of other columns only one named
+    __near_row would be lost.
     """
     python_batches(docs.sparkSession)
     rows = materialize(docs.withColumn("__near_row", F.monotonically_increasing_id()), "near-rows")

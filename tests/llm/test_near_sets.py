@@ -58,6 +58,40 @@ def test_one_group_of_most_rows(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted([1, *range(0, 1500, 10)])
 
 
+def family(n, own, shared, seed=11):
+    """Texts of ``own`` words each beside ``shared`` ones that all have, so that shared - 4 of some shared + own shingles are common to all."""
+    rng = random.Random(seed)
+    passage = words(rng, shared)
+    return [(i, " ".join([*words(rng, own), *passage])) for i in range(n)]
+
+
+def test_a_passage_that_most_of_every_text_is_makes_no_lists(spark):
+    """85 of 100 shingles in common is a similarity of 0.74: none may be linked, and no two texts may meet."""
+    docs = family(4000, 15, 89)
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in docs[:2]]
+    assert (len(sets[0] & sets[1]), len(sets[0])) == (85, 100)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    late = setjoin.common_tokens(df, 5, T, setjoin.CROWD, 84_000)
+    assert setjoin.shared_lists(setjoin.postings(df, 5, T, late)).count() == 0
+    assert simhash.drop_near_duplicates(df).count() == 4000
+
+
+def test_a_passage_that_makes_all_texts_similar(spark):
+    df = spark.createDataFrame(family(600, 6, 89) + [(1000 + i, t) for i, t in family(300, 40, 89, 12)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == [0, *range(1000, 1300)]
+
+
+def test_sizes_between_which_similar_sets_lie(spark):
+    """Sets of many sizes around a common core, against brute force: the smaller set of a pair is early."""
+    rng = random.Random(21)
+    core = words(rng, 70)
+    texts = [[*words(rng, rng.randrange(12)), *core[rng.randrange(12) :], *words(rng, rng.randrange(12))] for _ in range(150)]
+    docs = [(i, " ".join(t), "s") for i, t in enumerate(texts)]
+    for crowd in (2, 256):
+        got = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string, source string"), crowd=crowd)
+        assert sorted(r["doc_id"] for r in got.collect()) == [d[0] for d in first_of_near_copies(docs)]
+
+
 def test_fingerprints_never_discard_what_is_similar():
     rng = np.random.default_rng(4)
     for n in (1, 5, 60, 500, 5000):
@@ -71,7 +105,9 @@ def test_fingerprints_never_discard_what_is_similar():
                 assert setjoin.distances(*f) <= setjoin._limit(len(a), len(b), T)
                 whole = setjoin.set_fingerprint(a, 1024 * 4 ** (tier + 1))
                 assert (np.bitwise_xor.reduce(whole.reshape(4, -1)) == f[0]).all()
-                assert len(np.intersect1d(a[: setjoin.prefix_length(len(a), T)], b[: setjoin.prefix_length(len(b), T)]))
+                small, large = sorted((a, b), key=len)
+                first = np.intersect1d(a, b)[0]
+                assert first in large[: setjoin.prefix_length(len(large), T)] and first in small[: setjoin.early_length(len(small), T)]
 
 
 def test_shingles_and_pieces(monkeypatch):
