@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.ml import tokens
 
-SENTENCE = r"(?<=[.!?])\s+|\n+"
+BLANKS = " \t\n\f\r"
+SENTENCE = r"(?<=[.!?])[ \t\n\f\r]+|\n+"
+#: Places of sentences' words that meet at once.
+PAIRS = 1 << 21
 
 
 def summary_by_frequency(rows: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
@@ -30,27 +33,64 @@ def summary_by_frequency(rows: DataFrame, key: str, text: str, k: int = 5) -> Da
     return picked.select(key, F.array_join(F.transform(text_order, lambda x: x["sentence"]), "\n").alias("summary"))
 
 
-def lexrank(text: str | None, k: int = 5, rounds: int = 30, damping: float = 0.85) -> str:
-    """The ``k`` sentences that the others resemble most, by a random walk over TF-IDF cosines, in text order."""
+def sentence_graph(bags: list[list[str]], threshold: float) -> np.ndarray:
+    """Packed rows of a graph: which sentences have a cosine above ``threshold`` with which.
+
+    A word weighs its count by that of the sentence's most frequent word, times ln(n / (1 + the
+    number of sentences with it)). Cosines come from lists of the sentences of each word, for as
+    many sentences at once as meet in PAIRS places.
+    """
+    n = len(bags)
+    vocabulary: dict[str, int] = {}
+    entries = [(i, vocabulary.setdefault(w, len(vocabulary)), c) for i, bag in enumerate(bags) for w, c in Counter(bag).items()]
+    row, word, count = (np.array(x) for x in zip(*entries, strict=True)) if entries else (np.zeros(0, np.int64),) * 3
+    most = np.ones(n)
+    np.maximum.at(most, row, count)
+    held = np.bincount(word, minlength=len(vocabulary))
+    weight = count / most[row] * np.log(n / (1 + held))[word]
+    norm = np.sqrt(np.bincount(row, weight**2, minlength=n))
+    by_word = np.argsort(word, kind="stable")
+    first = np.cumsum(held) - held
+    met = np.cumsum(np.bincount(row, held[word], minlength=n)) if len(row) else np.zeros(n)  # entries are in the order of sentences
+    out, at = [], 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + PAIRS, side="right")))
+        end = min(end, n, at + max(1, PAIRS // n))
+        own = np.flatnonzero((row >= at) & (row < end))
+        times = held[word[own]]
+        place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        other = by_word[np.repeat(first[word[own]], times) + place]
+        cell = (np.repeat(row[own], times) - at) * n + row[other]
+        dot = np.bincount(cell, np.repeat(weight[own], times) * weight[other], minlength=(end - at) * n).reshape(end - at, n)
+        both = norm[at:end, None] * norm[None, :]
+        out.append(np.packbits((both > 0) & (dot > threshold * np.where(both > 0, both, 1)), axis=1))
+        at = end
+    return np.concatenate(out)
+
+
+def lexrank(text: str | None, k: int = 5, threshold: float = 0.1, epsilon: float = 0.1) -> str:
+    """The ``k`` sentences that a random walk over similar sentences meets most, in text order.
+
+    Every sentence is joined with those whose cosine with it exceeds ``threshold``; the walk begins
+    anywhere and goes on until a step moves the ranks by ``epsilon`` at most. Of ranks equal to nine
+    places the earlier sentence comes first. A text of no more than ``k`` sentences is its summary.
+    """
     import re
 
-    sentences = [s.strip() for s in re.split(SENTENCE, text or "") if s.strip()]
-    if len(sentences) <= k:
+    sentences = [x for x in (s.strip(BLANKS) for s in re.split(SENTENCE, text or "")) if x]
+    n = len(sentences)
+    if n <= k:
         return "\n".join(sentences)
-    bags = [re.findall(r"\w+", s.lower()) for s in sentences]
-    vocabulary: dict[str, int] = {}
-    pairs = [(i, vocabulary.setdefault(w, len(vocabulary)), n) for i, bag in enumerate(bags) for w, n in Counter(bag).items()]
-    row, word, tf = (np.array(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 3
-    n = len(bags)
-    weight = tf * (np.log((1 + n) / (1 + np.bincount(word, minlength=len(vocabulary))))[word] + 1)
-    weight = weight / np.maximum(np.sqrt(np.bincount(row, weight**2, minlength=n)), 1e-12)[row]
-    # similarities are products of sentences' rows; a step of the walk goes by way of the words
-    through = lambda x: np.bincount(row, weight * np.bincount(word, weight * x[row], minlength=len(vocabulary))[word], minlength=n)
-    total = np.maximum(through(np.ones(n)), 1e-12)
-    rank = np.full(n, 1 / n)
-    for _ in range(rounds):
-        rank = (1 - damping) / n + damping * through(rank / total)
-    best = sorted(sorted(range(n), key=lambda i: (-round(rank[i], 12), i))[:k])
+    graph = sentence_graph([re.findall(r"\w+", s.lower()) for s in sentences], threshold)
+    block = max(1, PAIRS // n)
+    rows = [np.unpackbits(graph[i : i + block], axis=1, count=n) for i in range(0, n, block)] if n * n <= 8 * PAIRS else None
+    each = lambda: rows or (np.unpackbits(graph[i : i + block], axis=1, count=n) for i in range(0, n, block))
+    degree = np.maximum(np.concatenate([x.sum(axis=1, dtype=np.int64) for x in each()]), 1)
+    rank, moved = np.full(n, 1 / n), np.inf
+    while moved > epsilon:
+        then = np.concatenate([x @ (rank / degree) for x in each()])
+        rank, moved = then, float(np.linalg.norm(then - rank))
+    best = sorted(sorted(range(n), key=lambda i: (-round(rank[i], 9), i))[:k])
     return "\n".join(sentences[i] for i in best)
 
 

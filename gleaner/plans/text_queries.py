@@ -177,8 +177,28 @@ def summary_topk(spark, sf):
     return summary.summary_by_frequency(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("summary_lexrank")
+LEXRANK_SQL = r"""
+    WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\f\r]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(12) || chr(13))), lambda x: x <> '') AS a FROM documents),
+    e AS (SELECT doc_id, len(a) AS n, unnest(a) AS sentence, generate_subscripts(a, 1) AS pos FROM s),
+    t AS (SELECT doc_id, n, pos, word, count(*) AS c FROM (SELECT doc_id, n, pos, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}_]+')) AS word FROM e WHERE n > 5) GROUP BY ALL),
+    w AS (SELECT doc_id, pos, word, c / max(c) OVER (PARTITION BY doc_id, pos) * ln(n / (1.0 + count(*) OVER (PARTITION BY doc_id, word))) AS w FROM t),
+    m AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id, pos),
+    p AS (SELECT x.doc_id, x.pos AS i, y.pos AS j, sum(x.w * y.w) AS dot FROM w x JOIN w y USING (doc_id, word) GROUP BY ALL),
+    g AS (SELECT p.doc_id, i, j FROM p JOIN m a ON a.doc_id = p.doc_id AND a.pos = i JOIN m b ON b.doc_id = p.doc_id AND b.pos = j WHERE a.norm * b.norm > 0 AND dot > 0.1 * a.norm * b.norm),
+    v AS (SELECT e.doc_id, e.pos, e.n, coalesce(list(j ORDER BY j) FILTER (WHERE j IS NOT NULL), []) AS near FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.i = e.pos WHERE e.n > 5 GROUP BY ALL),
+    h AS (SELECT doc_id, n, list(near ORDER BY pos) AS near, list(greatest(len(near), 1) ORDER BY pos) AS degree FROM v GROUP BY doc_id, n),
+    r AS (SELECT doc_id, 0 AS k, list_transform(range(0, n), lambda x: 1.0::DOUBLE / n) AS p, 1.0::DOUBLE AS moved FROM h
+          UNION ALL SELECT doc_id, k, q, sqrt(list_sum(list_transform(list_zip(p, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) FROM (
+            SELECT r.doc_id, k + 1 AS k, p, list_transform(near, lambda a: coalesce(list_sum(list_transform(a, lambda i: p[i] / degree[i])), 0.0)) AS q FROM r JOIN h USING (doc_id) WHERE moved > 0.1)),
+    z AS (SELECT doc_id, arg_max(p, k) AS p FROM r GROUP BY doc_id),
+    b AS (SELECT e.doc_id, e.pos, sentence FROM e LEFT JOIN z USING (doc_id) QUALIFY row_number() OVER (PARTITION BY e.doc_id ORDER BY round(p[e.pos], 9) DESC, e.pos) <= 5)
+    SELECT s.doc_id, coalesce(string_agg(b.sentence, chr(10) ORDER BY b.pos), '') AS summary FROM s LEFT JOIN b USING (doc_id) GROUP BY s.doc_id
+    """
+
+
+@query("summary_lexrank", LEXRANK_SQL)
 def summary_lexrank(spark, sf):
+    """Sentences by a random walk over a graph of similar ones; the twin walks it in a recursive query."""
     return summary.summarize(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "summary")
 
 
