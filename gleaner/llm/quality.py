@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACES, let, words_of
+from gleaner.llm.common import SPACES, discard, let, materialize, words_of
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -71,8 +73,11 @@ FACTS = {
 }
 
 
-#: Nanoseconds a code point that each fact takes, measured on prose; "words" is the split that facts of words share.
-WORK = {"words": 36.0, "n_words": 0.1, "word_chars": 1.0, "n_symbols": 25.0, "n_lines": 15.0, "n_dup_lines": 16.0, "n_repeat_words": 86.0}
+#: Seconds that no measured cost falls below, so that rules on facts already known still have one.
+LEAST_COST = 1e-4
+#: Times each fact is computed on the sample; the fastest counts.
+TRIES = 2
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -100,35 +105,63 @@ def lazy_facts(text: Column, words: Column) -> dict[str, Column]:
     return {name: fact(text, words) for name, fact in FACTS.items()}
 
 
-def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = 2000, text: str = "text") -> list[Rule]:
-    """Rules by rejections per cost, from a sample of about ``sample_rows`` rows taken in one job.
+def measured_costs(sample: DataFrame, names, tries: int = TRIES) -> dict[str, float]:
+    """Seconds that each fact takes on the rows of ``sample`` (text), beyond what it builds on.
 
-    The job counts rows and code points for each set of rules that reject a row, so that a
-    rule's selectivity and cost are those on the rows that the rules before it let through; its
-    cost is the work on facts that no rule before it needs. A rule that rejects nothing counts
-    as rejecting half a row, so cheap ones still come first. The sample only sets the order in
-    which a row's rules are tried, never the verdict; the same sample gives the same order.
+    Every fact is computed in a task of its own, timed, less the time of a task that only reads
+    the texts; "words" is the split that facts of words share, and comes off them.
+    """
+    one, split = sample.coalesce(1), words_of(F.col("text"))
+    facts = {"": F.length("text"), "words": F.size(split)} | {n: FACTS[n](F.col("text"), split) for n in names if n in FACTS}
+
+    def seconds(fact: Column) -> float:
+        took = []
+        for _ in range(tries):
+            began = time.perf_counter()
+            one.agg(F.sum(fact)).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    took = {n: seconds(f) for n, f in facts.items()}
+    words = max(took["words"] - took[""], LEAST_COST)
+    of_words = {"n_words", "word_chars", "n_repeat_words"}
+    return {"words": words} | {n: max(took[n] - took[""] - (words if n in of_words else 0), LEAST_COST) for n in facts if n not in ("", "words")}
+
+
+def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = 2000, text: str = "text", costs: dict[str, float] | None = None) -> list[Rule]:
+    """Rules by rejections per cost, both estimated on a sample of about ``sample_rows`` rows.
+
+    One job counts rows and code points for each set of rules that reject a row, so that a
+    rule's selectivity and cost are those on the rows that the rules before it let through. Its
+    cost is the measured time of the facts that no rule before it needs (or ``costs``, seconds by
+    fact). A rule that rejects nothing counts as rejecting half a row, so cheap ones still come
+    first. The sample and the clock only set the order in which a row's rules are tried, never
+    the verdict; the order is settled once, before the run, and logged.
     """
     n = docs.count()
     if not n:
         return list(rules)
-    rows = docs.select(F.col(text).alias("text")).sample(False, min(1.0, sample_rows / n), seed=7)
-    rows = rows.select("text", words_of(F.col("text")).alias("words"))
+    rows = materialize(docs.select(F.col(text).cast("string").alias("text")).sample(False, min(1.0, sample_rows / n), seed=7), "quality-sample")
+    costs = costs or measured_costs(rows, {f for r in rules for f in r.needs})
+    split = rows.select("text", words_of(F.col("text")).alias("words"))
     facts = lazy_facts(F.col("text"), F.col("words"))
-    seen = rows.select(F.array(*[r.rejects(facts) for r in rules]).alias("by"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    seen = split.select(F.array(*[r.rejects(facts) for r in rules]).alias("by"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
     seen = seen.groupBy("by").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # a row a set of rules
+    discard(rows)
     left, known, order = [(r["by"], r["n"], r["size"]) for r in seen], set(), []
+    whole = max(sum(size for _, _, size in left), 1)
 
     def gain(k):
         hit = sum(n for by, n, _ in left if by[k]) or 0.5
-        work = sum(WORK[f] for f in rules[k].needs if f not in known) + 0.1
-        return hit / (work * max(sum(size for _, _, size in left), 1))
+        work = sum(costs[f] for f in rules[k].needs if f not in known) + LEAST_COST
+        return hit / (work * max(sum(size for _, _, size in left), 1) / whole)
 
     while len(order) < len(rules):
         best = max((k for k in range(len(rules)) if k not in order), key=gain)
         order.append(best)
         known |= set(rules[best].needs)
         left = [x for x in left if not x[0][best]]
+    log.info("rules in order: %s; seconds on the sample: %s", ", ".join(rules[k].name for k in order), {f: round(c, 4) for f, c in costs.items()})
     return [rules[k] for k in order]
 
 
