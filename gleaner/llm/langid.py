@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import python_batches
+from gleaner.llm.common import discard, materialize, python_batches
 
 #: Bounds of the training sample: documents and characters of a language.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 40_000
@@ -213,15 +213,17 @@ class CrossParser:
 def learn(labelled: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """A sample text of every language, from rows (doc_id, text, lang) with a language.
 
-    The rows are the ``docs_per_lang`` with the smallest hash of the doc_id in each language;
-    texts are joined up to ``chars`` characters. Only ids and languages are sorted for this.
+    The rows are the ``docs_per_lang`` with the smallest hashes of doc_id and text in each language,
+    repeated ones once; texts are joined up to ``chars`` characters. Only hashes and languages are
+    sorted for this.
     """
-    slim = labelled.filter("lang is not null and text is not null").withColumn("_h", F.xxhash64("doc_id"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    slim = labelled.filter("lang is not null and text is not null").select("lang", "text", F.struct(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("x")).alias("_h"))
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("_h"))
     ranked = slim.select("lang", "_h").withColumn("_k", place).filter(F.col("_k") <= docs_per_lang)
-    bounds = ranked.groupBy("lang").agg(F.max("_h").alias("_top"))
-    within = slim.join(F.broadcast(bounds), "lang").filter("_h <= _top")  # a row a language
+    bounds = materialize(ranked.groupBy("lang").agg(F.max("_h").alias("_top")), "lang-bounds")  # a row a language
+    within = slim.join(bounds, "lang").filter(F.col("_h") <= F.col("_top"))
     rows = within.select("lang", "_h", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "_h"]).collect()
+    discard(bounds)
     out: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["_h"])):
         out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[: chars + 1]
