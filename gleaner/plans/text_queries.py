@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text
@@ -284,6 +285,28 @@ def lr_classifier(spark, sf):
     return evaluate.accuracy_by_class(got, "label", F.col("predicted") == F.col("label"))
 
 
+def _by_network(spark, sf, kind: str, epochs: int) -> DataFrame:
+    """Train a network on one part of the documents in barrier tasks; its accuracy by language on the other."""
+    from gleaner.operators import network
+
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("description"), F.col("lang").alias("label")).where("lang is not null")
+    rows = rows.withColumn("part", corpus.hash_split(F.col("seq"), [("train", 0.8), ("test", 0.2)]))
+    tasks = max(1, min(4, spark.sparkContext.defaultParallelism))
+    model = network.train_network(rows.where("part = 'train'"), kind=kind, plan=network.Training(epochs=epochs, batch=64, rate=0.01, tasks=tasks), length=100, filters=32)
+    got = network.predict_network(model, rows.where("part = 'test'").drop("part"))
+    return evaluate.accuracy_by_class(got, "label", F.col("predicted") == F.col("label"))
+
+
+@query("cnn_classifier")
+def cnn_classifier(spark, sf):
+    return _by_network(spark, sf, "convolution", 3)
+
+
+@query("pooling_classifier")
+def pooling_classifier(spark, sf):
+    return _by_network(spark, sf, "pooling", 6)
+
+
 @query("ga_subset")
 def ga_subset(spark, sf):
     """Search a training subset of the labelled documents by the accuracy that a classifier reaches on it."""
