@@ -7,10 +7,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.corpus import kfold
+from gleaner.operators.numbering import materialize
 
 VOCABULARY, SEQUENCE = 2000, 1500
 TOKEN = r"[^a-z0-9']+"
@@ -46,13 +47,17 @@ def sequences(rows: DataFrame, text: str, words: list[str], length: int = SEQUEN
 
 
 def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, weight): L2-normed term counts times ln((1+n)/(1+df))+1, as relations."""
+    """(key, word, weight): L2-normed term counts times ln((1+n)/(1+df))+1, as relations.
+
+    The words' document counts are written, so that the join knows their size and spares the
+    terms a shuffle by word, in which words of all texts would be hot, where it is small.
+    """
     n = rows.select(key).distinct().count()
-    terms = rows.select(key, F.explode(tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
-    df = terms.groupBy("word").agg(F.count("*").alias("df"))
-    raw = terms.join(df, "word").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "word", (F.col("w") / F.col("norm")).alias("weight"))
+    terms = materialize(rows.select(key, F.explode(tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf")), "terms")
+    df = materialize(terms.groupBy("word").agg(F.count("*").alias("df")), "term-counts")
+    raw = terms.join(df, "word").select(key, "word", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # the words of a text
+    return raw.select(key, "word", (F.col("w") / norm).alias("weight"))
 
 
 def _features(text: str, size: int) -> list:
