@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.numbering import discard, fresh_path, materialize, ordered, prefix_sums, shared_dir
 
-__all__ = ["SPACES", "discard", "fresh_path", "let", "marked", "materialize", "ordered", "prefix_sums", "python_batches", "shared_dir", "slot", "slot_map", "words_of"]
+__all__ = ["SPACES", "discard", "fresh_path", "let", "marked", "materialize", "ordered", "prefix_sums", "python_batches", "shared_dir", "slot", "slot_map", "unused", "words_of"]
 
 SPACES = " \t\n\x0b\f\r"
 #: Bytes that Python workers get at once, the same for all operators.
@@ -59,6 +59,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores before it as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for null."""
     flat = F.coalesce(text, F.lit(""))

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import discard, materialize, python_batches
+from gleaner.llm.common import discard, materialize, ordered, prefix_sums, python_batches, unused
 
 WINDOW = 13
-#: Bytes of benchmark text in an automaton, which takes about 150 times as many; larger benchmarks take several passes.
-AUTOMATON_BYTES = 1 << 20
+#: Bytes of benchmark text in an automaton, which takes about 105 times as many; larger benchmarks take several passes.
+AUTOMATON_BYTES = 4 << 20
 
 _UPPER = bytes(range(0x41, 0x5B))
 #: ASCII letters lower-cased; every other ASCII byte but digits a blank. Offsets stay as they are.
@@ -105,19 +105,24 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def benchmark_parts(benchmark: DataFrame, width: int = WINDOW, limit: int = AUTOMATON_BYTES) -> list[DataFrame]:
-    """The benchmark as (key, text) frames of about ``limit`` bytes or fewer.
+    """The benchmark as (key, text) frames of ``limit`` bytes or little more.
 
     Items with very many words come in runs of them that overlap by a word less than a window,
-    so each window is in one.
+    so each window is in one. Repeated runs count once. Parts are cut by running sizes, so none
+    exceeds ``limit`` by more than a run, however the sizes are spread.
     """
     words = F.regexp_extract_all("text", F.lit(f"({_WORD})"), 1)
     items = benchmark.select(F.col("item_id").cast("string").alias("key"), words.alias("w")).filter(F.size("w") > 0)
     size = max(1, limit // 64)
     at = F.sequence(F.lit(0), F.greatest(F.floor((F.size("w") - width) / size), F.lit(0)).cast("int"))
-    runs = items.select("key", "w", F.explode(at).alias("r")).select("key", F.array_join(F.slice("w", F.col("r") * size + 1, F.lit(size + width - 1)), " ").alias("text"))
+    runs = items.select("key", "w", F.explode(at).alias("r")).select("key", F.array_join(F.slice("w", F.col("r") * size + 1, F.lit(size + width - 1)), " ").alias("text")).distinct()
     total = runs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = -(-total // limit) or 1
-    return [runs.filter(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [runs]
+    if total <= limit:
+        return [runs]
+    placed = prefix_sums(ordered(runs, [F.col("key"), F.col("text")], "decontam-items"), {"_from": F.octet_length("text").cast("long")})
+    placed = materialize(placed.select("key", "text", F.floor(F.col("_from") / limit).cast("int").alias("part")), "decontam-parts")
+    n = placed.agg(F.max("part").alias("n")).first()["n"] + 1
+    return [placed.where(F.col("part") == k).select("key", "text") for k in range(n)]
 
 
 def _broadcast(part: DataFrame):
@@ -195,7 +200,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WIN
 
     Null texts have no words and are clean; items without words match nothing; words of
     items without an id are hit like any other, but such items aren't among those found;
-    repeated rows and items count as they stand; an empty benchmark leaves all clean.
+    repeated rows count as they stand, repeated items once; ids of documents are whole numbers; an empty benchmark leaves all clean.
     """
     rows = find_passages(docs, benchmark, width, limit).withColumn("n_hit", hit_words(F.col("spans")))
     return rows.select(
@@ -217,12 +222,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     python_batches(docs.sparkSession)
     parts = benchmark_parts(benchmark, width, limit)
     if len(parts) > 1:
-        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
-        slim = rows.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string"), F.col("__row").alias("row_id"))
+        row = unused("row", docs.columns)
+        rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-docs")
+        slim = rows.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string"), F.col(row).alias("row_id"))
         found = [materialize(_found(slim, part, width, True), "decontam-found") for part in parts]
         found = reduce(DataFrame.unionAll, found).groupBy("row_id").agg(F.any_value("n_words").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"))
-        dirty = found.filter(20 * hit_words(F.col("spans")) >= F.col("n")).select(F.col("row_id").alias("__row"))
-        return rows.join(dirty, "__row", "left_anti").select(*docs.columns)
+        dirty = found.filter(20 * hit_words(F.col("spans")) >= F.col("n")).select(F.col("row_id").alias(row))
+        return rows.join(dirty, row, "left_anti").select(*docs.columns)
     shared, place = _broadcast(parts[0]), docs.columns.index("text")
 
     def clean(batches):

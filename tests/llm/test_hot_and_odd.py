@@ -59,3 +59,19 @@ Scanner(items)
 print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 """
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 300
+
+
+def test_parts_of_a_benchmark_are_even_and_repeats_count_once(spark):
+    items = spark.createDataFrame([("same", "alpha beta gamma delta " * 5)] * 300 + [(str(i), f"word{i} " * 20) for i in range(200)], "item_id string, text string")
+    parts = [[len(r["text"]) for r in p.collect()] for p in decontam.benchmark_parts(items, limit=4096)]
+    longest = max(map(max, parts))
+    assert len(parts) > 3 and sum(map(len, parts)) == 201 and all(sum(p) <= 4096 + longest for p in parts)
+    assert all(sum(p) > 4096 - longest for p in parts[:-1])
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y"), (2, "clean words", "z", "w")], "doc_id long, text string, row string, _row string")
+    items = spark.createDataFrame([("i", "a b c"), ("j", "other things entirely")], "item_id string, text string")
+    for limit in (1 << 20, 4):
+        kept = decontam.drop_contaminated(docs, items, limit=limit)
+        assert [tuple(r) for r in kept.collect()] == [(2, "clean words", "z", "w")] and kept.columns == docs.columns
