@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text
 from gleaner.operators import corpus, dedupe, evaluate, history, ml, publish, summary
+from gleaner.operators.numbering import materialize
 from gleaner.plans.catalog import query
 from gleaner.session import table
 
@@ -318,6 +319,48 @@ def ga_subset(spark, sf):
     return spark.createDataFrame([(int(keys[i]), float(score)) for i in picks], "seq long, fitness double")
 
 
+_FITNESS_SQL = f"""
+    WITH {_LABELLED.split(", m AS")[0]}, u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY seq ORDER BY label, description NULLS FIRST) = 1),
+    w AS (SELECT seq, word, count(*) AS tf FROM (SELECT seq, unnest(list_filter(regexp_split_to_array(lower(description), '[^a-z0-9'']+'), lambda w: w <> '')) AS word FROM u) GROUP BY ALL),
+    v AS (SELECT word, sum(tf) AS tf, count(*) AS df FROM w GROUP BY word),
+    x AS (SELECT seq, word, w.tf * (ln((1 + (SELECT count(*) FROM u)) / (1.0 + df)) + 1) AS x FROM w JOIN v USING (word)),
+    f AS (SELECT * FROM (SELECT seq, word, x / sqrt(sum(x * x) OVER (PARTITION BY seq)) AS x FROM x) WHERE word IN (SELECT word FROM v ORDER BY tf DESC, word LIMIT 2000)),
+    g AS (SELECT i AS individual, seq, label FROM u, range(8) t(i) WHERE i = 0 OR CAST('0x' || substr(md5(seq || ':' || i), 1, 8) AS BIGINT) % 8 <= i),
+    k AS (SELECT individual, least(5, min(n)) AS k, min(label) AS first FROM (SELECT individual, label, count(*) AS n FROM g GROUP BY ALL) GROUP BY individual HAVING min(n) > 1 AND count(*) > 1),
+    o AS (SELECT individual, first, k, seq, label, (row_number() OVER (PARTITION BY individual, label ORDER BY seq) - 1) % k AS fold FROM g JOIN k USING (individual)),
+    h AS (SELECT DISTINCT individual, fold AS held FROM o),
+    n AS (SELECT individual, held, label, count(*) AS n FROM o JOIN h USING (individual) WHERE fold <> held GROUP BY ALL),
+    s AS (SELECT individual, fold, label, word, sum(x) AS s FROM o JOIN f USING (seq) GROUP BY ALL),
+    c AS (SELECT individual, held, label, word, sum(s) / any_value(n) AS c FROM s JOIN n USING (individual, label) WHERE fold <> held GROUP BY ALL),
+    p AS (SELECT o.individual, o.seq, c.label AS guess, round(sum(x * c), 9) AS score FROM o JOIN f USING (seq) JOIN c ON c.individual = o.individual AND held = fold AND c.word = f.word GROUP BY ALL),
+    b AS (SELECT * FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY individual, seq ORDER BY score DESC, guess) = 1),
+    a AS (SELECT individual, fold, avg(CAST(coalesce(guess, first) = label AS INTEGER)) AS a FROM o LEFT JOIN b USING (individual, seq) GROUP BY ALL)
+    SELECT CAST(individual AS INTEGER) AS individual, n_rows, coalesce(n_folds, 0) AS n_folds, round(coalesce(fitness, 0), 6) AS fitness
+    FROM (SELECT individual, count(*) AS n_rows FROM g GROUP BY ALL) LEFT JOIN (SELECT individual, count(*) AS n_folds, avg(a) AS fitness FROM a GROUP BY ALL) USING (individual)
+    """
+
+
+@query("subset_fitness", _FITNESS_SQL)
+def subset_fitness(spark, sf):
+    """Fitness of eight training subsets of the labelled documents, the first of them all: guesses by fold as a table, their accuracy as an aggregate."""
+    from gleaner.operators import subsets
+
+    rows = materialize(subsets.pool_rows(_labelled(spark, sf)), "subset-pool")
+    code = F.conv(F.substring(F.md5(F.concat(F.col("seq").cast("string"), F.lit(":"), F.col("individual").cast("string"))), 1, 8), 16, 10).cast("long")
+    genes = rows.select("seq", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("individual")).where((F.col("individual") == 0) | (code % 8 <= F.col("individual")))
+    terms = materialize(subsets.pool_terms(rows), "subset-terms")
+    got = subsets.subset_fitness(genes, subsets.fold_guesses(genes, rows, terms))
+    return got.select("individual", "n_rows", "n_folds", F.round("fitness", 6).alias("fitness"))
+
+
+@query("subset_search")
+def subset_search(spark, sf):
+    """A training subset of the labelled documents by a genetic search over tables."""
+    from gleaner.operators import subsets
+
+    return subsets.search_subset(spark, _labelled(spark, sf), population=16, generations=4)
+
+
 @query("cross_accuracy")
 def cross_accuracy(spark, sf):
     """Mean accuracy over stratified folds of the labelled documents, by language."""
