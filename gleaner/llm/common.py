@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.numbering import discard, fresh_path, materialize, ordered, prefix_sums, shared_dir
+from gleaner.session import BATCH_BYTES, python_batches
 
-__all__ = ["SPACES", "discard", "fresh_path", "let", "marked", "materialize", "ordered", "prefix_sums", "python_batches", "shared_dir", "slot", "slot_map", "unused", "words_of"]
+__all__ = ["BATCH_BYTES", "SPACES", "discard", "fresh_path", "let", "marked", "materialize", "ordered", "prefix_sums", "python_batches", "shared_dir", "slot", "slot_map", "unused", "words_of"]
 
 SPACES = " \t\n\x0b\f\r"
-#: Bytes that Python workers get at once, the same for all operators.
-BATCH_BYTES = 4 << 20
 #: Bits of a map of values that have a partner.
 MAP_BITS = 1 << 23
 
 
-def python_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_BYTES, or one row, so that long texts don't pile up in a Python worker.
-
-    Also lets Python workers find this package where the driver found it, beside what was
-    shipped with the application.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-
-
 def slot(column: str) -> Column:
     """The bit of a ``slot_map`` that a value has."""
     return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))

@@ -22,8 +22,9 @@ def _asof():
 def stored_description(spark, sf):
     """Listings known before keep their description, new ones get a summary of the cleaned one."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    short = summary.summary_by_frequency(docs.where("doc_id % 2 = 1"), "doc_id", "text")
-    return docs.join(short, "doc_id", "left").select("doc_id", summary.as_description(F.col("doc_id") % 2 == 0, F.col("text"), F.col("summary")).alias("description"))
+    known = F.col("doc_id") % 2 == 0
+    docs = docs.withColumn("summary", summary.frequency_summary(F.when(known, None).otherwise(F.col("text"))))
+    return docs.select("doc_id", summary.as_description(known, F.col("text"), F.col("summary")).alias("description"))
 
 
 @query(
