@@ -9,19 +9,24 @@ from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
+#: Bytes after which a task begins a new part, so that a part can be read as one value.
+PART_BYTES = 4 << 20
+
+
 @dataclass
 class Part(WriterCommitMessage):
+    """The files of a task, in order."""
+
     task: int
-    file: str
-    rows: int
+    files: list[str]
 
 
 class JsonDocument(DataSource):
     """Rows (value: a JSON value) become the elements of an array, in the order of partitions and rows.
 
     Options: ``path``, ``head`` (the document up to the array's first element) and ``tail`` (what
-    follows the last). The folder's files, by name, are the document: head, a part a task with an
-    element a line, commas between parts, tail. Tasks write under names of their own into a folder
+    follows the last). The folder's files, by name, are the document: head, parts of about PART_BYTES
+    (one or more a task) with an element a line, commas between parts, tail. Tasks write under names of their own into a folder
     beside the target; only the driver's commit names the parts of those that succeeded and swaps
     the folders, so a failed job leaves the old document.
     """
@@ -47,18 +52,26 @@ class DocumentWriter(DataSourceWriter):
 
         context = TaskContext.get()
         system, folder = fs.FileSystem.from_uri(self.staging)
-        file, n = f"{folder}/task-{context.partitionId()}-{context.taskAttemptId()}", 0
-        out = None
+        name, files = f"{folder}/task-{context.partitionId()}-{context.taskAttemptId()}", []
+        out, size = None, 0
         for row in rows:
+            if size >= PART_BYTES:
+                out.write(b"\n")
+                out.close()
+                out = None
+            value = row["value"].encode()
             if out is None:
                 system.create_dir(folder, recursive=True)
-                out = system.open_output_stream(file)
-            out.write((",\n" if n else "").encode() + row["value"].encode())
-            n += 1
+                files.append(f"{name}-{len(files)}")
+                out, size = system.open_output_stream(files[-1]), 0
+                out.write(value)
+            else:
+                out.write(b",\n" + value)
+            size += len(value)
         if out is not None:
             out.write(b"\n")
             out.close()
-        return Part(context.partitionId(), file, n)
+        return Part(context.partitionId(), files)
 
     def commit(self, messages: list[Part | None]) -> None:
         from pyarrow import fs
@@ -71,10 +84,10 @@ class DocumentWriter(DataSourceWriter):
             with system.open_output_stream(f"{folder}/{name}") as f:
                 f.write(text.encode())
 
-        parts = sorted((m for m in messages if m and m.rows), key=lambda m: m.task)
+        parts = [file for m in sorted((m for m in messages if m), key=lambda m: m.task) for file in m.files]
         put("part-000000-0", f"{self.head}\n")
         for i, part in enumerate(parts, 1):
-            system.move(part.file, f"{folder}/part-{i:06d}-1")
+            system.move(part, f"{folder}/part-{i:06d}-1")
             if i < len(parts):
                 put(f"part-{i:06d}-2", ",\n")
         put(f"part-{len(parts) + 1:06d}-9", f"{self.tail}\n")

@@ -16,7 +16,7 @@ from gleaner.sources import schemas
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """The listings of a feed document, with ``seq`` their place in it.
 
-    A document in parts is read part by part, each its lines; any other one is a row.
+    A document in parts, which are of bounded size, is read part by part, each its lines; any other one is a row.
     """
     parts = spark.read.option("pathGlobFilter", "part-*-1").text(path, wholetext=True) if is_in_parts(spark, path) else None
     if parts is not None:
@@ -24,7 +24,7 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
         rows = parts.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("_part"), lines.alias("_lines"))
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         starts = rows.select("_part", F.size("_lines").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a part
-        each = rows.join(starts, "_part").select("_first", F.posexplode("_lines").alias("_at", "_line"))
+        each = rows.join(F.broadcast(starts), "_part").select("_first", F.posexplode("_lines").alias("_at", "_line"))
         return each.select((F.col("_first") + F.col("_at")).cast("long").alias("seq"), F.from_json("_line", schemas.EVENT).alias("e")).select("seq", "e.*")
     doc = spark.read.schema(schemas.FEED).option("multiLine", True).json(path)
     return doc.select(F.posexplode("events").alias("seq", "e")).select(F.col("seq").cast("long"), "e.*")
