@@ -57,11 +57,21 @@ def close_names(asked: DataFrame, known: DataFrame, edits: int = EDITS, q: int =
     return pairs.withColumn("distance", F.levenshtein("name", "match", edits)).where(F.col("distance") >= 0)
 
 
-def lookup_tolerant(venues: DataFrame, gazetteer: DataFrame, edits: int = EDITS) -> DataFrame:
+def _as_bytes(name: Column) -> Column:
+    """A name whose characters stand for the bytes of ``name`` in UTF-8; keeps their order."""
+    return F.decode(name.cast("binary"), "ISO-8859-1")
+
+
+def lookup_tolerant(venues: DataFrame, gazetteer: DataFrame, edits: int = EDITS, by_bytes: bool = False) -> DataFrame:
     """(venue, address, distance, lat, long): the address (of gazetteer: address, lat, long) nearest to a venue's name; nulls beyond ``edits``.
 
-    Of equally near ones the first in order. Exact names aren't compared with others.
+    Of equally near ones the first in order. Exact names aren't compared with others. An edit is that
+    of a character or, with ``by_bytes``, of a byte in UTF-8.
     """
+    if by_bytes:
+        got = lookup_tolerant(venues.select(_as_bytes(F.col("venue")).alias("venue")), gazetteer.withColumn("address", _as_bytes(F.col("address"))), edits)
+        back = lambda name: F.decode(F.encode(name, "ISO-8859-1"), "UTF-8").alias(name)
+        return got.select(back("venue"), back("address"), "distance", "lat", "long")
     names = venues.select(F.col("venue").alias("name")).distinct()
     places = gazetteer.groupBy(F.col("address").alias("match")).agg(F.min(F.struct("lat", "long")).alias("at"))
     exact = names.join(places.select(F.col("match").alias("name")), "name", "left_semi")
