@@ -225,18 +225,21 @@ def sink_model(spark, sf):
 
 
 def _saved_pages(spark, rows: DataFrame, path: str) -> None:
-    """Rows (page, url, payload) as a crawler saves them: a folder a page."""
-    rows.repartition("page").sortWithinPartitions("page", "url").write.partitionBy("page").json(path)
+    """Rows (page, url, payload) as a crawler saves them: folders of consecutive pages."""
+    rows.withColumn("pages", F.floor(F.col("page") / paged.FOLDER)).repartition("pages").sortWithinPartitions("pages", "page", "url").write.mode("append").partitionBy("pages").json(path)
+
+
+def _saved_listing(read, path: str):
+    return read.format("listing_pages").option("fetch", "gleaner.sources.paged.foldered_page").option("pages", paged.FOLDER).option("root", path).load()
 
 
 @query("paged_source", "SELECT CAST(o_orderkey // 100 AS INTEGER) AS page, o_orderstatus AS payload, count(*) AS n FROM orders GROUP BY 1, 2")
 def paged_source(spark, sf):
-    """A listing read up to its first empty page, a page a task."""
+    """A listing read up to its first empty page, a folder of pages a task."""
     path, key = fresh_path(spark, "paged"), F.col("o_orderkey")
     _saved_pages(spark, table(spark, sf, "orders").select(F.floor(key / 100).cast("int").alias("page"), key.cast("string").alias("url"), F.col("o_orderstatus").alias("payload")), path)
     spark.dataSource.register(paged.Pages)
-    got = spark.read.format("listing_pages").option("fetch", "gleaner.sources.paged.saved_page").option("root", path).load()
-    return got.groupBy("page", "payload").agg(F.count("*").alias("n"))
+    return _saved_listing(spark.read, path).groupBy("page", "payload").agg(F.count("*").alias("n"))
 
 
 @query("paged_stream", "SELECT c_mktsegment AS payload, count(*) AS n, count(DISTINCT c_custkey // 50) AS pages FROM customer GROUP BY 1")
@@ -247,9 +250,8 @@ def paged_stream(spark, sf):
     half = rows.agg(F.max("page").alias("m")).first()["m"] // 2
     spark.dataSource.register(paged.Pages)
     for part in (rows.where(F.col("page") <= half), rows.where(F.col("page") > half)):
-        part.repartition("page").write.mode("append").partitionBy("page").json(path)
-        pages = spark.readStream.format("listing_pages").option("fetch", "gleaner.sources.paged.saved_page").option("root", path).load()
-        run = pages.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(processingTime="1 second").start()
+        _saved_pages(spark, part, path)
+        run = _saved_listing(spark.readStream, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(processingTime="1 second").start()
         run.processAllAvailable()
         run.stop()
     return spark.read.parquet(out).groupBy("payload").agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages"))
@@ -263,10 +265,10 @@ def search_then_fetch(spark, sf):
     path, key = fresh_path(spark, "details"), F.col("p_partkey")
     items = table(spark, sf, "part").groupBy("p_partkey").agg(F.min("p_brand").alias("payload"))
     _saved_pages(spark, items.select(F.floor(key / 100).cast("int").alias("page"), key.cast("string").alias("url"), F.lit("").alias("payload")), path)
-    items.select(key.cast("string").alias("id"), "payload", (key % 100).cast("int").alias("bucket")).repartition("bucket").write.mode("append").partitionBy("bucket").json(path)
+    items.select(key.cast("string").alias("id"), "payload", F.floor(key / (100 * paged.FOLDER)).alias("ids")).repartition("ids").write.mode("append").partitionBy("ids").json(path)
     spark.dataSource.register(paged.Details)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    options = {"search": "gleaner.sources.paged.saved_page", "detail": "gleaner.sources.paged.saved_details", "root": path}
+    options = {"search": "gleaner.sources.paged.foldered_page", "detail": "gleaner.sources.paged.foldered_details", "pages": str(paged.FOLDER), "root": path}
     details = lambda: spark.read.format("listing_details").options(**options).load()
     found, named = details(), details().where(F.col("id").isin("7", "30", "31", "107"))
     tell = lambda rows, asked: rows.groupBy("payload").agg(F.count("*").alias("n")).select(F.lit(asked).alias("asked"), "payload", "n")

@@ -16,6 +16,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: Ids that one request for details names.
 CHUNK = 20
+#: Pages that one task reads, unless the option ``pages`` says otherwise, and pages or ids in a folder of a saved listing.
+PAGES, FOLDER = 1, 256
+
+
+def _runs(n: int, size: int) -> list[range]:
+    return [range(i, min(i + size, n)) for i in range(0, n, size)]
 
 
 def _function(name: str, root: str | None) -> Callable:
@@ -40,10 +46,10 @@ def first_empty(page: Callable[[int], Iterable], known: int = 0) -> int:
 
 
 class Pages(DataSource):
-    """Pages of a listing, a partition each, up to the first empty one.
+    """Pages of a listing, up to the first empty one.
 
     Options: ``fetch``, the dotted name of a function from a page number (and ``root``, if that is
-    given) to rows (url, payload). Only the end is looked for on the driver, by probing pages; each
+    given) to rows (url, payload); ``pages``, how many consecutive ones make a partition. Only the end is looked for on the driver, by probing pages; each
     page is read by the task that has it. As a stream, the offset is the number of pages read: a
     batch ends before the page that is empty then, and pages that are added later come with later
     batches.
@@ -65,11 +71,13 @@ class Pages(DataSource):
 
 class _OnePage:
     def __init__(self, options):
-        self.fetch, self.root = options["fetch"], options.get("root")
+        self.fetch, self.root, self.pages = options["fetch"], options.get("root"), int(options.get("pages", PAGES))
 
-    def rows(self, page: int):
-        for i, (url, payload) in enumerate(_function(self.fetch, self.root)(page)):
-            yield page, i, url, payload
+    def rows(self, pages: Iterable[int]):
+        fetch = _function(self.fetch, self.root)
+        for page in pages:
+            for i, (url, payload) in enumerate(fetch(page)):
+                yield page, i, url, payload
 
     def end(self, known: int = 0) -> int:
         return first_empty(_function(self.fetch, self.root), known)
@@ -77,7 +85,7 @@ class _OnePage:
 
 class PagesReader(_OnePage, DataSourceReader):
     def partitions(self):
-        return [InputPartition(i) for i in range(self.end())]
+        return [InputPartition(x) for x in _runs(self.end(), self.pages)]
 
     def read(self, partition):
         return self.rows(partition.value) if partition.value is not None else iter(())
@@ -96,7 +104,9 @@ class PagesStream(_OnePage, DataSourceStreamReader):
         return {"page": self.known}
 
     def partitions(self, start: dict, end: dict):
-        return [InputPartition(i) for i in range(start["page"], end["page"])]
+        # a run ends at a multiple of its size, so that no folder of pages is read by two tasks
+        cuts = [start["page"], *range(start["page"] // self.pages * self.pages + self.pages, end["page"], self.pages), end["page"]]
+        return [InputPartition(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
     def read(self, partition):
         return self.rows(partition.value)
@@ -107,9 +117,9 @@ class PagesStream(_OnePage, DataSourceStreamReader):
 
 @dataclass
 class Chunk(InputPartition):
-    """A page of the search, or ids."""
+    """Pages of the search, or ids."""
 
-    page: int | None = None
+    pages: Iterable[int] = ()
     ids: tuple[str, ...] = ()
 
 
@@ -118,8 +128,8 @@ class Details(DataSource):
 
     Options: ``search``, the dotted name of a function from a page number to rows (id, anything), and
     ``detail``, one from a list of at most ``chunk`` ids to rows (id, payload); both get ``root`` too,
-    if it is given. A partition is a page of the search: its task fetches the details of the ids
-    that it finds. Where the query names ids (=, IN), partitions are chunks of those and nothing is
+    if it is given. A partition is a page of the search (or as many as the option ``pages`` says): its
+    task fetches the details of the ids that it finds. Where the query names ids (=, IN), partitions are chunks of those and nothing is
     searched; this needs spark.sql.python.filterPushdown.enabled. Spark plans a loaded source once, so
     load it anew for a query that names other ids.
     """
@@ -138,7 +148,7 @@ class Details(DataSource):
 class DetailsReader(DataSourceReader):
     def __init__(self, options):
         self.search, self.detail, self.root = options["search"], options["detail"], options.get("root")
-        self.chunk = int(options.get("chunk", CHUNK))
+        self.chunk, self.pages = int(options.get("chunk", CHUNK)), int(options.get("pages", PAGES))
         self.ids: list[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
@@ -151,16 +161,15 @@ class DetailsReader(DataSourceReader):
 
     def partitions(self):
         if self.ids is not None:
-            return [Chunk(None, tuple(self.ids[i : i + self.chunk])) for i in range(0, len(self.ids), self.chunk)] or [Chunk()]
-        return [Chunk(page) for page in range(first_empty(_function(self.search, self.root)))] or [Chunk()]
+            return [Chunk((), tuple(self.ids[i : i + self.chunk])) for i in range(0, len(self.ids), self.chunk)] or [Chunk()]
+        return [Chunk(x) for x in _runs(first_empty(_function(self.search, self.root)), self.pages)] or [Chunk()]
 
     def read(self, partition):
-        ids = list(partition.ids)
-        if partition.page is not None:
-            ids = list(dict.fromkeys(row[0] for row in _function(self.search, self.root)(partition.page)))
-        detail = _function(self.detail, self.root)
-        for i in range(0, len(ids), self.chunk):
-            yield from detail(ids[i : i + self.chunk])
+        search, detail = _function(self.search, self.root), _function(self.detail, self.root)
+        lists = [partition.ids] if partition.ids else (list(dict.fromkeys(row[0] for row in search(page))) for page in partition.pages)
+        for ids in lists:
+            for i in range(0, len(ids), self.chunk):
+                yield from detail(list(ids[i : i + self.chunk]))
 
 
 def _lines(folder: str) -> Iterable[str]:
@@ -180,6 +189,36 @@ def saved_page(page: int, root: str) -> list[tuple[str, str]]:
     return [(row["url"], row.get("payload")) for row in map(json.loads, _lines(f"{root}/page={page}"))]
 
 
+#: What the last folder of a kind that was read held, by page or id; a worker reads a run of pages folder by folder.
+_LAST: dict[str, tuple[tuple, dict]] = {}
+
+
+def _folder(folder: str, kind: str, key: str) -> dict:
+    """The rows of a folder's JSON lines by their column ``key``; read anew if its files are others than the last time."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder)
+    found = system.get_file_info(path).type == fs.FileType.Directory
+    state = (folder, *sorted((i.path, i.size, i.mtime_ns) for i in system.get_file_info(fs.FileSelector(path)) if i.base_name.startswith("part-"))) if found else (folder,)
+    if kind not in _LAST or _LAST[kind][0] != state:
+        rows: dict = {}
+        for row in map(json.loads, _lines(folder)):
+            rows.setdefault(row[key], []).append(row)
+        _LAST[kind] = state, rows
+    return _LAST[kind][1]
+
+
+def foldered_page(page: int, root: str) -> list[tuple[str, str]]:
+    """A page of a listing saved as JSON lines (page, url, payload), FOLDER pages to a folder ``root``/pages=N."""
+    return [(row["url"], row.get("payload")) for row in _folder(f"{root}/pages={page // FOLDER}", "pages", "page").get(page, [])]
+
+
+def foldered_details(ids: list[str], root: str) -> list[tuple[str, str]]:
+    """Details saved as JSON lines (id, payload), those of 100 * FOLDER consecutive ids in a folder ``root``/ids=N."""
+    held = lambda x: _folder(f"{root}/ids={int(x) // (100 * FOLDER)}", "ids", "id").get(x, [])
+    return [(row["id"], row["payload"]) for x in sorted(set(ids), key=int) for row in held(x)]
+
+
 def saved_details(ids: list[str], root: str) -> list[tuple[str, str]]:
     """Details saved as JSON lines (id, payload) under ``root``/bucket=B, B the last two digits of the id."""
     out, wanted = [], set(ids)
