@@ -192,9 +192,14 @@ def address_variants(address: Column, city: str, country: str) -> Column:
     """
     for pattern in ADDRESS_CLEANUPS:
         address = F.regexp_replace(address, pattern.replace("{city}", city).replace("{country}", country).replace("{{4}}", "{4}"), "")
-    parts, place = F.split(address, ","), f", {city}, {country}"
-    cut = lambda first, n: F.nullif(F.trim(F.array_join(F.slice(parts, first, F.greatest(n, F.lit(0))), ",")), F.lit(""))
-    rest = cut(2, F.size(parts) - 1)
-    tries = F.array_compact(F.array(address, rest, F.concat(rest, F.lit(place)), F.concat(address, F.lit(place)), cut(1, F.size(parts) - 2)))
-    unnumbered = (F.size(parts) > 1) & ~address.rlike("[0-9]")
-    return F.when(unnumbered, F.flatten(F.transform(tries, lambda v: F.array(v, F.concat(F.lit("1 "), v))))).otherwise(tries)
+    place = f", {city}, {country}"
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def tries(address: Column, parts: Column) -> Column:
+        cut = lambda first, n: F.nullif(F.trim(F.array_join(F.slice(parts, first, F.greatest(n, F.lit(0))), ",")), F.lit(""))
+        listed = lambda rest: F.array_compact(F.array(address, rest, F.concat(rest, F.lit(place)), F.concat(address, F.lit(place)), cut(1, F.size(parts) - 2)))
+        unnumbered = (F.size(parts) > 1) & ~address.rlike("[0-9]")
+        numbered = lambda found: F.when(unnumbered, F.flatten(F.transform(found, lambda v: F.array(v, F.concat(F.lit("1 "), v))))).otherwise(found)
+        return once(once(cut(2, F.size(parts) - 1), listed), numbered)
+
+    return once(address, lambda a: once(F.split(a, ","), lambda parts: tries(a, parts)))
