@@ -1,12 +1,13 @@
-"""Small neural classifiers of word sequences, trained in step by barrier tasks.
+"""Small neural classifiers of word sequences, trained on shares of the rows by barrier tasks.
 
 Two networks: ``convolution`` (embedding, convolution over words, the maximum over the text, a
-hidden layer, classes) and ``pooling`` (embedding, the mean over the text, classes). Every task holds
-its share of the rows and the whole weights. For each batch all tasks add up the gradients of their
-rows of it and exchange the sums, so all take the same step (Adam). Which batch of an epoch a row is
-in is told by a hash of its number, so the run is the same on any number of tasks, but for the order
-in which floats are added. Only weights and gradients, whose size the layout bounds, pass between
-tasks; the driver gets one row.
+hidden layer, classes) and ``pooling`` (embedding, the mean over the text, classes). An exchange
+between barrier tasks takes a second, however small it is, so there is none a batch: rows are dealt
+into shares by a hash of their number, a share takes the steps (Adam) of its own batches, and some
+times an epoch the shares' weights are averaged by their rows. How many shares there are is told by
+the number of rows, and which batch of an epoch a row is in by a hash, so the run is the same on any
+number of tasks, but for the order in which floats are added. Only weights, whose size the layout
+bounds, pass between tasks; the driver gets one row.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ class Layout:
 
 @dataclass(frozen=True)
 class Training:
-    """Training stops after ``patience`` epochs in which the validation loss fell by less than ``least``; the best weights count."""
+    """Training stops after ``patience`` epochs in which the validation loss fell by less than ``least``; the best weights count.
+
+    Rows of at least twice ``apart`` batches are dealt into shares of so many, ``shares`` at most, whose
+    weights are averaged ``rounds`` times an epoch.
+    """
 
     epochs: int = 20
     batch: int = 32
@@ -46,6 +51,9 @@ class Training:
     least: float = 0.0001
     seed: int = 42
     tasks: int = 4
+    shares: int = 8
+    apart: int = 64
+    rounds: int = 16
 
 
 def first_weights(net: Layout, seed: int) -> dict[str, np.ndarray]:
@@ -121,33 +129,66 @@ def batch_of(rows: np.ndarray, epoch: int, batches: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(batches)).astype(np.int64)
 
 
-def fit_in_step(net: Layout, plan: Training, rows: np.ndarray, x: np.ndarray, y: np.ndarray, held: np.ndarray, exchange) -> tuple[dict[str, np.ndarray], list[tuple[float, float]]]:
-    """(best weights, losses by epoch) from this task's rows; ``exchange`` gives all tasks' messages for one's own."""
-    weights = first_weights(net, plan.seed)
-    slow, fast = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
-    total = _sum_of(exchange(_packed({}, float((~held).sum()), float(held.sum()))), {})[1]
-    batches, step, best, worse, history = max(1, round(total[0] / plan.batch)), 0, (np.inf, weights), 0, []
-    for epoch in range(plan.epochs):
-        turn, lost = batch_of(rows, epoch, batches), 0.0
-        for number in range(batches):
-            mine = np.flatnonzero(~held & (turn == number))
-            own, loss = gradients(net, weights, x[mine], y[mine])
-            grad, sums = _sum_of(exchange(_packed(own, loss, float(len(mine)))), weights)
-            lost += sums[0]
-            if not sums[1]:
+class Share:
+    """Rows that are trained on in turn, in the order of their numbers, and their steps' running sums."""
+
+    def __init__(self, net: Layout, plan: Training, rows: np.ndarray, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        fit, self.held = order[~held[order]], (x[order[held[order]]], y[order[held[order]]])
+        self.plan, self.net, self.rows, self.x, self.y = plan, net, rows[fit], x[fit], y[fit]
+        self.batches, self.step = max(1, round(len(fit) / plan.batch)), 0
+        self.slow, self.fast = ({k: np.zeros_like(v) for k, v in first_weights(net, plan.seed).items()} for _ in range(2))
+
+    def shuffle(self, epoch: int) -> None:
+        turn = batch_of(self.rows, epoch, self.batches)
+        self.order = np.argsort(turn, kind="stable")
+        self.ends = np.searchsorted(turn[self.order], np.arange(self.batches + 1))
+
+    def steps(self, weights: dict[str, np.ndarray], part: int, parts: int) -> tuple[dict[str, np.ndarray], float]:
+        """(weights, summed loss) after the batches of one of an epoch's parts."""
+        weights, lost = dict(weights), 0.0
+        for number in range(self.batches * part // parts, self.batches * (part + 1) // parts):
+            mine = self.order[self.ends[number] : self.ends[number + 1]]
+            if not len(mine):
                 continue
-            step += 1
+            grad, loss = gradients(self.net, weights, self.x[mine], self.y[mine])
+            lost, self.step = lost + loss, self.step + 1
             for k in weights:
-                g = grad[k] / sums[1]
-                slow[k] = 0.9 * slow[k] + 0.1 * g
-                fast[k] = 0.999 * fast[k] + 0.001 * g * g
-                weights[k] = weights[k] - plan.rate * (slow[k] / (1 - 0.9**step)) / (np.sqrt(fast[k] / (1 - 0.999**step)) + 1e-7)
-        own = sum(float(-np.log(np.maximum(forward(net, weights, x[i])[0][np.arange(len(i)), y[i]], 1e-12)).sum()) for i in np.array_split(np.flatnonzero(held), 1 + int(held.sum()) // 256) if len(i))
-        val = _sum_of(exchange(_packed({}, own)), {})[1][0] / max(total[1], 1)
+                g = grad[k] / len(mine)
+                self.slow[k] = 0.9 * self.slow[k] + 0.1 * g
+                self.fast[k] = 0.999 * self.fast[k] + 0.001 * g * g
+                weights[k] = weights[k] - self.plan.rate * (self.slow[k] / (1 - 0.9**self.step)) / (np.sqrt(self.fast[k] / (1 - 0.999**self.step)) + 1e-7)
+        return weights, lost
+
+    def held_loss(self, weights: dict[str, np.ndarray]) -> float:
+        x, y = self.held
+        parts = [slice(i, i + 256) for i in range(0, len(y), 256)]
+        return sum(float(-np.log(np.maximum(forward(self.net, weights, x[i])[0][np.arange(len(y[i])), y[i]], 1e-12)).sum()) for i in parts)
+
+
+def fit_shares(net: Layout, plan: Training, shares: list[Share], rounds: int, exchange) -> tuple[dict[str, np.ndarray], list[tuple[float, float]]]:
+    """(best weights, losses by epoch) from this task's shares; ``exchange`` gives all tasks' messages for one's own."""
+    weights = first_weights(net, plan.seed)
+    total = _sum_of(exchange(_packed({}, float(sum(len(s.y) for s in shares)), float(sum(len(s.held[1]) for s in shares)))), {})[1]
+    best, worse, history = (np.inf, weights), 0, []
+    for epoch in range(plan.epochs):
+        lost = 0.0
+        for share in shares:
+            share.shuffle(epoch)
+        for part in range(rounds):
+            own, loss = {k: np.zeros_like(v) for k, v in weights.items()}, 0.0
+            for share in shares:
+                got, more = share.steps(weights, part, rounds)
+                own, loss = {k: own[k] + len(share.y) * got[k] for k in own}, loss + more
+            summed, losses = _sum_of(exchange(_packed(own, loss)), weights)
+            lost += losses[0]
+            if total[0]:
+                weights = {k: v / total[0] for k, v in summed.items()}
+        val = _sum_of(exchange(_packed({}, sum(s.held_loss(weights) for s in shares))), {})[1][0] / max(total[1], 1)
         history.append((lost / max(total[0], 1), val))
         worse = 0 if val < best[0] - plan.least else worse + 1
         if val < best[0]:
-            best = (val, {k: v.copy() for k, v in weights.items()})
+            best = (val, weights)
         if worse >= plan.patience:
             break
     return best[1], history
@@ -166,35 +207,38 @@ def train_network(rows: DataFrame, text: str = "description", label: str = "labe
     """A classifier of texts. ``number`` is a long that tells rows apart: a fifth of them, by its hash, is for validation.
 
     Rows without text or label don't count. The labels and the vocabulary are on the driver, as
-    the weights are. The tasks run at once (barrier execution), each with its share of the rows
-    in memory; if one dies, the stage begins anew.
+    the weights are. The tasks run at once (barrier execution), each with its shares of the rows
+    in memory, some 2 bytes a word; if one dies, the stage begins anew.
     """
     plan = plan or Training()
     rows = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    labels = sorted(r[0] for r in rows.select(label).distinct().collect())  # classes
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # classes
+    labels, shares = sorted(sizes), max(1, min(plan.shares, sum(sizes.values()) * 4 // 5 // (plan.batch * plan.apart)))
+    tasks, rounds = min(plan.tasks, shares), plan.rounds if shares > 1 else 1
     size = layout.pop("words", ml.VOCABULARY)
     words = [r["word"] for r in ml.vocabulary(rows, text, size).collect()]  # ``size`` words
     net = Layout(kind=kind, classes=max(len(labels), 1), words=len(words), **layout)
     classes = F.array_position(F.array(*[F.lit(x) for x in labels] or [F.lit("")]), F.col(label)).cast("int") - 1
     held = F.pmod(F.xxhash64(number, F.lit(plan.seed)), F.lit(5)) == 0
-    data = ml.sequences(rows, text, words, net.length).select(F.col(number).cast("long").alias("number"), "sequence", classes.alias("y"), held.alias("held"))
+    share = F.pmod(F.xxhash64(number, F.lit(plan.seed), F.lit("share")), F.lit(shares)).cast("int")
+    data = ml.sequences(rows, text, words, net.length).select(F.col(number).cast("long").alias("number"), "sequence", classes.alias("y"), held.alias("held"), share.alias("share"))
+    narrow = np.min_scalar_type(net.words + 2)
 
     def run(batches):
-        context = BarrierTaskContext.get()
-        parts = list(batches)  # a task's share
-        own = pa.Table.from_batches(parts).sort_by("number") if parts else None
-        if own is None:
-            numbers, x, y, apart = np.zeros(0, np.int64), np.zeros((0, net.length), np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
-        else:
-            flat = own.column("sequence").combine_chunks().flatten().to_numpy()
-            numbers, x, y = own.column("number").to_numpy(), flat.reshape(-1, net.length), own.column("y").to_numpy().astype(np.int64)
-            apart = own.column("held").to_numpy(zero_copy_only=False)
-        weights, history = fit_in_step(net, plan, numbers, x, y, apart, context.allGather)
+        context, parts = BarrierTaskContext.get(), []
+        for b in batches:
+            x = b.column(1).flatten().to_numpy().reshape(-1, net.length).astype(narrow)
+            parts.append((b.column(0).to_numpy(), x, b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy()))
+        none = [(np.zeros(0, np.int64), np.zeros((0, net.length), narrow), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32))]
+        *own, of = (np.concatenate(c) for c in zip(*(parts or none), strict=True))
+        del parts
+        weights, history = fit_shares(net, plan, [Share(net, plan, *(c[of == s] for c in own)) for s in np.unique(of)], rounds, context.allGather if tasks > 1 else lambda m: [m])
         if context.partitionId() == 0:
             blob = np.concatenate([v.ravel() for v in weights.values()]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([[list(h) for h in history]], pa.list_(pa.list_(pa.float64())))], ["weights", "history"])
 
-    got = data.repartition(plan.tasks, "number").mapInArrow(run, "weights binary, history array<array<double>>", barrier=True).collect()[0]  # one row
+    dealt = data.repartitionById(tasks, F.col("share") % tasks)
+    got = dealt.mapInArrow(run, "weights binary, history array<array<double>>", barrier=True).collect()[0]  # one row
     like, at, weights = first_weights(net, plan.seed), 0, {}
     flat = np.frombuffer(got["weights"], np.float64)
     for k, v in like.items():
