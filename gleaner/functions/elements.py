@@ -21,6 +21,8 @@ from gleaner.functions.text import html_to_text
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 ENDED_BY_NEXT = frozenset(("dd", "dt", "li", "option", "p", "td", "th", "tr"))
 ELEMENT = "struct<tag:string,depth:int,start:int,first:int,last:int,attributes:string>"
+#: Pages whose elements are Python objects at once.
+SLICE = 256
 
 _TAG = re.compile(r"""<!--.*?-->|<(script|style)\b([^>]*)>.*?</\1\s*>|<(/?)([a-z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>""", re.S | re.I)
 
@@ -65,6 +67,11 @@ def page_elements(html: str) -> list[list]:
 
 
 def _elements(pages: pa.Array) -> pa.Array:
+    """Slice by slice: a page's elements take a multiple of its bytes as Python objects, and less as Arrow's."""
+    return pa.concat_arrays([_slice_elements(pages.slice(i, SLICE)) for i in range(0, max(len(pages), 1), SLICE)])
+
+
+def _slice_elements(pages: pa.Array) -> pa.Array:
     offsets, columns = [0], [[] for _ in range(6)]
     for html in pages:
         rows = page_elements(html.as_py() or "")
@@ -78,8 +85,12 @@ def _elements(pages: pa.Array) -> pa.Array:
 
 
 def elements(html: Column) -> Column:
-    """The elements of a page in document order, as array of ELEMENT; null and empty pages have none."""
-    return F.arrow_udf(_elements, f"array<{ELEMENT}>")(html)
+    """The elements of a page in document order, as array of ELEMENT; null and empty pages have none.
+
+    Called nondeterministic so that the optimizer doesn't copy it into filters: each copy would be
+    another Python worker in every task, and another pass over the pages.
+    """
+    return F.arrow_udf(_elements, f"array<{ELEMENT}>").asNondeterministic()(html)
 
 
 @dataclass(frozen=True)

@@ -192,7 +192,7 @@ def parsed_dates(texts: Column, profile: Profile, asof: Column, info: Column, sl
     one = lambda t: dates.parse_any(clean(t), DAY_FORMATS, year)
     if rule in ("free", "daily"):
         if profile.slotted:
-            texts = F.transform(texts, lambda t: F.concat_ws(" ", t, slot))
+            texts = bound(slot, lambda s: F.transform(texts, lambda t: F.concat_ws(" ", t, s)))
         how = {"daily": rule == "daily", "tag": profile.zone_tag, "halves": profile.halves, "bump": profile.bump, "clocked": profile.clocked}
         found = F.flatten(F.transform(texts, lambda t: free_dates(t, asof, **how)))
     elif rule == "relative":
@@ -297,8 +297,8 @@ def _calendar(html: Column, tree: Column, calendar: tuple[Find, Find, Find, Find
     return bound(found, texts)
 
 
-def to_events(raw: DataFrame, profile: Profile, asof: Column, city: str) -> tuple[DataFrame, DataFrame]:
-    """(events, urls to ban) of a source's raw listings.
+def judged(raw: DataFrame, profile: Profile, asof: Column, city: str) -> DataFrame:
+    """A source's raw listings with their ``dates`` and with ``_out``: true for those to ban, null for those that are left out.
 
     Listings with an excluded word or elsewhere are banned, those without a readable date by the
     sources that ban such; other undated ones, closed ones (by their status line) and those that a
@@ -328,7 +328,13 @@ def to_events(raw: DataFrame, profile: Profile, asof: Column, city: str) -> tupl
     rows = rows.withColumn("dates", F.sort_array(found))
     if profile.drops_past:
         rows = rows.where(not_past(F.col("dates"), asof))
-    rows = rows.withColumn("_out", out | (F.size("dates") == 0)) if profile.bans_undated else rows.withColumn("_out", out).where(F.col("_out") | (F.size("dates") > 0))
+    dated = F.size("dates") > 0
+    return rows.withColumn("_out", out | ~dated if profile.bans_undated else F.when(out, F.lit(True)).when(dated, F.lit(False)))
+
+
+def to_events(raw: DataFrame, profile: Profile, asof: Column, city: str) -> tuple[DataFrame, DataFrame]:
+    """(events, urls to ban) of a source's raw listings, as ``judged``."""
+    rows = judged(raw, profile, asof, city)
     events = rows.where(~F.col("_out")).select(
         "seq", text.event_id(F.col("name"), F.col("venue"), F.col("source")).alias("id"), "name", F.col("image").alias("imageUrl"), "venue", "coordinates",
         "dates", "url", "source", F.col("category").alias("eventType"), F.col("description").alias("long_description"), text.html_to_text(F.col("description")).alias("description"),
