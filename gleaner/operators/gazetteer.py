@@ -1,20 +1,13 @@
-"""Lookup of names that may be misspelt: candidates by shared rare q-grams, then edit distance."""
+"""Lookup of names that may be misspelt: candidates that have two parts in common, then edit distance."""
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.numbering import materialize
-
-EDITS, GRAM = 2, 2
-
-
-def grams(name: Column, q: int = GRAM) -> Column:
-    """The q-grams of a name, each with how many times it came before, so that repeats are grams of their own."""
-    every = F.when(F.length(name) >= q, F.transform(F.sequence(F.lit(1), F.length(name) - (q - 1)), lambda i: F.substr(name, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-    counted = lambda a: F.transform(a, lambda g, i: F.concat(g, F.lit("\x00"), F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x == g)).cast("string")))
-    return F.transform(F.array(every), counted)[0]
+EDITS, PART = 2, 2
 
 
 def deletions(name: Column, edits: int = EDITS) -> Column:
@@ -26,35 +19,66 @@ def deletions(name: Column, edits: int = EDITS) -> Column:
     return out
 
 
-def _keys(names: DataFrame, edits: int, q: int, counts: DataFrame) -> DataFrame:
-    """(name, key): two names within ``edits`` share a key.
+def _layouts(edits: int) -> list[tuple[int, int, int, int, int]]:
+    """(i, j, p, q, longer): all ways in which the first two untouched parts of a name can lie in one within ``edits``.
+
+    Cut into edits + 2 parts, a name has at least two that no edit touches, i and j. They lie p and q
+    characters further on in the other name, which is ``longer`` by so many. An insertion
+    belongs to the part of the character after it (at the end to the last), so nothing but the parts
+    before, between and behind can move them, and those before j other than i have an edit each.
+    """
+    out, parts = set(), edits + 2
+    for i, j in combinations(range(parts), 2):
+        least, room = (i, j - i - 1, 0), (i, j - i - 1, parts - 1 - j)
+        for each in product(range(edits + 1), repeat=3):
+            if sum(each) <= edits and all(e >= low and (e == 0 or have) for e, low, have in zip(each, least, room, strict=True)):
+                out |= {(i, j, a, a + b, a + b + c) for a, b, c in product(*(range(-e, e + 1) for e in each))}
+    return sorted(out)
+
+
+def _part_keys(name: Column, edits: int, q: int, layouts: list[tuple[int, int, int, int, int]]) -> Column:
+    """For each layout a hash of the two parts that a name would share with one of the other length; null if it can't have such parts."""
+    parts = edits + 2
+
+    def key(i: int, j: int, *moved: int) -> Column:
+        length = F.length(name) - moved[2]
+        bounds = [(F.floor(length * k / parts).cast("int"), F.floor(length * (k + 1) / parts).cast("int"), by) for k, by in ((i, moved[0]), (j, moved[1]))]
+        inside = [x for start, end, by in bounds for x in ((start + by >= 0) if by < 0 else None, (end + by <= F.length(name)) if by > moved[2] else None) if x is not None]
+        cond = length >= q * parts
+        for x in inside:
+            cond = cond & x
+        return F.when(cond, F.xxhash64(F.lit(i * parts + j), length, *[F.substr(name, start + by + 1, end - start) for start, end, by in bounds]))
+
+    return F.array(*[key(*x) for x in layouts])
+
+
+def _short_keys(name: Column, edits: int) -> Column:
+    return F.transform(deletions(name, edits), lambda x: F.xxhash64(F.lit(-1), x))
+
+
+def _close_pairs(asked: DataFrame, known: DataFrame, edits: int, q: int) -> DataFrame:
+    """(name, match, distance) of ``close_names``, some more than once.
 
-    An edit changes at most q grams, so of two names within ``edits`` the first edits * q + 1 grams, in
-    one order for all (rare ones first), share one. Names too short for that, and those that such
-    names may be within reach of, have their deletions as keys.
+    Known names that have ``q`` characters for each of edits + 2 parts meet by the two parts that
+    edits can't have touched, shorter ones by what is left of both names without up to ``edits``
+    characters. Keys are hashes; they leave out no pair, the distance decides.
     """
-    first = edits * q + 1
-    short = first + q - 2  # longest name with fewer grams than ``first``
-    each = names.where(F.length("name") > short).select("name", F.explode(grams(F.col("name"), q)).alias("gram")).join(counts, "gram", "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))  # the grams of a name
-    by_gram = each.groupBy("name").agg(F.slice(order, 1, first).alias("g")).select("name", F.explode("g.gram").alias("key"))
-    by_rest = names.where(F.length("name") <= short + edits).select("name", F.explode(deletions(F.col("name"), edits)).alias("key"))
-    return by_gram.select("name", F.concat(F.lit("g"), "key").alias("key")).unionAll(by_rest.select("name", F.concat(F.lit("d"), "key").alias("key")))
+    least = q * (edits + 2)  # length of the shortest name that is cut into parts
+    keys = lambda names, most, layouts: F.explode(F.array_distinct(F.concat(_part_keys(F.col("name"), edits, q, layouts), F.when(F.length("name") <= most, _short_keys(F.col("name"), edits)).otherwise(F.array().cast("array<bigint>")))))
+    whole = [(i, j, 0, 0, 0) for i, j in combinations(range(edits + 2), 2)]
+    left = asked.select("name", keys(asked, least - 1 + edits, _layouts(edits)).alias("key")).where("key is not null")
+    right = known.select(F.col("name").alias("match"), keys(known, least - 1, whole).alias("key")).where("key is not null")
+    return left.join(right, "key").select("name", "match", F.levenshtein("name", "match", edits).alias("distance")).where(F.col("distance") >= 0)
 
 
-def close_names(asked: DataFrame, known: DataFrame, edits: int = EDITS, q: int = GRAM) -> DataFrame:
+def close_names(asked: DataFrame, known: DataFrame, edits: int = EDITS, q: int = PART) -> DataFrame:
     """(name, match, distance): all names of ``known`` within ``edits`` edits of each name of ``asked``.
 
-    Both have a column ``name``; nulls have no matches. The keys leave out no pair, the distance
-    decides.
+    Both have a column ``name``; nulls have no matches. ``q`` is the least length of the parts by
+    which names meet; it changes no result.
     """
     asked, known = (x.where("name is not null").select("name").distinct() for x in (asked, known))
-    counts = materialize(known.select(F.explode(grams(F.col("name"), q)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
-    left = _keys(asked, edits, q, counts)
-    right = _keys(known, edits, q, counts).withColumnRenamed("name", "match")
-    near = F.abs(F.length("name") - F.length("match")) <= edits
-    pairs = left.join(right, "key").where(near).select("name", "match").distinct()
-    return pairs.withColumn("distance", F.levenshtein("name", "match", edits)).where(F.col("distance") >= 0)
+    return _close_pairs(asked, known, edits, q).distinct()
 
 
 def _as_bytes(name: Column) -> Column:
@@ -75,7 +99,7 @@ def lookup_tolerant(venues: DataFrame, gazetteer: DataFrame, edits: int = EDITS,
     names = venues.select(F.col("venue").alias("name")).distinct()
     places = gazetteer.groupBy(F.col("address").alias("match")).agg(F.min(F.struct("lat", "long")).alias("at"))
     exact = names.join(places.select(F.col("match").alias("name")), "name", "left_semi")
-    close = close_names(names.join(exact, "name", "left_anti"), places.select(F.col("match").alias("name")), edits)
+    close = _close_pairs(names.join(exact, "name", "left_anti").where("name is not null"), places.select(F.col("match").alias("name")).where("name is not null"), edits, PART)
     best = close.groupBy("name").agg(F.min(F.struct("distance", "match")).alias("b")).select("name", F.col("b.match").alias("match"), F.col("b.distance").alias("distance"))
     found = exact.select("name", F.col("name").alias("match"), F.lit(0).alias("distance")).unionAll(best).join(places, "match")
     got = names.join(found, "name", "left")
