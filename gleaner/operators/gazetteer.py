@@ -7,7 +7,11 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.numbering import materialize
+
 EDITS, PART = 2, 2
+#: Known names that may meet under one key.
+OFTEN = 1024
 
 
 def deletions(name: Column, edits: int = EDITS) -> Column:
@@ -36,39 +40,65 @@ def _layouts(edits: int) -> list[tuple[int, int, int, int, int]]:
     return sorted(out)
 
 
-def _part_keys(name: Column, edits: int, q: int, layouts: list[tuple[int, int, int, int, int]]) -> Column:
-    """For each layout a hash of the two parts that a name would share with one of the other length; null if it can't have such parts."""
+def _places(length: Column, i, j, p, q, parts: int) -> list[tuple[Column, Column]]:
+    """Where the parts i and j of a name of that length start and end in one where they lie p and q further on."""
+    return [(F.floor(length * k / parts).cast("int") + by, F.floor(length * (k + 1) / parts).cast("int") + by) for k, by in ((i, p), (j, q))]
+
+
+def _keys(text: Column, edits: int, q: int, layouts: list[tuple[int, int, int, int, int]], most: int) -> Column:
+    """By layout a hash of the two parts that a text would share with another, null if it can't; then, of texts up to ``most``, hashes of what is left of them without up to ``edits`` characters."""
     parts = edits + 2
 
     def key(i: int, j: int, *moved: int) -> Column:
-        length = F.length(name) - moved[2]
-        bounds = [(F.floor(length * k / parts).cast("int"), F.floor(length * (k + 1) / parts).cast("int"), by) for k, by in ((i, moved[0]), (j, moved[1]))]
-        inside = [x for start, end, by in bounds for x in ((start + by >= 0) if by < 0 else None, (end + by <= F.length(name)) if by > moved[2] else None) if x is not None]
+        length = F.length(text) - moved[2]
+        places = _places(length, i, j, *moved[:2], parts)
         cond = length >= q * parts
-        for x in inside:
-            cond = cond & x
-        return F.when(cond, F.xxhash64(F.lit(i * parts + j), length, *[F.substr(name, start + by + 1, end - start) for start, end, by in bounds]))
+        for (start, end), by in zip(places, moved[:2], strict=True):
+            cond = cond & (start >= 0) if by < 0 else cond
+            cond = cond & (end <= F.length(text)) if by > moved[2] else cond
+        return F.when(cond, F.xxhash64(F.lit(i * parts + j), length, *[F.substr(text, start + 1, end - start) for start, end in places]))
 
-    return F.array(*[key(*x) for x in layouts])
+    short = F.transform(deletions(text, edits), lambda x: F.xxhash64(F.lit(-1), x))
+    return F.concat(F.array(*[key(*x) for x in layouts]), F.when(F.length(text) <= most, short).otherwise(F.array().cast("array<bigint>")))
 
 
-def _short_keys(name: Column, edits: int) -> Column:
-    return F.transform(deletions(name, edits), lambda x: F.xxhash64(F.lit(-1), x))
+def _rest(layouts: list[tuple[int, int, int, int, int]], parts: int) -> Column:
+    """``text`` without the two parts of its ``layout``."""
+    i, j, p, q, longer = (F.element_at(F.array(*[F.lit(x[k]) for x in layouts]), F.col("layout") + 1) for k in range(5))
+    (a, b), (c, d) = _places(F.length("text") - longer, i, j, p, q, parts)
+    return F.concat(F.substr("text", F.lit(1), a), F.substr("text", b + 1, c - b), F.substr("text", d + 1, F.length("text")))
 
 
 def _close_pairs(asked: DataFrame, known: DataFrame, edits: int, q: int) -> DataFrame:
-    """(name, match, distance) of ``close_names``, some more than once.
+    """(name, match, distance) of ``close_names``, some more than once; asked and known: (name, text, under).
 
-    Known names that have ``q`` characters for each of edits + 2 parts meet by the two parts that
-    edits can't have touched, shorter ones by what is left of both names without up to ``edits``
-    characters. Keys are hashes; they leave out no pair, the distance decides.
+    Texts are names or what is left of them, and meet under equal keys only. Known texts that have ``q`` characters for each of
+    edits + 2 parts meet by the two parts that edits can't have touched, shorter ones by what is left of both without up to
+    ``edits`` characters. Where over OFTEN known texts have two parts in common, as addresses of
+    one town have, their rests meet in the same way. Keys are hashes; they leave out no pair, the distance decides.
     """
-    least = q * (edits + 2)  # length of the shortest name that is cut into parts
-    keys = lambda names, most, layouts: F.explode(F.array_distinct(F.concat(_part_keys(F.col("name"), edits, q, layouts), F.when(F.length("name") <= most, _short_keys(F.col("name"), edits)).otherwise(F.array().cast("array<bigint>")))))
-    whole = [(i, j, 0, 0, 0) for i, j in combinations(range(edits + 2), 2)]
-    left = asked.select("name", keys(asked, least - 1 + edits, _layouts(edits)).alias("key")).where("key is not null")
-    right = known.select(F.col("name").alias("match"), keys(known, least - 1, whole).alias("key")).where("key is not null")
-    return left.join(right, "key").select("name", "match", F.levenshtein("name", "match", edits).alias("distance")).where(F.col("distance") >= 0)
+    parts = edits + 2
+    ways, whole = _layouts(edits), [(i, j, 0, 0, 0) for i, j in combinations(range(parts), 2)]
+
+    def met(names: DataFrame, layouts: list, most: int) -> DataFrame:
+        rows = names.select("name", "text", "under", F.posexplode(_keys(F.col("text"), edits, q, layouts, most)).alias("layout", "key"))
+        return rows.where("key is not null").select("name", "text", "layout", F.xxhash64("under", "key").alias("key"))
+
+    left, right = met(asked, ways, q * parts - 1 + edits), materialize(met(known, whole, q * parts - 1), "name-parts")
+    often = materialize(right.where(F.col("layout") < len(whole)).groupBy("key").count().where(F.col("count") > OFTEN).select("key"), "name-parts-often")
+    some = not often.isEmpty()
+    if some:
+        left = materialize(left, "name-parts-asked")
+    rare = right.join(often, "key", "left_anti") if some else right
+    pairs = left.select("name", "key").join(rare.select(F.col("name").alias("match"), "key"), "key").select("name", "match", F.levenshtein("name", "match", edits).alias("distance")).where(F.col("distance") >= 0)
+    if some:
+        rest = [rows.where(F.col("layout") < len(layouts)).join(often, "key", "left_semi").select("name", _rest(layouts, parts).alias("text"), F.col("key").alias("under")) for rows, layouts in ((left, ways), (right, whole))]
+        pairs = pairs.unionAll(_close_pairs(*rest, edits, q))
+    return pairs
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    return rows.where("name is not null").select("name", F.col("name").alias("text"), F.lit(0).cast("long").alias("under"))
 
 
 def close_names(asked: DataFrame, known: DataFrame, edits: int = EDITS, q: int = PART) -> DataFrame:
@@ -77,8 +107,7 @@ def close_names(asked: DataFrame, known: DataFrame, edits: int = EDITS, q: int =
     Both have a column ``name``; nulls have no matches. ``q`` is the least length of the parts by
     which names meet; it changes no result.
     """
-    asked, known = (x.where("name is not null").select("name").distinct() for x in (asked, known))
-    return _close_pairs(asked, known, edits, q).distinct()
+    return _close_pairs(_names(asked.select("name").distinct()), _names(known.select("name").distinct()), edits, q).distinct()
 
 
 def _as_bytes(name: Column) -> Column:
@@ -99,7 +128,7 @@ def lookup_tolerant(venues: DataFrame, gazetteer: DataFrame, edits: int = EDITS,
     names = venues.select(F.col("venue").alias("name")).distinct()
     places = gazetteer.groupBy(F.col("address").alias("match")).agg(F.min(F.struct("lat", "long")).alias("at"))
     exact = names.join(places.select(F.col("match").alias("name")), "name", "left_semi")
-    close = _close_pairs(names.join(exact, "name", "left_anti").where("name is not null"), places.select(F.col("match").alias("name")).where("name is not null"), edits, PART)
+    close = _close_pairs(_names(names.join(exact, "name", "left_anti")), _names(places.select(F.col("match").alias("name"))), edits, PART)
     best = close.groupBy("name").agg(F.min(F.struct("distance", "match")).alias("b")).select("name", F.col("b.match").alias("match"), F.col("b.distance").alias("distance"))
     found = exact.select("name", F.col("name").alias("match"), F.lit(0).alias("distance")).unionAll(best).join(places, "match")
     got = names.join(found, "name", "left")
