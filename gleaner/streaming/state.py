@@ -108,5 +108,18 @@ def unseen_stream(rows: DataFrame, key: str, time: str, tie: str, ban=None, forg
 
 
 def run_once(rows: DataFrame, out: str, checkpoint: str) -> None:
-    """Everything that has come since the last run with this checkpoint, appended to ``out``."""
+    """Everything that has come since the last run with this checkpoint, appended to ``out``.
+
+    Executors close a partition's state when it is committed, else they would hold that of each run for a while.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.streaming.stateStore.unloadOnCommit"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        _run_once(rows, out, checkpoint)
+    finally:
+        conf.set(name, before)
+
+
+def _run_once(rows: DataFrame, out: str, checkpoint: str) -> None:
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
